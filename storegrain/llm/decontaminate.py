@@ -57,7 +57,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
     grams = landed(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD))), "benchmark-windows")
     # bounded: at most BITMAP_BITS / 64 longs, and at most n lengths, whatever the benchmark's size
     head = F.when(F.col("m") == 1, _head(F.col("gram"), F.lit(0), 1)).when(F.col("m") == 2, _head(F.col("gram"), F.lit(0), 2)).otherwise(_head(F.col("gram"), F.lit(0), HEAD))
-    at = head.cast("int").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    at = head.bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
     cells = grams.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
     bitmap = [0] * (BITMAP_BITS // 64)
@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
         """Where the first m words of some window may stand."""
 
         def maybe(i):
-            at = _head(ws, i, m).cast("int").bitwiseAND(F.lit(BITMAP_BITS - 1))
+            at = _head(ws, i, m).bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
             return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6)), at).bitwiseAND(F.lit(1).cast("long")) == 1  # a shift takes the low 6 bits
 
         return F.when(F.size(ws) > 0, F.filter(F.sequence(F.lit(0), F.size(ws) - 1), maybe)).otherwise(F.array())
