@@ -70,12 +70,10 @@ def frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, b
     lines = landed(lines, "lines", "batch")
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        new = lines.filter((F.col("batch") == b) & F.col("keyed"))
+        new = lines.filter((F.col("batch") == b) & F.col("keyed")).select(*KEY, "doc_id").distinct()
+        new = new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"))  # in parts, so a key found everywhere is one row a part
         old = runs.frequent(min_docs)
-        if old is not None:
-            new = new.join(old, KEY, "left_anti")
-        # one row of a key and document first, so that a key found everywhere is counted in parts
-        runs.add(new.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs")))
+        runs.add(new if old is None else new.join(old, KEY, "left_anti"))
     return lines, landed(runs.frequent(min_docs), "frequent-lines")
 
 
