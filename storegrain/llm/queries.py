@@ -1,6 +1,15 @@
 """The registered queries of this subpackage, and DuckDB SQL where it can express them."""
 
-from storegrain.llm import decontaminate, line_dedup, secrets
+from storegrain.llm import bpe, decontaminate, langid, line_dedup, secrets
 
-QUERIES = {f.__name__: f for f in (line_dedup.op4_line_dedup, decontaminate.op8_benchmark_decontamination, secrets.op10_secret_scans)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bpe.op1_bpe_encoding,
+        langid.op2_language_id,
+        line_dedup.op4_line_dedup,
+        decontaminate.op8_benchmark_decontamination,
+        secrets.op10_secret_scans,
+    )
+}
 SQL = {"op4_line_dedup": line_dedup.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
