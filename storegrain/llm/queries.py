@@ -1,15 +1,26 @@
 """The registered queries of this subpackage, and DuckDB SQL where it can express them."""
 
-from storegrain.llm import bpe, decontaminate, langid, line_dedup, secrets
+import corpus_pipeline
+from storegrain.llm import bpe, chat, decontaminate, langid, line_dedup, near_dedup, quality, secrets, topk, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_bpe_encoding,
         langid.op2_language_id,
+        topk.op3_exact_topk,
         line_dedup.op4_line_dedup,
+        chat.op5_chat_formatting,
+        quality.op6_quality_classifier,
+        urls.op7_url_filters,
         decontaminate.op8_benchmark_decontamination,
+        near_dedup.op9_minhash_near_dedup,
         secrets.op10_secret_scans,
     )
+} | {"pipeline": corpus_pipeline.run}
+SQL = {
+    "op3_exact_topk": topk.SQL,
+    "op4_line_dedup": line_dedup.SQL,
+    "op7_url_filters": urls.SQL,
+    "op8_benchmark_decontamination": decontaminate.SQL,
 }
-SQL = {"op4_line_dedup": line_dedup.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
