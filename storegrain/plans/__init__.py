@@ -1,0 +1,9 @@
+"""Registered queries: operators applied to the given tables in a role, each with DuckDB SQL where it has any."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
