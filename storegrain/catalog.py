@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from storegrain.plans import audit
+from storegrain.plans import audit, pages
 
-PARTS = (audit,)
+PARTS = (audit, pages)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: q for part in PARTS for name, q in part.SQL.items()}
