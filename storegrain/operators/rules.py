@@ -55,13 +55,17 @@ def cross_page(facts: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFram
     p = pages.select(*KEY, F.col("url").alias("resource_url"), "page_type")
     seen = facts.join(r, F.col("fact") == F.col("rf")).join(p, [*KEY, "resource_url"]).filter("size(sources) = 0 or array_contains(sources, page_type)")
     # one row for each distinct value first: what repeats can't open a class
-    values = seen.groupBy(*KEY, "rule_id", "tolerance", "min_confidence", "value").agg(F.min("seq").alias("seq"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
-    per = values.groupBy(*KEY, "rule_id", "tolerance", "min_confidence").agg(F.sum("n").alias("observations"), F.min("confidence").alias("confidence"), F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("vs"))
-    tol = F.col("tolerance")
     num = lambda x: x.try_cast("double")
-    same = lambda a, b: F.when(num(a).isNotNull() & num(b).isNotNull(), F.abs(num(a) - num(b)) <= tol).otherwise(compare_text(a) == compare_text(b))
-    classes = F.aggregate("vs", F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda c: same(c, x["value"])), acc).otherwise(F.concat(acc, F.array(x["value"]))))
-    out = per.filter("observations >= 2").withColumn("distinct_values", F.size(classes).cast("long"))
+    canon = F.coalesce(num(F.col("value")).cast("string"), compare_text(F.col("value")))
+    values = seen.groupBy(*KEY, "rule_id", "tolerance", "min_confidence", canon.alias("value")).agg(F.min("seq").alias("seq"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    # with tolerance 0 the classes are the distinct values; others are folded in order, as nearness is not transitive
+    near = F.when(F.col("tolerance") > 0, F.struct("seq", "value"))
+    per = values.groupBy(*KEY, "rule_id", "tolerance", "min_confidence").agg(F.sum("n").alias("observations"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_values"), F.sort_array(F.collect_list(near)).alias("vs"))
+    tol = F.col("tolerance")
+    same = lambda a, b: F.when(num(a).isNotNull() & num(b).isNotNull(), F.abs(num(a) - num(b)) <= tol).otherwise(a == b)
+    folded = F.aggregate("vs", F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda c: same(c, x["value"])), acc).otherwise(F.concat(acc, F.array(x["value"]))))
+    classes = F.when(tol > 0, F.size(folded)).otherwise(F.col("n_values"))
+    out = per.filter("observations >= 2").withColumn("distinct_values", classes.cast("long"))
     result = F.when(F.col("distinct_values") == 1, "pass").when(F.col("confidence") >= F.col("min_confidence"), "fail").otherwise("needs_review")
     return out.select(*KEY, "rule_id", result.alias("result"), "confidence", "observations", "distinct_values")
 

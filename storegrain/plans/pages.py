@@ -185,7 +185,7 @@ DUPLICATE_SQL = r"select lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) as
 
 
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = documents(spark, sf_dir).withColumn("store_id", F.lit("all")).withColumn("title", F.left(F.split("text", "\n")[0], F.lit(80))).drop("text")
+    t = parsed(spark, sf_dir).select(F.lit("all").alias("store_id"), "run_id", "seq", "url", "title").filter("title is not null")
     return C.near_titles(t).select("url_a", "url_b", F.round("ratio", 6).alias("ratio"))
 
 
