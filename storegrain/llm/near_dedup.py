@@ -1,10 +1,11 @@
 """Near duplicates by MinHash: universal hash minima, banding, signature checks, exact checks, components.
 
-Texts with equal shingle sets are one class, which its smallest doc_id stands for. Of each band bucket all
-members are checked against one pivot; the links found are joined to components by alternating large-star
-and small-star. Buckets that then hold more than one component are compared in blocks of bounded size, where
-signatures drop most pairs. Every link is confirmed on the full shingle sets. A link is only left out if no
-band is shared: at the least similarity 0.75 that has probability (1 - 0.75 ** 4) ** 40, under 3 in 10 million.
+Texts with equal shingle sets are one class, which its smallest doc_id stands for. In every band bucket the
+signatures of all members are compared, in blocks of bounded size, and a spanning forest of the pairs that may be
+alike goes on: their components are clusters. In a cluster, again in blocks, pairs are confirmed on the full
+shingle sets, and the components of those links, by alternating large-star and small-star, are the result. No step
+writes the pairs of a group out. A link is only left out if no band is shared: at the least similarity 0.75 that
+has probability (1 - 0.75 ** 4) ** 40, under 3 in 10 million.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ HASHES = BANDS * ROWS
 ESTIMATE = 0.5
 #: Members of one block of a bucket.
 BLOCK = 256
+#: Bytes of shingle sets in one block of a cluster, about.
+BLOCK_BYTES = 4 << 20
 _rng = np.random.default_rng(20240607)
 A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 C = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -110,31 +113,50 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def estimated(bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
-    """Similarity by signature: the share of minima with equal 2 bits, less what chance gives."""
-    differ = np.unpackbits(bits_a ^ bits_b, axis=-1).reshape(*np.broadcast_shapes(bits_a.shape, bits_b.shape)[:-1], HASHES, 2).any(-1)
-    return (1 - differ.mean(-1) - 0.25) / 0.75
+    """Similarity by signature of all of a with all of b: the share of minima with equal 2 bits, less what chance gives."""
+    x = bits_a[:, None, :] ^ bits_b[None, :, :]
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+    return (1 - differ / HASHES - 0.25) / 0.75
 
 
 def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
-
-
-def _may_be_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        small, large = np.minimum(b["n_a"], b["n_b"]), np.maximum(b["n_a"], b["n_b"])
-        b = b[(100 * small >= 75 * large).to_numpy()]
-        if len(b):
-            yield b.loc[estimated(_bits(b["bits_a"]), _bits(b["bits_b"])) >= ESTIMATE, ["a", "b"]]
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
+def _alike(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimates for left x right; 0 where the sizes alone rule the pair out."""
+    x, y = n[left][:, None], n[right][None, :]
+    e = estimated(bits[left], bits[right])
+    e[100 * np.minimum(x, y) < 75 * np.maximum(x, y)] = 0
+    return e
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with adjacency matrix near."""
+    left, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if left[root]:
+            left[root] = False
+            todo = [root]
+            while todo:
+                k = todo.pop()
+                found = np.flatnonzero(near[k] & left)
+                left[found] = False
+                todo += found.tolist()
+                out += [(k, int(f)) for f in found]
+    return out
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _near_in_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the pairs of each block, or of two blocks of a bucket, that may be alike: a spanning forest, so no more rows than members."""
     for b in batches:
-        keep = []
-        for x, y in zip(b["set_a"], b["set_b"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-        yield b.loc[keep, ["a", "b"]]
+        edges = []
+        for members in b["members"]:
+            ids, n, bits = np.array([m["rep"] for m in members]), np.array([m["n"] for m in members]), _bits([m["bits"] for m in members])
+            k = np.arange(len(ids))
+            near = _alike(n, bits, k, k) >= ESTIMATE
+            edges += [(ids[x], ids[y]) for x, y in forest(near)]
+        yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,33 +167,46 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "set": [s.tobytes() for s in shingle_sets(part["text"].tolist(), word_hash)]})
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full shingle sets are alike."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, set binary")
-    sets = landed(sets, "sets")
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.withColumnsRenamed({"id": side, "set": f"set_{side}"}), side)
-    return pairs.mapInPandas(_linked, "a long, b long")
+def links_of(members: list, i: int, j: int) -> list[tuple[int, int]]:
+    """Links between the blocks i and j of a cluster, confirmed on the full sets, best estimates first; pairs already joined are passed over."""
+    ids, n, blk = (np.array([m[k] for m in members]) for k in ("id", "n", "blk"))
+    bits, sets = _bits([m["bits"] for m in members]), [np.frombuffer(m["set"], np.uint64) for m in members]
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    e = _alike(n, bits, left, right)
+    x, y = np.nonzero(e >= ESTIMATE)
+    order = np.argsort(-e[x, y], kind="stable")
+    x, y = left[x[order]], right[y[order]]
+    if i == j:
+        x, y = x[x < y], y[x < y]
+    root, out = list(range(len(ids))), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        u, v = find(p), find(q)
+        if u != v:
+            common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[p]) + len(sets[q]) - common):
+                root[u] = v
+                out.append((int(ids[p]), int(ids[q])))
+    return out
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each block, or of two blocks, that are in different components and may be alike."""
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        a_ids, b_ids = [], []
-        for i, j, members in zip(b["i"], b["j"], b["members"], strict=True):
-            ids, comp, n, blk = (np.array([m[k] for m in members]) for k in ("rep", "comp", "n", "blk"))
-            bits = _bits([m["bits"] for m in members])
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-            for x in left:
-                ys = right[(ids[right] > ids[x]) | (i != j)]
-                ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[ys], n[x]) >= 75 * np.maximum(n[ys], n[x]))]
-                if len(ys):
-                    ys = ys[estimated(bits[ys], bits[x]) >= ESTIMATE]
-                    a_ids.append(np.maximum(ids[ys], ids[x]))
-                    b_ids.append(np.minimum(ids[ys], ids[x]))
-        if a_ids:
-            yield pd.DataFrame({"a": np.concatenate(a_ids), "b": np.concatenate(b_ids)})
+        found = [x for i, j, members in zip(b["i"], b["j"], b["members"], strict=True) for x in links_of(members, i, j)]
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def in_blocks(rows: DataFrame, group: str, member: str, blocks: DataFrame, fields: list[str]) -> DataFrame:
+    """(i, j, members): for each pair i <= j of blocks of a group its members. blocks: group, nb. A member's block follows from its hash, so no group has to fit into one task."""
+    r = rows.join(blocks, group).withColumn("blk", F.pmod(F.xxhash64(member), F.col("nb")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return r.groupBy(group, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct(*fields, "blk")).alias("members")).select("i", "j", "members")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,7 +224,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = landed(small, "small-star")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+            # stars by now: what is never a leaf is its component's smallest id
+            return edges.select(F.explode(F.array("u", "v")).alias("id"), F.col("v").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
         before = now
 
 
@@ -206,31 +242,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = with_id.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     reps = landed(reps.dropDuplicates(["rep", "f1", "f2"]).drop("f1", "f2"), "representatives")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    pivots = landed(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot")).filter("m > 1"), "pivots")
-    pairs = buckets.join(pivots, "bucket").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    pairs = landed(pairs.mapInPandas(_may_be_alike, "a long, b long").distinct(), "pairs")
-    first = components(confirmed(pairs, docs))
-
-    comp = F.coalesce("component", "rep")
-    members = reps.join(first, F.col("rep") == F.col("id"), "left").select("rep", comp.alias("comp"), "n", "bits", "bands")
-    members = landed(members, "members")
-    open_ = members.select("comp", F.explode("bands").alias("bucket")).join(pivots.select("bucket"), "bucket", "left_semi")
-    open_ = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = members.select("rep", "comp", "n", "bits", F.explode("bands").alias("bucket")).join(landed(open_.select("bucket", blocks.alias("nb")), "open"), "bucket")
-    rest = rest.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    groups = rest.groupBy("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "n", "blk", "bits")).alias("members"))
-    more = landed(groups.select("i", "j", "members").mapInPandas(_across, "a long, b long").distinct(), "more-pairs")
-    links = confirmed(more, docs)
-    of = members.select("rep", "comp").distinct()
-    for side in ("a", "b"):
-        links = links.join(of.withColumnsRenamed({"rep": side, "comp": f"c{side}"}), side)
-    second = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = of.join(second, F.col("comp") == F.col("id"), "left").select(F.col("rep").alias("r"), F.coalesce("component", "comp").alias("component"))
-    known = landed(classes.join(final, F.col("rep") == F.col("r")).select("f1", "f2", "component"), "class-components")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    candidates = reps.select("rep", "n", "bits", F.explode("bands").alias("bucket"))
+    near = in_blocks(candidates, "bucket", "rep", landed(shared, "buckets"), ["rep", "n", "bits"]).mapInPandas(_near_in_bucket, "a long, b long")
+    clusters = landed(components(near), "clusters")
+
+    members = reps.join(clusters, F.col("rep") == F.col("id")).select("id", F.col("component").alias("cluster"), "n", "bits")
+    sets = docs.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, set binary")
+    size = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("nb"))
+    links = in_blocks(members.join(sets, "id"), "cluster", "id", landed(size, "cluster-blocks"), ["id", "n", "bits", "set"]).mapInPandas(_links, "a long, b long")
+    final = components(links).withColumnRenamed("id", "r")
+    known = landed(classes.join(final, F.col("rep") == F.col("r"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "class-components")
     out = sk.join(known, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
