@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from storegrain.plans import audit, findings, pages, products
+from storegrain.plans import audit, findings, pages, products, streams
 
-PARTS = (audit, pages, findings, products)
+PARTS = (audit, pages, findings, products, streams)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: q for part in PARTS for name, q in part.SQL.items()}
