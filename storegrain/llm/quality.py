@@ -19,6 +19,8 @@ from storegrain.llm.common import held_out
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|\n")
 BUCKETS = 1 << 17
+#: Labels that are broadcast at most.
+MOST_BROADCAST = 2_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,6 +164,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, label) of the rows to learn from: those not held out, with a quality of 0 or 1."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("label"))
+    # a label is two numbers: up to a counted size they go to the texts, beyond it the texts are shuffled
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
     return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("d")).drop("d")
 
 
