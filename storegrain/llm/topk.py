@@ -68,10 +68,11 @@ def rotation(vectors: DataFrame) -> np.ndarray:
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise integer products, in double where that is exact, else in Python's integers."""
-    if a.size == 0 or np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
-        return np.einsum("ij,ij->i", a, b)
-    return np.array([sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for r, s in zip(a, b, strict=True)], dtype=object)
+    """All integer products of rows of a with rows of b, in double where that is exact, else in Python's integers."""
+    if a.size == 0 or b.size == 0 or np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
+        return a @ b.T
+    whole = lambda x: np.array([[int(v) for v in r] for r in x], dtype=object)
+    return whole(a).dot(whole(b).T)
 
 
 class Search:
@@ -93,23 +94,41 @@ class Search:
         if not len(live):
             return
         bound = self.lead[live] @ r[:, :LEAD].T + np.outer(self.rest[live], np.linalg.norm(r[:, LEAD:], axis=1))
-        at, cand = np.nonzero((bound + slack >= self.floor[live][:, None]) & (self.ids[live][:, None] != ids[None, :]))
-        at = live[at]
-        for i in range(0, len(at), 20_000):
-            x, y = at[i : i + 20_000], cand[i : i + 20_000]
-            score = exact_products(self.q[x], v[y])
-            for a in np.unique(x):
-                own = x == a
-                best = sorted([*self.found[a], *zip((-score[own]).tolist(), ids[y[own]].tolist(), strict=True)])[: self.k]
-                self.found[a] = best
-                if len(best) == self.k:
-                    self.floor[a] = max(self.floor[a], float(-best[-1][0]))
+        may = bound + slack >= self.floor[live][:, None]
+        live, own = live[may.any(1)], np.flatnonzero(may.any(0))
+        if not len(live) or not len(own):
+            return
+        score = exact_products(self.q[live], v[own])
+        hit = (score >= self.floor[live][:, None]) & (self.ids[live][:, None] != ids[own][None, :])
+        for x in np.flatnonzero(hit.any(1)):
+            a, c = live[x], np.flatnonzero(hit[x])
+            best = sorted([*self.found[a], *zip((-score[x, c]).tolist(), ids[own[c]].tolist(), strict=True)])[: self.k]
+            self.found[a] = best
+            if len(best) == self.k:
+                self.floor[a] = max(self.floor[a], float(-best[-1][0]))
 
     def result(self) -> pd.DataFrame:
         rows = [(int(q), int(i), int(-s)) for q, best in zip(self.ids, self.found, strict=True) for s, i in best]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (g, vec_id, v[, floor]) of one batch and group as one row of arrays."""
+    for b in batches:
+        for g, part in b.groupby("g"):
+            v = _matrix(part["v"])
+            floor = part["floor"].to_numpy(float) if "floor" in part else np.zeros(0)
+            yield pd.DataFrame({"g": [g], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "floor": [floor.tobytes()], "far": [np.linalg.norm(v, axis=1).max()], "low": [floor.min() if len(floor) else 0.0]})
+
+
+PACKED = "g int, ids binary, v binary, floor binary, far double, low double"
+
+
+def _unpacked(ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(v).reshape(len(ids), -1)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 2048, query_block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, v) the k highest integer products with vectors (vec_id, v) of other ids.
 
@@ -135,25 +154,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 20
 
     grouped = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int"))
     grouped = landed(grouped.groupBy("g").applyInPandas(start, "vec_id long, v array<double>, g int, floor double"), "queries")
-    blocks = vectors.repartitionByRange(n_blocks, F.desc("norm"), F.xxhash64("vec_id")).withColumn("c", F.spark_partition_id())
-    blocks = landed(blocks, "blocks")
-    # a stated query set against all vectors, block by block: one row for each pair of blocks that can matter
-    reach = blocks.groupBy("c").agg(F.max("norm").alias("far"))
-    wanted = grouped.withColumn("qn", length).groupBy("g").agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("qs"), F.max("qn").alias("qmax"), F.min("floor").alias("low"))
-    held = blocks.groupBy("c").agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))
-    cells = reach.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).join(wanted, "g").filter("qmax * far >= low - 1").join(held, "c").select("qs", "vs")
+    # blocks are rows of arrays: a stated query set against all vectors, one row for each pair of blocks that can matter
+    blocks = vectors.repartitionByRange(n_blocks, F.desc("norm"), F.xxhash64("vec_id")).select(F.lit(0).alias("g"), "vec_id", "v")
+    blocks = landed(blocks.mapInPandas(_packed, PACKED), "blocks").select(F.col("ids").alias("c_ids"), F.col("v").alias("c_v"), F.col("far").alias("c_far"))
+    wanted = landed(grouped.repartition("g").sortWithinPartitions("g").mapInPandas(_packed, PACKED), "query-blocks")
+    # as many rows as blocks; a block of queries that no block of vectors can help goes no further
+    cells = blocks.join(wanted, F.col("far") * F.col("c_far") >= F.col("low") - 1)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for qs, vs in zip(b["qs"], b["vs"], strict=True):
-                s = Search(np.array([q["vec_id"] for q in qs]), _matrix([q["v"] for q in qs]), turn, k, np.array([q["floor"] for q in qs]))
-                ids, v = np.array([x["vec_id"] for x in vs]), _matrix([x["v"] for x in vs])
+            for q_ids, q, floor, c_ids, c in zip(b["ids"], b["v"], b["floor"], b["c_ids"], b["c_v"], strict=True):
+                s = Search(*_unpacked(q_ids, q), turn, k, np.frombuffer(floor))
+                ids, v = _unpacked(c_ids, c)
                 order = np.lexsort((ids, -np.linalg.norm(v, axis=1)))
                 for i in range(0, len(order), 512):
                     s.add(ids[order[i : i + 512]], v[order[i : i + 512]])
                 yield s.result()
 
-    found = cells.repartition(F.xxhash64("qs"), F.xxhash64("vs")).mapInPandas(scan, "query_id long, vec_id long, score long")
+    found = cells.repartition(F.xxhash64("ids"), F.xxhash64("c_ids")).mapInPandas(scan, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
