@@ -61,7 +61,8 @@ def choose_paths(nodes: DataFrame, *, per_tree: int = 1) -> DataFrame:
     while reach[-1].filter("up is not null").limit(1).count() and 2 ** (len(reach) - 1) <= n:
         r = reach[-1]
         above = r.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        step = r.join(above, F.col("up") == F.col("n2"), "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+        step = r.filter("up is not null").join(above, F.col("up") == F.col("n2")).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
+        step = step.unionByName(r.filter("up is null"))  # only nodes that haven't come to their root are joined
         reach.append(landed(step, "reach"))
     inner = reach[0].select(F.col("up").alias("inner")).filter("inner is not null").distinct()
     leaves = reach[-1].filter("up is null").join(inner, F.col("node") == F.col("inner"), "left_anti")
@@ -69,7 +70,7 @@ def choose_paths(nodes: DataFrame, *, per_tree: int = 1) -> DataFrame:
     chosen = leaves.withColumn("path_rank", F.row_number().over(w)).filter(F.col("path_rank") <= per_tree)
     path = landed(chosen.select("tree", F.col("node").alias("leaf"), "path_rank", "node"), "path")
     for r in reversed(reach[:-1]):
-        more = path.join(r.select(F.col("node").alias("n2"), "up"), F.col("node") == F.col("n2")).filter("up is not null").select("tree", "leaf", "path_rank", F.col("up").alias("node"))
+        more = path.join(r.filter("up is not null").select(F.col("node").alias("n2"), "up"), F.col("node") == F.col("n2")).select("tree", "leaf", "path_rank", F.col("up").alias("node"))
         path = landed(path.unionByName(more), "path")
     return path.join(reach[-1].select(F.col("node").alias("n2"), "depth"), F.col("node") == F.col("n2")).select("tree", "leaf", "depth", "node", "path_rank")
 
