@@ -80,7 +80,7 @@ def train_markov(samples: DataFrame, *, alpha: float = 0.5) -> list[float]:
 def labelled_samples(docs: DataFrame, *, bound: int = 200_000) -> DataFrame:
     """(token, label) from the documents themselves, about `bound` documents of them at most, chosen by a hash of doc_id.
 
-    Random strings: what the base rules find (of an assignment its value). Ordinary identifiers: letter words
+    Random strings: what the base rules find (of an assignment its value). Ordinary identifiers: words, with digits and dashes,
     of 8 characters and more in the same documents' text outside the matches.
     """
     total = docs.count()
@@ -89,11 +89,11 @@ def labelled_samples(docs: DataFrame, *, bound: int = 200_000) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     d = docs.select(text.alias("text"), base_spans(text).alias("spans"))
     secret = d.select(F.explode("spans").alias("s")).select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.text", ASSIGN, 1)).otherwise(F.col("s.text")).alias("token"), F.lit(1).alias("label"))
-    plain = d.filter(F.size("spans") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][a-z]{7,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
+    plain = d.filter(F.size("spans") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{7,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
     return secret.unionByName(plain)
 
 
-def find_secrets(docs: DataFrame, ratios: list[float], *, threshold: float = 0.75) -> DataFrame:
+def find_secrets(docs: DataFrame, ratios: list[float], *, threshold: float = 0.5) -> DataFrame:
     """(doc_id, spans) per row of docs: base spans, and tokens whose mean log-likelihood ratio a pair exceeds threshold.
 
     Only tokens of 16 characters and more with a digit and a letter are judged, and those that touch no
