@@ -1,0 +1,59 @@
+"""The registered queries against DuckDB and brute force, on the smallest tables."""
+
+import hashlib
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+from conftest import rows_of  # noqa: E402
+
+from storegrain.llm import queries as Q  # noqa: E402
+from storegrain.llm.common import landed  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_same_as_sql(spark, sf_dir, duck, name):
+    assert rows_of(Q.QUERIES[name](spark, sf_dir).toPandas()) == duck(Q.SQL[name])
+
+
+def test_bpe_same_as_the_library(spark, sf_dir):
+    tokenizers = pytest.importorskip("tokenizers")
+    from storegrain.llm.bpe import vocabulary_path
+
+    t = tokenizers.Tokenizer.from_file(vocabulary_path())
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in Q.QUERIES["op1_bpe_encoding"](spark, sf_dir).collect():
+        ids = t.encode(text[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_language_of_held_out_documents(spark, sf_dir):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = [r for r in Q.QUERIES["op2_language_id"](spark, sf_dir).collect() if r["held_out"]]
+    assert held and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+
+
+def test_quality_of_held_out_documents(spark, sf_dir):
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = Q.QUERIES["op6_quality_classifier"](spark, sf_dir).collect()
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert held and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.9 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = [docs.count()]
+    for name, stage in P.STAGES[:-1]:
+        docs = landed(stage(spark, docs, sf_dir), f"test-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        kept.append(docs.count())
+    assert kept[0] >= kept[1] == kept[2] > kept[3] >= kept[4] > 0
+    last = P.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == kept[4] and last.columns[0] == "doc_id"
