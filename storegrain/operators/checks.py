@@ -68,7 +68,11 @@ def broken_pages(pages: DataFrame) -> DataFrame:
 
 def platform(probes: DataFrame) -> DataFrame:
     """(key, platform) from probe rows (path, status, namespaces, has_products, html), the strongest signal first."""
-    rank = F.when(F.exists("namespaces", lambda n: n.startswith("wc/")), F.struct(F.lit(0).alias("r"), F.lit("woocommerce").alias("p"))).when((F.col("path") == "/wp-json/wc/store") & (F.col("status") == 200), F.struct(F.lit(1), F.lit("woocommerce"))).when(F.col("has_products"), F.struct(F.lit(2), F.lit("shopify"))).when(F.rlike("html", F.lit("(?i)cdn\\.shopify\\.com")), F.struct(F.lit(3), F.lit("shopify"))).when(F.rlike("html", F.lit("(?i)woocommerce")), F.struct(F.lit(4), F.lit("woocommerce")))
+    signals = [
+        (F.exists("namespaces", lambda n: n.startswith("wc/")), "woocommerce"), ((F.col("path") == "/wp-json/wc/store") & (F.col("status") == 200), "woocommerce"), (F.col("has_products"), "shopify"),
+        (F.rlike("html", F.lit(r"(?i)cdn\.shopify\.com")), "shopify"), (F.rlike("html", F.lit("(?i)woocommerce")), "woocommerce"),
+    ]
+    rank = F.coalesce(*[F.when(seen, F.struct(F.lit(k).alias("r"), F.lit(name).alias("p"))) for k, (seen, name) in enumerate(signals)])
     return probes.groupBy(*KEY).agg(F.coalesce(F.min(rank)["p"], F.lit("unknown")).alias("platform"))
 
 
