@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of mail addresses, phone numbers and street addresses.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?<!\d)(\+?\d[\d\s().-]{7,}\d)(?!\d)"
 ADDRESS = r"(?i)\b\d{1,6}\s+[A-Za-z0-9.,'\s]{3,60}\b(street|st\.|avenue|ave\.|road|rd\.|boulevard|blvd\.|drive|dr\.|lane|ln\.|suite|floor|way|court|ct\.)\b"

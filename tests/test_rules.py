@@ -75,3 +75,19 @@ def test_existing_checks(spark, cls, want):
     out = R.existing_checks(checks, runs, runs, rule_table(spark, rule(id="x", check="c"), rule(id="y", check="not there")))
     got = {(r["store_id"], r["rule_id"]): (r["result"], r["confidence"]) for r in out.collect()}
     assert got["s", "x"] == want and got["t", "x"] == ("pass", 1.0)
+
+
+def test_extraction(spark):
+    from storegrain.operators import extract as E
+
+    home = "Shop by Acme Widgets. © 2024 Acme Widgets Ltd. All rights reserved\nCall +44 20 7946 0958 or mail info@acme.example. We ship worldwide. We take Visa and PayPal"
+    policy = "Returns are accepted within 30 days. Full refund. Free returns for all.\nProcessing time is 1-2 business days"
+    rows = [("s", "r", 0, "h", "homepage", ["Contact us", "Acme"], home), ("s", "r", 1, "p", "returns_policy", [], policy), ("s", "r", 2, "n", "terms_of_service", None, None)]
+    p = spark.createDataFrame(rows, "store_id string, run_id string, seq long, url string, page_type string, headings array<string>, text string")
+    f = E.extract_facts(p)
+    got = {(r["resource_url"], r["fact"], r["method"]): r["value"] for r in f.collect()}
+    assert got["h", "business.legal_entity", "legal_suffix_regex"] == "Acme Widgets Ltd." and got["h", "business.name", "copyright_footer_regex"] == "Acme Widgets" and got["h", "business.name", "heading_heuristic"] == "Acme"
+    assert got["h", "business.address_country", "calling_code_cross_reference"] == "GB" and got["h", "shipping.region", "shipping_region_regex"] == "WORLDWIDE" and got["h", "payment.methods", "payment_methods_keyword_regex"] == "PAYPAL,VISA"
+    assert got["p", "return.window_days", "return_window_regex"] == "30" and got["p", "return.refund_terms", "refund_terms_keyword_classifier"] == "full_refund" and got["p", "return.cost_responsibility", "return_cost_keyword_classifier"] == "merchant_pays"
+    assert ("p", "shipping.processing_days", "shipping_time_regex") not in got and not [k for k in got if k[0] == "n"]
+    assert E.unknown_methods(f).count() == 0
