@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,10 +150,37 @@ def soft_404(pages: DataFrame, baselines: DataFrame) -> DataFrame:
     return t.filter(exact).select(*KEY, "url", F.lit("exact").alias("how")).unionByName(near.select(*KEY, "url", F.lit("near").alias("how")))
 
 
-def repeated_blocks(pages: DataFrame) -> DataFrame:
-    """(key, url, tag, copies) of link blocks of four and more links that stand on one page three times or more."""
-    b = pages.select(*KEY, "url", F.explode("blocks").alias("b")).filter(F.size("b.hrefs") >= 4)
-    return b.groupBy(*KEY, "url", "b.tag", "b.hrefs").agg(F.count(F.lit(1)).alias("copies")).filter("copies >= 3").select(*KEY, "url", "tag", "copies")
+def repeated_blocks(pages: DataFrame, least: float = 0.9) -> DataFrame:
+    """(key, url, tag, copies) of link blocks of four and more links that stand on one page three times or more.
+
+    Blocks are alike if their link sequences have a ratio of `least` or more with the first block of a class. Only
+    pages with three such blocks go to Python, and there a page is one group.
+    """
+    b = pages.select(*KEY, "url", F.filter("blocks", lambda b: F.size(b["hrefs"]) >= 4).alias("big")).filter(F.size("big") >= 3)
+
+    def classes(batches):
+        for part in batches:
+            rows = []
+            for store, run, url, big in part.itertuples(index=False):
+                firsts = []
+                for block in big:
+                    hrefs = list(block["hrefs"])
+                    for f in firsts:
+                        if f[0] == block["tag"] and difflib.SequenceMatcher(None, f[1], hrefs).ratio() >= least:
+                            f[2] += 1
+                            break
+                    else:
+                        firsts.append([block["tag"], hrefs, 1])
+                rows += [(store, run, url, tag, n) for tag, _, n in firsts if n >= 3]
+            yield pd.DataFrame(rows, columns=["store_id", "run_id", "url", "tag", "copies"])
+
+    return b.mapInPandas(classes, "store_id string, run_id string, url string, tag string, copies long")
+
+
+def first_image_pages(pages: DataFrame) -> DataFrame:
+    """(key, src, url): the first page that shows each image."""
+    i = pages.select(*KEY, "seq", "url", F.posexplode("image_srcs").alias("pos", "src"))
+    return i.groupBy(*KEY, "src").agg(F.min_by("url", F.struct("seq", "pos")).alias("url"))
 
 
 def dominant_language(pages: DataFrame) -> DataFrame:

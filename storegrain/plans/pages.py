@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storegrain.functions import facts as X
 from storegrain.functions import urls as U
 from storegrain.operators import checks as C
+from storegrain.operators import findings as N
 from storegrain.plans import read
 from storegrain.sources import features as P
 
@@ -254,12 +255,26 @@ SANITISE_SQL = r"""
 select page_id, md5(left(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 2000)) as digest from pages
 """
 
-_ALL = (url_canonical, facet_strip, pagination_groups, page_features, internal_external_links, insecure_links, page_types, dominant_language, content_dom_hash, changed_pages, robots_filter)
+def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One evaluation a host, which observes its first URL and names its last in a sentence."""
+    p = pages(spark, sf_dir).select(U.netloc(F.col("url")).alias("store_id"), F.lit("r1").alias("run_id"), "url")
+    ends = p.groupBy("store_id", "run_id").agg(F.min("url").alias("a"), F.max("url").alias("b"))
+    ev = ends.select("store_id", "run_id", F.lit("x").alias("rule_id"), F.lit(None).cast("string").alias("resource_url"), F.array("a").alias("observed"), F.concat(F.lit("see "), "b", F.lit(").")).alias("text"))
+    return N.cited_pages(ev, p).select("store_id", "url").distinct()
+
+
+EVIDENCE_SQL = r"""
+with p as (select lower(regexp_extract(url, '://([^/?#]*)', 1)) as store_id, url from pages)
+select store_id, min(url) as url from p group by 1 union select store_id, max(url) from p group by 1
+"""
+
+
+_ALL = (url_canonical, facet_strip, pagination_groups, page_features, internal_external_links, insecure_links, page_types, dominant_language, content_dom_hash, changed_pages, robots_filter, evidence_pages)
 _DOCS = (duplicate_titles, near_duplicate_titles, soft404_exact, soft404_near, content_dedup_refcount, country_mentions, identifier_normalise, no_price_pages, report_sanitise)
 QUERIES = {f.__name__: f for f in (*_ALL, *_DOCS)}
 SQL = {
     "url_canonical": CANONICAL_SQL, "facet_strip": FACET_SQL, "pagination_groups": GROUPS_SQL, "page_features": FEATURES_SQL, "internal_external_links": LINKS_SQL, "insecure_links": INSECURE_SQL,
-    "page_types": TYPES_SQL, "dominant_language": LANGUAGE_SQL, "content_dom_hash": HASH_SQL, "changed_pages": CHANGED_SQL, "robots_filter": ROBOTS_SQL, "duplicate_titles": DUPLICATE_SQL,
+    "page_types": TYPES_SQL, "dominant_language": LANGUAGE_SQL, "content_dom_hash": HASH_SQL, "changed_pages": CHANGED_SQL, "robots_filter": ROBOTS_SQL, "evidence_pages": EVIDENCE_SQL, "duplicate_titles": DUPLICATE_SQL,
     "soft404_exact": SOFT_SQL, "content_dedup_refcount": "select sha256(text) as hash, count(*) as refcount, max(doc_id) as last_referenced from documents group by 1",
     "country_mentions": COUNTRY_SQL, "identifier_normalise": IDENTIFIER_SQL, "no_price_pages": NO_PRICE_SQL, "report_sanitise": SANITISE_SQL,
 }

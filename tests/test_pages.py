@@ -28,6 +28,7 @@ def test_features(spark):
 def test_checks(spark):
     p = pages(spark).cache()
     assert C.repeated_blocks(p).first()["copies"] == 3
+    assert {(r["src"], r["url"]) for r in C.first_image_pages(p).collect()} == {("/no-image.png", "http://shop.example/"), ("/ok.jpg", "http://shop.example/")}
     link = {r["link"]: r["internal"] for r in C.links(p).collect()}
     assert link["/1"] and not link["https://other.example/x"]
     assert {r["check_id"] for r in C.insecure(p).collect()} == {"https_homepage"}
