@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,11 @@ HASHES = BANDS * ROWS
 ESTIMATE = 0.5
 #: Members of one block of a bucket.
 BLOCK = 256
-#: Bytes of shingle sets in one block of a cluster, about.
+#: Bytes of shingle sets in one block of a cluster, about, and its members, about.
 BLOCK_BYTES = 4 << 20
+BLOCK_MEMBERS = 512
+#: Rows of the left block whose estimates are in memory at once.
+TILE = 256
 _rng = np.random.default_rng(20240607)
 A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 C = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -147,16 +151,35 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _near_in_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the pairs of each block, or of two blocks of a bucket, that may be alike: a spanning forest, so no more rows than members."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict]]:
+    """(i, j, members) of each row; members by field: an array, of bits a matrix, of sets a list of arrays. Only one row's sets are unpacked at once."""
     for b in batches:
-        edges = []
-        for members in b["members"]:
-            ids, n, bits = np.array([m["rep"] for m in members]), np.array([m["n"] for m in members]), _bits([m["bits"] for m in members])
-            k = np.arange(len(ids))
-            near = _alike(n, bits, k, k) >= ESTIMATE
-            edges += [(ids[x], ids[y]) for x, y in forest(near)]
-        yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+        i, j, members = b.column("i").to_numpy(), b.column("j").to_numpy(), b.column("members")
+        at, rows = members.offsets.to_numpy(), members.values
+        names = [f.name for f in rows.type]
+        whole = {k: _bits(rows.field(k).to_pylist()) if k == "bits" else rows.field(k).to_numpy() for k in names if k != "set"} if len(rows) else {}
+        for k in range(len(i)):
+            part = {name: x[at[k] : at[k + 1]] for name, x in whole.items()}
+            if "set" in names:
+                part["set"] = [np.frombuffer(x, np.uint64) for x in rows.field("set").slice(at[k], at[k + 1] - at[k]).to_pylist()]
+            yield int(i[k]), int(j[k]), part
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each block, or of two blocks of a bucket, that may be alike: a spanning forest, so no more rows than members."""
+    edges = []
+    for _, _, m in _groups(batches):
+        ids, k = m["rep"], np.arange(len(m["rep"]))
+        near = _alike(m["n"], m["bits"], k, k) >= ESTIMATE
+        edges += [(int(ids[x]), int(ids[y])) for x, y in forest(near)]
+        if len(edges) > 10_000:
+            yield _edges(edges)
+            edges = []
+    yield _edges(edges)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,17 +190,26 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "set": [s.tobytes() for s in shingle_sets(part["text"].tolist(), word_hash)]})
 
 
-def links_of(members: list, i: int, j: int) -> list[tuple[int, int]]:
+def links_of(members: dict, i: int, j: int) -> list[tuple[int, int]]:
     """Links between the blocks i and j of a cluster, confirmed on the full sets, best estimates first; pairs already joined are passed over."""
-    ids, n, blk = (np.array([m[k] for m in members]) for k in ("id", "n", "blk"))
-    bits, sets = _bits([m["bits"] for m in members]), [np.frombuffer(m["set"], np.uint64) for m in members]
-    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-    e = _alike(n, bits, left, right)
-    x, y = np.nonzero(e >= ESTIMATE)
-    order = np.argsort(-e[x, y], kind="stable")
-    x, y = left[x[order]], right[y[order]]
-    if i == j:
-        x, y = x[x < y], y[x < y]
+    ids, n, bits, sets = (members[k] for k in ("id", "n", "bits", "set"))
+    left, right = np.flatnonzero(members["blk"] == i), np.flatnonzero(members["blk"] == j)
+    xs, ys, es = [], [], []
+    for at in range(0, len(left), TILE):
+        tile = left[at : at + TILE]
+        e = _alike(n, bits, tile, right)
+        may = e >= ESTIMATE
+        if i == j:
+            may &= tile[:, None] < right[None, :]
+        x, y = np.nonzero(may)
+        xs.append(tile[x])
+        ys.append(right[y])
+        es.append(e[x, y])
+    if not xs:
+        return []
+    x, y, e = map(np.concatenate, (xs, ys, es))
+    order = np.argsort(-e, kind="stable")
+    x, y = x[order], y[order]
     root, out = list(range(len(ids))), []
 
     def find(k: int) -> int:
@@ -196,14 +228,23 @@ def links_of(members: list, i: int, j: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [x for i, j, members in zip(b["i"], b["j"], b["members"], strict=True) for x in links_of(members, i, j)]
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, j, members in _groups(batches):
+        yield _edges(links_of(members, i, j))
+
+
+def cluster_blocks(members: DataFrame) -> DataFrame:
+    """(cluster, nb): blocks of about BLOCK_BYTES of sets and BLOCK_MEMBERS members at most. members: cluster, n."""
+    nb = F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS))
+    return members.groupBy("cluster").agg(nb.cast("int").alias("nb"))
 
 
 def in_blocks(rows: DataFrame, group: str, member: str, blocks: DataFrame, fields: list[str]) -> DataFrame:
-    """(i, j, members): for each pair i <= j of blocks of a group its members. blocks: group, nb. A member's block follows from its hash, so no group has to fit into one task."""
+    """(i, j, members): for each pair i <= j of blocks of a group its members. blocks: group, nb.
+
+    A member's block follows from its hash, so no group has to fit into one task. Each member is shuffled nb times,
+    so the shuffle of one group grows with the square of its size (figures in the README).
+    """
     r = rows.join(blocks, group).withColumn("blk", F.pmod(F.xxhash64(member), F.col("nb")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return r.groupBy(group, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct(*fields, "blk")).alias("members")).select("i", "j", "members")
@@ -244,13 +285,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     candidates = reps.select("rep", "n", "bits", F.explode("bands").alias("bucket"))
-    near = in_blocks(candidates, "bucket", "rep", landed(shared, "buckets"), ["rep", "n", "bits"]).mapInPandas(_near_in_bucket, "a long, b long")
+    near = in_blocks(candidates, "bucket", "rep", landed(shared, "buckets"), ["rep", "n", "bits"]).mapInArrow(_near_in_bucket, "a long, b long")
     clusters = landed(components(near), "clusters")
 
     members = reps.join(clusters, F.col("rep") == F.col("id")).select("id", F.col("component").alias("cluster"), "n", "bits")
     sets = docs.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, set binary")
-    size = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("nb"))
-    links = in_blocks(members.join(sets, "id"), "cluster", "id", landed(size, "cluster-blocks"), ["id", "n", "bits", "set"]).mapInPandas(_links, "a long, b long")
+    links = in_blocks(members.join(sets, "id"), "cluster", "id", landed(cluster_blocks(members), "cluster-blocks"), ["id", "n", "bits", "set"]).mapInArrow(_links, "a long, b long")
     final = components(links).withColumnRenamed("id", "r")
     known = landed(classes.join(final, F.col("rep") == F.col("r"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "class-components")
     out = sk.join(known, ["f1", "f2"], "left")

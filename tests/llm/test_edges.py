@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -160,6 +161,29 @@ def test_near_dedup(docs, none, spark):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_blocks_of_a_cluster_of_many_short_texts(spark):
+    """3,000 different texts of one template: their sets are under BLOCK_BYTES, but their pairs are 9 million."""
+    rows = [(k, f"{prose(8, 30)} name{k}") for k in range(3000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    m = texts.select(F.col("doc_id").alias("id"), F.lit(1).alias("cluster"), F.lit(27).alias("n"))
+    groups = near_dedup.in_blocks(m, "cluster", "id", near_dedup.cluster_blocks(m), ["id", "n"]).select("i", "j", F.size("members").alias("k")).collect()
+    assert len(groups) == 21 and max(r["k"] for r in groups) <= 1200 and sum(r["k"] for r in groups if r["i"] == r["j"]) == 3000
+    out = near_dedup.near_duplicates(texts).collect()
+    assert len(out) == 3000 and {r["component_id"] for r in out} == {0} and sum(r["kept"] for r in out) == 1
+
+
+def test_estimates_are_in_memory_by_tiles():
+    r, k = np.random.default_rng(1), 3000
+    sets = [np.arange(16 * x, 16 * x + 16, dtype=np.uint64) for x in range(k)]
+    m = {"id": np.arange(k), "n": np.full(k, 16), "blk": np.zeros(k, np.int32), "bits": r.integers(0, 2**63, (k, 5), dtype=np.uint64), "set": sets}
+    m["bits"][2000], sets[2000] = m["bits"][10], sets[10]
+    tracemalloc.start()
+    found = near_dedup.links_of(m, 0, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(10, 2000)] and peak < 150e6  # the whole square takes 360 MB a temporary
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, k) for k in range(501, 700)] + [(900, 900)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dedup.components(links).collect()}
