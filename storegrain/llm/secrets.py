@@ -77,20 +77,18 @@ def train_markov(samples: DataFrame, *, alpha: float = 0.5) -> list[float]:
     return [p(1, i) - p(0, i) for i in range(128 * 128)]
 
 
-def labelled_samples(docs: DataFrame, *, bound: int = 200_000) -> DataFrame:
-    """(token, label) from the documents themselves, about `bound` documents of them at most, chosen by a hash of doc_id.
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(token, label) from all the documents; only pair counts of them are kept, so none has to be left out.
 
     Random strings: what the base rules find (of an assignment its value). Ordinary identifiers: words, with digits and dashes,
-    of 8 characters and more in the same documents' text outside the matches.
+    of 8 characters and more in documents without any match.
     """
-    total = docs.count()
-    if total > bound:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / total))
     text = F.coalesce("text", F.lit(""))
     d = docs.select(text.alias("text"), base_spans(text).alias("spans"))
-    secret = d.select(F.explode("spans").alias("s")).select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.text", ASSIGN, 1)).otherwise(F.col("s.text")).alias("token"), F.lit(1).alias("label"))
-    plain = d.filter(F.size("spans") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{7,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
-    return secret.unionByName(plain)
+    sample = lambda token, label: F.struct(token.alias("token"), F.lit(label).alias("label"))
+    secret = F.transform("spans", lambda s: sample(F.when(s["kind"] == "assign", F.regexp_extract(s["text"], ASSIGN, 1)).otherwise(s["text"]), 1))
+    plain = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{7,}"), F.lit(0)), lambda t: sample(t, 0))
+    return d.select(F.inline(F.when(F.size("spans") > 0, secret).otherwise(plain)))
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], *, threshold: float = 0.5) -> DataFrame:
@@ -130,7 +128,7 @@ def as_string(spans: Column) -> Column:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_secrets(docs, train_markov(labelled_samples(docs, bound=10_000)))
+    found = find_secrets(docs, train_markov(labelled_samples(docs)))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), sha256(as_string(base)).alias("base_sha256"), as_string(F.col("spans")).alias("spans"))
