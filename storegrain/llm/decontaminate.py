@@ -49,10 +49,11 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadcast_rows: int = 200_000) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, items (sorted strings), spans of hit words.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted strings), spans of hit words.
 
     Null, empty and wordless texts have no words and no hits. An empty benchmark gives no hits. Rows of
     docs that repeat give one row each. Item ids are compared as strings; items whose texts are alike all count.
+    Rows of benchmark with a null item_id are one item: their words are hits, n_items counts it, items cannot name it.
     """
     grams = landed(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD))), "benchmark-windows")
     # bounded: at most BITMAP_BITS / 64 longs, and at most n lengths, whatever the benchmark's size
@@ -87,13 +88,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
     d = d.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), found.alias("found"))
     each = d.select("row", "doc_id", "n_words", F.explode_outer("found").alias("w")).select("row", "doc_id", "n_words", F.col("w.at").alias("at"), F.col("w.len").alias("len"), F.col("w.gram").alias("gram"))
     each = each.withColumn("h", F.xxhash64("gram"))
-    items = grams.withColumnRenamed("len", "len_b").withColumnRenamed("gram", "gram_b").withColumn("item", F.col("item_id").cast("string")).drop("item_id", "m")
+    items = grams.withColumnRenamed("len", "len_b").withColumnRenamed("gram", "gram_b").withColumn("item", F.col("item_id").cast("string")).drop("item_id", "m").withColumn("matched", F.lit(True))
     items = F.broadcast(items) if small else items
     hit = each.join(items, (each.h == items.h) & (F.col("len") == F.col("len_b")) & (F.col("gram") == F.col("gram_b")), "left").drop(items.h)
     out = hit.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), F.struct("at", "len")))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(F.col("matched"), F.struct("at", "len")))).alias("spans"),
         F.array_sort(F.collect_set("item")).alias("items"),
+        F.count_if(F.col("matched") & F.col("item").isNull()).alias("n_null"),
     )
+    out = out.withColumn("n_items", F.size("items").cast("long") + F.when(F.col("n_null") > 0, 1).otherwise(0)).drop("n_null")
     return out.withColumn("n_hit", _covered(F.col("spans"))).drop("row")
 
 
@@ -110,7 +113,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     c = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    return c.select("doc_id", "n_words", "n_hit", "n_items", sha256(F.array_join("items", ",")).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 SQL = r"""
