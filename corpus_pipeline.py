@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from storegrain.llm import bpe, decontaminate, langid, line_dedup, near_dedup
 from storegrain.llm.common import held_out, landed, table
 
-#: Least share of a document's words in its language; below it no language is dominant.
-LEAST_SHARE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: without a letter, or with no language for LEAST_SHARE of the words."""
+    """Drops documents that op2 finds in no language (`und`); mixed texts stay, however their languages are shared."""
     model = langid.train(docs.filter(~held_out(F.col("doc_id"))))
-    good = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(F.col("doc_id").alias("__d")).distinct()
+    good = langid.identify(docs, model).filter(F.col("lang_pred") != "und").select(F.col("doc_id").alias("__d")).distinct()
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
 
 
