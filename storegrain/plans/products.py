@@ -37,7 +37,7 @@ select l_partkey::varchar as url, (min((child, parent)))[1]::int as child, (min(
 
 
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan for the parts as URLs, with a budget from their number."""
+    """A plan for the parts as URLs of one store, with a fixed budget of 300 as in its SQL."""
     parts = read(spark, sf_dir, "part")
     urls = parts.select(F.concat(F.lit("/p/"), "p_partkey").alias("url"), F.when(F.col("p_partkey") == 1, 0).when(F.col("p_size") <= 5, 1).when(F.col("p_size") <= 25, 2).otherwise(3).alias("tier"), F.col("p_partkey").alias("pos"))
     return W.plan(urls, 300)
