@@ -118,7 +118,7 @@ def clean_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best sections (labels) for every vector, against the first vector of each label and remainder of its id by 3."""
+    """The best sections (labels) for every vector, against the first vector of each label and remainder of its id by 3 only, as in its SQL."""
     e = read(spark, sf_dir, "embeddings").filter("embedding is not null")
     first = e.groupBy("label", (F.col("vec_id") % 3).alias("part")).agg(F.min_by("embedding", "vec_id").alias("vector"))
     chunks = first.select(F.lit("p").alias("policy_id"), F.lit("u").alias("source_url"), F.concat(F.lit("s"), "label").alias("section"), F.col("part").cast("int").alias("chunk_index"), "vector")
