@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one of this machine, if all runs on it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='storegrain-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -35,6 +37,15 @@ def landed(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Deletes what `landed` wrote. Nothing that is still to be computed may read it."""
+    for t in tables:
+        jvm, files = t.sparkSession._jvm, t.inputFiles()
+        for folder in {f.rpartition("/")[0] for f in files}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. `lower` does the same, faster, where all is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

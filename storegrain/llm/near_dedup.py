@@ -1,38 +1,46 @@
 """Near duplicates by MinHash: universal hash minima, banding, signature checks, exact checks, components.
 
-Texts with equal shingle sets are one class, which its smallest doc_id stands for. In every band bucket the
-signatures of all members are compared, in blocks of bounded size, and a spanning forest of the pairs that may be
-alike goes on: their components are clusters. In a cluster, again in blocks, pairs are confirmed on the full
-shingle sets, and the components of those links, by alternating large-star and small-star, are the result. No step
-writes the pairs of a group out. A link is only left out if no band is shared: at the least similarity 0.75 that
-has probability (1 - 0.75 ** 4) ** 40, under 3 in 10 million.
+Texts with equal shingle sets are one class, which its smallest doc_id stands for. Members of a band bucket whose
+signatures may be alike are joined to clusters, and in a cluster links are confirmed on the full shingle sets; their
+components, by alternating large-star and small-star, are the result. Buckets and clusters are worked on alike:
+
+1. Each member goes to one block of its group by a hash, and one in BRIDGE to a second block. All pairs of a block are
+   compared there, and only a spanning forest of what is alike leaves it. So a group is shuffled about once whatever
+   its size, and blocks of a group of copies are joined by the members they share.
+2. A group of several blocks that is still in several components has pairs which never met. Its members outside
+   of its largest component are compared with all its members. That is few for a group of copies; only a group whose
+   members are alike enough to be compared and yet not linked costs the square of its size.
+
+No step writes the pairs of a group out. A link is only left out if no band is shared: at the least similarity 0.75
+that has probability (1 - 0.75 ** 4) ** 40, under 3 in 10 million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import landed
+from storegrain.llm.common import discarded, landed
 
 WORDS = 5
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
 #: A pair passes the signature check if its estimated similarity is this or more: 6 deviations below 0.75.
 ESTIMATE = 0.5
-#: Members of one block of a bucket.
-BLOCK = 256
-#: Bytes of shingle sets in one block of a cluster, about, and its members, about.
-BLOCK_BYTES = 4 << 20
+#: Members of one block of a group, about, and bytes of shingle sets in one, about.
 BLOCK_MEMBERS = 512
-#: Rows of the left block whose estimates are in memory at once.
+BLOCK_BYTES = 4 << 20
+#: One member in so many goes to a second block of its group.
+BRIDGE = 16
+#: Rows of a block whose estimates are in memory at once.
 TILE = 256
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 100_000
 _rng = np.random.default_rng(20240607)
 A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 C = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -47,7 +55,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > REMEMBERED:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -83,134 +91,83 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, n at a time, so that no more texts than that are Python strings at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word_hash = _WordHash()
-    for big in batches:
-        for i in range(0, len(big), 64):
-            b = big.iloc[i : i + 64]
-            sets = shingle_sets(b["text"].tolist(), word_hash)
-            n = np.array([len(s) for s in sets])
-            full = np.flatnonzero(n)
-            out = pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": n, "f1": 0, "f2": 0, "bands": None, "bits": None})
-            if len(full):
-                own = [sets[k] for k in full]
-                m = minima(own)
-                low = mixed(m)  # 2 bits of each minimum
-                bits = np.packbits(np.stack([low & np.uint64(1), (low >> np.uint64(1)) & np.uint64(1)], 2).astype(np.uint8).reshape(len(own), -1), axis=1)
-                band = np.arange(BANDS, dtype=np.uint64)[None, :] * M1
-                for r in range(ROWS):
-                    band = mixed(band * M2 + m[:, r::ROWS])
-                digests = [xxhash.xxh128_digest(s.tobytes()) for s in own]
-                f = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                put = lambda name, values: out.__setitem__(name, pd.Series(values, index=full).reindex(range(len(out))))
-                put("bands", [*band.view(np.int64)])
-                put("bits", [x.tobytes() for x in bits])
-                out.loc[full, "f1"], out.loc[full, "f2"] = f[:, 0], f[:, 1]
-                out["bands"] = out["bands"].where(out["bands"].notna(), None)
-                out["bits"] = out["bits"].where(out["bits"].notna(), None)
-            yield out
+    for b in _rows(batches, 64):
+        sets = shingle_sets(b.column("text").to_pylist(), word_hash)
+        n = np.array([len(s) for s in sets], np.int64)
+        full = np.flatnonzero(n)
+        f = np.zeros((len(n), 2), np.int64)
+        bands, bits = [None] * len(n), [None] * len(n)
+        if len(full):
+            own = [sets[k] for k in full]
+            m = minima(own)
+            low = mixed(m)  # 2 bits of each minimum
+            packed = np.packbits(np.stack([low & np.uint64(1), (low >> np.uint64(1)) & np.uint64(1)], 2).astype(np.uint8).reshape(len(own), -1), axis=1)
+            band = np.arange(BANDS, dtype=np.uint64)[None, :] * M1
+            for r in range(ROWS):
+                band = mixed(band * M2 + m[:, r::ROWS])
+            for k, x, y, s in zip(full, band.view(np.int64), packed, own, strict=True):
+                bands[k], bits[k], f[k] = x, y.tobytes(), fingerprint(s)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "bits"])
+
+
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh128_digest(shingles.tobytes()), np.int64).tolist())
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, f1, f2, bands, bits): size and 128-bit fingerprint of the shingle set, band keys, signature bits."""
-    return docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, bits binary")
 
 
 def estimated(bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
     """Similarity by signature of all of a with all of b: the share of minima with equal 2 bits, less what chance gives."""
     x = bits_a[:, None, :] ^ bits_b[None, :, :]
-    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int16)
     return (1 - differ / HASHES - 0.25) / 0.75
 
 
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
-
-
-def _alike(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Estimates for left x right; 0 where the sizes alone rule the pair out."""
-    x, y = n[left][:, None], n[right][None, :]
-    e = estimated(bits[left], bits[right])
-    e[100 * np.minimum(x, y) < 75 * np.maximum(x, y)] = 0
+def _alike(m: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimates for left x right; 0 where the sizes alone rule the pair out, and for pairs of one component."""
+    x, y = m["n"][left][:, None], m["n"][right][None, :]
+    e = estimated(m["bits"][left], m["bits"][right])
+    e[(100 * np.minimum(x, y) < 75 * np.maximum(x, y)) | (m["comp"][left][:, None] == m["comp"][right][None, :])] = 0
     return e
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with adjacency matrix near."""
-    left, out = np.ones(len(near), bool), []
-    for root in range(len(near)):
-        if left[root]:
-            left[root] = False
-            todo = [root]
-            while todo:
-                k = todo.pop()
-                found = np.flatnonzero(near[k] & left)
-                left[found] = False
-                todo += found.tolist()
-                out += [(k, int(f)) for f in found]
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict]]:
-    """(i, j, members) of each row; members by field: an array, of bits a matrix, of sets a list of arrays. Only one row's sets are unpacked at once."""
-    for b in batches:
-        i, j, members = b.column("i").to_numpy(), b.column("j").to_numpy(), b.column("members")
-        at, rows = members.offsets.to_numpy(), members.values
-        names = [f.name for f in rows.type]
-        whole = {k: _bits(rows.field(k).to_pylist()) if k == "bits" else rows.field(k).to_numpy() for k in names if k != "set"} if len(rows) else {}
-        for k in range(len(i)):
-            part = {name: x[at[k] : at[k + 1]] for name, x in whole.items()}
-            if "set" in names:
-                part["set"] = [np.frombuffer(x, np.uint64) for x in rows.field("set").slice(at[k], at[k + 1] - at[k]).to_pylist()]
-            yield int(i[k]), int(j[k]), part
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-def _near_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs of each block, or of two blocks of a bucket, that may be alike: a spanning forest, so no more rows than members."""
-    edges = []
-    for _, _, m in _groups(batches):
-        ids, k = m["rep"], np.arange(len(m["rep"]))
-        near = _alike(m["n"], m["bits"], k, k) >= ESTIMATE
-        edges += [(int(ids[x]), int(ids[y])) for x, y in forest(near)]
-        if len(edges) > 10_000:
-            yield _edges(edges)
-            edges = []
-    yield _edges(edges)
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    word_hash = _WordHash()
-    for b in batches:
-        for i in range(0, len(b), 256):
-            part = b.iloc[i : i + 256]
-            yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "set": [s.tobytes() for s in shingle_sets(part["text"].tolist(), word_hash)]})
-
-
-def links_of(members: dict, i: int, j: int) -> list[tuple[int, int]]:
-    """Links between the blocks i and j of a cluster, confirmed on the full sets, best estimates first; pairs already joined are passed over."""
-    ids, n, bits, sets = (members[k] for k in ("id", "n", "bits", "set"))
-    left, right = np.flatnonzero(members["blk"] == i), np.flatnonzero(members["blk"] == j)
-    xs, ys, es = [], [], []
+def candidates(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): the pairs of a block that may be alike, best estimates first. m: n, bits, comp, side; pairs are of sides 0 and 1, or of side 0 alone if that is all."""
+    left, right = np.flatnonzero(m["side"] == 0), np.flatnonzero(m["side"] == 1)
+    alone = not len(right)
+    right = left if alone else right
+    xs, ys, es = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     for at in range(0, len(left), TILE):
         tile = left[at : at + TILE]
-        e = _alike(n, bits, tile, right)
+        e = _alike(m, tile, right)
         may = e >= ESTIMATE
-        if i == j:
+        if alone:
             may &= tile[:, None] < right[None, :]
         x, y = np.nonzero(may)
         xs.append(tile[x])
         ys.append(right[y])
         es.append(e[x, y])
-    if not xs:
-        return []
     x, y, e = map(np.concatenate, (xs, ys, es))
     order = np.argsort(-e, kind="stable")
-    x, y = x[order], y[order]
-    root, out = list(range(len(ids))), []
+    return x[order], y[order]
+
+
+def joined(m: dict, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the block's links, (id, id). linked confirms a pair; pairs already joined are passed over."""
+    x, y = candidates(m)
+    root = {c: c for c in m["comp"].tolist()}
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -218,51 +175,139 @@ def links_of(members: dict, i: int, j: int) -> list[tuple[int, int]]:
             k = root[k]
         return k
 
+    out, comp, ids = [], m["comp"].tolist(), m["id"]
     for p, q in zip(x.tolist(), y.tolist(), strict=True):
-        u, v = find(p), find(q)
-        if u != v:
-            common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-            if 100 * common >= 75 * (len(sets[p]) + len(sets[q]) - common):
-                root[u] = v
-                out.append((int(ids[p]), int(ids[q])))
+        u, v = find(comp[p]), find(comp[q])
+        if u != v and linked(p, q):
+            root[u] = v
+            out.append((int(ids[p]), int(ids[q])))
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for i, j, members in _groups(batches):
-        yield _edges(links_of(members, i, j))
+def in_bucket(m: dict) -> list[tuple[int, int]]:
+    return joined(m, lambda p, q: True)
+
+
+def in_cluster(m: dict) -> list[tuple[int, int]]:
+    """Links confirmed on the full sets."""
+    sets = m["set"]
+
+    def linked(p: int, q: int) -> bool:
+        common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        return 100 * common >= 75 * (len(sets[p]) + len(sets[q]) - common)
+
+    return joined(m, linked)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (g, i, j) of a sorted partition. Only one run is held."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy() for c in ("g", "i", "j")])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            now = tuple(k[:, s].tolist())
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _members(t: pa.Table) -> dict:
+    """Arrays by field: of bits a matrix, of sets a list of arrays."""
+    m = {c: t.column(c).to_numpy() for c in ("id", "n", "comp", "side")}
+    m["bits"] = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    if "set" in t.column_names:
+        m["set"] = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+    return m
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _compared(rows: DataFrame, work: Callable[[dict], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what work finds in each block (g, i, j) of rows. A partition is sorted and read as a stream, so a task holds one block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for block in _blocks(batches):
+            found += work(_members(block))
+            if len(found) > 10_000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
 
-def cluster_blocks(members: DataFrame) -> DataFrame:
-    """(cluster, nb): blocks of about BLOCK_BYTES of sets and BLOCK_MEMBERS members at most. members: cluster, n."""
-    nb = F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS))
-    return members.groupBy("cluster").agg(nb.cast("int").alias("nb"))
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, group: str, member: str, blocks: DataFrame, fields: list[str]) -> DataFrame:
-    """(i, j, members): for each pair i <= j of blocks of a group its members. blocks: group, nb.
+def one_block_each(members: DataFrame) -> DataFrame:
+    """Step 1: members (g, id, nb, ..) with their block as i, a few in two blocks; all of side 0, each a component of its own."""
+    block = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("nb")).cast("int")
+    bridge = (F.col("nb") > 1) & (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(BRIDGE)) == 0)
+    i = F.when(bridge, F.array_distinct(F.array(block(1), block(2)))).otherwise(F.array(block(1)))
+    return members.withColumns({"j": F.lit(0), "comp": F.col("id"), "side": F.lit(0)}).withColumn("i", F.explode(i)).drop("nb")
 
-    A member's block follows from its hash, so no group has to fit into one task. Each member is shuffled nb times,
-    so the shuffle of one group grows with the square of its size (figures in the README).
+
+def across_blocks(members: DataFrame, components_of: DataFrame) -> DataFrame | None:
+    """Step 2: for groups of several blocks and components, the members outside of the largest component (side 0) by all members (side 1).
+
+    members: (g, id, nb, ..); components_of: (id, component). None if there is no such group.
     """
-    r = rows.join(blocks, group).withColumn("blk", F.pmod(F.xxhash64(member), F.col("nb")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return r.groupBy(group, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct(*fields, "blk")).alias("members")).select("i", "j", "members")
+    big = members.filter("nb > 1")
+    if not big.limit(1).count():
+        return None
+    c = components_of.select(F.col("id").alias("c_id"), "component")
+    own = big.select("g", "id", "nb").join(c, F.col("id") == F.col("c_id"), "left").select("g", "id", "nb", F.coalesce("component", "id").alias("comp"))
+    per = own.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("nb").alias("nb"))
+    groups = per.groupBy("g").agg(F.count(F.lit(1)).alias("n_comps"), F.max(F.struct("k", "comp"))["comp"].alias("largest"), (F.sum("k") - F.max("k")).alias("rest"), F.max("nb").alias("nb"))
+    groups = landed(groups.filter("n_comps > 1"), "open-groups")
+    if not groups.limit(1).count():
+        return None
+    # blocks of the rest are as large as those of all members
+    rest_blocks = F.ceil(F.col("rest") / BLOCK_MEMBERS).cast("int")
+    rows = big.join(groups.select("g", "largest", rest_blocks.alias("nr")), "g").join(c, F.col("id") == F.col("c_id"), "left").withColumn("comp", F.coalesce("component", "id")).drop("c_id", "component")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(1), "id"), F.col(n)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(to("nr"), lambda i: F.struct(i.alias("i"), block("nb").alias("j"), F.lit(1).alias("side")))
+    left = F.transform(to("nb"), lambda j: F.struct(block("nr").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    at = F.explode(F.when(F.col("comp") != F.col("largest"), F.concat(left, right)).otherwise(right)).alias("x")
+    return rows.select(*[x for x in rows.columns if x not in ("nb", "nr", "largest")], at).select("*", "x.*").drop("x")
+
+
+def grouped_links(members: DataFrame, work: Callable[[dict], list[tuple[int, int]]], tag: str) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), their components (id, component)) within the groups of members (g, id, nb, n, bits[, set])."""
+    links = landed(_compared(one_block_each(members), work).distinct(), f"{tag}-links")
+    found = landed(components(links), f"{tag}-components")
+    more = across_blocks(members, found)
+    if more is None:
+        return links, found
+    links = landed(links.unionByName(_compared(more, work)).distinct(), f"{tag}-all-links")
+    return links, landed(components(links), f"{tag}-all-components")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): of every id in links (a, b) the smallest id it is joined with, by alternating large-star and small-star."""
-    edges = landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    """(id, component): of every id in links (a, b) the smallest id it is joined with, by alternating large-star and small-star.
+
+    Least neighbours are written before they are joined, so that both sides of the join are dealt anew and Spark can
+    split an id that has most of the edges. What a round replaces is deleted.
+    """
+    edges, before = landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = landed(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = landed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        large = landed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        discarded(edges, low)
+        low = landed(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = landed(small, "small-star")
+        discarded(large, low)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             # stars by now: what is never a leaf is its component's smallest id
@@ -270,28 +315,53 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word_hash = _WordHash()
+    for b in _rows(batches, 256):
+        sets = shingle_sets(b.column("text").to_pylist(), word_hash)
+        # of a doc_id with several texts the one that is meant
+        own = [k for k, (s, f1, f2) in enumerate(zip(sets, b.column("f1").to_pylist(), b.column("f2").to_pylist(), strict=True)) if fingerprint(s) == (f1, f2)]
+        kept = b.take(pa.array(own, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("g", "id", "nb", "n", "bits")], pa.array([sets[k].tobytes() for k in own], pa.binary())], ["g", "id", "nb", "n", "bits", "set"])
+
+
+def n_blocks(n_members: Column, n_bytes: Column | None = None) -> Column:
+    by_members = F.ceil(n_members / BLOCK_MEMBERS)
+    return (by_members if n_bytes is None else F.greatest(by_members, F.ceil(n_bytes / BLOCK_BYTES))).cast("int")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text of fewer than five words is one shingle; one without words, or null, has none and is linked with
-    nothing. Rows of one doc_id are one node. A null doc_id takes no part: its component_id is null and it is
-    kept. Repeated rows have equal results.
+    nothing. Rows of one doc_id are one node, so they have one component whatever their texts. A null doc_id takes no
+    part: its component_id is null and it is kept. Repeated rows have equal results, an empty table gives none, and
+    columns other than doc_id and text are not looked at.
     """
     sk = landed(sketches(docs), "sketches")
     with_id = sk.filter("n > 0 and doc_id is not null")
     classes = landed(with_id.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = with_id.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    reps = landed(reps.dropDuplicates(["rep", "f1", "f2"]).drop("f1", "f2"), "representatives")
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    candidates = reps.select("rep", "n", "bits", F.explode("bands").alias("bucket"))
-    near = in_blocks(candidates, "bucket", "rep", landed(shared, "buckets"), ["rep", "n", "bits"]).mapInArrow(_near_in_bucket, "a long, b long")
-    clusters = landed(components(near), "clusters")
-
-    members = reps.join(clusters, F.col("rep") == F.col("id")).select("id", F.col("component").alias("cluster"), "n", "bits")
-    sets = docs.select("doc_id", "text").join(clusters, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, set binary")
-    links = in_blocks(members.join(sets, "id"), "cluster", "id", landed(cluster_blocks(members), "cluster-blocks"), ["id", "n", "bits", "set"]).mapInArrow(_links, "a long, b long")
-    final = components(links).withColumnRenamed("id", "r")
+    reps = with_id.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    reps = landed(reps.dropDuplicates(["id", "f1", "f2"]), "representatives")
+    # band keys alone are shuffled until it is known which of them are shared
+    buckets = reps.select(F.explode("bands").alias("g"), "id")
+    shared = landed(buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", n_blocks(F.col("m")).alias("nb")), "shared-buckets")
+    in_shared = landed(buckets.join(shared, "g").join(reps.select("id", "n", "bits"), "id").select("g", "id", "nb", "n", "bits"), "bucket-members")
+    _, clusters = grouped_links(in_shared, in_bucket, "bucket")
+    discarded(in_shared)
+
+    members = reps.join(clusters.select(F.col("id").alias("c"), F.col("component").alias("g")), F.col("id") == F.col("c")).select("g", "id", "n", "bits", "f1", "f2")
+    sizes = landed(members.groupBy("g").agg(n_blocks(F.count(F.lit(1)), F.sum("n") * 8).alias("nb")), "cluster-sizes")
+    members = members.join(sizes, "g")
+    sets = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(members, F.col("d") == F.col("id")).drop("d")
+    sets = sets.mapInArrow(_with_sets, "g long, id long, nb int, n long, bits binary, set binary")
+    links, final = grouped_links(sets, in_cluster, "cluster")
+    # texts of one doc_id are one node: where they are of several classes, these are linked by the id
+    several = with_id.groupBy("doc_id").agg(F.count_distinct("f1", "f2").alias("k")).filter("k > 1").select(F.col("doc_id").alias("d"))
+    by_id = landed(with_id.join(several, F.col("doc_id") == F.col("d")).join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links-by-id")
+    if by_id.limit(1).count():
+        final = landed(components(links.unionByName(by_id)), "components")
+    final = final.withColumnRenamed("id", "r")
     known = landed(classes.join(final, F.col("rep") == F.col("r"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "class-components")
     out = sk.join(known, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))

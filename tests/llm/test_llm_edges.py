@@ -161,24 +161,51 @@ def test_near_dedup(docs, none, spark):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.drop_near_duplicates(docs).columns == docs.columns
 
 
-def test_blocks_of_a_cluster_of_many_short_texts(spark):
+def test_a_cluster_of_many_short_texts_is_dealt_about_once(spark):
     """3,000 different texts of one template: their sets are under BLOCK_BYTES, but their pairs are 9 million."""
     rows = [(k, f"{prose(8, 30)} name{k}") for k in range(3000)]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
-    m = texts.select(F.col("doc_id").alias("id"), F.lit(1).alias("cluster"), F.lit(27).alias("n"))
-    groups = near_dedup.in_blocks(m, "cluster", "id", near_dedup.cluster_blocks(m), ["id", "n"]).select("i", "j", F.size("members").alias("k")).collect()
-    assert len(groups) == 21 and max(r["k"] for r in groups) <= 1200 and sum(r["k"] for r in groups if r["i"] == r["j"]) == 3000
+    m = texts.select(F.lit(1).cast("long").alias("g"), F.col("doc_id").alias("id"), near_dedup.n_blocks(F.lit(3000), F.lit(27 * 8 * 3000)).alias("nb"))
+    blocks = [r["count"] for r in near_dedup.one_block_each(m).groupBy("i").count().collect()]
+    assert len(blocks) == 6 and max(blocks) <= 700 and 3000 < sum(blocks) < 3300
     out = near_dedup.near_duplicates(texts).collect()
     assert len(out) == 3000 and {r["component_id"] for r in out} == {0} and sum(r["kept"] for r in out) == 1
 
 
+def test_links_between_blocks_of_texts_that_are_alike_but_not_linked(spark):
+    """1,200 texts that share three fifths of their shingles: one cluster of three blocks, linked in pairs only."""
+    own = lambda k: [f"own{k}x{j}" for j in range(12)]
+    common = prose(9, 40)
+    rows = [(k, f"{common} {' '.join(own(k % 600)[: 12 - k // 600])} {k // 600}") for k in range(1200)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(texts).collect()}
+    assert got == {k: k % 600 for k in range(1200)}
+    members = texts.select(F.lit(1).cast("long").alias("g"), F.col("doc_id").alias("id"), F.lit(3).alias("nb"))
+    most = spark.createDataFrame([(k, 0) for k in range(1100)], "id long, component long")
+    more = near_dedup.across_blocks(members, most)
+    # 100 members outside of the largest component: each meets all three blocks, and all members meet them
+    assert more.filter("side = 0").count() == 300 and more.filter("side = 1").count() == 1200
+    assert near_dedup.across_blocks(members, spark.createDataFrame([(k, 0) for k in range(1200)], "id long, component long")) is None
+    assert near_dedup.across_blocks(members.withColumn("nb", F.lit(1)), most) is None
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b = prose(21, 40), prose(22, 40)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, prose(23, 40)), (4, prose(23, 40)), (None, a), (5, None), (6, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"g": F.lit(1), "id": F.lit(2), "component": F.lit(3), "kept": F.lit(False)})
+    out = near_dedup.near_duplicates(d).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True), (5, 5, True), (6, 6, True)} and len(out) == 9
+    left = near_dedup.drop_near_duplicates(d)
+    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {1, 4, 5, 6, None}
+
+
 def test_estimates_are_in_memory_by_tiles():
     r, k = np.random.default_rng(1), 3000
     sets = [np.arange(16 * x, 16 * x + 16, dtype=np.uint64) for x in range(k)]
-    m = {"id": np.arange(k), "n": np.full(k, 16), "blk": np.zeros(k, np.int32), "bits": r.integers(0, 2**63, (k, 5), dtype=np.uint64), "set": sets}
+    m = {"id": np.arange(k), "n": np.full(k, 16), "comp": np.arange(k), "side": np.zeros(k, int), "bits": r.integers(0, 2**63, (k, 5), dtype=np.uint64), "set": sets}
     m["bits"][2000], sets[2000] = m["bits"][10], sets[10]
     tracemalloc.start()
-    found = near_dedup.links_of(m, 0, 0)
+    found = near_dedup.in_cluster(m)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == [(10, 2000)] and peak < 150e6  # the whole square takes 360 MB a temporary
