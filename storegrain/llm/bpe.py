@@ -15,17 +15,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import re
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storegrain.llm.common import slices
 
 #: Split patterns of the word_bpe vocabulary, for any text and for ASCII.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 INF = 1 << 60
-#: Words and token pairs that a Python worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Words and token pairs that a Python worker remembers, of words twice as many for a while: some 50 MB.
+REMEMBERED = 60_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -126,7 +129,7 @@ class Bpe:
                     before = last[start]
                     pair = before << 20 | token
                     if pair not in fits:
-                        if len(fits) > 4 * REMEMBERED:
+                        if len(fits) > 2 * REMEMBERED:
                             fits.clear()
                         fits[pair] = self.compatible(before, token)
                     if not fits[pair]:
@@ -196,23 +199,24 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, ids: bool = Fa
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ids=True token_ids and decoded.
 
     path: tokenizer.json, at the same place on every machine; by default the public vocabulary's. Null text
-    is empty: no tokens. Rows are independent of each other, so repeated rows and extra columns don't matter.
+    is empty: no tokens. Rows are independent of each other, so repeated rows, null ids and extra columns don't matter,
+    and an empty table gives no rows.
     """
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"token_ids": pa.list_(pa.int32()), "decoded": pa.string()} if ids else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or vocabulary_path())
-        for b in batches:
+        for b in slices(batches, 256):
             rows = []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 i, d = bpe.encode_and_decode(text or "")
                 row = (i.count(" ") + 1 if i else 0, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest())
                 rows.append((*row, [int(x) for x in i.split()], d) if ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if ids else [])])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *kinds])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

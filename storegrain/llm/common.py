@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,29 @@ def landed(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's own readers see them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(spark: SparkSession, path: str, content: bytes) -> None:
+    p, fs = _file(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(content))
+    out.close()
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Deletes what `landed` wrote. Nothing that is still to be computed may read it."""
     for t in tables:
-        jvm, files = t.sparkSession._jvm, t.inputFiles()
-        for folder in {f.rpartition("/")[0] for f in files}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            deleted(t.sparkSession, folder)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -62,3 +80,26 @@ def sha256(c: Column) -> Column:
 def constant_array(values: list, kind: str) -> Column:
     """A constant array<kind>. One string that Spark folds once, not one expression a value."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, n at a time, so that no more texts than that are Python strings at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
+
+
+def bounded_share(bound: int, total: int) -> int:
+    """The greatest 64-bit hash of a sample of about `bound` of `total` rows, chosen by their hashes; all of them up to the bound.
+
+    The whole range of hashes is divided, so a sample stays as large at any total.
+    """
+    return 2**63 - 1 if total <= bound else -(2**63) + 2**64 * bound // total
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of columns; Spark's names don't know case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,7 +1,7 @@
 """Removing benchmark passages from training documents, with DataFrame functions only.
 
 The windows of all benchmark items form a set of hashed word n-grams. The first words of every
-window of a document are tested inside its row against a fixed-size bitmap; the few windows that pass are
+window of a document are tested inside its row against a bitmap sized by their counted number; the few windows that pass are
 exploded, joined with the set (broadcast if its counted size is below a bound, else by a shuffle) and confirmed word by word.
 """
 
@@ -14,7 +14,8 @@ from storegrain.llm.common import ascii_lower, constant_array, landed, sha256
 
 #: What is no word character: ASCII but for digits and letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BITMAP_BITS = 1 << 20
+#: Bits of the bitmap for each counted window, and its least and greatest size.
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 25
 #: The first words of a window that the bitmap holds.
 HEAD = 3
 
@@ -51,27 +52,30 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadcast_rows: int = 200_000) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted strings), spans of hit words.
 
-    Null, empty and wordless texts have no words and no hits. An empty benchmark gives no hits. Rows of
+    Null, empty and wordless texts have no words and no hits. An empty benchmark gives no hits, an empty docs no rows;
+    columns other than doc_id and text of docs, item_id and text of benchmark are not read. Rows of
     docs that repeat give one row each. Item ids are compared as strings; items whose texts are alike all count.
     Rows of benchmark with a null item_id are one item: their words are hits, n_items counts it, items cannot name it.
     """
     grams = landed(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD))), "benchmark-windows")
-    # bounded: at most BITMAP_BITS / 64 longs, and at most n lengths, whatever the benchmark's size
+    n_windows = grams.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_WINDOW * n_windows).bit_length()))
+    # bounded: at most MOST_BITS / 64 longs, and at most n lengths, whatever the benchmark's size
     head = F.when(F.col("m") == 1, _head(F.col("gram"), F.lit(0), 1)).when(F.col("m") == 2, _head(F.col("gram"), F.lit(0), 2)).otherwise(_head(F.col("gram"), F.lit(0), HEAD))
-    at = head.bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
+    at = head.bitwiseAND(F.lit(bits - 1)).cast("int")
     cells = grams.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
-    bitmap = [0] * (BITMAP_BITS // 64)
+    bitmap = [0] * (bits // 64)
     for r in cells:
         bitmap[r["cell"]] = r["bits"]
     table = constant_array(bitmap, "bigint")
-    small = grams.count() <= broadcast_rows
+    small = n_windows <= broadcast_rows
 
     def starts(ws: Column, m: int) -> Column:
         """Where the first m words of some window may stand."""
 
         def maybe(i):
-            at = _head(ws, i, m).bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
+            at = _head(ws, i, m).bitwiseAND(F.lit(bits - 1)).cast("int")
             return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6)), at).bitwiseAND(F.lit(1).cast("long")) == 1  # a shift takes the low 6 bits
 
         return F.when(F.size(ws) > 0, F.filter(F.sequence(F.lit(0), F.size(ws) - 1), maybe)).otherwise(F.array())
@@ -105,9 +109,14 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents of which hit words are a twentieth or more. A doc_id with several rows goes if any of them is contaminated."""
-    bad = contamination(docs, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """docs without the documents of which hit words are a twentieth or more. A doc_id with several rows, null too, goes if any of them is contaminated.
+
+    All columns stay, whatever their names; repeated rows stay or go together. The ids are written first, so that Spark
+    knows their size and sends them to the documents where they are few.
+    """
+    bad = contamination(docs, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("d")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(landed(bad, "contaminated"), F.col("id").eqNullSafe(F.col("d")), "left_anti").select("row.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import held_out
+from storegrain.llm.common import bounded_share, free_name, held_out, slices
 
 #: First and last code point of the letters of each script.
 SCRIPTS = {
@@ -37,7 +38,8 @@ SCRIPTS = {
 NAMES = [*SCRIPTS, "other"]
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
-REMEMBERED = 200_000
+#: Distinct words that a task remembers.
+REMEMBERED = 100_000
 #: Words that go through the Viterbi recursion in one step-wise pass; longer texts are chained exactly.
 CHUNK = 256
 
@@ -68,15 +70,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, *, bound: int = 4_000) -> dict:
-    """Model from docs (doc_id, text, lang): about `bound` documents of those with text and lang, chosen by a hash of doc_id.
+    """Model from docs (doc_id, text, lang): about `bound` documents of those with text and lang, chosen by a hash of doc_id,
+    of repeated rows of a doc_id all or none.
 
     Its size depends on the number of languages only: log-probabilities of BUCKETS hashed n-grams and the
     scripts seen, both by language. Without labelled documents the model knows no language.
     """
     labelled = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    total = labelled.count()
-    if total > bound:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+    labelled = labelled.filter(F.xxhash64("doc_id") <= bounded_share(bound, labelled.count()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -219,32 +220,39 @@ def spans(path: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, int(path[a])) for a, b in zip(starts, [*starts[1:], len(path)], strict=True)]
 
 
-def identify(docs: DataFrame, model: dict, *, penalty: float = 6.0) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, and spans (start word, end word, lang).
+def with_language(docs: DataFrame, model: dict, *, penalty: float = 6.0) -> DataFrame:
+    """docs with lang_pred, score, and spans (start word, end word, lang).
 
     lang_pred is the language of most words, of equal ones the first by name; score is its share of them.
     Null texts, texts without a letter and all texts under a model without languages are `und` with score 0.
+    Rows are judged one by one: repeated rows have equal results and an empty table gives none. All columns of docs
+    stay; where it has one of the three names, the new one gets underscores.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages numbers
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
+    names = [free_name(docs.columns, c) for c in ("lang_pred", "score", "spans")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(given.value, penalty)
         langs = scorer.langs
-        for big in batches:
-            for i in range(0, len(big), 200):
-                b = big.iloc[i : i + 200]
-                rows = []
-                for path in scorer.paths([t or "" for t in b["text"]]):
-                    if len(path):
-                        n = np.bincount(path, minlength=len(langs))
-                        rows.append((langs[int(n.argmax())], float(n.max() / n.sum()), [{"start": x, "end": y, "lang": langs[z]} for x, y, z in spans(path)]))
-                    else:
-                        rows.append(("und", 0.0, []))
-                out = pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
-                out.insert(0, "doc_id", b["doc_id"].values)
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+        for b in slices(batches, 200):
+            rows = []
+            for path in scorer.paths([t or "" for t in b.column("text").to_pylist()]):
+                if len(path):
+                    n = np.bincount(path, minlength=len(langs))
+                    rows.append((langs[int(n.argmax())], float(n.max() / n.sum()), [{"start": x, "end": y, "lang": langs[z]} for x, y, z in spans(path)]))
+                else:
+                    rows.append(("und", 0.0, []))
+            pred, score, found = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(span))], [*b.schema.names, *names])
+
+    new = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, ("string", "double", "array<struct<start:int,end:int,lang:string>>"), strict=True)})
+    return docs.mapInArrow(run, new.schema)
+
+
+def identify(docs: DataFrame, model: dict, *, penalty: float = 6.0) -> DataFrame:
+    """The same without docs' other columns: doc_id, lang_pred, score, spans."""
+    return with_language(docs.select("doc_id", "text"), model, penalty=penalty).select("doc_id", "lang_pred", "score", "spans")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

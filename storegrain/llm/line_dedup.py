@@ -1,107 +1,153 @@
 """Dropping lines that many documents share, over levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs) sorted by the 128-bit line hash. Every batch of documents first
-anti-joins the keys that the runs already hold as frequent, then adds the counts of its other keys as a
-run of level 0. When a level has `fanout` runs they are merged to one run of the next level.
+A run is a table (h1, h2, n_docs), bucketed and sorted by the 128-bit line hash, so runs are merged, and a batch is
+anti-joined with them, by merge joins that don't shuffle the runs again. Every batch of documents anti-joins the run
+of keys that are known to be frequent, as nothing more has to be known of them, and adds the counts of its other keys
+as a run of level 0. When a level has `fanout` runs they are merged to one run of the next level; what a merge finds
+to be frequent goes to the run of frequent keys.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import ascii_lower, landed, sha256
+from storegrain.llm.common import ascii_lower, deleted, free_name, landed, new_path, sha256
 
 #: The characters stripped at both ends of a line: space, and tab to carriage return.
 STRIP = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: Lines of one batch, about; a table has three batches at least.
+BATCH_LINES = 500_000_000
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(STRIP)))
 
 
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One run of two, counts of equal keys added up: a merge join of their buckets."""
+    b = b.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_docs").alias("m"))
+    j = a.join(b.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "full_outer")
+    n = F.coalesce("n_docs", F.lit(0).cast("long")) + F.coalesce("m", F.lit(0).cast("long"))
+    return j.select(F.coalesce("h1", "k1").alias("h1"), F.coalesce("h2", "k2").alias("h2"), n.alias("n_docs"))
+
+
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs). The driver holds only the list of runs."""
+    """Levelled sorted runs of (h1, h2, n_docs), and one of the keys in min_docs documents or more. The driver holds only their names.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+    Runs are tables of the session's catalog, in the shared folder. `drop` takes them off the catalog and deletes them.
+    """
 
-    def all(self) -> DataFrame | None:
-        """Counts of every key, summed over the runs."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return None
-        if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
-
-    def add(self, counts: DataFrame, level: int = 0) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        run = landed(counts.sortWithinPartitions(*KEY), f"run-{level}")
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged = reduce(DataFrame.unionByName, self.levels[level]).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.known: str | None = None
+        self.made: list[tuple[str, str]] = []
+
+    def _write(self, run: DataFrame) -> str:
+        name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
+        run.write.bucketBy(self.n_buckets, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+        self.made.append((name, path))
+        return name
+
+    def frequent(self) -> DataFrame | None:
+        """Keys known to be in min_docs documents or more."""
+        return None if self.known is None else self.spark.table(self.known).select(*KEY)
+
+    def _split(self, run: DataFrame) -> str:
+        """Writes a merged run; of it the frequent keys go to the run of these."""
+        name = self._write(run)
+        hot = self.spark.table(name).filter(F.col("n_docs") >= self.min_docs)
+        if self.known is None:
+            self.known = self._write(hot)
+        elif hot.limit(1).count():
+            self.known = self._write(merged(self.spark.table(self.known), hot))
+        return name
+
+    def add(self, counts: DataFrame) -> None:
+        """Adds a batch of (h1, h2, n_docs), one row a key; its documents are in no other batch."""
+        old = self.frequent()
+        if old is not None:
+            counts = counts.join(old.hint("merge"), KEY, "left_anti")
+        run, level = self._split(counts), 0
+        while True:
+            if len(self.levels) <= level:
+                self.levels.append([])
+            self.levels[level].append(run)
+            if len(self.levels[level]) < self.fanout:
+                return
+            run = self._split(reduce(merged, map(self.spark.table, self.levels[level])))
             self.levels[level] = []
-            self.add(merged, level + 1)
+            level += 1
 
-    def frequent(self, min_docs: int) -> DataFrame | None:
-        known = self.all()
-        return None if known is None else known.filter(F.col("n_docs") >= min_docs).select(*KEY)
+    def close(self) -> DataFrame:
+        """All runs are merged: the keys (h1, h2) in min_docs documents or more, over all batches."""
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            self.levels = [[self._split(reduce(merged, map(self.spark.table, runs)))]]
+        return self.frequent()
+
+    def drop(self) -> None:
+        for name, path in self.made:
+            self.spark.sql(f"drop table {name}")
+            deleted(self.spark, path)
+        self.made = []
 
 
-def frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The line table (doc_id, th, pos, h1, h2, keyed) of docs and the keys (h1, h2) in at least min_docs documents.
+def frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The line table (doc_id, th, pos, h1, h2, batch) of docs and the keys (h1, h2) in at least min_docs documents.
 
-    The line table has hashes only and is written once, in batches of documents; `keyed` is false for
-    lines whose key is shorter than min_chars, which never count.
+    The line table has hashes only and is written once, without lines whose key is shorter than min_chars, which never
+    count. It is read in batches of whole documents, by default as many as its counted lines need.
     """
     spark = docs.sparkSession
     lines = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .withColumn("k", line_key(F.col("line")))
-        .select("doc_id", "th", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"), (F.char_length("k") >= min_chars).alias("keyed"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        .filter(F.char_length("k") >= min_chars)
+        .select("doc_id", "th", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
     )
-    lines = landed(lines, "lines", "batch")
-    runs = LineRuns(spark, fanout)
+    lines = landed(lines, "lines")
+    batches = batches or max(3, -(-lines.count() // BATCH_LINES))
+    runs = LineRuns(spark, min_docs, fanout)
     for b in range(batches):
-        new = lines.filter((F.col("batch") == b) & F.col("keyed")).select(*KEY, "doc_id").distinct()
-        new = new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"))  # in parts, so a key found everywhere is one row a part
-        old = runs.frequent(min_docs)
-        runs.add(new if old is None else new.join(old, KEY, "left_anti"))
-    return lines, landed(runs.frequent(min_docs), "frequent-lines")
+        new = lines.filter(F.pmod(F.xxhash64(F.lit(b"batch"), "doc_id"), F.lit(batches)) == b).select(*KEY, "doc_id").distinct()
+        runs.add(new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs")))  # in parts, so a key found everywhere is one row a part
+    frequent = landed(runs.close(), "frequent-lines")
+    runs.drop()
+    return lines, frequent
 
 
-def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 3) -> DataFrame:
-    """docs with text without the lines that at least min_docs documents hold, and n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text without the lines that at least min_docs documents hold, and with the counts of its lines and of those dropped.
 
-    A document is a doc_id; of its rows each keeps its own text. Null or empty text is one empty line,
-    which is never dropped, as its key has no character; null becomes the empty text. All other columns
-    of docs stay, whatever their names.
+    A document is a doc_id, null being one; of its rows each keeps its own text. Null or empty text is one empty line,
+    which is never dropped, as its key has no character; null becomes the empty text. All other columns of docs stay,
+    whatever their names: where docs has a column of a count's name, the count's gets underscores. counts=None gives none.
+    Repeated rows stay and have equal results, an empty table stays empty.
     """
     lines, frequent = frequent_lines(docs, min_docs=min_docs, min_chars=min_chars, batches=batches)
-    flags = (
-        lines.join(frequent.withColumn("hit", F.lit(True)), KEY, "left")
-        .select("doc_id", "th", "pos", (F.col("hit").isNotNull() & F.col("keyed")).alias("drop"))
-        .distinct()  # rows that repeat whole
-        .groupBy("doc_id", "th")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "drop"))), lambda x: x["drop"]).alias("__flags"))
-        .filter(F.exists("__flags", lambda x: x))
-        .withColumnsRenamed({"doc_id": "__d", "th": "__th"})
-    )
-    d = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    d = d.join(flags, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("__text") == F.col("__th")), "left")
-    all_lines = F.split("__text", "\n", -1)
-    hit = F.col("__flags").isNotNull()
-    kept = F.array_join(F.filter(all_lines, lambda _, i: ~F.get(F.col("__flags"), i)), "\n")
-    n_lines = (F.char_length("__text") - F.char_length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_dropped = F.when(hit, F.size(F.filter("__flags", lambda x: x))).otherwise(0).cast("long")
-    return d.withColumns({"text": F.when(hit, kept).otherwise(F.col("__text")), "n_lines": n_lines, "n_dropped": n_dropped}).drop("__text", "__flags", "__d", "__th")
+    drops = lines.join(frequent, KEY).select("doc_id", "th", "pos").distinct()  # rows that repeat whole
+    drops = drops.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.sort_array(F.collect_list("pos")).alias("drops"))
+    # whether each line goes, up to the last that does: the gaps between the sorted positions, each followed by a true
+    gap = lambda p, k: F.array_repeat(F.lit(False), p - F.coalesce(F.get("drops", k - 1), F.lit(-1)) - 1)
+    drops = drops.select("d", "h", F.size("drops").alias("n"), F.flatten(F.transform("drops", lambda p, k: F.concat(gap(p, k), F.array(F.lit(True))))).alias("gone"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text.alias("t"))
+    rows = rows.join(drops, F.col("id").eqNullSafe(F.col("d")) & (F.xxhash64("t") == F.col("h")), "left")
+    hit = F.col("gone").isNotNull()
+    kept = F.filter(F.split("t", "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    n_lines = (F.char_length("t") - F.char_length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_dropped = F.coalesce("n", F.lit(0)).cast("long")
+    new = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("t"))
+    names = [free_name(docs.columns, c) for c in counts or ()]
+    return rows.select(F.col("row").withField("text", new).alias("row"), *[c.alias(n) for c, n in zip((n_lines, n_dropped), names, strict=False)]).select("row.*", *names)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

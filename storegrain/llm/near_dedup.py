@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import discarded, landed
+from storegrain.llm.common import discarded, landed, slices
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -91,16 +91,9 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, n at a time, so that no more texts than that are Python strings at once."""
-    for b in batches:
-        for i in range(0, b.num_rows, n):
-            yield b.slice(i, n)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word_hash = _WordHash()
-    for b in _rows(batches, 64):
+    for b in slices(batches, 64):
         sets = shingle_sets(b.column("text").to_pylist(), word_hash)
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
@@ -294,22 +287,23 @@ def grouped_links(members: DataFrame, work: Callable[[dict], list[tuple[int, int
 def components(links: DataFrame) -> DataFrame:
     """(id, component): of every id in links (a, b) the smallest id it is joined with, by alternating large-star and small-star.
 
-    Least neighbours are written before they are joined, so that both sides of the join are dealt anew and Spark can
-    split an id that has most of the edges. What a round replaces is deleted.
+    Least neighbours are grouped by their sign too, so that both sides of the join with them are dealt anew and Spark
+    can split an id that has most of the edges. What a round replaces is deleted.
     """
-    edges, before = landed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"), None
+    edges, old, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), [], None
+    sign = F.shiftright("u", 63).alias("sign")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = landed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        low = both.groupBy("u", sign).agg(F.least(F.col("u"), F.min("v")).alias("m")).drop("sign")
         large = landed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
-        discarded(edges, low)
-        low = landed(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = large.groupBy("u", sign).agg(F.min("v").alias("m")).drop("sign")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = landed(small, "small-star")
-        discarded(large, low)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+        seen = Observation()
+        edges = landed(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "small-star")
+        discarded(large, *old)
+        old, now = [edges], seen.get
+        if now == before or not now["n"]:
             # stars by now: what is never a leaf is its component's smallest id
             return edges.select(F.explode(F.array("u", "v")).alias("id"), F.col("v").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
         before = now
@@ -317,7 +311,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word_hash = _WordHash()
-    for b in _rows(batches, 256):
+    for b in slices(batches, 256):
         sets = shingle_sets(b.column("text").to_pylist(), word_hash)
         # of a doc_id with several texts the one that is meant
         own = [k for k, (s, f1, f2) in enumerate(zip(sets, b.column("f1").to_pylist(), b.column("f2").to_pylist(), strict=True)) if fingerprint(s) == (f1, f2)]
@@ -369,9 +363,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not kept; all its columns stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__d"), "left_anti")
+    """docs without the rows that are not kept; all its columns stay, whatever their names.
+
+    The ids are written first, so that Spark knows their size and sends them to the documents where they are few.
+    """
+    gone = landed(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("d")).distinct(), "not-kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("d"), "left_anti").select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

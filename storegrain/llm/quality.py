@@ -10,17 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import re
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import held_out
+from storegrain.llm.common import bounded_share, held_out, slices
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|\n")
 BUCKETS = 1 << 17
 #: Labels that are broadcast at most.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,17 +78,17 @@ def indicators(text: str | None, table: Tokens) -> np.ndarray:
 def class_counts(labelled: DataFrame) -> np.ndarray:
     """(2, BUCKETS + 1): documents of each class that have each indicator, and all of them. Over every row of labelled (text, label)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, table = np.zeros((2, BUCKETS + 1)), Tokens()
-        for b in batches:
-            for text, label in zip(b["text"], b["label"], strict=True):
+        for b in slices(batches, 256):
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 n[label, indicators(text, table)] += 1
                 n[label, BUCKETS] += 1
         for y in (0, 1):
             at = np.flatnonzero(n[y])
-            yield pd.DataFrame({"label": y, "cell": at, "n": n[y, at]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), y, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[y, at])], ["label", "cell", "n"])
 
-    rows = labelled.select("text", "label").mapInPandas(count, "label int, cell int, n double").groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled.select("text", "label").mapInArrow(count, "label int, cell int, n double").groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, BUCKETS + 1))
     out[rows["label"].to_numpy(int), rows["cell"].to_numpy(int)] = rows["n"]
     return out
@@ -129,8 +130,8 @@ def train(labelled: DataFrame, *, bound: int = 3_000, alpha: float = 1.0) -> dic
         return model
     p = (n[:, :BUCKETS] + alpha) / (totals[:, None] + 2 * alpha)
     ratio = np.log(p[1] / p[0])
-    share = [min(1.0, bound / t) for t in totals]
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("label") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0])))
+    most = [bounded_share(bound, int(t)) for t in totals]
+    chosen = labelled.filter(F.xxhash64("doc_id") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
 
     def fit(b: pd.DataFrame) -> pd.DataFrame:
         table = Tokens()
@@ -148,17 +149,20 @@ def train(labelled: DataFrame, *, bound: int = 3_000, alpha: float = 1.0) -> dic
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Per row: doc_id, score from 0 to 1, predicted. Null and empty texts are scored alike, by the empty text's indicator."""
+    """Per row: doc_id, score from 0 to 1, predicted. Null and empty texts are scored alike, by the empty text's indicator.
+
+    Rows are scored one by one: repeated rows have equal scores, an empty table gives none, other columns are not read.
+    """
     given = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = given.value, Tokens()
-        for b in batches:
-            margin = np.array([m["w"][indicators(t, table)].sum() + m["bias"] for t in b["text"]]) * m["scale"]
+        for b in slices(batches, 256):
+            margin = np.array([m["w"][indicators(t, table)].sum() + m["bias"] for t in b.column("text").to_pylist()]) * m["scale"]
             s = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op3_exact_topk": topk.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_chat_formatting": chat.SQL,
     "op7_url_filters": urls.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
 }

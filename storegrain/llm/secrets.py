@@ -1,6 +1,8 @@
-"""Finding secrets: three base rules, and character Markov models over the other tokens.
+"""Finding secrets: three base rules, and character Markov models over all long tokens.
 
-Everything is a Column expression. Offsets come from the lengths of what lies between and in the
+Two first-order chains, of random strings and of ordinary identifiers, are trained from labelled samples. What speaks
+for the first is a token's mean log-likelihood ratio a pair of characters; base spans are scored too, but stay
+whatever their score. Everything is a Column expression. Offsets come from the lengths of what lies between and in the
 matches, in code points.
 """
 
@@ -11,30 +13,42 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import constant_array, sha256
+from storegrain.llm.common import constant_array, held_out, sha256
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A maximal run that is too short fails whole, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-#: Tokens that the models judge: whole runs with a digit and a letter.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Tokens that the models judge: whole runs of 16 characters and more with a letter, as no ordinary identifier is a number.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Ordinary identifiers that the models learn from.
+PLAIN = r"[A-Za-z][A-Za-z0-9_-]{7,}"
+#: Matches that are folded to one array at once.
+CHUNK = 256
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string,text:string>>"
 KINDS = ("assign", "access", "hex", "markov")
+#: Mean log-likelihood ratio a pair above which a token counts as random.
+THRESHOLD = 0.5
 
 
 def _spans(text: Column, pattern: str, kind: str, guard: Column) -> Column:
-    """All leftmost non-overlapping matches as (start, end, rank, kind, text). guard: false where there can be none."""
+    """All leftmost non-overlapping matches as (start, end, rank, kind, text). guard: false where there can be none.
+
+    An array that grows in a fold is copied at each step, so matches are folded CHUNK at a time: the work is linear
+    in their number but for one step a chunk.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    pairs = F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull())
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["b"])
         end = start + F.char_length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("text")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull())
-    return F.when(guard, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.aggregate(chunks, F.array(zero(F.lit(0))), lambda acc, c: F.concat(acc, F.array(F.aggregate(c, zero(F.element_at(acc, -1)["at"]), step))))
+    return F.when(guard, F.flatten(F.transform(parts, lambda p: p["out"]))).otherwise(F.array().cast(SPAN))
 
 
 def _has(text: Column, *parts: str) -> Column:
@@ -62,21 +76,26 @@ def _pairs(token: Column) -> Column:
 def train_markov(samples: DataFrame, *, alpha: float = 0.5) -> list[float]:
     """Log-likelihood ratio of each character pair, from samples (token, label): 1 random string, 0 ordinary identifier.
 
-    First-order chains with add-alpha smoothing over 96 characters. The result has 128 * 128 numbers,
-    whatever the samples' count. Without samples of a label all ratios are 0.
+    First-order chains with add-alpha smoothing over 96 characters. The result has 128 * 128 numbers, whatever the
+    samples' count. Equal tokens are counted before their pairs are. Without samples of a label all ratios are 0.
     """
-    counts = samples.filter("token is not null and label is not null").filter(F.char_length("token") > 1)
-    counts = counts.select("label", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count().collect()  # 2 * 128 * 128 rows at most
+    known = samples.filter("token is not null and label is not null").filter(F.char_length("token") > 1).groupBy("label", "token").agg(F.count(F.lit(1)).alias("k"))
+    counts = known.select("label", "k", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").agg(F.sum("k").alias("k")).collect()  # 2 * 128 * 128 rows at most
     n, rows = {0: {}, 1: {}}, {0: [0] * 128, 1: [0] * 128}
     for r in counts:
-        n[r["label"]][r["pair"]] = r["count"]
-        rows[r["label"]][r["pair"] >> 7] += r["count"]
+        n[r["label"]][r["pair"]] = r["k"]
+        rows[r["label"]][r["pair"] >> 7] += r["k"]
     if not n[0] or not n[1]:
         return [0.0] * (128 * 128)
     p = lambda y, i: math.log((n[y].get(i, 0) + alpha) / (rows[y][i >> 7] + 96 * alpha))
     return [p(1, i) - p(0, i) for i in range(128 * 128)]
 
 
+def _value(span: Column) -> Column:
+    """Of an assignment what is assigned, else the match."""
+    return F.when(span["kind"] == "assign", F.regexp_extract(span["text"], ASSIGN, 1)).otherwise(span["text"])
+
+
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(token, label) from all the documents; only pair counts of them are kept, so none has to be left out.
 
@@ -86,30 +105,46 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     d = docs.select(text.alias("text"), base_spans(text).alias("spans"))
     sample = lambda token, label: F.struct(token.alias("token"), F.lit(label).alias("label"))
-    secret = F.transform("spans", lambda s: sample(F.when(s["kind"] == "assign", F.regexp_extract(s["text"], ASSIGN, 1)).otherwise(s["text"]), 1))
-    plain = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{7,}"), F.lit(0)), lambda t: sample(t, 0))
+    secret = F.transform("spans", lambda s: sample(_value(s), 1))
+    plain = F.transform(F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)), lambda t: sample(t, 0))
     return d.select(F.inline(F.when(F.size("spans") > 0, secret).otherwise(plain)))
 
 
-def find_secrets(docs: DataFrame, ratios: list[float], *, threshold: float = 0.5) -> DataFrame:
+def mean_ratio(token: Column, table: Column) -> Column:
+    """Mean log-likelihood ratio of a token's pairs; null for tokens of one character."""
+    ps = _pairs(token)
+    return F.when(F.char_length(token) > 1, F.aggregate(ps, F.lit(0.0), lambda a, p: a + F.get(table, p)) / F.size(ps))
+
+
+def held_out_accuracy(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """One row (tp, fn, fp, tn) of the models alone: trained on the documents that aren't held out, they judge the samples of the others.
+
+    Base values that the models call random are tp, ordinary identifiers of 16 characters and more that they do fp.
+    """
+    out = held_out(F.col("doc_id"))
+    table = constant_array(train_markov(labelled_samples(docs.filter(~out))), "double")
+    s = labelled_samples(docs.filter(out)).filter(F.char_length("token") >= F.when(F.col("label") == 1, 2).otherwise(16))
+    said = mean_ratio(F.col("token"), table) > threshold
+    n = lambda label, yes: F.count_if((F.col("label") == label) & (said == F.lit(yes)))
+    return s.agg(n(1, True).alias("tp"), n(1, False).alias("fn"), n(0, True).alias("fp"), n(0, False).alias("tn"))
+
+
+def find_secrets(docs: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, spans) per row of docs: base spans, and tokens whose mean log-likelihood ratio a pair exceeds threshold.
 
-    Only tokens of 16 characters and more with a digit and a letter are judged, and those that touch no
-    base span. Null text is empty and has no spans; repeated rows give one row each. Spans are sorted by
-    start, then by kind. One pair of characters counts the same wherever it stands.
+    All whole tokens of 16 characters and more that hold a letter are judged; of those that do exceed it, the ones that touch a base span
+    add none. llr of a span is the mean ratio of its value, of base spans too. Null text is empty and has no spans;
+    repeated rows give one row each, an empty table none; other columns are not read. Spans are sorted by start, then
+    by kind. One pair of characters counts the same wherever it stands.
     """
     table = constant_array(ratios, "double")
     text = F.coalesce("text", F.lit(""))
     tokens = _spans(F.col("text"), TOKEN, "markov", F.rlike("text", F.lit(TOKEN)))
-    d = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), tokens.alias("tokens"))
-
-    def random_like(s):
-        ps = _pairs(s["text"])
-        return F.aggregate(ps, F.lit(0.0), lambda a, p: a + F.get(table, p)) > threshold * F.size(ps)
-
+    scored = lambda spans: F.transform(spans, lambda s: s.withField("llr", mean_ratio(_value(s), table)))
+    d = docs.select("doc_id", text.alias("text")).select("doc_id", scored(base_spans(F.col("text"))).alias("base"), F.filter(scored(tokens), lambda s: s["llr"] > threshold).alias("tokens"))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("tokens", lambda s: free(s) & random_like(s))
-    return d.select("doc_id", F.array_sort(F.concat("base", more), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])).alias("spans"))
+    both = F.concat("base", F.filter("tokens", free))
+    return d.select("doc_id", F.array_sort(both, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -131,4 +166,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(docs, train_markov(labelled_samples(docs)))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), sha256(as_string(base)).alias("base_sha256"), as_string(F.col("spans")).alias("spans"))
+    llrs = F.array_join(F.transform("spans", lambda s: F.format_number(s["llr"], 3)), " ")
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), sha256(as_string(base)).alias("base_sha256"), as_string(F.col("spans")).alias("spans"), llrs.alias("llrs"))

@@ -1,6 +1,6 @@
 """Exact top-k inner products: norm-sorted blocks, rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are dealt to blocks in order of falling length. All are rotated by the eigenvectors of their summed
+Vectors are dealt to blocks in order of falling length, and each task takes its blocks in that order. All are rotated by the eigenvectors of their summed
 outer products (the right singular vectors of the table), so that few leading coordinates hold most of a
 product. A block is skipped for a query if |q| |v| of its longest vector cannot reach the query's k-th score so
 far; a pair is skipped if its leading partial sum plus the product of the two remaining lengths cannot.
@@ -13,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import landed
+from storegrain.llm.common import landed, slices
 
 #: Integers up to here are exact in double arithmetic.
 EXACT = 2**53
 LEAD = 16
+#: Bytes of the vectors of one block at most.
+BLOCK_BYTES = 1 << 20
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
@@ -105,7 +108,8 @@ class Search:
             best = sorted([*self.found[a], *zip((-score[x, c]).tolist(), ids[own[c]].tolist(), strict=True)])[: self.k]
             self.found[a] = best
             if len(best) == self.k:
-                self.floor[a] = max(self.floor[a], float(-best[-1][0]))
+                # a double may be above the whole number that it stands for
+                self.floor[a] = max(self.floor[a], np.nextafter(float(-best[-1][0]), -np.inf) if abs(best[-1][0]) >= EXACT else float(-best[-1][0]))
 
     def result(self) -> pd.DataFrame:
         rows = [(int(q), int(i), int(-s)) for q, best in zip(self.ids, self.found, strict=True) for s, i in best]
@@ -118,10 +122,10 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g, part in b.groupby("g"):
             v = _matrix(part["v"])
             floor = part["floor"].to_numpy(float) if "floor" in part else np.zeros(0)
-            yield pd.DataFrame({"g": [g], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "floor": [floor.tobytes()], "far": [np.linalg.norm(v, axis=1).max()], "low": [floor.min() if len(floor) else 0.0]})
+            yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "floor": [floor.tobytes()], "far": [np.linalg.norm(v, axis=1).max()]})
 
 
-PACKED = "g int, ids binary, v binary, floor binary, far double, low double"
+PACKED = "ids binary, v binary, floor binary, far double"
 
 
 def _unpacked(ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +133,29 @@ def _unpacked(ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(v).reshape(len(ids), -1)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 2048, query_block: int = 1024) -> DataFrame:
+def without_repeats(vectors: DataFrame) -> DataFrame:
+    """One row of each vec_id: of unlike vectors the least. Only ids are shuffled where none is repeated."""
+    n, ids = vectors.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
+    return vectors if n == ids else vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 2048, query_block: int = 1024, queries_held: int = 32, tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, v) the k highest integer products with vectors (vec_id, v) of other ids.
 
-    Ties go to the smaller vec_id; with fewer candidates all are given. v holds whole numbers; vectors of
-    unlike width count as padded with zeros. Rows that repeat a vec_id count once each. Scores are whole numbers of 64 bits.
+    Ties go to the smaller vec_id; with fewer candidates all are given. v holds whole numbers; vectors of unlike width
+    count as padded with zeros. Rows without an id or a vector take no part, rows that repeat a vec_id count once, of
+    unlike ones the least vector; empty tables give no rows and other columns are not read. Scores are whole numbers of
+    64 bits.
+
+    Tasks form a grid of query groups by vector groups. A task holds up to `queries_held` blocks of queries and reads
+    its blocks of vectors as a stream, by falling length. So each vector is shuffled once for each group of queries,
+    and each query once for each group of vectors; `tasks` vector groups, by default twice the cores.
     """
+    given = lambda t: without_repeats(t.select("vec_id", "v").filter("vec_id is not null and v is not null"))
+    vectors, queries = given(vectors), given(queries)
     turn = rotation(vectors)
+    # blocks of wide vectors have fewer rows, so that one is a megabyte at most
+    block, query_block = (max(1, min(n, BLOCK_BYTES // (8 * max(1, len(turn))))) for n in (block, query_block))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     vectors, queries = vectors.withColumn("norm", length), queries.withColumn("norm", length)
     # the longest vectors give every query a first k-th score; block rows, whatever the table's size
@@ -143,7 +163,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 20
     head_ids, head = top["vec_id"].to_numpy(), _matrix(top["v"]) if len(top) else np.zeros((0, len(turn)))
 
     n_blocks = max(1, -(-vectors.count() // block))
-    n_groups = max(1, -(-queries.count() // query_block))
+    n_query_blocks = max(1, -(-queries.count() // query_block))
+    n_rows = -(-n_query_blocks // queries_held)
+    n_columns = min(n_blocks, max(tasks or 2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n_blocks // 64)))
 
     def start(b: pd.DataFrame) -> pd.DataFrame:
         s = Search(b["vec_id"].to_numpy(), _matrix(b["v"]), turn, k)
@@ -152,28 +174,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 20
         full = np.array([len(f) == k for f in s.found])
         return pd.DataFrame({"vec_id": s.ids, "v": b["v"], "g": b["g"], "floor": np.where(full, s.floor, -np.inf)})
 
-    grouped = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int"))
+    grouped = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int"))
     grouped = landed(grouped.groupBy("g").applyInPandas(start, "vec_id long, v array<double>, g int, floor double"), "queries")
-    # blocks are rows of arrays: a stated query set against all vectors, one row for each pair of blocks that can matter
+    # blocks are rows of arrays; a row of the grid has some of the query blocks, a column some of the vector blocks
     blocks = vectors.repartitionByRange(n_blocks, F.desc("norm"), F.xxhash64("vec_id")).select(F.lit(0).alias("g"), "vec_id", "v")
-    blocks = landed(blocks.mapInPandas(_packed, PACKED), "blocks").select(F.col("ids").alias("c_ids"), F.col("v").alias("c_v"), F.col("far").alias("c_far"))
-    wanted = landed(grouped.repartition("g").sortWithinPartitions("g").mapInPandas(_packed, PACKED), "query-blocks")
-    # as many rows as blocks; a block of queries that no block of vectors can help goes no further
-    cells = blocks.join(wanted, F.col("far") * F.col("c_far") >= F.col("low") - 1)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for q_ids, q, floor, c_ids, c in zip(b["ids"], b["v"], b["floor"], b["c_ids"], b["c_v"], strict=True):
-                s = Search(*_unpacked(q_ids, q), turn, k, np.frombuffer(floor))
-                ids, v = _unpacked(c_ids, c)
-                order = np.lexsort((ids, -np.linalg.norm(v, axis=1)))
-                for i in range(0, len(order), 512):
+    blocks = landed(blocks.mapInPandas(_packed, PACKED), "blocks").withColumn("at", F.xxhash64("ids"))
+    wanted = landed(grouped.repartition("g").sortWithinPartitions("g").mapInPandas(_packed, PACKED), "query-blocks").withColumn("at", F.xxhash64("ids"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = blocks.select("*", F.lit(1).alias("kind"), F.pmod("at", F.lit(n_columns)).cast("int").alias("y"), every(n_rows).alias("x"))
+    wanted = wanted.select("*", F.lit(0).alias("kind"), F.pmod("at", F.lit(n_rows)).cast("int").alias("x"), every(n_columns).alias("y"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def results() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(pd.concat([s.result() for s in held], ignore_index=True).astype("int64"), preserve_index=False)
+
+        for b in slices(batches, 1):
+            row = {c: b.column(c)[0].as_py() for c in b.schema.names}
+            if (row["x"], row["y"]) != cell:
+                if held:
+                    yield results()
+                cell, held = (row["x"], row["y"]), []
+            ids, v = _unpacked(row["ids"], row["v"])
+            if row["kind"] == 0:
+                held.append(Search(ids, v, turn, k, np.frombuffer(row["floor"])))
+                continue
+            order = np.lexsort((ids, -np.linalg.norm(v, axis=1)))
+            for i in range(0, len(order), 512):
+                for s in held:
                     s.add(ids[order[i : i + 512]], v[order[i : i + 512]])
-                yield s.result()
-
-    found = cells.repartition(F.xxhash64("ids"), F.xxhash64("c_ids")).mapInPandas(scan, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+        if held:
+            yield results()
+
+    # the queries of a cell come first, then its vectors by falling length
+    cells = wanted.unionByName(blocks).repartition("x", "y").sortWithinPartitions("x", "y", "kind", F.desc("far"))
+    found = cells.mapInArrow(scan, "query_id long, vec_id long, score long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

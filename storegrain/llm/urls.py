@@ -7,17 +7,16 @@ starts of a batch of URLs at once, and compares the strings of what it finds, so
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import ascii_lower
+from storegrain.llm.common import ascii_lower, free_name, new_path, written
 
 #: The rules of the registered query, (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,24 +32,31 @@ def path(url: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted uint64 digests, their strings in the same order, and a verdict each, in memory-mapped files of this machine."""
+    """Sorted uint64 digests, their strings in the same order, and a verdict each, in one file that is memory-mapped.
 
-    def __init__(self, rows: list[tuple[str, str, str]]):
-        """rows: (host, path, verdict); of equal rules the last counts."""
+    The file: the numbers of rules and of path lengths, then digests, ends of the strings, verdicts' numbers, path
+    lengths (all of 8 bytes), then the strings and, at the end of their own, the verdicts' names.
+    """
+
+    @staticmethod
+    def packed(rows: list[tuple[str, str, str]]) -> bytes:
+        """The file's content. rows: (host, path, verdict); of equal rules the last counts."""
         found = {h + p: (h, p, v) for h, p, v in rows}
         order = sorted(found, key=lambda r: (xxhash.xxh64_intdigest(r.encode()), r))
-        self.folder = tempfile.TemporaryDirectory(prefix="digests-")
-        name = os.path.join(self.folder.name, "keys")
-        np.array([xxhash.xxh64_intdigest(r.encode()) for r in order], dtype=np.uint64).tofile(name)
-        self.keys = np.memmap(name, np.uint64, "r") if order else np.zeros(0, np.uint64)
-        text = "".join(order).encode()
-        self.ends = np.cumsum([0, *(len(r.encode()) for r in order)])
-        name = os.path.join(self.folder.name, "text")
-        with open(name, "wb") as f:
-            f.write(text)
-        self.text = np.memmap(name, np.uint8, "r") if text else np.zeros(0, np.uint8)
-        self.verdicts = [found[r][2] for r in order]
-        self.lengths = sorted({len(found[r][1]) for r in order})
+        lengths, names = sorted({len(found[r][1]) for r in order}), sorted({v for _, _, v in found.values()})
+        texts = [r.encode() for r in order]
+        numbers = [len(order), len(lengths), len(names)], [xxhash.xxh64_intdigest(t) for t in texts], np.cumsum([0, *map(len, texts)]), [names.index(found[r][2]) for r in order], lengths
+        kinds = np.int64, np.uint64, np.int64, np.int64, np.int64
+        return b"".join([*[np.array(x, k).tobytes() for x, k in zip(numbers, kinds, strict=True)], *texts, "\0".join(names).encode()])
+
+    def __init__(self, path: str):
+        whole = np.memmap(path, np.uint8, "r")
+        n, n_lengths, _ = whole[:24].view(np.int64).tolist()
+        at = [24, *(24 + 8 * np.cumsum([n, n + 1, n, n_lengths])).tolist()]
+        self.keys, self.ends, self.verdict, lengths = (whole[a:b].view(np.uint64 if k == 0 else np.int64) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)))
+        self.lengths = lengths.tolist()
+        self.text = whole[at[-1] :]
+        self.names = self.text[int(self.ends[-1]) :].tobytes().decode().split("\0")
 
     def string(self, k: int) -> str:
         return self.text[self.ends[k] : self.ends[k + 1]].tobytes().decode()
@@ -81,35 +87,45 @@ def judge(urls: DataFrame, rules: DataFrame, *, default: str = "allow", most_rul
 
     The rule of most characters wins, of equal ones that of the longer host; without one the rule is null and
     the verdict is default. Null URLs and those without :// have an empty host and path. Of rules given twice
-    the greater verdict by name counts. Beyond most_rules rules they are not sent to the workers but joined.
+    the greater verdict by name counts. Where urls has a column of one of the four names, the new one gets underscores.
+    Repeated rows have equal results, an empty table gives none. The digests are written once and sent to every machine
+    as a file; beyond most_rules rules they are joined instead.
     """
-    u = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    names = [free_name(urls.columns, c) for c in ("host", "path", "rule", "verdict")]
+    u = urls.select(F.struct("*").alias("row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    if rules.count() > most_rules:
-        return _judge_by_join(u, rules, default)
-    rows = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]  # most_rules at most
-    given = urls.sparkSession.sparkContext.broadcast(rows)
+    judged = _judge_by_join(u, rules, default) if rules.count() > most_rules else _judge_by_index(u, rules, default)
+    return judged.select("row.*", *[F.col(c).alias(n) for c, n in zip(("host", "path", "rule", "verdict"), names, strict=True)])
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = DigestIndex(given.value)
+
+def _judge_by_index(u: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    rows = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]  # most_rules at most
+    # one file in the shared folder, which Spark brings to each machine once
+    spark = u.sparkSession
+    path = new_path(spark, "digests")
+    written(spark, path, DigestIndex.packed(rows))
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = DigestIndex(SparkFiles.get(name))
         for b in batches:
             strings, owners, ranks = [], [], []
-            for i, (h, p) in enumerate(zip(b["host"], b["path"], strict=True)):
+            for i, (h, p) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)):
                 for s in suffixes(h):
                     for n in index.lengths:
                         if n <= len(p):
                             strings.append(s + p[:n])
                             owners.append(i)
                             ranks.append((len(s) + n, len(s)))
-            rule, verdict, best = [None] * len(b), [default] * len(b), [(-1, -1)] * len(b)
+            rule, verdict, best = [None] * b.num_rows, [default] * b.num_rows, [(-1, -1)] * b.num_rows
             for i, rank, s, k in zip(owners, ranks, strings, index.probe(strings).tolist(), strict=True):
                 if k >= 0 and rank > best[i]:
-                    best[i], rule[i], verdict[i] = rank, s, index.verdicts[k]
-            b["rule"], b["verdict"] = rule, verdict
-            yield b
+                    best[i], rule[i], verdict[i] = rank, s, index.names[index.verdict[k]]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*b.schema.names, "rule", "verdict"])
 
     schema = u.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")}).schema
-    return u.mapInPandas(look_up, schema)
+    return u.mapInArrow(look_up, schema)
 
 
 def _judge_by_join(u: DataFrame, rules: DataFrame, default: str) -> DataFrame:

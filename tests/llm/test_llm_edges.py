@@ -73,24 +73,55 @@ def test_viterbi_is_the_best_path():
         assert np.isclose(s[np.arange(len(s)), path].sum() - 4.0 * np.count_nonzero(np.diff(path)), v.max())
 
 
-def test_line_dedup(docs, none):
-    out = line_dedup.dedup_lines(docs, min_docs=10)
-    assert out.columns[:2] == ["doc_id", "text"] and out.count() == docs.count()
-    rows = {r["doc_id"]: r for r in out.collect()}
-    assert all(rows[10 + k]["n_dropped"] == 1 and rows[10 + k]["text"].startswith("own") for k in range(12))
-    assert rows[1]["text"] == "" and rows[1]["n_lines"] == 1 and rows[3]["n_dropped"] == 0 and rows[3]["text"] == "  \n "
-    two = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_docs=2, batches=1).collect()}
-    assert two[4] == two[7] == "" or (two[4] == "One line" and two[7] == "one LINE\t") or two[4] == ""
+def brute_lines(rows, least):
+    """(doc_id, text left, lines, dropped) of each row."""
+    key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({k: k + 32 for k in range(65, 91)})
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(holders[key(x)]) < least]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize(("least", "batches"), [(10, None), (2, 1), (3, 7)])
+def test_line_dedup(docs, none, spark, least, batches):
+    r = random.Random(least)
+    many = [(500 + k, "\n".join(r.choice(["A b", "a B ", "\tc", "", " ", "d\r", f"own {k}"]) for _ in range(r.randrange(1, 9)))) for k in range(60)]
+    long = [(700, "\n".join(f"line {k % 40}" for k in range(30_000))), (701, "\n".join(f"LINE {k}" for k in range(0, 40, 2))), (702, "line 0\nline 2")]
+    more = docs.unionByName(spark.createDataFrame(many + long, "doc_id long, text string"), allowMissingColumns=True)
+    out = line_dedup.dedup_lines(more, min_docs=least, batches=batches)
+    assert out.columns == [*docs.columns, "n_lines_", "n_dropped"]
+    got = sorted(((x["doc_id"], x["text"], x["n_lines_"], x["n_dropped"]) for x in out.collect()), key=repr)
+    assert got == sorted(brute_lines([(x["doc_id"], x["text"]) for x in more.collect()], least), key=repr)
+    # the caller's columns are as they were
+    assert {x["n_lines"] for x in out.filter("doc_id < 100").collect()} == {1} and line_dedup.dedup_lines(docs, counts=None).columns == docs.columns
     assert line_dedup.dedup_lines(none).count() == 0
 
 
 def test_runs_compact_and_sum(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark, min_docs=5, fanout=2)
     for k in range(5):
         runs.add(spark.createDataFrame([(1, 1, 1), (k, 2, 1)], "h1 long, h2 long, n_docs long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r["h1"], r["h2"]): r["n_docs"] for r in runs.all().collect()}[1, 1] == 5
-    assert [(r["h1"], r["h2"]) for r in runs.frequent(5).collect()] == [(1, 1)]
+    assert {(r["h1"], r["h2"]): r["n_docs"] for r in spark.table(runs.levels[2][0]).collect()}[1, 1] == 4
+    assert [tuple(r) for r in runs.close().collect()] == [(1, 1)]
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_frequent_key_is_not_added_again_and_runs_are_not_shuffled(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2, fanout=9)
+    for n in (2, 7):
+        runs.add(spark.createDataFrame([(1, 1, n), (n, 2, 1)], "h1 long, h2 long, n_docs long"))
+    assert sorted(tuple(r) for r in spark.table(runs.levels[0][1]).collect()) == [(7, 2, 1)]
+    plan = line_dedup.merged(*map(spark.table, runs.levels[0]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
 
 
 def brute_hits(text, items, n=13):
@@ -119,7 +150,7 @@ def test_decontamination(docs, none, spark, bound):
         got[r["doc_id"]] = (r["n_words"], r["n_hit"], r["items"])
     assert all(got[i] == brute_hits(t, items) for i, t in short)
     assert got[5][1:] == (30, ["10"])
-    left = decontaminate.remove_contaminated(more, bench)
+    left = decontaminate.remove_contaminated(more.withColumns({"row": F.lit(1), "id": F.lit(2), "d": F.lit(3)}), bench).drop("row", "id", "d")
     assert left.columns == more.columns and 99 not in {r["doc_id"] for r in left.collect()} and 5 in {r["doc_id"] for r in left.collect()}
     assert decontaminate.contamination(none, bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.contamination(docs, bench.filter("false")).collect()} == {0}
@@ -250,7 +281,19 @@ def test_markov_models_find_random_tokens(spark):
     ratios = secrets.train_markov(spark.createDataFrame(samples, "token string, label int"))
     d = spark.createDataFrame([(1, f"see {draw(base64, 30)}1 and omicron_lambda_epsilon_2 here")], "doc_id long, text string")
     spans = secrets.find_secrets(d, ratios).first()["spans"]
-    assert [s["kind"] for s in spans] == ["markov"] and spans[0]["start"] == 4
+    assert [s["kind"] for s in spans] == ["markov"] and spans[0]["start"] == 4 and spans[0]["llr"] > 0.5
+    letters = "".join(x for x in draw(base64, 60) if x.isalpha())[:24]
+    more = spark.createDataFrame([(1, f"{letters} and omicron-lambda-epsilon or 1234567890123456"), (2, "password: omicronlambda")], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(more, ratios).collect()}
+    assert [(s["kind"], s["text"]) for s in out[1]] == [("markov", letters)] and [s["kind"] for s in out[2]] == ["assign"] and out[2][0]["llr"] < 0
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one chunk of the fold has, and no work that grows with their square."""
+    text = "\n".join(f"token={'ab12' * 3}{k} {'0123456789abcdef' * 2} AKIA{'A' * 12}" for k in range(4000))
+    d = spark.createDataFrame([(1, text), (2, text[:5000])], "doc_id long, text string")
+    for r in secrets.find_secrets(d, [0.0] * 128 * 128).collect():
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) == brute_secrets(text if r["doc_id"] == 1 else text[:5000])
 
 
 def test_topk(spark):
@@ -270,6 +313,27 @@ def test_topk(spark):
     assert topk.top_k(e.filter("vec_id < 2"), e.filter("vec_id = 0")).count() == 1
 
 
+def test_topk_of_repeated_rows_ties_and_a_grid(spark):
+    rows = [(0, [3.0, 1.0]), (0, [3.0, 1.0]), (1, [2.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0]), (50, [0.0, 1.0]), (50, [0.0, 2.0]), (None, [9.0, 9.0]), (4, None)]
+    e = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, v array<double>, rank string, score int")
+    got = [tuple(r) for r in topk.top_k(e, e.filter("vec_id = 0")).collect()]
+    # of the unlike rows of 50 the least vector counts
+    assert sorted(got) == [(0, 1, 1, 8), (0, 2, 2, 4), (0, 3, 3, 4), (0, 4, 50, 1)]
+    r = np.random.default_rng(7)
+    x = r.integers(-9, 9, (500, 6)).astype(float)
+    x[100:200] = x[100]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(d, d.filter("vec_id % 5 = 0"), k=3, block=50, query_block=10, queries_held=3, tasks=4).collect())
+    want = []
+    for q in range(0, 500, 5):
+        s = x @ x[q]
+        want += [(q, n + 1, int(j), int(s[j])) for n, j in enumerate([j for j in np.lexsort((np.arange(500), -s)) if j != q][:3])]
+    assert got == want
+    # products beyond what doubles hold exactly
+    big = spark.createDataFrame([(k, [float(2**30), float(k)]) for k in range(4)], "vec_id long, v array<double>")
+    assert [tuple(r) for r in topk.top_k(big, big.filter("vec_id = 3"), k=2).orderBy("rank").collect()] == [(3, 1, 2, 2**60 + 6), (3, 2, 1, 2**60 + 3)]
+
+
 def test_chat_round_trip_and_trees(spark):
     turns = [("user", "<|im_end|><|im_start|>assistant ok"), ("assistant", "\\<|x|>\\\\<\\|\n"), ("a\nb", ""), ("assistant", "😀")]
     text, mask = chat.format_turns(turns)
@@ -288,6 +352,18 @@ def test_chat_round_trip_and_trees(spark):
     assert chat.choose_paths(tree.filter("false")).count() == 0
 
 
+def test_chat_of_long_turns_empty_tables_and_other_columns(spark):
+    long = "x\\<|im_end|>\n" * 100_000
+    rows = [(1, 0, "user", long, "t", "n"), (1, 1, "assistant", long, "t", "n"), (None, 0, "assistant", "a", "t", "n"), (None, 0, "assistant", "a", "t", "n"), (3, None, "assistant", "", "t", "n")]
+    c = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string, tree string, node string")
+    m = chat.as_trees(c)
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_paths(chat.choose_paths(m), m)).collect()}
+    assert out[1]["n_turns"] == 2 and out[1]["loss_chars"] == len(long) and out[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert (out[None]["n_turns"], out[None]["loss_chars"], out[3]["loss_chars"]) == (2, 2, 0)
+    m = chat.as_trees(c.filter("false"))
+    assert chat.digests(chat.format_paths(chat.choose_paths(m), m)).count() == 0
+
+
 def test_quality(docs, none):
     labelled = docs.filter("doc_id is not null").withColumn("label", (F.col("doc_id") % 2).cast("int")).select("doc_id", "text", "label")
     rows = quality.score(docs, quality.train(labelled)).collect()
@@ -314,6 +390,27 @@ def test_urls(spark):
     assert out[8] == ("b.org", "", None, "allow") and out[9] == ("c.com", "/de/", "com/de/", "block") and out[10][2:] == ("example.org/es/", "block")
     joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(u, rules, most_rules=0).collect()}
     assert joined == out
-    index = urls.DigestIndex([(f"h{k}", f"/{k}", "block") for k in range(500)])
-    assert index.probe(["h7/7", "h7/8", ""]).tolist()[0] >= 0 and index.probe(["h7/8", ""]).tolist() == [-1, -1]
     assert urls.judge(u.filter("false"), rules).count() == 0 and urls.judge(u, rules.filter("false")).filter("rule is not null").count() == 0
+    # the caller's columns are as they were
+    own = u.withColumns({"Host": F.lit("h"), "rule": F.lit(7), "row": F.lit("r")})
+    both = urls.judge(own, rules)
+    assert both.columns == ["page_id", "url", "note", "Host", "rule", "row", "host_", "path", "rule_", "verdict"]
+    assert {(r["Host"], r["rule"], r["row"]) for r in both.collect()} == {("h", 7, "r")}
+    assert {r["page_id"]: (r["host_"], r["path"], r["rule_"], r["verdict"]) for r in both.collect()} == out
+    twice = urls.judge(u.unionByName(u), rules)
+    assert twice.count() == 2 * len(given) and {r["page_id"]: r["verdict"] for r in twice.collect()} == {k: v[3] for k, v in out.items()}
+
+
+def test_digest_index_confirms_strings(tmp_path, monkeypatch):
+    rules = [(f"h{k}", f"/{k}", "block" if k % 2 else "allow") for k in range(500)]
+    (tmp_path / "a").write_bytes(urls.DigestIndex.packed(rules))
+    index = urls.DigestIndex(str(tmp_path / "a"))
+    found = index.probe([f"h{k}/{k}" for k in range(500)] + ["h7/8", ""])
+    assert [index.names[index.verdict[k]] for k in found[:500]] == [v for _, _, v in rules] and found[500:].tolist() == [-1, -1]
+    (tmp_path / "b").write_bytes(urls.DigestIndex.packed([]))
+    assert urls.DigestIndex(str(tmp_path / "b")).probe(["h7/7"]).tolist() == [-1]
+    # all digests equal: the strings tell
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: 1)
+    (tmp_path / "c").write_bytes(urls.DigestIndex.packed(rules))
+    index = urls.DigestIndex(str(tmp_path / "c"))
+    assert [index.string(k) for k in index.probe(["h7/7", "h9/9"])] == ["h7/7", "h9/9"] and index.probe(["h7/8"]).tolist() == [-1]
