@@ -11,34 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storegrain.llm import bpe, decontaminate, langid, line_dedup, near_dedup
-from storegrain.llm.common import held_out, landed, table
+from storegrain.llm.common import free_name, held_out, landed, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that op2 finds in no language (`und`); mixed texts stay, however their languages are shared."""
-    model = langid.train(docs.filter(~held_out(F.col("doc_id"))))
-    good = langid.identify(docs, model).filter(F.col("lang_pred") != "und").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    """Drops documents that op2 finds in no language (`und`): those of null or empty text or without a letter.
+
+    Mixed texts stay, however their languages are shared. Rows are judged one by one, whatever their doc_id; where no
+    document has a known language, the model knows none and all are dropped.
+    """
+    model = langid.train(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    judged = langid.with_language(docs, model)
+    return judged.filter(F.col(free_name(docs.columns, "lang_pred")) != "und").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in ten or more documents; the documents stay, shorter."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Drops lines found in ten or more documents; the documents stay, shorter, with n_chars of the new text. Null text becomes empty."""
+    return line_dedup.dedup_lines(docs, counts=None).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates. Documents without words and those with a null doc_id stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more is benchmark passages."""
+    """Drops documents of which a twentieth or more is benchmark passages. Documents without words stay."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of every document left."""
+    """Token counts and digests of ids and decoded text of every document left; null text has no tokens."""
     return bpe.encode_documents(docs)
 
 
@@ -49,8 +52,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("bpe_encoding", bpe_encoding),
 ]
-#: SQL cannot express language ID, near-dedup and encoding. tests/llm compares the operators with plain versions, but of
-#: the stages only columns and row counts.
+#: SQL cannot express language ID, near-dedup and encoding. tests/llm compares what every stage keeps, and its texts, with plain loops.
 ORACLE_SQL = None
 
 
