@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storegrain.functions import facts as X
 from storegrain.functions import urls as U
-from storegrain.operators.rules import KEY, SEVERITY, small
+from storegrain.operators.rules import KEY, SEVERITY
 
 # Points off per finding, smallest group that is rolled up, examples shown, policy areas in order.
 SUSPENSION_POINTS = {"critical": 25, "high": 15, "medium": 8, "low": 4}
@@ -17,54 +17,130 @@ DISAPPROVAL_POINTS = {"critical": 10, "high": 5, "medium": 2, "low": 1}
 QUALITY_POINTS = 0.5
 LEAST_GROUP, EXAMPLES = 3, 5
 AREAS = ["shipping_policy", "returns_refunds", "business_identity", "misrepresentation", "prohibited_content", "privacy_policy", "terms_of_service", "editorial_quality"]
-STRATEGY = {"external_domain_link": "domain", "https_mixed_content_link": "href"}
+
+# What makes findings of a check alike; checks that are not here are never rolled up.
+STRATEGY = {
+    "external_domain_link": "domain", "https_mixed_content_link": "href", "broken_image": "check", "product_image_broken": "check", "product_image_missing_alt_text": "check",
+    "product_image_placeholder_filename": "check", "product_image_low_resolution": "check",
+}
+SITE_WIDE = "aggregated site-wide (see evidence for exact pages/images)"
+
+# Checks by tier, with the policy whose text is the reason; other checks are a listing disapproval without one.
+SUSPENSION_CHECKS = {
+    "business_identity_present": "misrepresentation", "business_identity_email_consistency": "misrepresentation", "business_identity_phone_consistency": "misrepresentation",
+    "business_identity_phone_country_mismatch": "misrepresentation", "required_page_present": "policies_general", "purchase_journey_cart_unreachable": "misrepresentation",
+    "purchase_journey_checkout_unreachable": "misrepresentation", "purchase_journey_add_to_cart_failed": "misrepresentation", "contact_form_missing_field": "misrepresentation",
+    "form_action_unreachable": "misrepresentation", "llm_prohibited_content": "prohibited_content", "llm_image_prohibited_content_flag": "prohibited_content",
+    "llm_claim_policy_contradiction": "misrepresentation", "llm_policy_substance_privacy_policy": "policies_general", "llm_policy_substance_shipping_policy": "policies_general",
+    "llm_policy_substance_returns_refunds": "policies_general", "llm_policy_substance_terms_of_service": "policies_general",
+}
+DISAPPROVAL_CHECKS = {
+    "generic_product_price_missing": "shipping_policy", "generic_product_availability_missing": "shipping_policy", "woocommerce_price_mismatch": "shipping_policy", "woocommerce_stock_mismatch": "shipping_policy",
+    "shopify_price_mismatch": "shipping_policy", "shopify_availability_mismatch": "shipping_policy", "purchase_journey_cart_price_mismatch": "shipping_policy", "purchase_journey_cart_price_not_found": "shipping_policy",
+    "purchase_journey_shipping_not_shown": "shipping_policy", "purchase_journey_total_lower_than_product_price": "shipping_policy",
+}
+QUALITY_CHECKS = {"llm_editorial_quality": "editorial_quality", "duplicate_product_listing": "editorial_quality"}
+# The public help pages of those policies.
+CITATIONS = {
+    "misrepresentation": "support.google.com/merchants/answer/6150127", "prohibited_content": "support.google.com/merchants/answer/6149970", "shipping_policy": "support.google.com/merchants/answer/6324484",
+    "editorial_quality": "support.google.com/merchants/answer/12079604", "policies_general": "support.google.com/merchants/answer/13693195",
+}
+# The area of the policy matrix that a check belongs to, and of required pages by words of the title, in order.
+CHECK_AREAS = {
+    "business_identity_present": "business_identity", "business_identity_email_consistency": "business_identity", "business_identity_phone_consistency": "business_identity",
+    "business_identity_phone_country_mismatch": "business_identity", "contact_form_missing_field": "business_identity", "form_action_unreachable": "business_identity",
+    "external_domain_link": "misrepresentation", "purchase_journey_cart_unreachable": "misrepresentation", "purchase_journey_checkout_unreachable": "misrepresentation",
+    "purchase_journey_add_to_cart_failed": "misrepresentation", "purchase_journey_blocked_ssrf": "misrepresentation", "llm_prohibited_content": "prohibited_content",
+    "llm_image_prohibited_content_flag": "prohibited_content", "llm_claim_policy_contradiction": "misrepresentation", "llm_editorial_quality": "editorial_quality",
+    "duplicate_product_listing": "editorial_quality", "generic_product_price_missing": "shipping_policy", "generic_product_availability_missing": "shipping_policy",
+    "woocommerce_price_mismatch": "shipping_policy", "woocommerce_stock_mismatch": "shipping_policy", "shopify_price_mismatch": "shipping_policy", "shopify_availability_mismatch": "shipping_policy",
+    "purchase_journey_cart_price_mismatch": "shipping_policy", "purchase_journey_cart_price_not_found": "shipping_policy", "purchase_journey_shipping_not_shown": "shipping_policy",
+    "purchase_journey_total_lower_than_product_price": "shipping_policy",
+}
+TITLE_AREAS = [("privacy", "privacy_policy"), ("shipping", "shipping_policy"), ("return", "returns_refunds"), ("refund", "returns_refunds"), ("terms", "terms_of_service"), ("contact", "business_identity")]
+# The columns of the export, in order.
+EXPORT = [
+    "check_id", "title", "severity", "confidence", "page_url", "evidence", "location", "policy_reference", "recommended_fix", "impact_tier", "ads_eligibility_impact", "verification_method",
+    "evidence_verified", "detected_at", "screenshot_path",
+]
+
+
+def looked_up(key: Column, table: dict) -> Column:
+    """table[key], null where it is not there."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def severity_rank(severity: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[severity]
+    return looked_up(severity, SEVERITY)
 
 
 def is_suspension_risk(severity: Column, tier: Column, confidence: Column) -> Column:
     return (confidence != "cannot_verify") & ((severity == "critical") | (tier == "suspension_risk"))
 
 
-def with_impact(findings: DataFrame, tiers: DataFrame) -> DataFrame:
-    """findings with impact_tier, policy_area and ads_impact. tiers: (check_id, tier, area); policy substance checks carry their area in the id."""
-    t = small(tiers.select(F.col("check_id").alias("c"), "tier", "area"))
-    j = findings.join(t, F.col("check_id") == F.col("c"), "left").drop("c")
-    substance = F.regexp_extract("check_id", "^llm_policy_substance_(.+)$", 1)
-    area = F.coalesce("area", F.nullif(substance, F.lit("")))
-    return j.withColumn("policy_area", area).withColumn("impact_tier", F.coalesce("tier", F.when(substance != "", "suspension_risk").otherwise("quality_improvement"))).withColumn("ads_impact", F.when(F.col("policy_area").isNotNull(), "affected").otherwise("none")).drop("tier", "area")
+def with_impact(findings: DataFrame) -> DataFrame:
+    """findings (check_id, title) with impact_tier, citation, policy_area and ads_eligibility_impact.
+
+    The area of a policy substance check is in its id, that of a required page in its title.
+    """
+    c = F.col("check_id")
+    tier = F.when(c.isin(*SUSPENSION_CHECKS), "suspension_risk").when(c.isin(*QUALITY_CHECKS), "quality_improvement").otherwise("listing_disapproval")
+    citation = looked_up(looked_up(c, SUSPENSION_CHECKS | DISAPPROVAL_CHECKS | QUALITY_CHECKS), CITATIONS)
+    title = F.lower("title")
+    by_title = F.coalesce(*[F.when(F.contains(title, F.lit(word)), area) for word, area in TITLE_AREAS])
+    substance = F.regexp_extract(c, "^llm_policy_substance_(.*)$", 1)
+    area = F.when(c.startswith("llm_policy_substance_"), substance).when(c == "required_page_present", by_title).otherwise(looked_up(c, CHECK_AREAS))
+    out = findings.withColumns({"impact_tier": tier, "citation": citation, "policy_area": area})
+    return out.withColumn("ads_eligibility_impact", F.when(F.col("policy_area").isin(AREAS), "ads_and_listings").otherwise("unclear"))
 
 
 def rolled_up(findings: DataFrame) -> DataFrame:
-    """Groups of LEAST_GROUP and more like findings as one row: (key, check_id, value, n, n_pages, examples, first_seq); all others as they are.
+    """Groups of LEAST_GROUP and more like findings as one row, where their check has a strategy and as many findings; all others as they are.
 
-    findings: key, seq, check_id, page_url, evidence. What makes findings alike follows the check: the link of
-    the evidence, its domain, or the check alone. Examples are the first distinct pages by seq. Counts are
-    aggregated in parts, so a check that fires everywhere is no burden to one task.
+    findings: key, seq, check_id, title, severity, confidence, page_url, evidence, location. The result also has n,
+    the findings that a row stands for, and n_pages, their distinct pages. What makes findings alike is the link or the
+    domain in their location, or the check alone; without a link a finding stays. Evidence names the first distinct
+    examples by seq and how many more there are. Counts are aggregated in parts, so a check that fires everywhere is no
+    burden to one task.
     """
-    href = F.regexp_extract("evidence", 'href="([^"]*)"', 1)
-    how = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STRATEGY.items() for x in kv]), F.col("check_id")), F.lit("check"))
-    value = F.when(how == "href", href).when(how == "domain", U.root_host(href)).otherwise("")
-    f = findings.withColumn("value", value)
-    g = [*KEY, "check_id", "value"]
-    per_page = f.groupBy(*g, "page_url").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
-    groups = per_page.groupBy(*g).agg(F.sum("n").alias("n"), F.count("page_url").alias("n_pages"), F.min("seq").alias("first_seq"))
-    checks = groups.groupBy(*KEY, "check_id").agg(F.sum("n").alias("of_check"))
-    big = groups.join(checks, [*KEY, "check_id"]).filter(f"n >= {LEAST_GROUP} and of_check >= {LEAST_GROUP}").drop("of_check")
-    w = Window.partitionBy(*g).orderBy("seq", "page_url")
-    firsts = per_page.filter("page_url is not null").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= EXAMPLES)
-    firsts = firsts.groupBy(*g).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "page_url"))), lambda x: x["page_url"]).alias("examples"))
-    rolled = big.join(firsts, g, "left").select(*g, "n", "n_pages", "examples", "first_seq", F.lit(None).cast("string").alias("page_url"))
-    single = f.join(big.select(*g), g, "left_anti").select(*g, F.lit(1).cast("long").alias("n"), F.when(F.col("page_url").isNotNull(), 1).otherwise(0).cast("long").alias("n_pages"), F.array("page_url").alias("examples"), F.col("seq").alias("first_seq"), "page_url")
+    href, src = (F.nullif(F.regexp_extract("location", f'{a}="([^"]*)"', 1), F.lit("")) for a in ("href", "src"))
+    how = looked_up(F.col("check_id"), STRATEGY)
+    domain = F.nullif(F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
+    value = F.when(how == "href", href).when(how == "domain", domain).when(how == "check", F.lit(""))
+    pair = F.format_string("%s (on %s)", F.coalesce(src, F.nullif("location", F.lit("")), F.lit("?")), F.coalesce("page_url", F.lit("unknown page")))
+    f = findings.withColumns({"how": how, "value": value}).withColumn("example", F.when(F.col("how") == "check", pair).otherwise(F.col("page_url")))
+    g = [*KEY, "check_id", "how", "value"]
+    first = F.min_by(F.struct("title", "severity", "confidence"), "seq")
+    parts = f.filter("how is not null").groupBy(*g, "page_url", "example").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), first.alias("first"))
+    checks = parts.groupBy(*KEY, F.col("check_id").alias("c")).agg(F.sum("n").alias("of_check")).filter(F.col("of_check") >= LEAST_GROUP)
+    groups = parts.filter("value is not null").groupBy(*g).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("page_url").isNotNull(), F.col("n")).otherwise(0)).alias("with_page"), F.count_distinct("page_url").alias("n_pages"), F.count_distinct("example").alias("n_examples"),
+        F.min("seq").alias("seq"), F.min_by("first", "seq").alias("first"),
+    )
+    big = groups.filter(F.col("n") >= LEAST_GROUP).join(checks, (F.col("check_id") == F.col("c")) & (checks.store_id == groups.store_id) & (checks.run_id == groups.run_id), "left_semi")
+    w = Window.partitionBy(*g).orderBy("seq", "example")
+    firsts = parts.filter("example is not null").groupBy(*g, "example").agg(F.min("seq").alias("seq")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= EXAMPLES)
+    firsts = firsts.groupBy(*g).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "example"))), lambda x: x["example"]), ", ").alias("shown"))
+    r = big.join(firsts, g, "left")
+    more = F.when(F.col("n_examples") > EXAMPLES, F.format_string(", and %d more", F.col("n_examples") - EXAMPLES)).otherwise("")
+    shown = F.concat(F.coalesce("shown", F.lit("")), more)
+    evidence = (
+        F.when(F.col("how") == "domain", F.format_string("Link(s) to %s found on %d page(s): %s", "value", "n_pages", shown))
+        .when(F.col("how") == "href", F.format_string("Link to %s found on %d page(s): %s", "value", "with_page", shown))
+        .otherwise(F.format_string("%s - %d instance(s) across %d page(s), including: %s", "first.title", "n", "n_pages", shown))
+    )
+    location = F.when(F.col("how") == "domain", F.format_string('a[href*="%s"]', "value")).when(F.col("how") == "href", F.format_string('a[href="%s"]', "value")).otherwise(SITE_WIDE)
+    text = F.lit(None).cast("string")
+    rolled = r.select(*KEY, "seq", "check_id", "first.*", text.alias("page_url"), evidence.alias("evidence"), location.alias("location"), "n", "n_pages")
+    one = F.when(F.col("page_url").isNotNull(), 1).otherwise(0).cast("long")
+    single = f.join(big.select(*g), g, "left_anti").select(*KEY, "seq", "check_id", "title", "severity", "confidence", "page_url", "evidence", "location", F.lit(1).cast("long").alias("n"), one.alias("n_pages"))
     return rolled.unionByName(single)
 
 
 def risk_score(runs: DataFrame, findings: DataFrame) -> DataFrame:
     """(key, score, rating): 100 less the points of confirmed findings, rounded half to even and clamped; null and N/A for failed runs."""
     risk = is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence"))
-    points = lambda table: F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))])[F.col("severity")]
+    points = lambda table: looked_up(F.col("severity"), {k: float(v) for k, v in table.items()})
     off = F.when(F.col("confidence") == "cannot_verify", 0.0).when(risk, points(SUSPENSION_POINTS)).when(F.col("impact_tier") == "listing_disapproval", points(DISAPPROVAL_POINTS)).when(F.col("impact_tier") == "quality_improvement", QUALITY_POINTS).otherwise(0.0)
     per = findings.groupBy(*KEY).agg(F.sum(off).alias("off"), F.bool_or(risk & (F.col("severity") == "critical")).alias("critical"))
     j = runs.select(*KEY, "failed").join(per, KEY, "left")
@@ -86,20 +162,71 @@ def policy_matrix(runs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def run_summary(findings: DataFrame) -> DataFrame:
-    """Counts of a run's findings: all, critical, suspension risk, unverified, pages."""
+    """Counts of a run's findings: all, by severity, suspension risk, unverified, API-verified where the method is known, pages."""
     risk = is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence"))
-    return findings.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(risk).alias("n_suspension_risk"), F.count_if(F.col("confidence") == "cannot_verify").alias("n_unverified"), F.countDistinct("page_url").alias("n_pages"))
+    by = [F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITY]
+    api = [F.count_if(F.col("verification_method") == "api_verified").alias("n_api_verified")] if "verification_method" in findings.columns else []
+    return findings.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_findings"), *by, F.count_if(risk).alias("n_suspension_risk"), F.count_if(F.col("confidence") == "cannot_verify").alias("n_unverified"), *api, F.countDistinct("page_url").alias("n_pages"))
+
+
+def crawl_summary(pages: DataFrame) -> DataFrame:
+    """(key, n_pages, n_reachable, n_broken, n_unverifiable, reasons) of pages (reachable, cannot_verify, failure_category).
+
+    reasons counts the categories of unverifiable pages, the most frequent first, of equal ones by name.
+    """
+    n = pages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("reachable").alias("n_reachable"), F.count_if(~F.col("reachable") & ~F.col("cannot_verify")).alias("n_broken"), F.count_if("cannot_verify").alias("n_unverifiable"))
+    by = pages.filter("cannot_verify").groupBy(*KEY, F.coalesce("failure_category", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("k"))
+    # as many as there are categories
+    reasons = by.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("m"), "category"))).alias("r")).select(*KEY, F.array_join(F.transform("r", lambda x: F.concat_ws(" ", (-x["m"]).cast("string"), x["category"])), ", ").alias("reasons"))
+    return n.join(reasons, KEY, "left")
 
 
 def page_status(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    """(key, url, status, n_major, n_minor): UNREACHABLE, CANNOT VERIFY, RISK or PASS."""
+    """(key, url, status, n_major, n_minor): CANNOT VERIFY, UNREACHABLE, RISK or PASS.
+
+    A page that loads is at risk by a critical or high finding; else one finding that couldn't be verified makes it
+    CANNOT VERIFY, and any other finding RISK. n_major and n_minor count suspension risks and all others.
+    """
     risk = is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence"))
-    per = findings.groupBy(*KEY, F.col("page_url").alias("url")).agg(F.count_if(risk).alias("n_major"), F.count_if(~risk).alias("n_minor"))
+    per = findings.groupBy(*KEY, F.col("page_url").alias("url")).agg(
+        F.count_if(risk).alias("n_major"), F.count_if(~risk).alias("n_minor"), F.bool_or(F.col("severity").isin("critical", "high")).alias("bad"), F.bool_or(F.col("confidence") == "cannot_verify").alias("unsure")
+    )
     j = pages.select(*KEY, "url", "reachable", "cannot_verify").join(per, [*KEY, "url"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_major", "n_minor")})
-    status = F.when(F.col("cannot_verify"), "CANNOT VERIFY").when(~F.col("reachable"), "UNREACHABLE").when(F.col("n_major") + F.col("n_minor") > 0, "RISK").otherwise("PASS")
+    status = F.when(F.col("cannot_verify"), "CANNOT VERIFY").when(~F.col("reachable"), "UNREACHABLE").when(F.col("bad"), "RISK").when(F.col("unsure"), "CANNOT VERIFY").when(F.col("n_major") + F.col("n_minor") > 0, "RISK").otherwise("PASS")
     return j.select(*KEY, "url", status.alias("status"), "n_major", "n_minor")
 
 
+def is_catalog_page(page_type: Column) -> Column:
+    return page_type.isin("product", "collection")
+
+
+def catalog_rollup(pages: DataFrame, findings: DataFrame, major_only: bool = True) -> DataFrame:
+    """(key, page_group, variants, representative, n_shown, n_hidden, state) of catalog pages by canonical page key.
+
+    The representative is the shortest URL, of equal ones the first by seq. Shown are the suspension risks, or with
+    major_only=False all findings; state is flagged if there are any, other if all are hidden, else clean.
+    """
+    shown = is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence")) if major_only else F.lit(True)
+    per = findings.groupBy(*KEY, F.col("page_url").alias("url")).agg(F.count_if(shown).alias("n_shown"), F.count_if(~shown).alias("n_hidden"))
+    p = pages.filter(is_catalog_page(F.col("page_type"))).select(*KEY, "url", "seq").join(per, [*KEY, "url"], "left")
+    g = p.groupBy(*KEY, U.page_key(F.col("url")).alias("page_group")).agg(
+        F.count(F.lit(1)).alias("variants"), F.min_by("url", F.struct(F.char_length("url"), "seq")).alias("representative"), F.sum(F.coalesce("n_shown", F.lit(0))).cast("long").alias("n_shown"), F.sum(F.coalesce("n_hidden", F.lit(0))).cast("long").alias("n_hidden")
+    )
+    return g.withColumn("state", F.when(F.col("n_shown") > 0, "flagged").when(F.col("n_hidden") > 0, "other").otherwise("clean"))
+
+
+def catalog_counts(rollup: DataFrame) -> DataFrame:
+    """(key, n_groups, n_pages, n_flagged, n_other, n_clean, n_hidden): n_hidden counts the findings of groups that show none."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    return rollup.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("variants").alias("n_pages"), n("flagged").alias("n_flagged"), n("other").alias("n_other"), n("clean").alias("n_clean"), F.sum(F.when(F.col("state") == "other", F.col("n_hidden")).otherwise(0)).alias("n_hidden"))
+
+
+def needs_api(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(key, recommended): WooCommerce runs (platform) without a finding that the platform's API verified."""
+    n = findings.groupBy(*KEY).agg(F.count_if(F.col("verification_method") == "api_verified").alias("n"))
+    return runs.select(*KEY, "platform").join(n, KEY, "left").select(*KEY, ((F.col("platform") == "woocommerce") & (F.coalesce("n", F.lit(0)) == 0)).alias("recommended"))
+
+
 def fix_list(findings: DataFrame, most: int | None = None) -> DataFrame:
     """(key, position, check_id, fix, severity): suspension-risk findings, the first of each check and fix, worst first."""
     f = findings.filter(is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence"))).withColumn("rank", severity_rank(F.col("severity")))
@@ -165,7 +292,7 @@ def image_findings(images: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(key, url, image_url, check_id, severity): one verdict of an image counts for every page that shows it."""
     j = images.select(*KEY, "url", "image_url").join(verdicts, "image_url", "left")
     one = lambda check, severity: F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"))
-    found = F.array_compact(F.array(F.when(F.col("plausible_match").isNull(), one("llm_image_not_evaluated", "low")), F.when(~F.col("plausible_match"), one("llm_image_mismatch", "medium")), F.when(F.col("potentially_prohibited"), one("llm_image_prohibited_content_flag", "high"))))
+    found = F.array_compact(F.array(F.when(F.col("plausible_match").isNull(), one("llm_image_vision_check", "low")), F.when(~F.col("plausible_match"), one("llm_image_product_mismatch", "medium")), F.when(F.col("potentially_prohibited"), one("llm_image_prohibited_content_flag", "high"))))
     return j.select(*KEY, "url", "image_url", F.explode(found).alias("f")).select(*KEY, "url", "image_url", "f.*")
 
 
@@ -174,5 +301,12 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("branch", F.lit(k)) for k, f in enumerate(frames)])
 
 
-def export_csv(findings: DataFrame, path: str, columns: list[str]) -> None:
-    findings.select(*columns).write.csv(path, header=True, mode="overwrite")
+def export_rows(findings: DataFrame) -> DataFrame:
+    """The columns of the export, in order, as text; null is empty, and a column that findings lacks is null."""
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if dict(findings.dtypes).get(c) == "timestamp" else F.col(c).cast("string")
+    return findings.select(*[F.coalesce(at(c), F.lit("")).alias(c) if c in findings.columns else F.lit("").alias(c) for c in EXPORT])
+
+
+def export_csv(findings: DataFrame, path: str) -> None:
+    """One line a finding, not rolled up."""
+    export_rows(findings).write.csv(path, header=True, mode="overwrite")

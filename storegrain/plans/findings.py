@@ -5,55 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storegrain.functions import urls as U
 from storegrain.operators import findings as N
 from storegrain.operators import history as H
 from storegrain.plans import read
 
-CHECKS = {"click": "external_domain_link", "view": "https_mixed_content_link", "error": "image_broken", "purchase": "llm_policy_substance_terms_of_service", "signup": "required_page_present"}
-TIERS = [("external_domain_link", "quality_improvement", None), ("https_mixed_content_link", "listing_disapproval", "misrepresentation"), ("required_page_present", "suspension_risk", "business_identity")]
+CHECKS = {"click": "external_domain_link", "view": "https_mixed_content_link", "error": "broken_image", "purchase": "llm_policy_substance_terms_of_service", "signup": "required_page_present"}
 
 
 def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as findings: a store is a user modulo 40, the type names the check, the value the link, the page a user."""
+    """events as findings: a store is a user modulo 40, the type names the check, the id the link or image, the page a user."""
     e = read(spark, sf_dir, "events").filter("user_id is not null")
-    check = F.create_map(*[F.lit(x) for kv in CHECKS.items() for x in kv])[F.col("event_type")]
-    link = F.concat(F.lit('<a href="https://h'), (F.col("event_id") % 7).cast("string"), F.lit(".example/"), (F.col("event_id") % 3).cast("string"), F.lit('">'))
-    return e.select((F.col("user_id") % 40).cast("string").alias("store_id"), F.lit("r1").alias("run_id"), F.col("event_id").alias("seq"), check.alias("check_id"), F.concat(F.lit("p"), F.col("user_id")).alias("page_url"), link.alias("evidence"))
+    check = N.looked_up(F.col("event_type"), CHECKS)
+    k = lambda n: (F.col("event_id") % n).cast("string")
+    link = F.concat(F.lit('a[href="https://www.h'), k(7), F.lit(".example/"), k(3), F.lit('"]'))
+    location = F.when(F.col("event_type") == "error", F.concat(F.lit('img[src="/i'), k(50), F.lit('"]'))).when(F.col("event_id") % 11 != 0, link)
+    return e.select(
+        (F.col("user_id") % 40).cast("string").alias("store_id"), F.lit("r1").alias("run_id"), F.col("event_id").alias("seq"), check.alias("check_id"), F.concat(F.lit("Missing required page: "), F.get(F.array(*map(F.lit, ["Privacy policy", "Contact info", "Imprint"])), (F.col("event_id") % 3).cast("int"))).alias("title"),
+        F.lit("low").alias("severity"), F.lit("confirmed").alias("confidence"), F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("p"), F.col("user_id"))).alias("page_url"), F.concat(F.lit("seen "), "event_id").alias("evidence"), location.alias("location"),
+    )
 
 
 EVENTS_SQL = """
 f as (
-  select (user_id % 40)::varchar as store_id, event_id as seq, 'p' || user_id as page_url,
-    case event_type when 'click' then 'external_domain_link' when 'view' then 'https_mixed_content_link' when 'error' then 'image_broken' when 'purchase' then 'llm_policy_substance_terms_of_service' else 'required_page_present' end as check_id,
-    case event_type when 'click' then 'h' || event_id % 7 || '.example' when 'view' then 'https://h' || event_id % 7 || '.example/' || event_id % 3 else '' end as value
+  select (user_id % 40)::varchar as store_id, event_id as seq, case when event_id % 13 <> 0 then 'p' || user_id end as page_url, event_type, 'seen ' || event_id as evidence,
+    'Missing required page: ' || ['Privacy policy', 'Contact info', 'Imprint'][event_id % 3 + 1] as title,
+    case event_type when 'click' then 'external_domain_link' when 'view' then 'https_mixed_content_link' when 'error' then 'broken_image' when 'purchase' then 'llm_policy_substance_terms_of_service' else 'required_page_present' end as check_id,
+    case when event_type = 'error' then 'img[src="/i' || event_id % 50 || '"]' when event_id % 11 <> 0 then 'a[href="https://www.h' || event_id % 7 || '.example/' || event_id % 3 || '"]' end as location,
+    case when event_type = 'click' and event_id % 11 <> 0 then 'www.h' || event_id % 7 || '.example' when event_type = 'view' and event_id % 11 <> 0 then 'https://www.h' || event_id % 7 || '.example/' || event_id % 3
+      when event_type = 'error' then '' end as value
   from events where user_id is not null)
 """
 
 
 def aggregate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = N.rolled_up(event_findings(spark, sf_dir))
-    return r.select("store_id", "check_id", "value", "n", "n_pages", "first_seq", F.array_join("examples", " ").alias("examples"))
+    return N.rolled_up(event_findings(spark, sf_dir)).select("store_id", "check_id", "seq", "title", "page_url", "evidence", "location", "n", "n_pages")
 
 
 ROLLED_SQL = "with" + EVENTS_SQL + """,
-g as (select store_id, check_id, value, count(*) as n, count(distinct page_url) as n_pages, min(seq) as first_seq from f group by 1, 2, 3),
-p as (select store_id, check_id, value, page_url, row_number() over (partition by store_id, check_id, value order by min(seq), page_url) as k from f group by 1, 2, 3, 4)
-select store_id, check_id, value, n, n_pages, first_seq, (select string_agg(page_url, ' ' order by k) from p where p.store_id = g.store_id and p.check_id = g.check_id and p.value = g.value and k <= 5) as examples from g where n >= 3
-union all select f.store_id, f.check_id, f.value, 1, 1, f.seq, f.page_url from f join g using (store_id, check_id, value) where g.n < 3
+x as (select *, case when event_type = 'error' then '/i' || seq % 50 || ' (on ' || coalesce(page_url, 'unknown page') || ')' else page_url end as example from f),
+c as (select store_id, check_id, count(*) as of_check from x group by 1, 2),
+g as (
+  select store_id, check_id, value, event_type, count(*) as n, count(page_url) as with_page, count(distinct page_url) as n_pages, count(distinct example) as n_examples, min(seq) as seq, arg_min(title, seq) as title
+  from x where value is not null group by 1, 2, 3, 4),
+b as (select g.* from g join c using (store_id, check_id) where n >= 3 and of_check >= 3),
+e as (select store_id, check_id, value, example, row_number() over (partition by store_id, check_id, value order by min(seq), example) as k from x where value is not null and example is not null group by 1, 2, 3, 4),
+s as (select store_id, check_id, value, string_agg(example, ', ' order by k) as shown from e where k <= 5 group by 1, 2, 3)
+select b.store_id, b.check_id, seq, title, null as page_url,
+  case event_type when 'click' then 'Link(s) to ' || b.value || ' found on ' || n_pages || ' page(s): ' when 'view' then 'Link to ' || b.value || ' found on ' || with_page || ' page(s): '
+    else title || ' - ' || n || ' instance(s) across ' || n_pages || ' page(s), including: ' end || coalesce(shown, '') || case when n_examples > 5 then ', and ' || (n_examples - 5) || ' more' else '' end as evidence,
+  case event_type when 'click' then 'a[href*="' || b.value || '"]' when 'view' then 'a[href="' || b.value || '"]' else 'aggregated site-wide (see evidence for exact pages/images)' end as location, n, n_pages
+from b left join s on s.store_id = b.store_id and s.check_id = b.check_id and s.value = b.value
+union all
+select f.store_id, f.check_id, f.seq, f.title, f.page_url, f.evidence, f.location, 1, case when f.page_url is null then 0 else 1 end
+from f left join b on f.store_id = b.store_id and f.check_id = b.check_id and f.value = b.value where b.n is null
 """
 
 
 def impact_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = spark.createDataFrame(TIERS, "check_id string, tier string, area string")
-    f = N.with_impact(event_findings(spark, sf_dir), tiers)
-    return f.groupBy("check_id", "impact_tier", "policy_area", "ads_impact").agg(F.count(F.lit(1)).alias("n"))
-
-
-IMPACT_SQL = "with" + EVENTS_SQL + """
-select check_id, case check_id when 'https_mixed_content_link' then 'listing_disapproval' when 'required_page_present' then 'suspension_risk' when 'llm_policy_substance_terms_of_service' then 'suspension_risk' else 'quality_improvement' end as impact_tier,
-  case check_id when 'https_mixed_content_link' then 'misrepresentation' when 'required_page_present' then 'business_identity' when 'llm_policy_substance_terms_of_service' then 'terms_of_service' end as policy_area,
-  case when check_id in ('https_mixed_content_link', 'required_page_present', 'llm_policy_substance_terms_of_service') then 'affected' else 'none' end as ads_impact, count(*) as n
-from f group by 1, 2, 3, 4
+    f = N.with_impact(event_findings(spark, sf_dir))
+    return f.groupBy("check_id", "impact_tier", "policy_area", "citation", "ads_eligibility_impact").agg(F.count(F.lit(1)).alias("n"))
+
+
+IMPACT_SQL = "with" + EVENTS_SQL + """,
+a as (
+  select *, case check_id when 'external_domain_link' then 'misrepresentation' when 'llm_policy_substance_terms_of_service' then 'terms_of_service'
+    when 'required_page_present' then case seq % 3 when 0 then 'privacy_policy' when 1 then 'business_identity' end end as policy_area from f)
+select check_id, case when check_id in ('required_page_present', 'llm_policy_substance_terms_of_service') then 'suspension_risk' else 'listing_disapproval' end as impact_tier, policy_area,
+  case when check_id in ('required_page_present', 'llm_policy_substance_terms_of_service') then 'support.google.com/merchants/answer/13693195' end as citation,
+  case when policy_area is null then 'unclear' else 'ads_and_listings' end as ads_eligibility_impact, count(*) as n
+from a group by 1, 2, 3, 4, 5
 """
 
 
@@ -117,15 +138,66 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.run_summary(order_findings(spark, sf_dir)).drop("run_id")
 
 
-SUMMARY_SQL = "with" + ORDERS_SQL + "select store_id, count(*) as n_findings, count(*) filter (where severity = 'critical') as n_critical, count(*) filter (where risk) as n_suspension_risk, count(*) filter (where not confirmed) as n_unverified, count(distinct page_url) as n_pages from r group by 1"
+SUMMARY_SQL = "with" + ORDERS_SQL + "select store_id, count(*) as n_findings, count(*) filter (where severity = 'critical') as n_critical, count(*) filter (where severity = 'high') as n_high, count(*) filter (where severity = 'medium') as n_medium, count(*) filter (where severity = 'low') as n_low, count(*) filter (where risk) as n_suspension_risk, count(*) filter (where not confirmed) as n_unverified, count(distinct page_url) as n_pages from r group by 1"
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages a customer: the order number's remainder names a page, a checksum says whether it loaded."""
+    k = F.crc32(F.concat("store_id", F.lit(":"), "page_url").cast("binary"))
+    f = order_findings(spark, sf_dir).select("store_id", "run_id", "page_url").distinct()
+    return f.select("store_id", "run_id", F.col("page_url").alias("url"), (k % 5 != 0).alias("reachable"), (k % 10 == 0).alias("cannot_verify"), F.when(k % 10 == 0, F.when(k % 20 == 0, "bot_blocked")).otherwise(F.when(k % 5 == 0, "not_found")).alias("failure_category"))
 
 
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = order_findings(spark, sf_dir)
-    key = F.concat("store_id", F.lit(":"), "page_url")
-    k = F.crc32(key.cast("binary"))
-    pages = f.select("store_id", "run_id", F.col("page_url").alias("url"), (k % 5 != 0).alias("reachable"), (k % 10 == 0).alias("cannot_verify")).distinct()
-    return N.page_status(pages, f.filter("check_id <> 'c0'")).drop("run_id")
+    return N.page_status(order_pages(spark, sf_dir), order_findings(spark, sf_dir).filter("check_id <> 'c0'")).drop("run_id")
+
+
+# DuckDB has no crc32, so the remainders come from a table of it.
+CRC_SQL = """
+t as (select i as n, list_reduce(list_prepend(i, range(8)), lambda x, k: case when x & 1 = 1 then xor(3988292384, x >> 1) else x >> 1 end) as c from range(256) r(i)),
+l as (select list(c order by n) as c from t),
+k as (
+  select store_id, page_url, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(store_id || ':' || page_url, ''), lambda s: ascii(s)::bigint)),
+    lambda x, s: xor(c[(xor(x, s) & 255) + 1]::bigint, x >> 8)), 4294967295) as k
+  from (select distinct store_id, page_url from r), l)
+"""
+STATUS_SQL = "with" + ORDERS_SQL + "," + CRC_SQL + """,
+p as (select store_id, page_url, count(*) filter (where risk) as n_major, count(*) filter (where not risk) as n_minor, bool_or(rank <= 1) as bad, bool_or(not confirmed) as unsure from r where check_id <> 'c0' group by 1, 2)
+select store_id, page_url as url, coalesce(n_major, 0) as n_major, coalesce(n_minor, 0) as n_minor,
+  case when k % 10 = 0 then 'CANNOT VERIFY' when k % 5 = 0 then 'UNREACHABLE' when bad then 'RISK' when unsure then 'CANNOT VERIFY' when n_major + n_minor > 0 then 'RISK' else 'PASS' end as status
+from k left join p using (store_id, page_url)
+"""
+
+
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.crawl_summary(order_pages(spark, sf_dir)).drop("run_id")
+
+
+CRAWL_SQL = "with" + ORDERS_SQL + "," + CRC_SQL + """,
+n as (select store_id, count(*) as n_pages, count(*) filter (where k % 5 <> 0) as n_reachable, count(*) filter (where k % 10 = 5) as n_broken, count(*) filter (where k % 10 = 0) as n_unverifiable,
+  count(*) filter (where k % 20 = 0) as b, count(*) filter (where k % 20 = 10) as u from k group by 1)
+select store_id, n_pages, n_reachable, n_broken, n_unverifiable,
+  case when b = 0 and u = 0 then null when u = 0 then b || ' bot_blocked' when b = 0 then u || ' unknown' when b >= u then b || ' bot_blocked, ' || u || ' unknown' else u || ' unknown, ' || b || ' bot_blocked' end as reasons from n
+"""
+
+
+def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages of a domain as its catalog, by canonical key; orders are the findings, dealt to pages by their number."""
+    p = read(spark, sf_dir, "pages").select(F.regexp_extract(U.netloc(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("store_id"), F.lit("r1").alias("run_id"), F.col("page_id").alias("seq"), "url", F.when(F.col("page_id") % 4 == 0, "collection").when(F.col("page_id") % 4 == 3, "faq").otherwise("product").alias("page_type"))
+    f = order_findings(spark, sf_dir).withColumn("page_id", F.col("seq") % 499).drop("store_id", "run_id", "page_url")
+    f = f.join(p.select("store_id", "run_id", F.col("seq").alias("page_id"), F.col("url").alias("page_url")), "page_id")
+    return N.catalog_rollup(p, f).drop("run_id")
+
+
+CATALOG_SQL = "with" + ORDERS_SQL + r""",
+p as (
+  select page_id, url, regexp_extract(lower(regexp_extract(url, '://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1) as store_id,
+    regexp_replace(regexp_extract(url, '^[^?#]*'), '/page/\d+/?$', '') || case when contains(url, '?') then regexp_extract(url, '\?[^#]*') else '' end as page_group
+  from pages where page_id % 4 <> 3),
+u as (select p.url, count(*) filter (where risk) as n_shown, count(*) filter (where not risk) as n_hidden from r join pages p on p.page_id = r.seq % 499 group by 1),
+g as (select store_id, page_group, count(*) as variants, arg_min(p.url, (length(p.url), page_id)) as representative, coalesce(sum(n_shown), 0)::bigint as n_shown, coalesce(sum(n_hidden), 0)::bigint as n_hidden from p left join u on p.url = u.url group by 1, 2)
+select *, case when n_shown > 0 then 'flagged' when n_hidden > 0 then 'other' else 'clean' end as state from g
+"""
 
 
 def fix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,10 +284,10 @@ def schema_evolve_sql() -> str:
     return "select r_regionkey as id, case when r_regionkey > 1 then r_name else 'untitled' end as title, true as active from region"
 
 
-_F = (aggregate_findings, impact_tiers, risk_score, policy_matrix, run_summary, page_status, fix_list, severity_topk, delta_runs, retention_runs, retention_age_or_rank, cache_cap, previous_run, latest_run, policy_changes, schema_evolve)
+_F = (aggregate_findings, impact_tiers, risk_score, policy_matrix, run_summary, page_status, crawl_summary, catalog_rollup, fix_list, severity_topk, delta_runs, retention_runs, retention_age_or_rank, cache_cap, previous_run, latest_run, policy_changes, schema_evolve)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
-    "aggregate_findings": ROLLED_SQL, "impact_tiers": IMPACT_SQL, "risk_score": SCORE_SQL, "policy_matrix": MATRIX_SQL, "run_summary": SUMMARY_SQL, "fix_list": FIX_SQL, "delta_runs": DELTA_SQL,
+    "aggregate_findings": ROLLED_SQL, "impact_tiers": IMPACT_SQL, "risk_score": SCORE_SQL, "policy_matrix": MATRIX_SQL, "run_summary": SUMMARY_SQL, "page_status": STATUS_SQL, "crawl_summary": CRAWL_SQL, "catalog_rollup": CATALOG_SQL, "fix_list": FIX_SQL, "delta_runs": DELTA_SQL,
     "severity_topk": "with" + ORDERS_SQL + "select store_id, arg_min(title, (rank, seq)) as worst_title from r group by 1",
     "retention_runs": RETENTION_SQL, "retention_age_or_rank": AGE_SQL, "cache_cap": CAP_SQL,
     "previous_run": "select o_custkey, o_orderkey as run_id, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous from orders",
