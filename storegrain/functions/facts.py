@@ -34,6 +34,14 @@ PAYMENTS = [
     (r"\bapple\s?pay\b", "APPLE_PAY"), (r"\bgoogle\s?pay\b", "GOOGLE_PAY"), (r"\bshop\s?pay\b", "SHOP_PAY"), (r"\bklarna\b", "KLARNA"), (r"\bafterpay\b", "AFTERPAY"),
 ]
 CALLING_CODES = {"1": ["US", "CA"], "44": ["GB"], "61": ["AU"], "64": ["NZ"], "91": ["IN"], "49": ["DE"], "33": ["FR"], "34": ["ES"], "39": ["IT"], "31": ["NL"], "353": ["IE"], "27": ["ZA"], "65": ["SG"], "971": ["AE"], "92": ["PK"]}
+# Names of countries by calling code.
+CALLING_NAMES = {
+    "1": ["united states", "usa", "u.s.a", "canada"], "44": ["united kingdom", "uk", "england", "scotland", "wales", "britain"], "61": ["australia"], "64": ["new zealand"], "91": ["india"], "49": ["germany"], "33": ["france"], "34": ["spain"],
+    "39": ["italy"], "31": ["netherlands"], "353": ["ireland"], "27": ["south africa"], "65": ["singapore"], "971": ["united arab emirates", "uae", "dubai"], "92": ["pakistan"],
+}
+# Facts that are numbers, with the tolerance of their comparison, and facts that are compared as they are.
+TOLERANCE = {"return.window_days": 0.0, "shipping.processing_days": 0.0, "shipping.delivery_days": 0.0, "shipping.cost_amount": 0.01, "product.price_amount": 0.01}
+VERBATIM = ["product.gtin", "product.mpn", "product.sku"]
 # Page types on which each commerce fact is looked for.
 GATES = {
     "shipping.region": ["homepage", "shipping_policy"],
@@ -47,6 +55,14 @@ GATES = {
 }
 
 
+# Patterns of free shipping, amounts, day counts and final sales.
+FREE_SHIPPING = r"(?i)\bfree\s+(shipping|delivery)\b"
+AMOUNT = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?)"
+SAME_DAY, HOURS = r"(?i)\bsame[- ]day\b", r"(?i)\bwithin\s+(\d+)\s+hours?\b"
+DAY_SPAN, ONE_DAY = r"(?i)\b(\d+)\s*(?:-|to)\s*(\d+)\s*(?:business\s+)?days?\b", r"(?i)\b(\d+)\s*(?:business\s+)?days?\b"
+FINAL_SALE = r"(?i)\b(final sale|no returns)\b"
+
+
 def _has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
@@ -63,7 +79,7 @@ def phones(text: Column) -> Column:
 
 
 def addresses(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), lambda a: F.trim(a))
 
 
 def countries(text: Column) -> Column:
@@ -81,14 +97,13 @@ def calling_code(phone: Column) -> Column:
 
 def money(text: Column) -> Column:
     """struct(amount, currency), both strings: free shipping is 0 without currency; null if no price stands in the text."""
-    amount = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?)"
-    by_sign = rf"([$£€¥₹])\s?{amount}"
-    by_code = rf"(?i){amount}\s?({CODES})\b"
+    by_sign = rf"([$£€¥₹])\s?{AMOUNT}"
+    by_code = rf"(?i){AMOUNT}\s?({CODES})\b"
     signs = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
     plain = lambda p, g: F.replace(F.regexp_extract(text, p, g), F.lit(","), F.lit(""))
     out = lambda a, c: F.struct(a.alias("amount"), c.alias("currency"))
     return (
-        F.when(_has(text, r"(?i)\bfree\s+(shipping|delivery)\b"), out(F.lit("0"), F.lit(None).cast("string")))
+        F.when(_has(text, FREE_SHIPPING), out(F.lit("0"), F.lit(None).cast("string")))
         .when(_has(text, by_sign), out(plain(by_sign, 2), F.try_element_at(signs, F.regexp_extract(text, by_sign, 1))))
         .when(_has(text, by_code), out(plain(by_code, 1), F.upper(F.regexp_extract(text, by_code, 2))))
     )
@@ -96,10 +111,10 @@ def money(text: Column) -> Column:
 
 def days(text: Column) -> Column:
     """Days that a text commits to: 0 for the same day, whole days for hours, the upper end of a range; else null."""
-    hours, span, one = r"(?i)\bwithin\s+(\d+)\s+hours?\b", r"(?i)\b(\d+)\s*(?:-|to)\s*(\d+)\s*(?:business\s+)?days?\b", r"(?i)\b(\d+)\s*(?:business\s+)?days?\b"
+    hours, span, one = HOURS, DAY_SPAN, ONE_DAY
     num = lambda p, g: F.regexp_extract(text, p, g).try_cast("int")
     return (
-        F.when(_has(text, r"(?i)\bsame[- ]day\b"), 0)
+        F.when(_has(text, SAME_DAY), 0)
         .when(_has(text, hours), F.greatest(F.lit(1), F.ceil(num(hours, 1) / 24).cast("int")))
         .when(_has(text, span), F.greatest(num(span, 1), num(span, 2)))
         .when(_has(text, one), num(one, 1))
@@ -134,14 +149,16 @@ def compare_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def same_value(a: Column, b: Column, tolerance: float = 0.0) -> Column:
-    """Numbers within the tolerance, else equal texts but for case and white space."""
+def same_value(fact: Column, a: Column, b: Column) -> Column:
+    """Whether two values of a fact agree: numeric facts within their tolerance, identifiers as they are, all others but for case and white space."""
     x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(compare_text(a) == compare_text(b))
+    tolerance = F.try_element_at(F.create_map(*[F.lit(v) for kv in TOLERANCE.items() for v in kv]), fact)
+    text = compare_text(a) == compare_text(b)
+    return F.when(fact.isin(VERBATIM), a == b).when(tolerance.isNotNull() & x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(text)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<!\d)[.\n](?!\d)"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<!\d)[.\n](?!\d)"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def first_of(arr: Column, keep, value) -> Column:
@@ -158,7 +175,7 @@ def return_window(text: Column) -> Column:
     """Days of the first sentence with a day count that speaks of returns; 0 for final sale if there is none."""
     s = sentences(text)
     by_days = first_of(s, lambda x: F.contains(F.lower(x), F.lit("return")) & days(x).isNotNull(), days)
-    final = first_of(s, lambda x: _has(x, r"(?i)\b(final sale|no returns)\b"), lambda x: F.lit(0))
+    final = first_of(s, lambda x: _has(x, FINAL_SALE), lambda x: F.lit(0))
     return F.coalesce(by_days, final)
 
 
@@ -177,7 +194,7 @@ def shipping_region(text: Column) -> Column:
 
 
 def shipping_cost(text: Column) -> Column:
-    return first_of(sentences(text), lambda s: F.rlike(F.lower(s), F.lit("shipping|delivery|postage")) & money(s).isNotNull(), money)
+    return first_of(sentences(text), lambda s: F.rlike(F.lower(s), F.lit("ship|delivery")) & money(s).isNotNull(), money)
 
 
 def content_hash(text: Column) -> Column:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from storegrain.functions import facts as X
 from storegrain.functions import urls as U
 
-# Category keywords in order, attribute and text rules of each, least image sides, required fields.
-CATEGORIES = [("toys", "toy|game|puzzle"), ("electronics", "electronic|phone|laptop|battery"), ("food", "food|snack|supplement"), ("appliances", "appliance|fridge|washer"), ("apparel", "shirt|apparel|shoe|dress")]
-CATEGORY_RULES = [
-    ("toys", "age_grade", "age[_ ]?(grade|range)|ages? \\d", "critical"), ("toys", "safety_warning", "choking|warning", "warning"), ("electronics", "battery_certification", "un ?38\\.3|certif", "critical"),
-    ("electronics", "warranty", "warranty", "warning"), ("food", "weight", "\\d+ ?(g|kg|oz|lb)\\b", "warning"), ("appliances", "energy_claim", "energy", "warning"),
+# Category by words of the platform's category names, in order; the category without any; words that a rule looks for.
+CATEGORIES = [
+    ("scooter", "electric_scooter"), ("electric scooter", "electric_scooter"), ("motor", "electric_motor"), ("electric motor", "electric_motor"), ("coffee", "coffee_machine"), ("espresso", "coffee_machine"),
+    ("refrigerator", "refrigerator"), ("fridge", "refrigerator"), ("playhouse", "playhouse"), ("play house", "playhouse"),
 ]
+NO_CATEGORY = "household_tool"
+SAFETY_WORDS = ["warning", "choking hazard", "supervision", "adult assembly", "not suitable for"]
+AGE_WORDS = ["age", "years", "months", "yrs"]
+CERTIFICATION_WORDS = ["ul ", "ul2272", "ul 2272", "csa", "certified", "certification", "iec 62133"]
+WARRANTY_WORDS = ["warranty", "guarantee"]
+BATTERY_CATEGORIES, APPLIANCE_CATEGORIES = ["electric_scooter", "electric_motor"], ["coffee_machine", "refrigerator"]
+# Least image sides, required fields.
 LEAST_SIDE, GOOD_SIDE = 100, 800
 REQUIRED = ["title", "description", "availability", "condition"]
 
@@ -65,12 +71,44 @@ def product_images(pages: DataFrame, api: DataFrame) -> DataFrame:
 
 
 def normalized_feed(raw: DataFrame) -> DataFrame:
-    """Feed products of raw platform rows (id, name, description, price, regular_price, meta_data, categories, stock_status, permalink)."""
-    meta = lambda *names: F.get(F.transform(F.filter("meta_data", lambda m: m["key"].isin(*names)), lambda m: m["value"]), F.lit(0))
-    names = F.lower(F.array_join("categories", " "))
-    category = F.coalesce(*[F.when(F.rlike(names, F.lit(p)), c) for c, p in CATEGORIES], F.lit("other"))
+    """Feed products of raw platform rows (id, name, description, short_description, sku, price, regular_price, weight, dimensions, images, meta_data, categories, attributes, stock_status).
+
+    The category is that of the first category name that has one of the words. A meta key is found without its leading
+    underscore, whatever its case, by the first entry that has it. Sides are those of the dimensions if any is given.
+    """
+    known = lambda *names: F.get(F.filter("meta_data", lambda m: F.lower(F.regexp_replace(m["key"], "^_+", "")).isin(*names)), F.lit(0))["value"]
+    meta = lambda *names: F.nullif(known(*names), F.lit(""))
+    number = lambda c: F.nullif(c, F.lit("")).try_cast("double")
+    category = lambda c: F.coalesce(*[F.when(F.contains(F.lower(F.coalesce(c["name"], c["slug"], F.lit(""))), F.lit(word)), F.lit(kind)) for word, kind in CATEGORIES])
+    kind = F.coalesce(F.get(F.filter(F.transform("categories", category), lambda k: k.isNotNull()), F.lit(0)), F.lit(NO_CATEGORY))
     price = F.coalesce(F.nullif("price", F.lit("")), F.nullif("regular_price", F.lit(""))).try_cast("double")
-    return raw.select(F.col("id").cast("string").alias("id"), F.col("name").alias("title"), "description", price.alias("price"), X.gtin(meta("gtin", "_gtin", "_global_unique_id")).alias("gtin"), meta("mpn", "_mpn").alias("mpn"), category.alias("category"), X.availability(F.col("stock_status")).alias("availability"), F.coalesce(meta("condition"), F.lit("new")).alias("condition"), F.map_from_entries(F.col("meta_data")).alias("attributes"))
+    condition = F.lower(meta("condition"))
+    side = lambda c: F.coalesce(number(F.col(f"dimensions.{c}")), F.lit(0.0)).alias(c)
+    sides = F.when(F.coalesce(*[F.nullif(F.col(f"dimensions.{c}"), F.lit("")) for c in ("length", "width", "height")]).isNotNull(), F.struct(side("length"), side("width"), side("height")))
+    images = F.transform(F.filter("images", lambda i: i["src"] != ""), lambda i: F.struct(i["src"].alias("url"), F.lit(None).cast("int").alias("width_px"), F.lit(None).cast("int").alias("height_px")))
+    return raw.select(
+        F.concat(F.lit("woocommerce-"), F.col("id").cast("string")).alias("id"), F.col("id").cast("string").alias("source_id"), F.coalesce("name", F.lit("")).alias("title"), F.coalesce(F.nullif("description", F.lit("")), "short_description", F.lit("")).alias("description"),
+        price.alias("price"), price.alias("landing_page_price"), images.alias("images"), meta("gtin", "ean", "upc").alias("gtin"), F.nullif("sku", F.lit("")).alias("mpn"), kind.alias("category"),
+        F.when(condition.isin("new", "used", "refurbished"), condition).otherwise("new").alias("condition"), F.when(F.col("stock_status") == "instock", "in_stock").otherwise(F.coalesce("stock_status", F.lit("out_of_stock"))).alias("availability"),
+        number(F.col("weight")).alias("shipping_weight_kg"), sides.alias("shipping_dims_cm"), F.map_from_entries(F.array_distinct(F.filter("attributes", lambda a: a["key"] != ""))).alias("attributes"),
+    )
+
+
+def category_rules(products: DataFrame) -> list[Column]:
+    """(rule, severity) structs of the rules of a product's category, null where they hold. Words are looked for in title, description and attribute values."""
+    col, kinds = F.col, dict(products.dtypes)
+    v = lambda cond, rule, severity: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+    values = F.array_join(F.map_values("attributes"), " ") if "attributes" in kinds else F.lit("")
+    blob = F.lower(F.concat_ws(" ", "title", "description", values))
+    said = lambda words: F.coalesce(F.rlike(blob, F.lit("|".join(w.replace(".", r"\.") for w in words))), F.lit(False))
+    attribute = lambda name: F.coalesce(F.try_element_at(col("attributes"), F.lit(name)) != "", F.lit(False)) if "attributes" in kinds else F.lit(False)
+    weight = col("shipping_weight_kg") if "shipping_weight_kg" in kinds else F.lit(None).cast("double")
+    playhouse, battery, appliance = col("category") == "playhouse", col("category").isin(BATTERY_CATEGORIES), col("category").isin(APPLIANCE_CATEGORIES)
+    return [
+        v(playhouse & ~attribute("age_grade") & ~said(AGE_WORDS), "playhouse_age_grading", "critical"), v(playhouse & ~said(SAFETY_WORDS), "playhouse_safety_warning", "critical"),
+        v(battery & ~attribute("certification") & ~said(CERTIFICATION_WORDS), "battery_safety_certification", "critical"), v(battery & weight.isNull(), "shipping_weight_present", "warning"),
+        v(appliance & (col("condition") != "new") & ~said(WARRANTY_WORDS), "warranty_disclosure", "warning"), v(appliance & said(["energy star", "energy-star"]) & ~attribute("energy_rating"), "energy_claim_substantiation", "warning"),
+    ]
 
 
 def feed_violations(products: DataFrame) -> DataFrame:
@@ -78,13 +116,10 @@ def feed_violations(products: DataFrame) -> DataFrame:
     v = lambda cond, rule, severity: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
     col, kinds = F.col, dict(products.dtypes)
     side = F.least(F.array_min(F.transform("images", lambda i: i["width_px"])), F.array_min(F.transform("images", lambda i: i["height_px"]))) if "images" in kinds else F.lit(None).cast("int")
-    attributes = F.array_join(F.map_values("attributes"), " ") if "attributes" in kinds else F.lit("")
-    blob = F.lower(F.concat_ws(" ", "title", "description", attributes, F.array_join(F.map_keys("attributes"), " ") if "attributes" in kinds else F.lit("")))
     rules = [
         v(F.coalesce(col("gtin"), F.lit("")) == "", "gtin_present", "warning"), v(F.abs(col("price") - col("landing_page_price")) > 0.01, "price_match", "critical"), v(col("price").isNull() | (col("price") <= 0), "price_positive", "critical"),
         v(side < LEAST_SIDE, "image_size", "critical"), v((side >= LEAST_SIDE) & (side < GOOD_SIDE), "image_size", "warning"),
-        *[v(F.coalesce(F.trim(c), F.lit("")) == "", f"required_{c}", "critical") for c in REQUIRED],
-        *[v((col("category") == c) & ~F.rlike(blob, F.lit(p)), r, s) for c, r, p, s in CATEGORY_RULES],
+        *[v(F.coalesce(F.trim(c), F.lit("")) == "", f"required_{c}", "critical") for c in REQUIRED], *category_rules(products),
     ]
     return products.select("id", F.explode(F.array_compact(F.array(*rules))).alias("v")).select("id", "v.*")
 
@@ -106,18 +141,21 @@ def gate(violations: DataFrame) -> DataFrame:
 
 
 def structured_products(pages: DataFrame) -> DataFrame:
-    """(key, url, price, currency, availability, condition, brand, gtin, variant_key) of each offer of the page's structured product nodes."""
-    node = F.try_parse_json("node")
-    n = pages.select("store_id", "run_id", "url", F.explode("nodes").alias("node")).withColumn("v", node).filter(F.contains("node", F.lit('"Product')))
+    """(key, seq, url, price, currency, availability, condition, brand, gtin, mpn, sku, variant_key) of each offer of the page's structured product nodes.
+
+    An aggregate offer gives its lowest price as one row, and each offer inside it as one more.
+    """
+    n = pages.select("store_id", "run_id", "seq", "url", F.explode("nodes").alias("node")).filter(F.contains("node", F.lit('"Product'))).withColumn("v", F.try_parse_json("node"))
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
-    offers = F.coalesce(F.try_variant_get("v", "$.offers.offers", "array<variant>"), F.try_variant_get("v", "$.offers", "array<variant>"), F.array(F.try_variant_get("v", "$.offers", "variant")))
-    o = n.withColumn("o", F.explode(offers))
+    whole = F.coalesce(F.try_variant_get("v", "$.offers", "array<variant>"), F.array(F.try_variant_get("v", "$.offers", "variant")))
+    inner = F.coalesce(F.flatten(F.transform(whole, lambda o: F.coalesce(F.try_variant_get(o, "$.offers", "array<variant>"), F.array().cast("array<variant>")))), F.array().cast("array<variant>"))
+    o = n.withColumn("o", F.explode(F.concat(whole, inner))).filter("o is not null")
     of = lambda path: F.try_variant_get("o", path, "string")
     number = lambda c: F.when(F.rlike(c, F.lit(r"^\d+(\.\d+)?$")), c.cast("double"))
     price = number(F.replace(F.coalesce(of("$.price"), of("$.lowPrice")), F.lit(","), F.lit("")))
-    gtin = X.gtin(F.coalesce(*[get(f"$.{k}") for k in ("gtin14", "gtin13", "gtin12", "gtin8", "gtin")]))
-    mpn, sku = X.identifier(get("$.mpn")), X.identifier(F.coalesce(of("$.sku"), get("$.sku")))
-    return o.select("store_id", "run_id", "url", price.alias("price"), of("$.priceCurrency").alias("currency"), X.availability(of("$.availability")).alias("availability"), X.condition(of("$.itemCondition")).alias("condition"), F.coalesce(get("$.brand.name"), get("$.brand")).alias("brand"), gtin.alias("gtin"), F.coalesce(gtin, mpn, sku, F.left(F.sha2(F.to_json("o").cast("binary"), 256), F.lit(16))).alias("variant_key"))
+    gtin = X.gtin(F.coalesce(*[F.coalesce(of(f"$.{k}"), get(f"$.{k}")) for k in ("gtin14", "gtin13", "gtin12", "gtin8", "gtin")]))
+    mpn, sku = X.identifier(F.coalesce(of("$.mpn"), get("$.mpn"))), X.identifier(F.coalesce(of("$.sku"), get("$.sku")))
+    return o.select("store_id", "run_id", "seq", "url", price.alias("price"), of("$.priceCurrency").alias("currency"), X.availability(of("$.availability")).alias("availability"), X.condition(of("$.itemCondition")).alias("condition"), F.coalesce(get("$.brand.name"), get("$.brand")).alias("brand"), gtin.alias("gtin"), mpn.alias("mpn"), sku.alias("sku"), F.coalesce(gtin, mpn, sku, F.left(F.sha2(F.to_json("o").cast("binary"), 256), F.lit(16))).alias("variant_key"))
 
 
 def word_count(text: Column) -> Column:

@@ -13,15 +13,41 @@ from storegrain.functions import urls as U
 from storegrain.operators.rules import KEY, small
 from storegrain.sources.features import may_be_similar, ratio
 
-# Phrases of block pages, and the visible length below which the vague ones count.
-HARD_BLOCK = r"(?i)access denied|you have been blocked|error 1020|request blocked"
-CHALLENGE = r"(?i)checking your browser|just a moment|enable javascript and cookies"
-CAPTCHA = r"(?i)captcha|are you a robot|verify you are human"
+# Phrases of block pages, those that count only on short pages, and the visible length below which they do.
+HARD_BLOCK = [
+    "sorry, you have been blocked", "you are unable to access", "this website is using a security service to protect itself from online attacks", "the action you just performed triggered the security solution",
+    "incapsula incident id", "your request has been blocked",
+]
+VAGUE_BLOCK = ["access denied", "reference #", "request unsuccessful"]
+CHALLENGE = [
+    "checking your browser", "just a moment...", "attention required! | cloudflare", "ddos-guard", "verifying you are human", "please wait while we verify", "needs to review the security of your connection",
+    "enable javascript and cookies to continue", "checking if the site connection is secure", "please stand by, while we are checking your browser", "please complete the security check to access",
+    "unusual traffic from your computer network",
+]
+CAPTCHA_WIDGETS = [
+    "g-recaptcha", "recaptcha/api.js", "www.google.com/recaptcha", "hcaptcha.com/1/api.js", "h-captcha", "challenges.cloudflare.com/turnstile", "cf-turnstile", "captcha-delivery.com", "funcaptcha", "arkoselabs.com",
+]
+CAPTCHA_PHRASES = ["verify you are human", "complete the security check", "i'm not a robot"]
 BLOCK_CHARS = 1200
 SIMILAR = 0.92
-PLACEHOLDER = r"(?i)(placeholder|no[-_]?image|default[-_]?image|coming[-_]?soon)"
-RETURN_PORTALS = ["loopreturns.com", "returngo.ai", "aftership.com", "returnly.com", "narvar.com", "happyreturns.com"]
-CLAIM = r"(?i)free (shipping|returns?|delivery)|money[- ]?back|\d+[- ]day returns?"
+# Names of placeholder images, prices and purchase words of product pages, claims, form fields and hints.
+PLACEHOLDER = r"(?i)placeholder|default[-_]?product|no[-_]?image|coming[-_]?soon|sample[-_]?image|image[-_]?not[-_]?available|missing[-_]?image"
+PRICE = r"(?i)(?:[$£€¥]|USD|EUR|GBP)\s?\d[\d,]*(?:\.\d{2})?|\d[\d,]*(?:\.\d{2})?\s?(?:USD|EUR|GBP|\$|£|€)"
+AVAILABLE = r"(?i)add to cart|add to bag|buy now|in stock|out of stock|sold out|available|unavailable|pre-?order"
+RETURN_PORTALS = ["loopreturns.com", "narvar.com", "happyreturns.com", "returnly.com", "aftership.com", "returngo.ai", "returbo.com", "returnscenter.com"]
+RETURN_WORDS, CONTACT_WORDS = ["return", "refund", "exchange"], ["contact", "support", "help"]
+#: Second-level names under which domains are registered, as far as they end like this; no suffix list is at hand.
+PUBLIC_SECOND = r"(?:co|com|org|net|gov|edu|ac)\.[a-z]{2}"
+SHIPPING_CLAIM = r"(?i)free shipping|ships? (worldwide|internationally|in \d+|same[- ]day|next[- ]day)|shipping (is free|included)|fast shipping|express shipping|flat[- ]rate shipping"
+RETURNS_CLAIM = r"(?i)\d+[-\s]day(s)? (return|money[- ]back)|free returns?|no[- ]questions[- ]asked|hassle[- ]free returns?|money[- ]back guarantee|full refund|returns? accepted|satisfaction guarantee"
+NAME_FIELD, EMAIL_FIELD, MESSAGE_FIELD = r"(?i)name|full[-_ ]?name|your[-_ ]?name|first[-_ ]?name", r"(?i)e-?mail", r"(?i)message|comment|enquiry|inquiry|details"
+NEWSLETTER_HINT, CONTACT_HINT = r"(?i)newsletter|subscribe|signup|sign-up|sign_up", r"(?i)contact|enquiry|inquiry"
+ACCOUNT_HINT, REVIEW_HINT = r"(?i)login|register|log-in|sign-in|signin", r"(?i)commentform|comment-form|wp-comments-post\.php"
+NO_LEAD_KINDS = ["hidden", "submit", "button", "search", "checkbox", "radio", "file"]
+# Page types that an audit requires, with their labels.
+REQUIRED_PAGES = [("privacy_policy", "Privacy policy"), ("shipping_policy", "Shipping policy"), ("returns_policy", "Returns/refund policy"), ("terms_of_service", "Terms of service"), ("contact_about", "Contact info")]
+# Page types that tell who runs a store.
+IDENTITY_PAGES = ["homepage", "contact_about", "privacy_policy", "shipping_policy", "returns_policy", "terms_of_service"]
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -40,8 +66,13 @@ def insecure(pages: DataFrame) -> DataFrame:
 
 def page_type(url: Column, is_home: Column, headings: Column, body: Column) -> Column:
     """Home page, else by URL, else by headings, else other if there is a heading, else by body."""
-    said = lambda t: F.when(F.rlike(t, F.lit(r"(?i)privacy policy|datenschutz")), "privacy_policy").when(F.rlike(t, F.lit(r"(?i)shipping (policy|information)|versand")), "shipping_policy").when(F.rlike(t, F.lit(r"(?i)returns?|refunds?")), "returns_policy").when(F.rlike(t, F.lit(r"(?i)terms (of|and)")), "terms_of_service").when(F.rlike(t, F.lit(r"(?i)contact|about us")), "contact_about")
-    return F.when(is_home, "homepage").otherwise(F.coalesce(U.url_type(U.path(url)), said(F.array_join(headings, " ")), F.when(F.size(headings) > 0, "blog_other"), said(body), F.lit("blog_other")))
+    said = F.array_join(headings, " ")
+    return F.when(is_home, "homepage").otherwise(F.coalesce(U.url_type(U.path(url)), U.text_type(said), F.when(F.trim(said) != "", "blog_other"), U.text_type(body), F.lit("blog_other")))
+
+
+def external_links(pages: DataFrame) -> DataFrame:
+    """(key, url, check_id, link): one finding for each page that loads and link off its site."""
+    return links(pages.filter("reachable") if "reachable" in pages.columns else pages).filter("not internal").select(*KEY, "url", F.lit("external_domain_link").alias("check_id"), "link")
 
 
 def robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -51,17 +82,53 @@ def robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return j.groupBy(*pages.columns).agg(F.coalesce(F.min_by("allow", "rule_order"), F.lit(True)).alias("allowed"))
 
 
+def _any_of(text: Column, phrases: list[str]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def _short(html: Column) -> Column:
+    return F.char_length(F.regexp_replace(html, r"<[^>]+>", " ")) < BLOCK_CHARS
+
+
+def looks_bodyless(html: Column) -> Column:
+    return F.coalesce((html != "") & ~F.contains(F.lower(html), F.lit("<body")), F.lit(False))
+
+
+def looks_hard_block(html: Column) -> Column:
+    """A page of a firewall: by phrases of its own, or by vague ones where little else is to be seen."""
+    low = F.lower(html)
+    return F.coalesce(_any_of(low, HARD_BLOCK) | (_any_of(low, VAGUE_BLOCK) & _short(html)), F.lit(False))
+
+
+def looks_challenge(html: Column) -> Column:
+    low = F.lower(html)
+    return F.coalesce(_any_of(low, CHALLENGE) | (_any_of(low, CAPTCHA_WIDGETS) & _short(html)), F.lit(False))
+
+
+def looks_captcha(html: Column) -> Column:
+    low = F.lower(html)
+    return F.coalesce(_any_of(low, CAPTCHA_WIDGETS) & (_short(html) | _any_of(low, CAPTCHA_PHRASES)), F.lit(False))
+
+
 def failure_category(status: Column, html: Column, error: Column) -> Column:
-    """Why a fetch gave no page: by error, status, then what the page looks like; null if nothing is wrong."""
-    visible = F.char_length(F.regexp_replace(html, r"<[^>]+>", " "))
-    has = lambda p: F.rlike(html, F.lit(p))
+    """Why a fetch gave no page; null if it did. error: null, network_error, blocked_ssrf, or anything else."""
+    blocked = status.isin(401, 403) | looks_hard_block(html) | looks_challenge(html)
     return (
-        F.when(F.rlike(error, F.lit("(?i)timeout")), "timeout").when(F.rlike(error, F.lit("(?i)dns|resolve")), "dns").when(error.isNotNull(), "connection")
-        .when(has(HARD_BLOCK) & (visible < BLOCK_CHARS), "hard_block").when(has(CAPTCHA) & (visible < BLOCK_CHARS), "captcha").when(has(CHALLENGE) & (visible < BLOCK_CHARS), "challenge")
-        .when(status == 429, "rate_limited").when(status.isin(401, 403), "forbidden").when(status == 404, "not_found").when(status >= 500, "server_error").when(F.coalesce(html, F.lit("")) == "", "empty")
+        F.when(status.isin(404, 410), "not_found").when(error == "blocked_ssrf", "blocked_ssrf").when(looks_captcha(html), "captcha_blocked").when(blocked, "bot_blocked").when(status == 429, "rate_limited")
+        .when(error == "network_error", "network_error").when((status < 200) | (status >= 400), "http_error").when(error.isNotNull() | status.isNull() | (F.coalesce(html, F.lit("")) == "") | looks_bodyless(html), "unknown")
     )
 
 
+def fetch_outcomes(fetches: DataFrame) -> DataFrame:
+    """fetches (status, html, error) with failure_category, reachable, and cannot_verify: failed, but neither not found nor refused as a private address."""
+    f = fetches.withColumn("failure_category", failure_category(F.col("status"), F.col("html"), F.col("error")))
+    c = F.col("failure_category")
+    return f.withColumns({"reachable": c.isNull(), "cannot_verify": c.isNotNull() & ~c.isin("not_found", "blocked_ssrf")})
+
+
 def broken_pages(pages: DataFrame) -> DataFrame:
     """(key, url, check_id): pages that can't be reached or verified; the latter only where not the whole crawl failed."""
     ran = pages.groupBy(*KEY).agg(F.bool_or("reachable").alias("any"))
@@ -70,44 +137,83 @@ def broken_pages(pages: DataFrame) -> DataFrame:
 
 
 def platform(probes: DataFrame) -> DataFrame:
-    """(key, platform) from probe rows (path, status, namespaces, has_products, html), the strongest signal first."""
+    """(key, platform) from probe rows (path, status, namespaces, has_products, html), the first signal in this order.
+
+    Namespaces of the index, the status of the product route, the core route, the product list, marks in the home page.
+    """
+    path, ok = F.col("path"), F.col("status") == 200
+    spaces = lambda prefix: (path == "/wp-json/") & ok & F.coalesce(F.exists("namespaces", lambda n: n.startswith(prefix)), F.lit(False))
+    marks = lambda p: (path == "/") & F.rlike("html", F.lit(p))
     signals = [
-        (F.exists("namespaces", lambda n: n.startswith("wc/")), "woocommerce"), ((F.col("path") == "/wp-json/wc/store") & (F.col("status") == 200), "woocommerce"), (F.col("has_products"), "shopify"),
-        (F.rlike("html", F.lit(r"(?i)cdn\.shopify\.com")), "shopify"), (F.rlike("html", F.lit("(?i)woocommerce")), "woocommerce"),
+        (spaces("wc/"), "woocommerce"), (spaces("wp/"), "wordpress"), ((path == "/wp-json/wc/v3/products") & F.col("status").isin(200, 401, 403), "woocommerce"), ((path == "/wp-json/wp/v2/") & ok, "wordpress"),
+        ((path == "/products.json") & ok & F.col("has_products"), "shopify"), (marks("(?i)woocommerce"), "woocommerce"),
+        (marks(r"""(?i)wp-content|wp-includes|<meta[^>]+name=["']generator["'][^>]+content=["']WordPress"""), "wordpress"), (marks(r"(?i)cdn\.shopify\.com|Shopify\.theme|shopify-section|myshopify\.com"), "shopify"),
     ]
     rank = F.coalesce(*[F.when(seen, F.struct(F.lit(k).alias("r"), F.lit(name).alias("p"))) for k, (seen, name) in enumerate(signals)])
     return probes.groupBy(*KEY).agg(F.coalesce(F.min(rank)["p"], F.lit("unknown")).alias("platform"))
 
 
 def product_text(pages: DataFrame) -> DataFrame:
-    """(key, url, check_id): product pages whose text names no price, no availability."""
-    t = F.coalesce("text", F.lit(""))
-    price = ~F.rlike(t, F.lit(r"[$£€¥₹]\s?\d|\d\s?(?:USD|GBP|EUR|JPY|INR|CAD|AUD)\b"))
-    stock = ~F.rlike(t, F.lit(r"(?i)in stock|out of stock|sold out|add to cart|available|pre-?order"))
-    checks = F.array_compact(F.array(F.when(price, "generic_product_price_missing"), F.when(stock, "generic_product_availability_missing")))
-    return pages.select(*KEY, "url", F.explode(checks).alias("check_id"))
+    """(key, url, check_id): product pages with a text that names no price, no availability."""
+    p = pages.filter("text <> ''")
+    checks = F.array_compact(F.array(F.when(~F.rlike("text", F.lit(PRICE)), "generic_product_price_missing"), F.when(~F.rlike("text", F.lit(AVAILABLE)), "generic_product_availability_missing")))
+    return p.select(*KEY, "url", F.explode(checks).alias("check_id"))
 
 
 def image_checks(pages: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, url, src, check_id) of placeholder names, missing alt texts, and what probes (url, status, width, height, error) say."""
-    i = pages.select(*KEY, "url", F.explode("images").alias("i")).select(*KEY, "url", "i.src", "i.alt").join(probes.withColumnRenamed("url", "src"), "src", "left")
-    probed = F.when(F.col("error").isNotNull(), "image_unverifiable").when(F.col("status") >= 400, "image_broken").when(F.col("status").isNotNull() & F.col("width").isNull(), "image_undecodable").when((F.col("width") < 250) | (F.col("height") < 250), "image_too_small")
-    checks = F.array_compact(F.array(F.when(F.rlike("src", F.lit(PLACEHOLDER)), "image_placeholder"), F.when(F.trim(F.coalesce("alt", F.lit(""))) == "", "image_missing_alt"), probed))
-    return i.select(*KEY, "url", "src", F.explode(checks).alias("check_id"))
+    """(key, url, src, check_id, confidence) of placeholder names, missing alt texts, and what probes (url, status, width, height, error) say.
+
+    An image that answered with an error, or can't be decoded, is broken; one that didn't answer can't be verified.
+    """
+    i = pages.select(*KEY, "url", F.explode("images").alias("i")).select(*KEY, "url", "i.src", "i.alt").join(probes.withColumnRenamed("url", "src").withColumn("probed", F.lit(True)), "src", "left")
+    one = lambda check, confidence: F.struct(F.lit(check).alias("check_id"), F.lit(confidence).alias("confidence"))
+    probed = F.when(F.col("probed"), F.when(F.col("status") >= 400, one("product_image_broken", "confirmed")).when(F.col("status").isNull(), one("product_image_broken", "cannot_verify")).when(F.col("width").isNull(), one("product_image_broken", "potential_risk")).when((F.col("width") < 250) | (F.col("height") < 250), one("product_image_low_resolution", "confirmed")))
+    checks = F.array_compact(F.array(F.when(F.rlike("src", F.lit(PLACEHOLDER)), one("product_image_placeholder_filename", "potential_risk")), F.when(F.trim(F.coalesce("alt", F.lit(""))) == "", one("product_image_missing_alt_text", "confirmed")), probed))
+    return i.select(*KEY, "url", "src", F.explode(checks).alias("c")).select(*KEY, "url", "src", "c.*")
+
+
+def leads(pages: DataFrame) -> DataFrame:
+    """(key, url, action, kind, fields) of the contact and newsletter forms of pages (page_type, forms).
+
+    Forms with a password, and those of accounts, reviews and comments, are none, whatever their fields.
+    """
+    f = pages.select(*KEY, "url", "page_type", F.explode("forms").alias("f"))
+    fields = F.filter("f.fields", lambda x: ~x["kind"].isin(NO_LEAD_KINDS))
+    f = f.select(*KEY, "url", "page_type", F.col("f.action").alias("action"), F.concat_ws(" ", "f.hint", "f.action").alias("hint"), fields.alias("fields"))
+    email, message = F.exists("fields", _is_email), F.exists("fields", _is_message)
+    n = F.size("fields")
+    kind = (
+        F.when(F.exists("fields", lambda x: x["kind"] == "password") | F.rlike("hint", F.lit(ACCOUNT_HINT)) | F.rlike("hint", F.lit(REVIEW_HINT)) | ~email, F.lit(None).cast("string"))
+        .when(F.rlike("hint", F.lit(NEWSLETTER_HINT)), "newsletter").when((F.col("page_type") == "contact_about") | F.rlike("hint", F.lit(CONTACT_HINT)) | (message & (n >= 2)), "contact").when((n <= 2) & ~message, "newsletter")
+    )
+    return f.withColumn("kind", kind).filter("kind is not null").drop("page_type", "hint")
+
+
+def _is_email(x: Column) -> Column:
+    return (x["kind"] == "email") | F.rlike(x["hint"], F.lit(EMAIL_FIELD))
+
+
+def _is_message(x: Column) -> Column:
+    return (x["kind"] == "textarea") | F.rlike(x["hint"], F.lit(MESSAGE_FIELD))
 
 
 def form_checks(pages: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, url, check_id) of contact and newsletter forms. probes: page_url, action, status, error."""
-    f = pages.select(*KEY, "url", F.posexplode("forms").alias("k", "f"))
-    has = lambda pattern, kinds=(): F.exists("f.fields", lambda x: F.rlike(x["hint"], F.lit(pattern)) | x["kind"].isin(list(kinds) or [""]))
-    email, message = has("mail", ["email"]), has("message|comment|inquiry|enquiry", ["textarea"])
-    kind = F.when(message, "contact").when(email, "newsletter")
-    weak = F.exists("f.fields", lambda x: F.rlike(x["hint"], F.lit("mail")) & (x["kind"] != "email") & x["pattern"].isNull())
-    checks = F.array_compact(F.array(F.when((kind == "contact") & ~has("name"), "contact_form_missing_name"), F.when((kind == "contact") & ~email, "contact_form_missing_email"), F.when(kind.isNotNull() & weak, "form_email_validation")))
-    own = f.select(*KEY, "url", F.explode(checks).alias("check_id"))
-    p = f.select(*KEY, "url", F.col("f.action").alias("action")).filter("action <> '' and not startswith(action, '#') and action <> url").join(probes.withColumnRenamed("page_url", "url"), ["url", "action"])
-    bad = p.filter("error is not null or status >= 400").select(*KEY, "url", F.when(F.col("error").isNotNull(), "form_action_unverifiable").otherwise("form_action_unreachable").alias("check_id"))
-    return own.unionByName(bad)
+    """(key, url, check_id, detail) of contact and newsletter forms. probes: page_url, action, status, error.
+
+    detail: the fields that a contact form lacks, or the form's kind. A form that submits to its own page needs no probe.
+    """
+    f = leads(pages)
+    named = lambda x: (x["kind"] == "text") & F.rlike(x["hint"], F.lit(NAME_FIELD)) & ~F.rlike(x["hint"], F.lit(EMAIL_FIELD))
+    absent = F.array_join(F.array_compact(F.array(F.when(~F.exists("fields", named), "name"), F.when(~F.exists("fields", _is_email), "email"), F.when(~F.exists("fields", _is_message), "message"))), "/")
+    weak = F.exists("fields", lambda x: _is_email(x) & (x["kind"] != "email") & ~x["required"] & x["pattern"].isNull())
+    one = lambda check, detail: F.struct(F.lit(check).alias("check_id"), detail.alias("detail"))
+    checks = F.array_compact(F.array(F.when((F.col("kind") == "contact") & (absent != ""), one("contact_form_missing_field", absent)), F.when(weak, one("form_email_field_weak_validation", F.col("kind")))))
+    own = f.select(*KEY, "url", F.explode(checks).alias("c")).select(*KEY, "url", "c.*")
+    page = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), "(?<=[^/])/+$", "")
+    target = F.when(F.rlike("action", F.lit("^https?://")), F.col("action")).otherwise(F.concat(U.scheme(F.col("url")), F.lit("://"), U.netloc(F.col("url")), F.when(F.col("action").startswith("/"), F.col("action")).otherwise(F.concat(F.regexp_extract(U.path(F.col("url")), "^(.*/)?", 1), "action"))))
+    p = f.filter("action <> '' and not rlike(action, '^(mailto:|javascript:|tel:|#)')").filter(page(target) != page(F.col("url")))
+    p = p.join(probes.withColumnRenamed("page_url", "url"), ["url", "action"]).filter("error is not null or status >= 400")
+    return own.unionByName(p.select(*KEY, "url", F.lit("form_action_unreachable").alias("check_id"), F.col("kind").alias("detail")))
 
 
 def journeys(rows: DataFrame) -> DataFrame:
@@ -142,12 +248,27 @@ def same_titles(titles: DataFrame) -> DataFrame:
 
 
 def soft_404(pages: DataFrame, baselines: DataFrame) -> DataFrame:
-    """(key, url, how): pages whose text is that of the run's probe (baselines: key, baseline), or at least 0.92 alike. Null text is empty."""
-    t = pages.select(*KEY, "url", F.coalesce("text", F.lit("")).alias("text")).join(baselines, KEY)
-    exact = X.content_hash(F.col("text")) == X.content_hash(F.col("baseline"))
-    a, b = X.compare_text(F.col("text")), X.compare_text(F.col("baseline"))
-    near = t.filter(~exact).filter(may_be_similar(a, b, SIMILAR)).withColumn("r", ratio(a, b)).filter(F.col("r") >= SIMILAR)
-    return t.filter(exact).select(*KEY, "url", F.lit("exact").alias("how")).unionByName(near.select(*KEY, "url", F.lit("near").alias("how")))
+    """(key, url, matched, how): pages whose text is that of the run's probe (baselines: key, baseline), else of its home page, or at least 0.92 alike.
+
+    The home page is the one of the lowest seq; a run may have no probe. Null texts are empty; a text has no match
+    in an empty one but by equality. Pages that didn't load (reachable) take no part.
+    """
+    p = pages.filter("reachable") if "reachable" in pages.columns else pages
+    t = p.select(*KEY, "url", "seq", F.coalesce("text", F.lit("")).alias("text"))
+    first = pages.groupBy(*KEY).agg(F.min_by(F.struct("url", F.coalesce("text", F.lit("")).alias("text"), F.col("reachable").alias("ok") if "reachable" in pages.columns else F.lit(True).alias("ok")), "seq").alias("h"))
+    home = first.select(*KEY, F.col("h.url").alias("home_url"), F.when(F.col("h.ok"), F.col("h.text")).alias("home"))
+    j = t.join(home, KEY, "left").join(baselines.select(*KEY, "baseline"), KEY, "left").withColumn("home", F.when(F.col("url") != F.col("home_url"), F.col("home")))
+    # hashes first; the ratio is computed only where lengths leave a chance
+    j = j.select(*KEY, "url", X.compare_text(F.col("text")).alias("a"), X.content_hash(F.col("text")).alias("h"), *[x for c in ("baseline", "home") for x in (X.compare_text(F.col(c)).alias(f"{c}_text"), F.when(F.col(c).isNotNull(), X.content_hash(F.col(c))).alias(f"{c}_hash"))])
+    equal = lambda c: F.coalesce(F.col("h") == F.col(f"{c}_hash"), F.lit(False))
+    maybe = lambda c: F.coalesce(~equal(c) & (F.col("a") != "") & (F.col(f"{c}_text") != "") & may_be_similar(F.col("a"), F.col(f"{c}_text"), SIMILAR), F.lit(False))
+    j = j.withColumns({f"{c}_equal": equal(c) for c in ("baseline", "home")} | {f"{c}_maybe": maybe(c) for c in ("baseline", "home")})
+    j = j.filter("baseline_equal or home_equal or baseline_maybe or home_maybe")
+    near = lambda c: ratio(F.when(F.col(f"{c}_maybe"), F.col("a")).otherwise("x"), F.when(F.col(f"{c}_maybe"), F.col(f"{c}_text")).otherwise("y")) >= SIMILAR
+    j = j.withColumns({"near_baseline": near("baseline"), "near_home": near("home")})
+    matched = F.when(F.col("baseline_equal") | F.col("near_baseline"), "baseline").when(F.col("home_equal") | F.col("near_home"), "homepage")
+    how = F.when(F.when(matched == "baseline", F.col("baseline_equal")).otherwise(F.col("home_equal")), "exact").otherwise("near")
+    return j.select(*KEY, "url", matched.alias("matched"), how.alias("how")).filter("matched is not null")
 
 
 def repeated_blocks(pages: DataFrame, least: float = 0.9) -> DataFrame:
@@ -189,24 +310,121 @@ def dominant_language(pages: DataFrame) -> DataFrame:
     return n.groupBy(*KEY).agg(F.min_by("lang", F.struct((-F.col("n")).alias("n"), "seq")).alias("lang"))
 
 
-def portal_credit(pages: DataFrame) -> DataFrame:
-    """(key, link): the first external link of a run to a known returns portal."""
-    e = pages.select(*KEY, "seq", F.posexplode("links").alias("pos", "link"))
-    on = F.array_contains(F.array(*map(F.lit, RETURN_PORTALS)), F.regexp_extract(U.netloc(F.col("link")), r"([^.]+\.[^.]+)$", 1))
-    return e.filter(on).groupBy(*KEY).agg(F.min_by("link", F.struct("seq", "pos")).alias("link"))
+def registrable(host: Column) -> Column:
+    """The part of a host that is registered: the last two labels, or three where the last two are a public suffix such as co.uk."""
+    return F.coalesce(F.nullif(F.regexp_extract(host, rf"([^.]+\.{PUBLIC_SECOND})$", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
+
+
+def off_domain_credit(pages: DataFrame, words: list[str], portals: list[str] = ()) -> DataFrame:
+    """(key, link, found_on, matched_via): the first external link of a run to a known portal, or to another host of the same organisation whose URL has one of the words.
+
+    pages: key, seq, url, links[, reachable]; the store's own host is that of the page with the lowest seq.
+    """
+    host = lambda u: F.regexp_replace(U.netloc(u), r":\d+$", "")
+    base = pages.groupBy(*KEY).agg(F.min_by("url", "seq").alias("base")).select(*KEY, host(F.col("base")).alias("base"))
+    p = pages.filter("reachable") if "reachable" in pages.columns else pages
+    e = p.select(*KEY, "seq", "url", F.posexplode("links").alias("pos", "link")).filter(host(F.col("link")) != "").join(base, KEY)
+    root = lambda c: F.regexp_replace(c, r"^www\.", "")
+    e = e.withColumn("h", host(F.col("link"))).filter(root(F.col("h")) != root(F.col("base")))
+    portal = registrable(F.col("h")).isin(list(portals)) if portals else F.lit(False)
+    same = (registrable(F.col("h")) == registrable(F.col("base"))) & _any_of(F.lower("link"), words)
+    e = e.filter(portal | same).withColumn("via", F.when(portal, "known_returns_portal").otherwise("same_organization_subdomain"))
+    return e.groupBy(*KEY).agg(F.min_by(F.struct("link", F.col("url").alias("found_on"), F.col("via").alias("matched_via")), F.struct("seq", "pos")).alias("c")).select(*KEY, "c.*")
+
+
+def returns_credit(pages: DataFrame) -> DataFrame:
+    return off_domain_credit(pages, RETURN_WORDS, RETURN_PORTALS)
+
 
+def contact_credit(pages: DataFrame) -> DataFrame:
+    return off_domain_credit(pages, CONTACT_WORDS)
 
-def claim_tasks(pages: DataFrame) -> DataFrame:
-    """(key, url, policy_url): the home page and the first five product pages that make a claim, each with the first returns policy page."""
+
+def claim_tasks(pages: DataFrame, soft: DataFrame | None = None) -> DataFrame:
+    """(key, url, kind, policy_url): the home page and the first five product pages that make a shipping or returns claim, each with the first policy page of that kind.
+
+    pages: key, seq, url, page_type, text[, reachable]; policy pages in soft (key, url) are passed over.
+    """
+    p = pages.filter("reachable") if "reachable" in pages.columns else pages
     w = Window.partitionBy(*KEY, "page_type").orderBy("seq")
-    some = pages.filter("page_type in ('homepage', 'product')").withColumn("k", F.row_number().over(w)).filter("page_type = 'homepage' or k <= 5").filter(F.rlike("text", F.lit(CLAIM)))
-    policy = pages.filter("page_type = 'returns_policy'").groupBy(*KEY).agg(F.min_by("url", "seq").alias("policy_url"))
-    return some.select(*KEY, "url").join(policy, KEY)
+    some = p.filter("page_type in ('homepage', 'product')").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("page_type") == "homepage", 1).otherwise(5))
+    claims = F.array_compact(F.array(F.when(F.rlike("text", F.lit(SHIPPING_CLAIM)), "shipping"), F.when(F.rlike("text", F.lit(RETURNS_CLAIM)), "returns")))
+    said = some.select(*KEY, "url", F.explode(claims).alias("kind"))
+    policy = p.filter("page_type in ('shipping_policy', 'returns_policy')")
+    policy = policy if soft is None else policy.join(soft.select(*KEY, "url"), [*KEY, "url"], "left_anti")
+    policy = policy.groupBy(*KEY, F.regexp_extract("page_type", "^(.*)_policy$", 1).alias("kind")).agg(F.min_by("url", "seq").alias("policy_url"))
+    return said.join(policy, [*KEY, "kind"]).select(*KEY, "url", "kind", "policy_url")
+
+
+def required_pages(pages: DataFrame, soft: DataFrame, runs: DataFrame) -> DataFrame:
+    """(key, check_id, page_type, title, severity, confidence, page_url): what keeps a run from having each of the required pages.
+
+    A run of which no page loaded has one crawl_incomplete finding. Else, for a type without a genuine page: the first
+    one that looks like a catch-all (soft: key, url, matched), else the first that couldn't be verified, else, in a
+    language beyond U.LANGUAGES, that it couldn't be confirmed; else it is missing.
+    pages: key, seq, url, page_type, reachable, cannot_verify, lang.
+    """
+    p = pages.join(soft.select(*KEY, "url", F.lit(True).alias("soft")), [*KEY, "url"], "left").withColumn("soft", F.coalesce("soft", F.lit(False)))
+    first = lambda cond: F.min_by(F.when(cond, F.col("url")), F.when(cond, F.col("seq")))
+    of = p.groupBy(*KEY, "page_type").agg(F.bool_or(F.col("reachable") & ~F.col("soft")).alias("genuine"), first(F.col("reachable") & F.col("soft")).alias("soft_url"), first(F.col("cannot_verify")).alias("unsure_url"))
+    ran = pages.groupBy(*KEY).agg(F.bool_or("reachable").alias("any"), F.min_by("url", "seq").alias("home"))
+    lang = dominant_language(pages.filter("reachable"))
+    r = runs.select(*KEY).join(ran, KEY, "left").join(lang, KEY, "left")
+    failed = r.filter("not coalesce(any, false)").select(*KEY, F.lit("crawl_incomplete").alias("check_id"), F.lit(None).cast("string").alias("page_type"), F.lit("Required-page presence could not be checked - this audit could not crawl the site").alias("title"), F.lit("high").alias("severity"), F.lit("cannot_verify").alias("confidence"), F.col("home").alias("page_url"))
+    types = F.array(*[F.struct(F.lit(t).alias("page_type"), F.lit(label).alias("label")) for t, label in REQUIRED_PAGES])
+    every = r.filter("any").select(*KEY, "lang", F.explode(types).alias("t")).select(*KEY, "lang", "t.*").join(of, [*KEY, "page_type"], "left").filter("not coalesce(genuine, false)")
+    no_language = F.col("lang").isNotNull() & ~F.col("lang").isin(U.LANGUAGES)
+    case = lambda a, b, c, d: F.when(F.col("soft_url").isNotNull(), a).when(F.col("unsure_url").isNotNull(), b).when(no_language, c).otherwise(d)
+    title = lambda rest: F.concat("label", F.lit(rest))
+    return failed.unionByName(
+        every.select(
+            *KEY, F.lit("required_page_present").alias("check_id"), "page_type",
+            case(title(" page could not be confirmed - content looks like a generic/catch-all page"), title(" page could not be verified"), title(" page could not be confirmed - site content language not recognized"), F.concat(F.lit("Missing required page: "), "label")).alias("title"),
+            case(F.lit("high"), F.lit("high"), F.lit("medium"), F.lit("critical")).alias("severity"), case(F.lit("cannot_verify"), F.lit("cannot_verify"), F.lit("cannot_verify"), F.lit("confirmed")).alias("confidence"), F.coalesce("soft_url", "unsure_url").alias("page_url"),
+        )
+    )
+
 
+def identity_signals(pages: DataFrame) -> DataFrame:
+    """(key, kind, value, url, seq) of the mail addresses, phone numbers and street addresses on identity pages that loaded."""
+    p = pages.filter(F.col("page_type").isin(IDENTITY_PAGES) & (F.col("text") != "") & (F.col("reachable") if "reachable" in pages.columns else F.lit(True)))
+    has_digit = F.rlike("text", F.lit(r"\d"))
+    none = F.array().cast("array<string>")
+    each = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    found = F.concat(each("email", F.when(F.contains("text", F.lit("@")), X.emails(F.col("text"))).otherwise(none)), each("phone", F.when(has_digit, X.phones(F.col("text"))).otherwise(none)), each("address", F.when(has_digit, F.array_distinct(X.addresses(F.col("text")))).otherwise(none)))
+    return p.select(*KEY, "url", "seq", F.explode(found).alias("s")).select(*KEY, "s.*", "url", "seq")
 
-def phone_countries(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """(key, phone, code): phone facts whose calling code names no country that any page of the run mentions, if it mentions some."""
-    said = pages.select(*KEY, F.explode(X.countries(F.coalesce("text", F.lit("")))).alias("c")).groupBy(*KEY).agg(F.collect_set("c").alias("said"))
-    codes = F.create_map(*[x for k, v in X.CALLING_CODES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    p = facts.filter("fact = 'business.phone'").select(*KEY, F.col("value").alias("phone"), X.calling_code(F.col("value")).alias("code")).filter("code is not null").distinct()
-    return p.join(said, KEY).filter(~F.arrays_overlap(codes[F.col("code")], "said")).select(*KEY, "phone", "code")
+
+def identity_findings(pages: DataFrame, runs: DataFrame, shown: int = 20) -> DataFrame:
+    """(key, check_id, severity, confidence, page_url, n_values, evidence): no contact at all; more than one mail address or phone number; a phone of another country.
+
+    Values are counted whole; evidence names the first `shown` by value, each with the number of its pages and the first
+    of them, so that no run has to fit into one row. Runs without an identity page that loaded have none of the first.
+    """
+    s = identity_signals(pages)
+    values = s.groupBy(*KEY, "kind", "value").agg(F.count_distinct("url").alias("n"), F.min_by("url", "seq").alias("first"))
+    w = Window.partitionBy(*KEY, "kind").orderBy("value")
+    per = values.groupBy(*KEY, "kind").agg(F.count(F.lit(1)).alias("n_values"))
+    top = values.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= shown).groupBy(*KEY, "kind")
+    top = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.format_string("%s (on %d page(s), first %s)", "value", "n", "first").alias("t")))), lambda x: x["t"]), "; ").alias("evidence"))
+    many = per.filter("kind <> 'address' and n_values > 1").join(top, [*KEY, "kind"])
+    text = F.lit(None).cast("string")
+    row = lambda df, check, severity, confidence, url, n, evidence: df.select(*KEY, check.alias("check_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), url.alias("page_url"), n.alias("n_values"), evidence.alias("evidence"))
+    several = row(many, F.format_string("business_identity_%s_consistency", "kind"), "medium", "potential_risk", text, F.col("n_values"), F.col("evidence"))
+    checked = pages.filter(F.col("page_type").isin(IDENTITY_PAGES) & (F.col("reachable") if "reachable" in pages.columns else F.lit(True))).select(*KEY).distinct()
+    none = runs.select(*KEY).join(checked, KEY, "left_semi").join(s.select(*KEY).distinct(), KEY, "left_anti")
+    absent = row(none, F.lit("business_identity_present"), "critical", "confirmed", text, F.lit(0).cast("long"), text)
+    phones = values.filter("kind = 'phone'").select(*KEY, F.col("value").alias("phone"), F.col("first").alias("url"))
+    other = row(phone_countries(phones, pages), F.lit("business_identity_phone_country_mismatch"), "high", "potential_risk", F.col("url"), F.lit(1).cast("long"), F.format_string("%s has calling code +%s", "phone", "code"))
+    return several.unionByName(absent).unionByName(other)
+
+
+def phone_countries(phones: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, phone, code, url): phones (key, phone, url) whose calling code names no country that an identity page of the run mentions, if these mention some."""
+    known = [(code, name) for code, names in X.CALLING_NAMES.items() for name in names]
+    low = F.lower("text")
+    said = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(name)), F.lit(code)) for code, name in known])))
+    p = pages.filter(F.col("page_type").isin(IDENTITY_PAGES) & (F.col("text") != "") & (F.col("reachable") if "reachable" in pages.columns else F.lit(True)))
+    codes = p.select(*KEY, F.explode(said).alias("c")).groupBy(*KEY).agg(F.collect_set("c").alias("said"))  # as many as there are codes
+    f = phones.withColumn("code", X.calling_code(F.col("phone"))).filter("code is not null").join(codes, KEY)
+    return f.filter(~F.array_contains("said", F.col("code"))).select(*KEY, "phone", "code", "url")

@@ -269,7 +269,7 @@ def reconciled(regex: DataFrame, model: DataFrame, pages: DataFrame) -> DataFram
     j = regex.select(*on, "value", F.col("confidence").alias("r_conf")).join(m, on, "full_outer").join(pages.select(*KEY, "url", "text"), [*KEY, "url"], "left")
     on_page = F.contains(X.quote_text(F.col("text")), X.quote_text(F.col("quote")))
     gone = F.col("asked") & (F.col("m_value").isNull() | ~F.coalesce(on_page, F.lit(False)))
-    agree = X.same_value(F.col("value"), F.col("m_value"))
+    agree = X.same_value(F.col("fact"), F.col("value"), F.col("m_value"))
     j = j.filter(~F.coalesce(gone, F.lit(False)))
     pick = lambda alone, both, other: F.when(F.col("asked").isNull(), alone).when(F.coalesce(agree, F.lit(False)), both).otherwise(other)
     return j.select(*on, pick(F.col("value"), F.col("value"), F.col("m_value")).alias("value"), pick(F.lit("regex"), F.lit("regex_llm_agree"), F.lit("llm")).alias("method"), pick(F.col("r_conf"), F.lit(0.95), F.greatest(F.lit(0.0), F.least(F.lit(0.9), F.col("m_conf")))).alias("confidence"))

@@ -69,13 +69,38 @@ def policy_hashes(texts: DataFrame) -> DataFrame:
 def reaudits(changed_policies: DataFrame, stores: DataFrame) -> DataFrame:
     """(url, trigger): every store that opted in, with the names of the changed policies; none if nothing changed."""
     trigger = changed_policies.agg(F.array_join(F.sort_array(F.collect_set("policy_id")), ", ").alias("trigger")).filter("trigger <> ''")
-    return stores.filter("on_policy_change").select("url").join(F.broadcast(trigger))  # one row
+    return stores.filter("on_policy_change").select("url").crossJoin(F.broadcast(trigger))  # one row
+
+
+# The modes of a watched store.
+MODES = ["interval", "on_change", "both"]
 
 
 def due(stores: DataFrame, now: Column) -> DataFrame:
-    """Stores in interval mode whose last full audit, or last cheap check, lies its days back, or never was."""
+    """stores with full and cheap, true if the full audit or the cheap check is due: never done, or its days ago. Only stores where one is.
+
+    Full audits are for the modes interval and both, cheap checks for on_change and both.
+    """
     late = lambda last, days: F.col(last).isNull() | (F.date_add(F.col(last), F.col(days)) <= now)
-    return stores.filter("mode = 'interval' and interval_days is not null").filter(late("last_full_audit_at", "interval_days"))
+    full = F.col("mode").isin("interval", "both") & F.col("interval_days").isNotNull() & late("last_full_audit_at", "interval_days")
+    cheap = F.col("mode").isin("on_change", "both") & F.col("cheap_check_interval_days").isNotNull() & late("last_cheap_check_at", "cheap_check_interval_days")
+    return stores.withColumns({"full": F.coalesce(full, F.lit(False)), "cheap": F.coalesce(cheap, F.lit(False))}).filter("full or cheap")
+
+
+def registration_errors(stores: DataFrame) -> DataFrame:
+    """(url, error): unknown mode, an interval that the mode needs and that is not there or 0, a URL given twice."""
+    lacks = lambda c: F.coalesce(F.col(c) == 0, F.lit(True))
+    found = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("mode").isin(MODES), F.lit(False)), "unknown mode"), F.when(F.col("mode").isin("interval", "both") & lacks("interval_days"), "interval_days is required"),
+        F.when(F.col("mode").isin("on_change", "both") & lacks("cheap_check_interval_days"), "cheap_check_interval_days is required"),
+    ))
+    twice = stores.groupBy("url").count().filter("count > 1").select("url", F.lit("already registered").alias("error"))
+    return stores.select("url", F.explode(found).alias("error")).unionByName(twice)
+
+
+def old_jobs(jobs: DataFrame, now: Column, days: int) -> DataFrame:
+    """Jobs made more than `days` days before now."""
+    return jobs.filter(F.col("created_at") < F.date_sub(now, days).cast("timestamp"))
 
 
 def blobs(references: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storegrain.operators.rules import small
-
 LEAST_CHARS, CHUNK_CHARS, CACHE_DAYS = 40, 1200, 30
+#: Bytes of chunk vectors that are broadcast at most, and bits of the filter of quotes.
+MOST_BYTES, BITS = 64 << 20, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,16 +21,29 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def best_passages(queries: DataFrame, chunks: DataFrame, top: int = 3) -> DataFrame:
-    """(query_id, rank, source_url, section, score): the best chunk of each section of the query's policy, then the top sections.
+    """(query_id, rank, source_url, section, score, chunk_index[, created_at]): the best chunk of each section of the query's policy, then the top sections.
 
-    queries: query_id, policy_id, vector. chunks: policy_id, source_url, section, chunk_index, vector; policy texts
-    are few, so they are broadcast up to a counted size.
+    queries: query_id, policy_id, vector. chunks: policy_id, source_url, section, chunk_index, vector[, created_at].
+    Chunks go to the queries where their counted bytes are under MOST_BYTES; beyond that both are shuffled by policy.
+    A query's sections are cut to the best `top` before the shuffle.
     """
-    c = small(chunks.withColumnRenamed("vector", "chunk_vector"))
+    n, width = chunks.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    more = [c for c in ("created_at",) if c in chunks.columns]
+    c = chunks.select("policy_id", "source_url", "section", "chunk_index", F.transform("vector", lambda x: x.cast("double")).alias("chunk_vector"), *more)
+    c = F.broadcast(c) if n * width * 8 <= MOST_BYTES else c
     scored = queries.join(c, "policy_id").withColumn("score", cosine(F.col("vector"), F.col("chunk_vector")))
-    best = scored.groupBy("query_id", "source_url", "section").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("i"))).alias("b"))
+    best = scored.groupBy("query_id", "source_url", "section").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("i"), *more)).alias("b"))
     w = Window.partitionBy("query_id").orderBy(F.desc("b.score"), "source_url", "section")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "source_url", "section", F.col("b.score").alias("score"))
+    out = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return out.select("query_id", "rank", "source_url", "section", F.col("b.score").alias("score"), (-F.col("b.i")).alias("chunk_index"), *[F.col(f"b.{m}") for m in more])
+
+
+def context(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, text, oldest): the texts of the chosen chunks (of best_passages) joined by rank, and the oldest created_at of them."""
+    t = chunks.select("source_url", "section", "chunk_index", "chunk_text")
+    j = best.join(t, ["source_url", "section", "chunk_index"])
+    oldest = F.min("created_at") if "created_at" in best.columns else F.min(F.lit(None).cast("timestamp"))
+    return j.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]), "\n\n").alias("text"), oldest.alias("oldest"))
 
 
 def packed(sections: DataFrame) -> DataFrame:
@@ -56,6 +69,12 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
+def upserted(cache: DataFrame, new: DataFrame, rebuilt: bool = False) -> DataFrame:
+    """The cache (cache_key, result_json, created_at) with new entries: the newest of each key. rebuilt: a policy index was, so no old entry stays."""
+    all_ = new if rebuilt else cache.unionByName(new)
+    return all_.groupBy("cache_key").agg(F.max_by(F.struct("result_json", "created_at"), "created_at").alias("r")).select("cache_key", "r.*")
+
+
 def reuse(work: DataFrame, cache: DataFrame, now: Column, valid_from: Column | None = None) -> DataFrame:
     """work (cache_key, ..) with result_json and hit: the newest entry of at most CACHE_DAYS days, not older than valid_from."""
     c = cache.filter(F.col("created_at") >= F.date_sub(now, CACHE_DAYS))
@@ -73,15 +92,38 @@ def accuracy(verdicts: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame
     return out.withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+def _places(m: int, cells: list[int]) -> Column:
+    """(at, m) of the places in the words `ws` whose first m words have their bit set among cells."""
+    bits = [0] * (BITS // 32)
+    for c in cells:
+        bits[c >> 5] |= 1 << (c & 31)
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+
+    def may(i: Column) -> Column:
+        cell = F.pmod(F.xxhash64(F.slice("ws", i, m)), F.lit(BITS)).cast("int")
+        return F.get(table, F.shiftright(cell, 5)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(31)))) != 0
+
+    found = F.transform(F.filter(F.sequence(F.lit(1), F.size("ws") - m + 1), may), lambda i: F.struct(i.alias("at"), F.lit(m).alias("m")))
+    return F.when(F.size("ws") >= m, found).otherwise(F.array().cast("array<struct<at:int,m:int>>"))
+
+
 def quotes_found(texts: DataFrame, quotes: DataFrame, words: int = 8) -> DataFrame:
-    """(quote_id, n_texts): texts that hold a quote word by word, found by its first `words` words and then compared whole."""
+    """(quote_id, n_texts): texts that hold a quote word by word.
+
+    The first `words` words of each place in a text are tested inside its row against a bitmap of the quotes' first
+    words, of fixed size; the few places that pass carry as many words as the longest quote has, so no text is joined.
+    """
     split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     q = quotes.select("quote_id", split(F.col("text")).alias("q")).filter(F.size("q") > 0).withColumn("n", F.size("q"))
     q = q.withColumn("m", F.least(F.lit(words), "n")).withColumn("head", F.xxhash64(F.slice("q", F.lit(1), F.col("m"))))
-    lengths = [r["m"] for r in q.select("m").distinct().collect()]  # at most `words` numbers
+    known = q.groupBy("m").agg(F.max("n").alias("longest"), F.collect_set(F.pmod("head", F.lit(BITS))).alias("cells")).collect()  # `words` rows of BITS cells at most
+    place = "array<struct<at:int,m:int>>"
+    starts = F.array().cast(place)
     t = texts.select("text_id", split(F.col("text")).alias("ws"))
-    starts = [F.when(F.size("ws") >= m, F.transform(F.sequence(F.lit(1), F.size("ws") - m + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("ws", i, m)).alias("head")))).otherwise(F.array().cast("array<struct<at:int,head:bigint>>")) for m in (int(x) for x in lengths)]
-    s = t.select("text_id", F.explode(F.concat(F.array().cast("array<struct<at:int,head:bigint>>"), *starts)).alias("s")).select("text_id", F.col("s.at").alias("at"), F.col("s.head").alias("head"))
-    hit = s.join(small(q), "head").join(t, "text_id").filter(F.slice("ws", F.col("at"), F.col("n")) == F.col("q"))
+    for r in known:
+        starts = F.concat(starts, _places(r["m"], r["cells"]).cast(place))
+    longest = max((r["longest"] for r in known), default=1)
+    s = t.withColumn("s", F.explode(starts)).select("text_id", F.xxhash64(F.slice("ws", F.col("s.at"), F.col("s.m"))).alias("head"), F.slice("ws", F.col("s.at"), F.lit(longest)).alias("here"))
+    hit = s.join(q, "head").filter(F.slice("here", F.lit(1), F.col("n")) == F.col("q"))
     n = hit.select("quote_id", "text_id").distinct().groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_texts"))
     return quotes.select("quote_id").join(n, "quote_id", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0).cast("long")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storegrain.functions import facts as X
 from storegrain.operators import rules as R
 from storegrain.plans import read
+from storegrain.sources.tables import landed
 
-RULES = "id string, type string, fact string, methods array<string>, sources array<string>, fields array<string>, tolerance double, min_confidence double, severity string, title string, resource_type string, check string"
+RULES = "id string, type string, fact string, methods array<string>, sources array<string>, fields array<string>, tolerance double, min_confidence double, severity string, title string, resource_type string, check string, source_url string, impact string, policy_reference string"
 
 
 def rule(**given) -> dict:
@@ -23,7 +24,11 @@ def rule_table(spark: SparkSession, *rows: dict) -> DataFrame:
 def contact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "text").filter("text is not null")
     each = lambda fact, values, method, conf: F.transform(values, lambda v: F.struct(F.lit(fact).alias("fact"), v.alias("value"), F.lit(method).alias("method"), F.lit(conf).alias("confidence")))
-    found = d.select("doc_id", "source", F.explode(F.concat(each("business.email", X.emails(F.col("text")), "email_regex", 0.9), each("business.phone", X.phones(F.col("text")), "phone_regex", 0.6))).alias("f"))
+    # a pattern runs only over texts with a sign of what it finds
+    none = F.array().cast("array<string>")
+    emails = F.when(F.contains("text", F.lit("@")), X.emails(F.col("text"))).otherwise(none)
+    phones = F.when(F.rlike("text", F.lit(r"\d[\d\s().-]{7}")), X.phones(F.col("text"))).otherwise(none)
+    found = d.select("doc_id", "source", F.explode(F.concat(each("business.email", emails, "business_identity_regex", 0.9), each("business.phone", phones, "business_identity_regex", 0.6))).alias("f"))
     return found.select(F.col("source").alias("store_id"), F.lit("r1").alias("run_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("resource_url"), "f.fact", "f.value", "f.method", "f.confidence", F.lit(None).cast("string").alias("variant_key"))
 
 
@@ -35,16 +40,35 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("source").alias("store_id"), F.lit("r1").alias("run_id")).distinct().withColumn("failed", F.lit(False))
 
 
-EMAIL = rule(id="email_conflict", type="cross_page_contradiction", fact="business.email", severity="high", title="Several mail addresses")
-PHONE = rule(id="phone_conflict", type="cross_page_contradiction", fact="business.phone", severity="medium", title="Several phone numbers")
+EMAIL = rule(id="email_conflict", type="cross_page_contradiction", fact="business.email", sources=["contact_about"], severity="high", title="Several mail addresses")
+PHONE = rule(id="phone_conflict", type="cross_page_contradiction", fact="business.phone", sources=["contact_about"], severity="medium", title="Several phone numbers")
 CONTACT = rule(id="no_contact", type="all_missing", fields=["business.email", "business.phone"], severity="critical", title="No contact data")
 
 
+#: Rules that may not run: a fact that nothing produces, a type that doesn't exist, a source that is none, and a check that is not in the registry.
+BROKEN = [rule(id="no_such_fact", type="all_missing", fields=["business.fax"]), rule(id="no_such_type", type="guess"), rule(id="no_source", type="missing_resource", resource_type="faq", source_url="http://example.com/x"), rule(id="bad_check", type="existing_check", check="not_there")]
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rules, evaluations, errors) of the sound rules above and of broken ones; facts are written once, as several plans read them."""
+    facts = landed(contact_facts(spark, sf_dir), "contact-facts")
+    registry = spark.createDataFrame([("business.email",), ("business.phone",)], "fact string")
+    table = rule_table(spark, EMAIL, PHONE, CONTACT, *BROKEN)
+    pages = document_pages(spark, sf_dir).withColumns({"reachable": F.lit(True), "soft_404": F.lit(False), "cannot_verify": F.lit(False)})
+    rs = runs(spark, sf_dir).withColumn("credited", F.array().cast("array<string>"))
+    return table, *R.evaluate(table, facts, pages, rs, registry, ["business_identity_regex"])
+
+
 def first_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, pages, rs = contact_facts(spark, sf_dir), document_pages(spark, sf_dir), runs(spark, sf_dir)
-    table = rule_table(spark, EMAIL, PHONE, CONTACT)
-    evaluations = R.cross_page(facts, pages, table.filter("type = 'cross_page_contradiction'")).select(*R.KEY, "rule_id", "result").unionByName(R.missing_facts(rs, facts, table.filter("type = 'all_missing'")).select(*R.KEY, "rule_id", "result"))
-    return R.snapshot_status(rs, R.build_findings(evaluations, table)).select("store_id", "status", "n_findings")
+    table, evaluations, _ = evaluated(spark, sf_dir)
+    return R.snapshot_status(runs(spark, sf_dir), R.build_findings(evaluations, table)).select("store_id", "status", "n_findings")
+
+
+def rule_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evaluations, and the errors of the rules that were left out, as rows without a store."""
+    _, evaluations, errors = evaluated(spark, sf_dir)
+    bad = errors.groupBy(F.col("id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("store_id"), "rule_id", F.lit("error").alias("result"), F.lit(None).cast("double").alias("confidence"))
+    return evaluations.select("store_id", "rule_id", "result", "confidence").unionByName(bad)
 
 
 FACTS_SQL = r"""
@@ -71,7 +95,7 @@ STATUS_SQL = (
     + FACTS_SQL
     + """,
 ev as (
-  select store_id, case when fact = 'business.email' then 'at_risk' when min(confidence) >= 0.75 then 'action_required' else 'advisory' end as level
+  select store_id, case when fact = 'business.email' then 'at_risk' else 'action_required' end as level
   from facts group by store_id, fact having count(*) >= 2 and count(distinct value) > 1
   union all select source, 'critical' from documents where source not in (select store_id from facts) group by source)
 select source as store_id, case when bool_or(level = 'critical') then 'CRITICAL' when bool_or(level = 'at_risk') then 'AT_RISK'
@@ -81,6 +105,14 @@ from (select distinct source from documents) d left join ev on d.source = ev.sto
 )
 
 
+DISPATCH_SQL = "with" + FACTS_SQL + """
+select store_id, case when fact = 'business.email' then 'email_conflict' else 'phone_conflict' end as rule_id, case when count(distinct value) = 1 then 'pass' when min(confidence) >= 0.75 then 'fail' else 'needs_review' end as result, min(confidence)::double as confidence
+from facts group by store_id, fact having count(*) >= 2
+union all select source, 'no_contact', case when source in (select store_id from facts) then 'pass' else 'fail' end, 1.0 from documents group by source
+union all select null, unnest(['no_such_fact', 'no_such_type', 'no_source', 'bad_check']), 'error', null
+"""
+
+
 def cross_page_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.cross_page(contact_facts(spark, sf_dir), document_pages(spark, sf_dir), rule_table(spark, EMAIL, PHONE))
     return out.select("store_id", "rule_id", "result", "observations", "distinct_values")
@@ -121,7 +153,7 @@ def missing_resource_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = e.select(F.col("user_id").alias("store_id"), F.lit("r1").alias("run_id"), F.col("event_type").alias("page_type"), (F.col("value") >= 1).alias("reachable"), (F.col("value") < 20).alias("soft_404"), (F.col("value") < 1).alias("cannot_verify"))
     rs = pages.select(*R.KEY).distinct().withColumn("credited", F.array(F.lit("signup")))
     table = rule_table(spark, *[rule(id=f"has_{t}", type="missing_resource", resource_type=t) for t in ("purchase", "signup", "error")])
-    return R.missing_resource(rs, pages, table).select("store_id", "resource_type", "result", "reason", "n_pages")
+    return R.missing_resource(rs, pages, table).select("store_id", "resource_type", "result", "confidence", "reason", "n_pages")
 
 
 RESOURCE_SQL = """
@@ -129,7 +161,7 @@ with t(resource_type) as (values ('purchase'), ('signup'), ('error')),
 u as (select distinct user_id from events where user_id is not null),
 g as (select user_id, event_type, bool_or(value >= 20) as genuine, bool_or(value >= 1 and value < 20) as soft, bool_or(value < 1) as blocked, count(*) as n from events group by 1, 2)
 select u.user_id as store_id, resource_type,
-  case when genuine then 'pass' when soft then 'fail' when blocked then 'needs_review' when resource_type = 'signup' then 'pass' else 'fail' end as result,
+  case when genuine then 'pass' when soft or blocked then 'needs_review' when resource_type = 'signup' then 'pass' else 'fail' end as result, case when genuine then 1.0 when soft then 0.5 when blocked then 0.3 when resource_type = 'signup' then 0.8 else 1.0 end::double as confidence,
   case when genuine then 'genuine' when soft then 'soft_404' when blocked then 'blocked' when resource_type = 'signup' then 'credited' else 'absent' end as reason,
   coalesce(n, 0) as n_pages
 from u cross join t left join g on g.user_id = u.user_id and g.event_type = resource_type
@@ -152,18 +184,22 @@ def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores with more than one value of a contact, counted whole; the first 20 are named."""
     f = contact_facts(spark, sf_dir).select("store_id", "fact", "value").distinct()
-    return f.groupBy("store_id", "fact").agg(F.count(F.lit(1)).alias("n_values"), F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("found")).filter("n_values > 1")
+    n = f.groupBy("store_id", "fact").agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
+    first = f.withColumn("k", F.row_number().over(Window.partitionBy("store_id", "fact").orderBy("value"))).filter("k <= 20")
+    return n.join(first.groupBy("store_id", "fact").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("found")), ["store_id", "fact"])
 
 
-QUERIES = {f.__name__: f for f in (first_audit_status, cross_page_contradiction, missing_fact_sets, method_price_mismatch, missing_resource_verdict, rule_sync, identity_signals, identity_inconsistent)}
+QUERIES = {f.__name__: f for f in (first_audit_status, rule_dispatch, cross_page_contradiction, missing_fact_sets, method_price_mismatch, missing_resource_verdict, rule_sync, identity_signals, identity_inconsistent)}
 SQL = {
     "first_audit_status": STATUS_SQL,
+    "rule_dispatch": DISPATCH_SQL,
     "cross_page_contradiction": CROSS_SQL,
     "missing_fact_sets": MISSING_SQL,
     "method_price_mismatch": METHOD_SQL,
     "missing_resource_verdict": RESOURCE_SQL,
     "rule_sync": SYNC_SQL,
     "identity_signals": "with" + FACTS_SQL + "select fact, value, count(*) as n_pages, count(distinct store_id) as n_stores, min(doc_id) as first_page from facts group by 1, 2",
-    "identity_inconsistent": "with" + FACTS_SQL + "select store_id, fact, count(distinct value) as n_values, string_agg(distinct value, ', ' order by value) as found from facts group by 1, 2 having count(distinct value) > 1",
+    "identity_inconsistent": "with" + FACTS_SQL + ", d as (select distinct store_id, fact, value from facts), k as (select *, row_number() over (partition by store_id, fact order by value) as k, count(*) over (partition by store_id, fact) as n from d) select store_id, fact, any_value(n) as n_values, string_agg(value, ', ' order by value) as found from k where n > 1 and k <= 20 group by 1, 2",
 }

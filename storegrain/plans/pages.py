@@ -80,22 +80,33 @@ from pages
 """
 
 
-def hub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hub page per domain whose links are all its urls."""
-    host = F.regexp_extract(U.netloc(F.col("url")), r"([^.]+\.[^.]+)$", 1)
-    return pages(spark, sf_dir).groupBy(host.alias("store_id")).agg(F.sort_array(F.collect_set("url")).alias("links")).select("store_id", F.lit("r1").alias("run_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("https://www."), "store_id", F.lit("/")).alias("url"), "links")
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page links to the three pages before it by id, and to itself by a path."""
+    p = pages(spark, sf_dir)
+    back = p.select(F.explode(F.array(*[F.col("page_id") + k for k in (1, 2, 3)])).alias("page_id"), F.col("url").alias("link"))
+    links = back.groupBy("page_id").agg(F.collect_set("link").alias("links"))  # three at most
+    domain = F.regexp_extract(U.netloc(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    return p.join(links, "page_id").select(domain.alias("store_id"), F.lit("r1").alias("run_id"), F.col("page_id").alias("seq"), "url", F.concat("links", F.array(U.path(F.col("url")))).alias("links"))
 
 
 def internal_external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.links(hub_pages(spark, sf_dir)).groupBy("store_id").agg(F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_external"))
+    return C.links(linked_pages(spark, sf_dir)).select(F.col("seq").alias("page_id"), "link", "internal")
 
 
 LINKS_SQL = r"""
-with l as (select distinct url, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host, regexp_extract(lower(regexp_extract(url, '://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1) as store_id from pages)
-select store_id, count(*) filter (where regexp_replace(host, '^www\.', '') = store_id) as n_internal, count(*) filter (where regexp_replace(host, '^www\.', '') <> store_id) as n_external from l group by 1
+with p as (select page_id, url, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages)
+select distinct a.page_id, b.url as link, a.host = b.host as internal from p a join p b on a.page_id - b.page_id between 1 and 3
+union all select page_id, path, true from p where page_id in (select page_id + k from pages, (values (1), (2), (3)) t(k))
 """
 
 
+def external_link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.external_links(linked_pages(spark, sf_dir)).select("store_id", "url", "check_id", "link").distinct()
+
+
+EXTERNAL_SQL = "with l as (" + LINKS_SQL + r") select distinct regexp_extract(lower(regexp_extract(p.url, '://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1) as store_id, p.url, 'external_domain_link' as check_id, link from l join pages p using (page_id) where not internal"
+
+
 def insecure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as the home page of its host, linking to the page after it."""
     p = pages(spark, sf_dir)
@@ -112,16 +123,40 @@ union all select store_id, 'https_mixed_content_link', link from p where starts_
 
 
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page ids replace the path's language part, so that a few paths hit a rule."""
-    words = F.array(*map(F.lit, ["cart", "privacy", "livraison", "refunds", "terms-of-use", "faq", "kontakt", "products/x"]))
-    path = F.concat(F.lit("/"), F.get(words, (F.col("page_id") % 8).cast("int")))
-    return pages(spark, sf_dir).select("page_id", F.coalesce(U.url_type(path), F.lit("none")).alias("page_type"), U.crawl_tier(path).alias("tier"))
+    """Types and crawl tiers of the pages by their URLs, headings and texts."""
+    u = F.col("url")
+    return parsed(spark, sf_dir).select(F.col("seq").alias("page_id"), C.page_type(u, U.path(u).isin("", "/"), F.col("headings"), F.left("main_text", F.lit(3000))).alias("page_type"), U.crawl_tier(U.path(u)).alias("tier"))
 
 
-TYPES_SQL = """
-select page_id, ['cart', 'privacy_policy', 'shipping_policy', 'returns_policy', 'terms_of_service', 'faq', 'contact_about', 'none'][page_id % 8 + 1] as page_type,
-  case when page_id % 8 in (1, 2, 3, 4, 6) then 0 when page_id % 8 = 7 then 1 else 2 end as tier from pages
+def _cases(column: str, rules: list, names: list | None = None) -> str:
+    """SQL conditions of the rules in order. DuckDB's patterns have no look-ahead, so one of them is put otherwise."""
+    return " ".join(f"when regexp_matches({column}, '{'|'.join(x.replace('(?!$)', '.') for x in patterns)}') then '{name}'" for name, patterns in rules if names is None or name in names)
+
+
+TYPES_SQL = rf"""
+with p as (
+  select page_id, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) as path, lower(array_to_string(list_transform(regexp_extract_all(html, '<h[12][^>]*>([^<]*)', 1), lambda x: replace(x, '&amp;', '&')), ' ')) as said from pages)
+select page_id, case when path in ('', '/') then 'homepage' {_cases('path', U.URL_RULES)} {_cases('said', U.TEXT_RULES)} else 'blog_other' end as page_type,
+  case when regexp_matches(path, '{"|".join(x for n, ps in U.URL_RULES if n in U.OVERVIEW_TYPES for x in ps)}') then 0 {_cases('path', U.URL_RULES, ['product']).replace("'product'", "1")} else 2 end as tier from p
 """
+#: A path of every language and form, with its type and tier, put before the paths of the given pages.
+FORMS = [
+    ("cart", "cart", 2), ("panier", "cart", 2), ("checkout", "checkout", 2), ("kasse", "checkout", 2), ("my-account", "blog_other", 2), ("privacy-policy", "privacy_policy", 0), ("datenschutz", "privacy_policy", 0), ("aviso-de-privacidad", "privacy_policy", 0),
+    ("informativa-sulla-privacy", "privacy_policy", 0), ("shipping_policy", "shipping_policy", 0), ("livraison", "shipping_policy", 0), ("versandkosten", "shipping_policy", 0), ("envios", "shipping_policy", 0), ("entrega", "shipping_policy", 0), ("refunds", "returns_policy", 0),
+    ("widerruf", "returns_policy", 0), ("devolucion", "returns_policy", 0), ("rimborso", "returns_policy", 0), ("terms-of-use", "terms_of_service", 0), ("agb", "terms_of_service", 0), ("impressum", "terms_of_service", 0), ("mentions-legales", "terms_of_service", 0),
+    ("faq", "faq", 2), ("preguntas-frecuentes", "faq", 2), ("kontakt", "contact_about", 0), ("a-propos", "contact_about", 0), ("chi-siamo", "contact_about", 0), ("basket", "cart", 2), ("products/blue-mug", "product", 1), ("produkt/x", "product", 1), ("shop/x", "product", 1),
+    ("shop", "collection", 2), ("collections/all", "collection", 2), ("categoria-prodotto/x", "collection", 2), ("blog/x", "blog_other", 2), ("plain", "none", 2),
+]
+
+
+def url_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by URL alone, with one of the forms as path of each page."""
+    path = F.concat(F.lit("/"), F.get(F.array(*[F.lit(f) for f, _, _ in FORMS]), (F.col("page_id") % len(FORMS)).cast("int")))
+    u = F.concat(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0), path, F.regexp_extract("url", r"\?[^#]*", 0))
+    return pages(spark, sf_dir).select("page_id", F.coalesce(U.url_type(U.path(u)), F.lit("none")).alias("page_type"), U.crawl_tier(U.path(u)).alias("tier"))
+
+
+FORMS_SQL = f"select page_id, {[t for _, t, _ in FORMS]!r}[page_id % {len(FORMS)} + 1] as page_type, {[k for _, _, k in FORMS]!r}[page_id % {len(FORMS)} + 1] as tier from pages"
 
 
 def dominant_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,27 +221,96 @@ DUPLICATE_SQL = r"select lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) as
 
 
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = parsed(spark, sf_dir).select(F.lit("all").alias("store_id"), "run_id", "seq", "url", "title").filter("title is not null")
+    """First lines of documents, cut to 80 characters, as titles of one run."""
+    t = documents(spark, sf_dir).select(F.lit("all").alias("store_id"), "run_id", "seq", "url", F.left(F.split("text", "\n")[0], F.lit(80)).alias("title")).filter("title is not null")
     return C.near_titles(t).select("url_a", "url_b", F.round("ratio", 6).alias("ratio"))
 
 
-def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return d.groupBy("store_id", "run_id").agg(F.min_by("text", "seq").alias("baseline"))
+def _baselines(d: DataFrame) -> DataFrame:
+    """A probe of every run: the text of its first page with an odd number; runs without one have none."""
+    return d.filter("seq % 2 = 1").groupBy("store_id", "run_id").agg(F.min_by(F.coalesce("text", F.lit("")), "seq").alias("baseline"))
 
 
 def soft404_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.soft_404(documents(spark, sf_dir), _baselines(spark, sf_dir)).filter("how = 'exact'").select("store_id", "url")
+    d = documents(spark, sf_dir)
+    return C.soft_404(d, _baselines(d)).filter("how = 'exact'").select("store_id", "url", "matched")
 
 
 def soft404_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.soft_404(documents(spark, sf_dir), _baselines(spark, sf_dir)).groupBy("store_id", "how").agg(F.count(F.lit(1)).alias("n_pages"))
+    """All pages that look like the probe or the home page, and how."""
+    d = documents(spark, sf_dir)
+    return C.soft_404(d, _baselines(d)).select("store_id", "url", "matched", "how")
 
 
 SOFT_SQL = r"""
 with d as (select source, doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as t from documents),
-b as (select source, arg_min(t, doc_id) as base from d group by 1)
-select d.source as store_id, doc_id::varchar as url from d join b on d.source = b.source and d.t = b.base
+h as (select source, arg_min(t, doc_id) as home, min(doc_id) as home_id from d group by 1),
+b as (select source, arg_min(t, doc_id) as base from d where doc_id % 2 = 1 group by 1)
+select d.source as store_id, doc_id::varchar as url, case when d.t = base then 'baseline' else 'homepage' end as matched
+from d left join b on d.source = b.source join h on d.source = h.source where d.t = base or (d.t = home and doc_id <> home_id)
+"""
+
+
+def document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the crawls of their sources, 17 runs each; the number gives a page's type and how its fetch went."""
+    from storegrain.operators.rules import PAGE_TYPES
+
+    d = read(spark, sf_dir, "documents")
+    kind = F.get(F.array(*map(F.lit, PAGE_TYPES)), (F.col("doc_id") % len(PAGE_TYPES)).cast("int"))
+    return d.select(F.col("source").alias("store_id"), (F.col("doc_id") % 17).cast("string").alias("run_id"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("url"), kind.alias("page_type"), (F.col("doc_id") % 3 != 0).alias("reachable"), (F.col("doc_id") % 6 == 0).alias("cannot_verify"), F.when(F.col("doc_id") % 4 == 0, "pl").otherwise(F.col("lang")).alias("lang"), "text")
+
+
+def required_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which required pages the runs lack; every seventh page counts as a soft 404."""
+    p = document_audit(spark, sf_dir).drop("text")
+    return C.required_pages(p, p.filter("seq % 7 = 0 and reachable"), p.select("store_id", "run_id").distinct())
+
+
+REQUIRED_SQL = """
+with t(page_type, label) as (values ('privacy_policy', 'Privacy policy'), ('shipping_policy', 'Shipping policy'), ('returns_policy', 'Returns/refund policy'), ('terms_of_service', 'Terms of service'), ('contact_about', 'Contact info')),
+p as (
+  select source as store_id, (doc_id % 17)::varchar as run_id, doc_id as seq, doc_id::varchar as url, doc_id % 3 <> 0 as ok, doc_id % 6 = 0 as unsure, doc_id % 7 = 0 as soft, case when doc_id % 4 = 0 then 'pl' else lang end as lang,
+    ['homepage', 'product', 'collection', 'cart', 'checkout', 'privacy_policy', 'shipping_policy', 'returns_policy', 'terms_of_service', 'contact_about', 'faq', 'blog_other'][doc_id % 12 + 1] as page_type
+  from documents),
+r as (select store_id, run_id, bool_or(ok) as alive, arg_min(url, seq) as home from p group by 1, 2),
+n as (select store_id, run_id, lang, count(*) as n, min(seq) as first from p where ok and lang is not null group by 1, 2, 3),
+l as (select store_id, run_id, arg_min(lang, (-n, first)) as lang from n group by 1, 2),
+g as (select store_id, run_id, page_type, bool_or(ok and not soft) as genuine, arg_min(url, seq) filter (where ok and soft) as soft_url, arg_min(url, seq) filter (where unsure) as unsure_url from p group by 1, 2, 3),
+x as (
+  select r.store_id, r.run_id, t.page_type, label, soft_url, unsure_url, lang not in ('en', 'es', 'fr', 'de', 'pt', 'it') as other
+  from r cross join t left join g on g.store_id = r.store_id and g.run_id = r.run_id and g.page_type = t.page_type left join l on l.store_id = r.store_id and l.run_id = r.run_id
+  where alive and not coalesce(genuine, false))
+select store_id, run_id, 'required_page_present' as check_id, page_type,
+  case when soft_url is not null then label || ' page could not be confirmed - content looks like a generic/catch-all page' when unsure_url is not null then label || ' page could not be verified'
+    when other then label || ' page could not be confirmed - site content language not recognized' else 'Missing required page: ' || label end as title,
+  case when coalesce(soft_url, unsure_url) is not null then 'high' when other then 'medium' else 'critical' end as severity, case when coalesce(soft_url, unsure_url) is not null or other then 'cannot_verify' else 'confirmed' end as confidence,
+  coalesce(soft_url, unsure_url) as page_url from x
+union all
+select store_id, run_id, 'crawl_incomplete', null, 'Required-page presence could not be checked - this audit could not crawl the site', 'high', 'cannot_verify', home from r where not alive
+"""
+
+
+def identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = document_audit(spark, sf_dir)
+    return C.identity_findings(p, p.select("store_id", "run_id").distinct()).select("store_id", "run_id", "check_id", "severity", "confidence", "page_url", "n_values")
+
+
+_NAMES = ", ".join(f"('{code}', '{name}')" for code, names in X.CALLING_NAMES.items() for name in names)
+IDENTITY_SQL = rf"""
+with p as (
+  select source as store_id, (doc_id % 17)::varchar as run_id, doc_id as seq, doc_id::varchar as url, text from documents
+  where doc_id % 3 <> 0 and doc_id % 12 in (0, 5, 6, 7, 8, 9)),
+s as (
+  select distinct store_id, run_id, seq, url, 'email' as kind, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}'))) as value from p
+  union select store_id, run_id, seq, url, 'phone', regexp_replace(v, '[^\d+]', '', 'g') from (select *, unnest(regexp_extract_all(text, '\+?\d[\d\s().-]{{7,}}\d')) as v from p) where length(regexp_replace(v, '\D', '', 'g')) between 8 and 15
+  union select store_id, run_id, seq, url, 'address', trim(unnest(regexp_extract_all(text, '(?i)\d{{1,6}}\s+[A-Za-z0-9.,''\s]{{3,60}}(street|st\.|avenue|ave\.|road|rd\.|boulevard|blvd\.|drive|dr\.|lane|ln\.|suite|floor|way|court|ct\.)'))) from p),
+c(code, name) as (values {_NAMES}),
+said as (select distinct store_id, run_id, code from p join c on contains(lower(text), name)),
+f as (select store_id, run_id, value, arg_min(url, seq) as url, (select max(code) from c where length(code) = (select max(length(code)) from c where starts_with(value, '+' || code)) and starts_with(value, '+' || code)) as code from s where kind = 'phone' and starts_with(value, '+') group by 1, 2, 3)
+select store_id, run_id, 'business_identity_' || kind || '_consistency' as check_id, 'medium' as severity, 'potential_risk' as confidence, null as page_url, count(distinct value) as n_values from s where kind <> 'address' group by store_id, run_id, kind having count(distinct value) > 1
+union all select distinct store_id, run_id, 'business_identity_present', 'critical', 'confirmed', null, 0 from p where (store_id, run_id) not in (select (store_id, run_id) from s)
+union all select store_id, run_id, 'business_identity_phone_country_mismatch', 'high', 'potential_risk', url, 1 from f
+where code is not null and (store_id, run_id) in (select (store_id, run_id) from said) and (store_id, run_id, code) not in (select (store_id, run_id, code) from said)
 """
 
 
@@ -242,8 +346,8 @@ def no_price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NO_PRICE_SQL = r"""
-select doc_id::varchar as url, 'generic_product_price_missing' as check_id from documents where not regexp_matches(coalesce(text, ''), '[$£€¥₹]\s?\d|\d\s?(?:USD|GBP|EUR|JPY|INR|CAD|AUD)\b')
-union all select doc_id::varchar, 'generic_product_availability_missing' from documents where not regexp_matches(coalesce(text, ''), '(?i)in stock|out of stock|sold out|add to cart|available|pre-?order')
+select doc_id::varchar as url, 'generic_product_price_missing' as check_id from documents where text <> '' and not regexp_matches(text, '(?i)([$£€¥]|usd|eur|gbp)\s?\d|\d\s?(usd|eur|gbp|\$|£|€)')
+union all select doc_id::varchar, 'generic_product_availability_missing' from documents where text <> '' and not regexp_matches(text, '(?i)add to cart|add to bag|buy now|in stock|out of stock|sold out|available|pre-?order')
 """
 
 
@@ -269,12 +373,12 @@ select store_id, min(url) as url from p group by 1 union select store_id, max(ur
 """
 
 
-_ALL = (url_canonical, facet_strip, pagination_groups, page_features, internal_external_links, insecure_links, page_types, dominant_language, content_dom_hash, changed_pages, robots_filter, evidence_pages)
-_DOCS = (duplicate_titles, near_duplicate_titles, soft404_exact, soft404_near, content_dedup_refcount, country_mentions, identifier_normalise, no_price_pages, report_sanitise)
+_ALL = (url_canonical, facet_strip, pagination_groups, page_features, internal_external_links, external_link_findings, insecure_links, page_types, url_types, dominant_language, content_dom_hash, changed_pages, robots_filter, evidence_pages)
+_DOCS = (duplicate_titles, near_duplicate_titles, soft404_exact, soft404_near, required_pages, identity_findings, content_dedup_refcount, country_mentions, identifier_normalise, no_price_pages, report_sanitise)
 QUERIES = {f.__name__: f for f in (*_ALL, *_DOCS)}
 SQL = {
     "url_canonical": CANONICAL_SQL, "facet_strip": FACET_SQL, "pagination_groups": GROUPS_SQL, "page_features": FEATURES_SQL, "internal_external_links": LINKS_SQL, "insecure_links": INSECURE_SQL,
-    "page_types": TYPES_SQL, "dominant_language": LANGUAGE_SQL, "content_dom_hash": HASH_SQL, "changed_pages": CHANGED_SQL, "robots_filter": ROBOTS_SQL, "evidence_pages": EVIDENCE_SQL, "duplicate_titles": DUPLICATE_SQL,
+    "external_link_findings": EXTERNAL_SQL, "page_types": TYPES_SQL, "url_types": FORMS_SQL, "required_pages": REQUIRED_SQL, "identity_findings": IDENTITY_SQL, "dominant_language": LANGUAGE_SQL, "content_dom_hash": HASH_SQL, "changed_pages": CHANGED_SQL, "robots_filter": ROBOTS_SQL, "evidence_pages": EVIDENCE_SQL, "duplicate_titles": DUPLICATE_SQL,
     "soft404_exact": SOFT_SQL, "content_dedup_refcount": "select sha256(text) as hash, count(*) as refcount, max(doc_id) as last_referenced from documents group by 1",
     "country_mentions": COUNTRY_SQL, "identifier_normalise": IDENTIFIER_SQL, "no_price_pages": NO_PRICE_SQL, "report_sanitise": SANITISE_SQL,
 }

@@ -17,48 +17,79 @@ def keyed(df: DataFrame, *cols) -> DataFrame:
 
 
 def category_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.capped(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["p_partkey"], 7)
+    """Seven parts of each type a brand: a store is a brand, the type is the page that a part was found on, or none for every fifth part, whose path names its size."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("store_id"), F.lit("r1").alias("run_id"), "p_partkey", F.concat(F.lit("https://shop/s"), "p_size", F.lit("/p"), "p_partkey").alias("url"), F.col("p_type").alias("found_on"), F.when(F.col("p_partkey") % 5 == 0, "faq").otherwise("collection").alias("kind"))
+    p = p.withColumn("category", W.category(F.col("url"), F.col("found_on"), F.col("kind")))
+    return W.capped(p, ["store_id", "run_id", "category"], ["p_partkey"], 2).select("store_id", "category", "p_partkey")
 
 
-CATEGORY_SQL = "select p_partkey, p_type from (select *, row_number() over (partition by p_type order by p_partkey) as k from part) where k <= 7"
+CATEGORY_SQL = """
+with p as (select p_brand as store_id, case when p_partkey % 5 = 0 then '/s' || p_size else p_type end as category, p_partkey from part)
+select store_id, category, p_partkey from (select *, row_number() over (partition by store_id, category order by p_partkey) as k from p) where k <= 2
+"""
 
 
 def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order is a page whose links are its parts."""
-    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_partkey"))).alias("parts"))
-    pages = li.select(F.col("l_orderkey").alias("seq"), F.transform("parts", lambda p: p.cast("string")).alias("links"))
-    return W.interleaved(pages)
+    """Each order is a page of one of five stores, whose links are its parts."""
+    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_partkey"))).alias("parts"))  # a few an order
+    pages = li.select((F.col("l_orderkey") % 5).cast("string").alias("store_id"), F.lit("r1").alias("run_id"), F.col("l_orderkey").alias("seq"), F.transform("parts", lambda p: p.cast("string")).alias("links"))
+    return W.interleaved(pages).drop("run_id")
 
 
 INTERLEAVE_SQL = """
 with l as (select l_orderkey as parent, l_partkey, row_number() over (partition by l_orderkey order by l_partkey) - 1 as child from (select distinct l_orderkey, l_partkey from lineitem))
-select l_partkey::varchar as url, (min((child, parent)))[1]::int as child, (min((child, parent)))[2] as parent from l group by 1
+select (parent % 5)::varchar as store_id, l_partkey::varchar as url, (min((child, parent)))[1]::int as child, (min((child, parent)))[2] as parent from l group by 1, 2
 """
 
 
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as the URLs that a store lists; a store is a brand."""
+    p = read(spark, sf_dir, "part")
+    tier = F.when(F.col("p_partkey") % 50 == 1, 0).when(F.col("p_size") <= 15, 1).when(F.col("p_size") <= 25, 2).otherwise(3)
+    return p.select(F.col("p_brand").alias("store_id"), F.lit("r1").alias("run_id"), F.concat(F.lit("/p/"), "p_partkey").alias("url"), tier.alias("tier"), F.col("p_partkey").alias("pos"))
+
+
+def _budgets(urls: DataFrame) -> DataFrame:
+    return urls.groupBy("store_id", "run_id").agg(F.count_if(F.col("tier") == 2).alias("catalog"), F.count(F.lit(1)).alias("listed")).select("store_id", "run_id", W.page_budget(F.col("catalog"), F.col("listed")).alias("budget"))
+
+
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan for the parts as URLs of one store, with a fixed budget of 300 as in its SQL."""
-    parts = read(spark, sf_dir, "part")
-    urls = parts.select(F.concat(F.lit("/p/"), "p_partkey").alias("url"), F.when(F.col("p_partkey") == 1, 0).when(F.col("p_size") <= 5, 1).when(F.col("p_size") <= 25, 2).otherwise(3).alias("tier"), F.col("p_partkey").alias("pos"))
-    return W.plan(urls, 300)
+    """A plan for each store, with the budget that its catalog gives."""
+    urls = _inventory(spark, sf_dir)
+    return W.plan(urls, _budgets(urls)).drop("run_id")
 
 
-PLAN_SQL = """
-with u as (select '/p/' || p_partkey as url, case when p_partkey = 1 then 0 when p_size <= 5 then 1 when p_size <= 25 then 2 else 3 end as tier, p_partkey as pos from part)
-select * from (select * from (select * from u where tier = 0 order by pos limit 1) union all select * from (select * from u where tier = 1 order by pos limit 100) union all select * from (select * from u where tier > 1 order by tier, pos limit 300)) order by tier, pos limit 300
+BUDGET_SQL = """
+u as (select p_brand as store_id, '/p/' || p_partkey as url, case when p_partkey % 50 = 1 then 0 when p_size <= 15 then 1 when p_size <= 25 then 2 else 3 end as tier, p_partkey as pos from part),
+n as (select store_id, count(*) filter (where tier = 2) as catalog, count(*) as listed from u group by 1),
+b as (select store_id, case when catalog > 0 then greatest(60, 2 * catalog + 40) else greatest(60, listed) end as budget from n)
+"""
+PLAN_SQL = "with" + BUDGET_SQL + """,
+k as (select u.*, least(budget, 500) as budget, least(tier, 2) as kind, row_number() over (partition by u.store_id, least(tier, 2) order by tier, pos, url) as k from u join b using (store_id)),
+c as (select *, row_number() over (partition by store_id order by tier, pos, url) as r from k where k <= case kind when 0 then 1 when 1 then greatest(10, budget // 3) else budget end)
+select store_id, url, tier, pos from c where r <= budget
 """
 
 
 def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).select("p_brand", W.page_budget(F.col("n")).alias("budget"))
+    return _budgets(_inventory(spark, sf_dir)).select("store_id", "budget")
 
 
-def risk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    pages = p.select(F.col("p_brand").alias("store_id"), F.lit("r1").alias("run_id"), F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("url"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")).alias("price"), (F.col("p_size") * M.word_count(F.col("p_name"))).alias("n_words"))
-    return W.risk_sample(pages).select("store_id", "url", "score")
+    return p.select(F.col("p_brand").alias("store_id"), F.lit("r1").alias("run_id"), F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("url"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")).alias("price"), (F.col("p_size") * M.word_count(F.col("p_name"))).alias("n_words"))
 
 
+def risk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.risk_sample(_product_pages(spark, sf_dir)).select("store_id", "url", "score")
+
+
+def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _product_pages(spark, sf_dir)
+    return W.sample_coverage(p, W.risk_sample(p)).drop("run_id").withColumn("coverage", F.round("coverage", 6))
+
+
+COVERAGE_SQL = "select p_brand as store_id, count(*) as n_products, least(count(*), least(50, greatest(5, ceil(0.05 * count(*)))))::bigint as n_checked, round(least(count(*), least(50, greatest(5, ceil(0.05 * count(*))))) / count(*), 6) as coverage, least(50, greatest(5, ceil(0.05 * count(*)))) < count(*) as is_partial from part group by 1"
 SAMPLE_SQL = r"""
 with p as (select p_brand as store_id, p_partkey as seq, case when p_partkey % 11 <> 0 then p_retailprice end as price, p_size * len(list_filter(regexp_split_to_array(trim(p_name), '\s+'), lambda w: w <> '')) as n_words from part),
 c as (select *, count(*) over (partition by store_id) as n, count(price) over (partition by store_id) as priced, row_number() over (partition by store_id order by price nulls last, seq) as k from p),
@@ -94,22 +125,35 @@ def api_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as feed products, dealt to the categories; every second has an age grade and a certificate, every third a weight."""
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
+    category = F.get(F.array(*map(F.lit, FEED_CATEGORIES)), (k % len(FEED_CATEGORIES)).cast("int"))
+    more = F.when(k % 2 == 0, F.create_map(F.lit("age_grade"), F.lit("3+"), F.lit("certification"), F.lit("UL 2272"))).otherwise(F.create_map(F.lit("note"), F.when(k % 9 == 0, "energy star, with warranty").otherwise("choking hazard")))
     return p.select(
         k.cast("string").alias("id"), F.when(k % 13 != 0, F.col("p_name")).alias("title"), F.col("p_type").alias("description"), F.when(k % 17 != 0, F.col("p_retailprice")).alias("price"), (F.col("p_retailprice") + F.when(k % 5 == 0, 1.0).otherwise(0.0)).alias("landing_page_price"),
-        F.when(k % 3 != 0, F.concat(F.lit("0"), k)).alias("gtin"), F.lit("other").alias("category"), F.lit("in_stock").alias("availability"), F.when(k % 19 != 0, "new").alias("condition"),
+        F.when(k % 3 != 0, F.concat(F.lit("0"), k)).alias("gtin"), category.alias("category"), F.lit("in_stock").alias("availability"), F.when(k % 19 != 0, F.when(k % 4 == 1, "used").otherwise("new")).alias("condition"), F.when(k % 3 == 0, 2.5).alias("shipping_weight_kg"), more.alias("attributes"),
     )
 
 
+FEED_CATEGORIES = ["household_tool", "playhouse", "electric_scooter", "electric_motor", "coffee_machine", "refrigerator"]
 def feed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.feed_violations(_feed(spark, sf_dir))
 
 
 FEED_SQL = """
+p as (
+  select p_partkey as k, p_name, p_type, p_partkey % 6 as c, lower(concat_ws(' ', case when p_partkey % 13 <> 0 then p_name end, p_type, case when p_partkey % 2 = 0 then '3+ UL 2272' when p_partkey % 9 = 0 then 'energy star, with warranty' else 'choking hazard' end)) as blob from part),
 v as (
-  select p_partkey, unnest([case when p_partkey % 3 = 0 then 'gtin_present' end, case when p_partkey % 17 <> 0 and p_partkey % 5 = 0 then 'price_match' end, case when p_partkey % 17 = 0 then 'price_positive' end,
-    case when p_partkey % 13 = 0 or trim(p_name) = '' then 'required_title' end, case when trim(p_type) = '' then 'required_description' end, case when p_partkey % 19 = 0 then 'required_condition' end]) as rule from part)
+  select k, unnest([case when k % 3 = 0 then 'gtin_present' end, case when k % 17 <> 0 and k % 5 = 0 then 'price_match' end, case when k % 17 = 0 then 'price_positive' end,
+    case when k % 13 = 0 or trim(p_name) = '' then 'required_title' end, case when trim(p_type) = '' then 'required_description' end, case when k % 19 = 0 then 'required_condition' end,
+    case when c = 1 and k % 2 = 1 and not regexp_matches(blob, 'age|years|months|yrs') then 'playhouse_age_grading' end,
+    case when c = 1 and not regexp_matches(blob, 'warning|choking hazard|supervision|adult assembly|not suitable for') then 'playhouse_safety_warning' end,
+    case when c in (2, 3) and k % 2 = 1 and not regexp_matches(blob, 'ul |ul2272|ul 2272|csa|certified|certification|iec 62133') then 'battery_safety_certification' end,
+    case when c in (2, 3) and k % 3 <> 0 then 'shipping_weight_present' end,
+    case when c in (4, 5) and k % 19 <> 0 and k % 4 = 1 and not regexp_matches(blob, 'warranty|guarantee') then 'warranty_disclosure' end,
+    case when c in (4, 5) and contains(blob, 'energy star') then 'energy_claim_substantiation' end]) as rule from p),
+w as (select k, rule, case when rule in ('gtin_present', 'shipping_weight_present', 'warranty_disclosure', 'energy_claim_substantiation') then 'warning' else 'critical' end as severity from v where rule is not null)
 """
 
 
@@ -118,25 +162,33 @@ def clean_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best sections (labels) for every vector, against the first vector of each label and remainder of its id by 3 only, as in its SQL."""
+    """The best sections (labels) for every vector whose id is divisible by 20, against all vectors as the chunks of their labels."""
     e = read(spark, sf_dir, "embeddings").filter("embedding is not null")
-    first = e.groupBy("label", (F.col("vec_id") % 3).alias("part")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    chunks = first.select(F.lit("p").alias("policy_id"), F.lit("u").alias("source_url"), F.concat(F.lit("s"), "label").alias("section"), F.col("part").cast("int").alias("chunk_index"), "vector")
-    queries = e.select(F.col("vec_id").alias("query_id"), F.lit("p").alias("policy_id"), F.col("embedding").alias("vector"))
+    chunks = e.select(F.lit("p").alias("policy_id"), F.lit("u").alias("source_url"), F.concat(F.lit("s"), "label").alias("section"), F.col("vec_id").alias("chunk_index"), F.col("embedding").alias("vector"))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("p").alias("policy_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     return V.best_passages(queries, chunks, 3).select("query_id", "rank", "section", F.round("score", 6).alias("score"))
 
 
 TOPK_SQL = """
 with e as (select vec_id, label, embedding::double[] as v from embeddings where embedding is not null),
-c as (select label, vec_id % 3 as part, arg_min(v, vec_id) as v from e group by 1, 2),
-s as (select e.vec_id as query_id, 's' || c.label as section, max(list_cosine_similarity(e.v, c.v)) as score from e cross join c group by 1, 2)
+s as (select e.vec_id as query_id, 's' || c.label as section, max(list_cosine_similarity(e.v, c.v)) as score from e cross join e c where e.vec_id % 20 = 0 group by 1, 2)
 select query_id, rank::int as rank, section, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, section) as rank from s) where rank <= 3
 """
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return V.packed(d).groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.char_length("chunk_text")).alias("n_chars"), F.max(F.char_length("chunk_text")).alias("longest"))
+    return V.packed(d).select("id", "chunk_index", F.char_length("chunk_text").cast("long").alias("n_chars"), F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+CHUNK_SQL = r"""
+with t as (select doc_id as id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from documents),
+p as (
+  select id, string_split(list_reduce(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(2), 'g'), chr(2)),
+    lambda acc, x: case when length(list_last(string_split(acc, chr(1)))) + length(x) + 1 <= 1200 then acc || ' ' || x else acc || chr(1) || x end), chr(1)) as chunks
+  from t where length(t) >= 40)
+select id, i::int - 1 as chunk_index, length(chunks[i]) as n_chars, md5(chunks[i]) as digest from p, unnest(range(1, len(chunks) + 1)) r(i)
+"""
 
 
 def verdict_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,13 +230,13 @@ d as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lo
 select item_id as quote_id, count(doc_id) as n_texts from q left join d on q.q <> '' and contains(t, ' ' || q.q || ' ') group by 1
 """
 
-_F = (category_cap, fair_interleave, crawl_plan, page_budget, risk_sample, api_match, api_unmatched, feed_rules, clean_gate, vector_topk_sections, sentence_chunks, verdict_reuse, precision_recall, quote_verified)
+_F = (category_cap, fair_interleave, crawl_plan, page_budget, risk_sample, sample_coverage, api_match, api_unmatched, feed_rules, clean_gate, vector_topk_sections, sentence_chunks, verdict_reuse, precision_recall, quote_verified)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
-    "category_cap": CATEGORY_SQL, "fair_interleave": INTERLEAVE_SQL, "crawl_plan": PLAN_SQL, "page_budget": "select p_brand, greatest(60, 2 * count(*) + 40) as budget from part group by 1", "risk_sample": SAMPLE_SQL,
+    "category_cap": CATEGORY_SQL, "fair_interleave": INTERLEAVE_SQL, "crawl_plan": PLAN_SQL, "page_budget": "with" + BUDGET_SQL + "select store_id, budget from b", "sample_coverage": COVERAGE_SQL, "sentence_chunks": CHUNK_SQL, "risk_sample": SAMPLE_SQL,
     "api_match": SHOP_SQL + "select url, 'api_price_mismatch' as check_id from p where p_size > 10 and other_price union all select url, 'api_stock_mismatch' from p where p_size > 10 and page_stock <> api_stock",
     "api_unmatched": SHOP_SQL + "select url from p where p_size <= 10",
-    "feed_rules": "with" + FEED_SQL + "select p_partkey::varchar as id, rule, case when rule = 'gtin_present' then 'warning' else 'critical' end as severity from v where rule is not null",
-    "clean_gate": "with" + FEED_SQL + "select count(*) filter (where rule <> 'gtin_present') as n_critical, count(*) filter (where rule = 'gtin_present') as n_warning, count(*) filter (where rule <> 'gtin_present') = 0 as clean from v where rule is not null",
+    "feed_rules": "with" + FEED_SQL + "select k::varchar as id, rule, severity from w",
+    "clean_gate": "with" + FEED_SQL + "select count(*) filter (where severity = 'critical') as n_critical, count(*) filter (where severity = 'warning') as n_warning, count(*) filter (where severity = 'critical') = 0 as clean from w",
     "vector_topk_sections": TOPK_SQL, "verdict_reuse": REUSE_SQL, "precision_recall": PRECISION_SQL, "quote_verified": QUOTE_SQL,
 }

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storegrain.plans import read
+from storegrain.sources.tables import shared_path as shared
 from storegrain.streaming import jobs as S
 
 
-def shared(spark: SparkSession, tag: str) -> str:
-    """A new folder in spark.checkpoint.dir, or in one of this machine where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='storegrain-')}"
-    return f"{base.rstrip('/')}/storegrain/{tag}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a file stream."""
     schema = read(spark, sf_dir, "events").schema

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WOO = "id long, name string, permalink string, price string, regular_price string, stock_status string, description string, images array<struct<src:string,alt:string>>, meta_data array<struct<key:string,value:string>>, categories array<struct<name:string>>"
+WOO = (
+    "id long, name string, permalink string, price string, regular_price string, stock_status string, description string, short_description string, sku string, weight string, "
+    "dimensions struct<length:string,width:string,height:string>, images array<struct<src:string,alt:string>>, meta_data array<struct<key:string,value:string>>, "
+    "categories array<struct<name:string,slug:string>>, attributes array<struct<key:string,value:string>>"
+)
 SHOPIFY = "products array<struct<handle:string,title:string,variants:array<struct<price:string,available:boolean>>,images:array<struct<src:string,alt:string>>>>"
 LABELS = "store_url string, platform string, ground_truth map<string,struct<verdict:string,notes:string>>"
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where it is unset, of this machine, if all runs on it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='storegrain-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/storegrain/{tag}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again, for what several plans need."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sitemap_urls(spark: SparkSession, path: str) -> DataFrame:
     """Distinct page URLs of landed sitemap documents (one folder of XML files)."""
     return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path).select("loc").filter("loc is not null").distinct()
@@ -20,6 +45,31 @@ def sitemap_children(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select("loc").filter("loc is not null").distinct()
 
 
+def sitemap_walk(spark: SparkSession, path: str, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """(loc, depth): the page URLs below the sitemap documents of roots (url), following indexes to `depth`, each document once and each URL at its least depth.
+
+    path holds the landed documents, one file each, with the URL as its name in percent-encoding.
+    """
+    of = lambda tag: spark.read.format("xml").option("rowTag", tag).schema("loc string, lastmod string").load(path).filter("loc is not null").select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)).alias("file"), F.trim("loc").alias("loc"))
+    # the name is encoded once more in the file's own path
+    named = lambda df: df.withColumn("doc", F.url_decode(F.regexp_replace("file", r"\.xml$", ""))).drop("file")
+    pages, children = named(of("url")), named(of("sitemap"))
+    seen = roots.select(F.col("url").alias("doc"), F.lit(0).alias("depth"))
+    for k in range(depth):
+        more = children.join(seen.filter(F.col("depth") == k).select("doc"), "doc", "left_semi").select(F.col("loc").alias("doc"), F.lit(k + 1).alias("depth")).distinct()
+        seen = seen.unionByName(more.join(seen.select("doc"), "doc", "left_anti"))
+    return pages.join(seen, "doc").groupBy("loc").agg(F.min("depth").alias("depth"))
+
+
+def read_json_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """df with its JSON texts as columns of the given types; a text that doesn't parse is null."""
+    return df.withColumns({c: F.from_json(c, kind, {"mode": "PERMISSIVE"}) for c, kind in schemas.items()})
+
+
+def write_json_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.to_json(c) for c in columns})
+
+
 def woocommerce_products(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WOO).json(path, multiLine=True)
 

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from storegrain.operators import findings as N
 from storegrain.operators import history as H
+from storegrain.operators.rules import KEY, small
 
 
 class _Changes(StatefulProcessor):
@@ -40,7 +42,10 @@ class _Changes(StatefulProcessor):
 
 
 def snapshot_changes(stream: DataFrame, first_sight: bool = True) -> DataFrame:
-    """(store_id, url, ts, change) of a stream of snapshots (store_id, url, ts, content_hash, dom_hash)."""
+    """(store_id, url, ts, change) of a stream of snapshots (store_id, url, ts, content_hash, dom_hash).
+
+    The rows of one page in one micro-batch are sorted in one task; bound the micro-batches of a stream with a hot page.
+    """
     return stream.groupBy("store_id", "url").transformWithStateInPandas(_Changes(first_sight), "store_id string, url string, ts timestamp, change string", "Append", "None")
 
 
@@ -77,7 +82,10 @@ ADMITTED = "key long, event_id long, admitted boolean"
 
 
 def admissions(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """(key, event_id, admitted) of a stream (key, ts, event_id): at most limit per key in a sliding window; what is rejected is not counted."""
+    """(key, event_id, admitted) of a stream (key, ts, event_id): at most limit per key in a sliding window; what is rejected is not counted.
+
+    Whether an event is admitted depends on those before it, so one key's events go through one task in order.
+    """
     return stream.groupBy("key").transformWithStateInPandas(_Admission(limit, seconds), ADMITTED, "Append", "None")
 
 
@@ -104,6 +112,12 @@ def alert_once(violations: DataFrame, watermark: str | None = None, time: str =
     return violations.withWatermark(time, watermark).dropDuplicatesWithinWatermark(key) if watermark else violations.dropDuplicates(key)
 
 
+def new_alerts(violations: DataFrame, alerted: DataFrame) -> DataFrame:
+    """Violations of products and rules that were not alerted before, each pair once; alerted: product_id, rule."""
+    key = ["product_id", "rule"]
+    return violations.dropDuplicates(key).join(alerted.select(*key).distinct(), key, "left_anti")
+
+
 def write_due(triggers: DataFrame, stores: DataFrame, path: str, checkpoint: str):
     """At each micro-batch the list of stores that are due, appended to path."""
 
@@ -116,15 +130,18 @@ def write_due(triggers: DataFrame, stores: DataFrame, path: str, checkpoint: str
 def keep_current(findings: DataFrame, store: str, rollups: str, checkpoint: str):
     """Appends each micro-batch of findings to store and rebuilds the rollups of the runs it touches.
 
-    Both tables are partitioned by run; a batch that is run again after a failure writes its own files anew.
+    Both tables are partitioned by run, the store by batch too, so only the touched runs' files are read, and a batch
+    that is run again after a failure writes its own files anew.
     """
+    stored = StructType([*findings.schema.fields, StructField("batch", LongType())])
 
     def each(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(k)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
-        touched = batch.select("store_id", "run_id").distinct()
-        rows = spark.read.parquet(store).drop("batch").join(touched, ["store_id", "run_id"], "left_semi")
-        N.rolled_up(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_id", "run_id").parquet(rollups)
+        to = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        to(batch.withColumn("batch", F.lit(k).cast("long")), *KEY, "batch").parquet(store)
+        touched = small(batch.select(*KEY).distinct())
+        rows = spark.read.schema(stored).parquet(store).drop("batch").join(touched, KEY, "left_semi")
+        to(N.rolled_up(rows), *KEY).parquet(rollups)
 
     return findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -57,8 +57,14 @@ def test_terms(spark):
 
 
 def test_same_value(spark):
-    rows = spark.createDataFrame([("30", "30.0"), ("19.99", "19.995"), ("A  b", "a B"), ("x", "y"), ("nan", "nan")], "a string, b string")
-    assert [r[0] for r in rows.select(X.same_value(F.col("a"), F.col("b"), 0.01)).collect()] == [True, True, True, False, False]
+    rows = [("return.window_days", "30", "30.0", True), ("shipping.cost_amount", "19.99", "19.995", True), ("return.window_days", "19.99", "19.995", False), ("product.gtin", "0012", "12", False), ("product.sku", "a", "A", False), ("business.name", "A  b", "a B", True), ("business.name", "x", "y", False), ("business.phone", "012", "12", False)]
+    df = spark.createDataFrame(rows, "fact string, a string, b string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", X.same_value(F.col("fact"), F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_shipping_cost_sentences(spark):
+    t = "We ship anywhere for $5.00"
+    assert tuple(values(spark, [t], X.shipping_cost)[t]) == ("5.00", "USD") and values(spark, ["Postage is $3.00"], X.shipping_cost) == {"Postage is $3.00": None}
 
 
 def test_text_helpers(spark):
@@ -73,4 +79,8 @@ def test_urls(spark):
     assert values(spark, [u], U.normalized)[u] == "https://www.shop.example:8080/A/page/2?b=3"
     assert values(spark, [u], U.page_key)[u] == "HTTPS://Www.Shop.example:8080/A?b=3"
     assert values(spark, [u], U.strip_facets)[u].endswith("?b=3#top") and values(spark, [u], U.root_host)[u] == "shop.example:8080"
-    assert values(spark, ["/cart/", "/versand", "/x"], U.url_type) == {"/cart/": "cart", "/versand": "shipping_policy", "/x": None}
+    forms = {"/cart/": "cart", "/versand": "shipping_policy", "/x": None, "/products/widget": "product", "/products/": None, "/shop/mug/": "product", "/shop/": "collection", "/collections/all": "collection", "/basket": "cart", "/blog/returns": "returns_policy", "/news/1": "blog_other", "/My-Account": "blog_other"}
+    assert values(spark, forms, U.url_type) == forms
+    said = {"Our Privacy Policy": "privacy_policy", "Frais de livraison": "shipping_policy", "Add to bag": "product", "Über uns": "contact_about", "Preguntas frecuentes": "faq", "Hello": None}
+    assert values(spark, said, U.text_type) == said
+    assert values(spark, ["/products/x", "/privacy", "/blog/x", "/cart/shipping-policy"], U.crawl_tier) == {"/products/x": 1, "/privacy": 0, "/blog/x": 2, "/cart/shipping-policy": 0}

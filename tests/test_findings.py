@@ -10,25 +10,58 @@ from storegrain.operators import findings as N
 from storegrain.operators import history as H
 from storegrain.operators import retrieval as V
 
-FIND = "store_id string, run_id string, seq long, check_id string, page_url string, evidence string"
+FIND = "store_id string, run_id string, seq long, check_id string, title string, severity string, confidence string, page_url string, evidence string, location string"
 
 
 def findings(spark, *rows):
-    return spark.createDataFrame([("s", "r", k, *r) for k, r in enumerate(rows)], FIND)
+    """rows: check_id, page_url, location."""
+    return spark.createDataFrame([("s", "r", k, c, f"title of {c}", "low", "confirmed", page, f"seen {k}", where) for k, (c, page, where) in enumerate(rows)], FIND)
 
 
 def rolled(spark, rows):
-    return [(r["check_id"], r["n"], r["n_pages"], r["page_url"], r["examples"]) for r in N.rolled_up(findings(spark, *rows)).collect()]
+    return sorted(((r["check_id"], r["n"], r["n_pages"], r["page_url"], r["evidence"], r["location"]) for r in N.rolled_up(findings(spark, *rows)).collect()), key=repr)
 
 
 def test_roll_up(spark):
-    link = lambda u: f'<a href="{u}">'
+    link = lambda u: f'a[href="{u}"]'
     one = rolled(spark, [("https_mixed_content_link", f"p{k}", link("http://a/x")) for k in range(5)])
-    assert one == [("https_mixed_content_link", 5, 5, None, [f"p{k}" for k in range(5)])]
+    assert one == [("https_mixed_content_link", 5, 5, None, "Link to http://a/x found on 5 page(s): p0, p1, p2, p3, p4", 'a[href="http://a/x"]')]
     assert len(rolled(spark, [("https_mixed_content_link", f"p{k}", link(f"http://a/{k % 2}")) for k in range(8)])) == 2
-    assert {r[3] for r in rolled(spark, [("c", "p0", ""), ("c", "p1", "")])} == {"p0", "p1"}
-    many = rolled(spark, [("external_domain_link", f"p{k % 11}", link(f"https://d{k // 11}.example/{k}")) for k in range(33)])
-    assert sorted((r[1], r[2], len(r[4])) for r in many) == [(11, 11, 5)] * 3
+    many = rolled(spark, [("external_domain_link", f"p{k % 11}", link(f"https://www.d{k // 11}.example/{k}")) for k in range(33)])
+    assert [(r[1], r[2], r[5]) for r in many] == [(11, 11, f'a[href*="www.d{k}.example"]') for k in range(3)] and many[0][4].endswith("page(s): p0, p1, p2, p3, p4, and 6 more")
+    images = rolled(spark, [("product_image_broken", f"p{k}", f'img[src="/{k}.png"]') for k in range(2)] + [("product_image_broken", None, None)])
+    assert images == [("product_image_broken", 3, 2, None, "title of product_image_broken - 3 instance(s) across 2 page(s), including: /0.png (on p0), /1.png (on p1), ? (on unknown page)", N.SITE_WIDE)]
+
+
+def test_what_is_not_rolled_up(spark):
+    # checks without a strategy, checks and values of fewer than three findings, and findings without a link
+    rows = [("required_page_present", None, "site-wide")] * 4 + [("broken_image", "p", 'img[src="/x"]')] * 2 + [("external_domain_link", "p", None)] * 3 + [("https_mixed_content_link", f"p{k}", f'a[href="http://a/{k}"]') for k in range(3)]
+    out = rolled(spark, rows)
+    assert len(out) == len(rows) and {r[1] for r in out} == {1} and {r[4] for r in out} == {f"seen {k}" for k in range(len(rows))}
+
+
+def test_impact(spark):
+    f = spark.createDataFrame([("required_page_present", "Missing required page: Privacy policy"), ("required_page_present", "Missing required page: Contact info"), ("llm_policy_substance_returns_refunds", ""), ("llm_editorial_quality", ""), ("broken_image", ""), ("never heard of", "")], "check_id string, title string")
+    got = [tuple(r)[2:] for r in N.with_impact(f).collect()]
+    general, editorial = "support.google.com/merchants/answer/13693195", "support.google.com/merchants/answer/12079604"
+    assert got[:2] == [("suspension_risk", general, "privacy_policy", "ads_and_listings"), ("suspension_risk", general, "business_identity", "ads_and_listings")]
+    assert got[2:4] == [("suspension_risk", general, "returns_refunds", "ads_and_listings"), ("quality_improvement", editorial, "editorial_quality", "ads_and_listings")]
+    assert got[4:] == [("listing_disapproval", None, None, "unclear")] * 2
+
+
+def test_page_status_and_catalog(spark):
+    key = "store_id string, run_id string, "
+    pages = spark.createDataFrame([("s", "r", u, k, True, False, "product") for k, u in enumerate(["https://a/x/page/2", "https://a/x", "https://a/y", "https://a/z", "https://a/w"])] + [("s", "r", "gone", 7, False, False, "faq"), ("s", "r", "blocked", 8, False, True, "faq")], key + "url string, seq long, reachable boolean, cannot_verify boolean, page_type string")
+    rows = [("https://a/x/page/2", "low", "suspension_risk", "confirmed"), ("https://a/y", "low", "x", "cannot_verify"), ("https://a/z", "low", "x", "confirmed"), ("https://a/z", "high", "x", "cannot_verify")]
+    f = spark.createDataFrame([("s", "r", *r, "page_only") for r in rows], key + "page_url string, severity string, impact_tier string, confidence string, verification_method string")
+    got = {r["url"]: r["status"] for r in N.page_status(pages, f).collect()}
+    assert got == {"https://a/x/page/2": "RISK", "https://a/x": "PASS", "https://a/y": "CANNOT VERIFY", "https://a/z": "RISK", "https://a/w": "PASS", "gone": "UNREACHABLE", "blocked": "CANNOT VERIFY"}
+    c = N.catalog_rollup(pages, f)
+    assert {r["page_group"]: (r["variants"], r["representative"], r["state"]) for r in c.collect()} == {"https://a/x": (2, "https://a/x", "flagged"), "https://a/y": (1, "https://a/y", "other"), "https://a/z": (1, "https://a/z", "other"), "https://a/w": (1, "https://a/w", "clean")}
+    assert tuple(N.catalog_counts(c).first())[2:] == (4, 5, 1, 2, 1, 3)
+    runs = spark.createDataFrame([("s", "r", "woocommerce"), ("t", "r", "shopify")], key + "platform string")
+    assert {r["store_id"]: r["recommended"] for r in N.needs_api(runs, f).collect()} == {"s": True, "t": False}
+    assert N.export_rows(f).columns == N.EXPORT and N.export_rows(f).filter("page_url = 'https://a/y' and title = '' and verification_method = 'page_only'").count() == 1
 
 
 def test_delta(spark):
@@ -55,10 +88,10 @@ def test_citations(spark):
 def test_reconciled_and_verdicts(spark):
     key = "store_id string, run_id string, url string"
     pages = spark.createDataFrame([("s", "r", "u", "Returns within 30 days &amp; more")], key + ", text string")
-    regex = spark.createDataFrame([("s", "r", "u", f, v, 0.8) for f, v in (("a", "30"), ("b", "30"), ("c", "30"), ("d", "30"), ("e", "30"))], key + ", fact string, value string, confidence double")
-    model = spark.createDataFrame([("s", "r", "u", "a", "30.0", "within 30 days", 0.7), ("s", "r", "u", "b", None, None, None), ("s", "r", "u", "c", "14", "30 DAYS & more", 0.99), ("s", "r", "u", "d", "14", "not there", 0.9)], key + ", fact string, value string, quote string, confidence double")
+    regex = spark.createDataFrame([("s", "r", "u", f, v, 0.8) for f, v in (("return.window_days", "30"), ("b", "30"), ("c", "30"), ("d", "30"), ("e", "30"))], key + ", fact string, value string, confidence double")
+    model = spark.createDataFrame([("s", "r", "u", "return.window_days", "30.0", "within 30 days", 0.7), ("s", "r", "u", "b", None, None, None), ("s", "r", "u", "c", "14", "30 DAYS & more", 0.99), ("s", "r", "u", "d", "14", "not there", 0.9)], key + ", fact string, value string, quote string, confidence double")
     got = {r["fact"]: (r["value"], r["method"], r["confidence"]) for r in N.reconciled(regex, model, pages).collect()}
-    assert got == {"a": ("30", "regex_llm_agree", 0.95), "c": ("14", "llm", 0.9), "e": ("30", "regex", 0.8)}
+    assert got == {"return.window_days": ("30", "regex_llm_agree", 0.95), "c": ("14", "llm", 0.9), "e": ("30", "regex", 0.8)}
     v = spark.createDataFrame(
         [("s", "r", "u", "x", True, "high", "30 days", None, None), ("s", "r", "u", "y", True, "high", "no such", None, None), ("s", "r", "u", "llm_claim_policy_contradiction", True, "high", "30 days", "our 30 days", "days"), ("s", "r", "u", "z", False, "high", "30 days", None, None)],
         key + ", check_id string, flagged boolean, confidence string, evidence_quote string, policy_quote string, conflict_dimension string",
@@ -66,7 +99,7 @@ def test_reconciled_and_verdicts(spark):
     assert {r["check_id"]: (r["confidence"], r["evidence_verified"]) for r in N.verdict_findings(v, pages).collect()} == {"x": ("high", True), "y": ("cannot_verify", False)}
     i = spark.createDataFrame([("s", "r", "u", "i1"), ("s", "r", "w", "i1"), ("s", "r", "u", "i2")], key + ", image_url string")
     iv = spark.createDataFrame([("i1", False, True)], "image_url string, plausible_match boolean, potentially_prohibited boolean")
-    assert sorted((r["url"], r["check_id"]) for r in N.image_findings(i, iv).collect()) == [("u", "llm_image_mismatch"), ("u", "llm_image_not_evaluated"), ("u", "llm_image_prohibited_content_flag"), ("w", "llm_image_mismatch"), ("w", "llm_image_prohibited_content_flag")]
+    assert sorted((r["url"], r["check_id"]) for r in N.image_findings(i, iv).collect()) == [("u", "llm_image_product_mismatch"), ("u", "llm_image_prohibited_content_flag"), ("u", "llm_image_vision_check"), ("w", "llm_image_product_mismatch"), ("w", "llm_image_prohibited_content_flag")]
     assert N.union_all(i, iv).count() == 4
 
 
@@ -82,8 +115,14 @@ def test_history(spark):
     assert {r["url"]: r["h"] for r in H.upsert_snapshots(old, new, ["store", "url"]).collect()} == {"a": "2", "b": "1", "c": "1"}
     assert {r["url"] for r in H.changed(new, old, ["store", "url"], ["h"]).collect()} == {"a", "c"}
     assert {r["url"] for r in H.changed(new, old, ["store", "url"], ["h"], first_sight=False).collect()} == {"a"}
-    stores = spark.createDataFrame([("a", "interval", 3, day(1), True), ("b", "interval", 30, day(1), False), ("c", "on_change", None, None, True), ("d", "interval", 3, None, True)], "url string, mode string, interval_days int, last_full_audit_at timestamp, on_policy_change boolean")
-    assert {r["url"] for r in H.due(stores, now).collect()} == {"a", "d"}
+    stores = spark.createDataFrame(
+        [("a", "interval", 3, None, day(1), None, True), ("b", "interval", 30, None, day(1), None, False), ("c", "on_change", None, 2, None, day(2), True), ("d", "both", 3, 30, None, day(4), True), ("e", "on_change", None, 9, None, day(2), False), ("f", "weekly", 1, 1, None, None, False), ("f", "both", 0, None, None, None, False)],
+        "url string, mode string, interval_days int, cheap_check_interval_days int, last_full_audit_at timestamp, last_cheap_check_at timestamp, on_policy_change boolean",
+    )
+    assert {(r["url"], r["full"], r["cheap"]) for r in H.due(stores.filter("url <> 'f'"), now).collect()} == {("a", True, False), ("c", False, True), ("d", True, False)}
+    assert sorted(tuple(r) for r in H.registration_errors(stores).collect()) == [("f", "already registered"), ("f", "cheap_check_interval_days is required"), ("f", "interval_days is required"), ("f", "unknown mode")]
+    jobs = spark.createDataFrame([(1, day(1)), (2, day(3)), (3, day(2))], "job_id int, created_at timestamp")
+    assert {r["job_id"] for r in H.old_jobs(jobs, now, 3).collect()} == {1}
     changed = spark.createDataFrame([("p2",), ("p1",)], "policy_id string")
     assert {(r["url"], r["trigger"]) for r in H.reaudits(changed, stores).collect()} == {(u, "p1, p2") for u in "acd"} and H.reaudits(changed.limit(0), stores).count() == 0
     texts = spark.createDataFrame([("p", 1, "a  b"), ("p", 2, "c")], "policy_id string, pos int, text string")
@@ -94,12 +133,25 @@ def test_history(spark):
 
 
 def test_crawl(spark):
-    pages = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["d", "a"]), (2, [])], "seq int, links array<string>")
-    got = sorted((r["child"], r["parent"], r["url"]) for r in W.interleaved(pages).collect())
-    assert [u for _, _, u in got] == ["a", "d", "b", "c"]
-    urls = spark.createDataFrame([("h", 0, 0)] + [(f"o{k}", 1, k) for k in range(30)] + [(f"c{k}", 2, k) for k in range(30)], "url string, tier int, pos int")
-    plan = [r["url"] for r in W.plan(urls, 30).collect()]
-    assert plan == ["h"] + [f"o{k}" for k in range(10)] + [f"c{k}" for k in range(19)]
+    pages = spark.createDataFrame([("s", "r", 0, ["a", "b", "c"]), ("s", "r", 1, ["d", "a"]), ("s", "r", 2, []), ("t", "r", 0, ["a"])], "store_id string, run_id string, seq int, links array<string>")
+    got = sorted((r["store_id"], r["child"], r["parent"], r["url"]) for r in W.interleaved(pages).collect())
+    assert [(r[0], r[3]) for r in got] == [("s", "a"), ("s", "d"), ("s", "b"), ("s", "c"), ("t", "a")]
+    key = "store_id string, run_id string, "
+    rows = [("h", 0, 0)] + [(f"o{k:02}", 1, k) for k in range(30)] + [(f"c{k:02}", 2, k) for k in range(30)]
+    urls = spark.createDataFrame([(s, "r", *r) for s in "st" for r in rows] + [("t", "r", f"x{k}", 3, k) for k in range(2000)], key + "url string, tier int, pos int")
+    budgets = spark.createDataFrame([("s", "r", 30), ("t", "r", 9000)], key + "budget int")
+    plan = W.plan(urls, budgets).orderBy("tier", "pos", "url").collect()
+    assert [r["url"] for r in plan if r["store_id"] == "s"] == ["h"] + [f"o{k:02}" for k in range(10)] + [f"c{k:02}" for k in range(19)]
+    assert len([r for r in plan if r["store_id"] == "t"]) == 500
+    b = spark.createDataFrame([(0, 0), (0, 10), (0, 99), (5, 99), (100, 1)], "c int, l int").select(W.page_budget(F.col("c"), F.col("l")).alias("b"))
+    assert [r["b"] for r in b.collect()] == [60, 60, 99, 60, 240]
+    u = spark.createDataFrame([("https://s/product-category/mugs/blue/", "https://s/c", "collection"), ("https://s/product-category/mugs/blue/", "https://s/", "homepage"), ("https://s/mug", None, None)], "u string, f string, k string")
+    assert [r["c"] for r in u.select(W.category(F.col("u"), F.col("f"), F.col("k")).alias("c")).collect()] == ["https://s/c", "/product-category/mugs", "/"]
+    images = spark.createDataFrame([("s", "r", "u", k, f"i{k}") for k in range(7)] + [("s", "r", "w", 0, "i1")], key + "url string, pos int, image_url string")
+    shown, work = W.image_work(images)
+    assert shown.count() == 6 and {r["image_url"] for r in work.collect()} == {f"i{k}" for k in range(5)}
+    p = spark.createDataFrame([("s", "r"), ("s", "r"), ("t", "r")], "store_id string, run_id string")
+    assert {r["store_id"]: (r["coverage"], r["is_partial"]) for r in W.sample_coverage(p, p.limit(1)).collect()} == {"s": (0.5, True), "t": (0.0, True)}
 
 
 def test_passages(spark):
@@ -107,6 +159,9 @@ def test_passages(spark):
     queries = spark.createDataFrame([(1, "p", [0.0, 1.0]), (2, "p", [0.0, 0.0])], "query_id int, policy_id string, vector array<double>")
     got = [(r["query_id"], r["section"], round(r["score"], 3)) for r in V.best_passages(queries, chunks, 1).orderBy("query_id").collect()]
     assert got == [(1, "two", 1.0), (2, "one", 0.0)]
+    dated = chunks.withColumns({"created_at": F.to_timestamp(F.concat(F.lit("2024-01-0"), F.length("section"))), "chunk_text": F.concat_ws(" ", "section", "chunk_index")})
+    best = V.best_passages(queries.filter("query_id = 1"), dated, 2)
+    assert tuple(V.context(best, dated).first()) == (1, "two 0\n\none 0", dt.datetime(2024, 1, 3))
     text = " ".join(f"Sentence number {k} says something of note." for k in range(80))
     c = V.packed(spark.createDataFrame([(1, text), (2, "short"), (3, "x" * 1500)], "id int, text string")).orderBy("id", "chunk_index").collect()
     assert " ".join(r["chunk_text"] for r in c if r["id"] == 1) == text and all(len(r["chunk_text"]) <= 1200 for r in c if r["id"] == 1) and {r["id"] for r in c} == {1, 3}
@@ -125,6 +180,8 @@ def test_accuracy_and_cache(spark):
     now = F.lit("2024-03-10").cast("date")
     assert {r["cache_key"]: r["result_json"] for r in V.reuse(work, cache, now).collect()} == {"x": "2", "y": None, "z": None}
     assert V.reuse(work, cache, now, F.lit("2024-03-05").cast("timestamp")).filter("hit").count() == 0
+    new = spark.createDataFrame([("x", "9", day(5))], cache.schema)
+    assert {r["cache_key"]: r["result_json"] for r in V.upserted(cache, new).collect()} == {"x": "9", "y": "3"} and V.upserted(cache, new, rebuilt=True).count() == 1
 
 
 @pytest.mark.parametrize("size, priced, want", [(4, 4, 4), (200, 200, 10)])
