@@ -50,10 +50,10 @@ def mismatches(matched: DataFrame) -> DataFrame:
     m = matched.filter("page is not null")
     if "variants" in m.columns:
         price_ok = F.exists("variants", lambda v: F.abs(v["price"].try_cast("double") - F.col("page.price")) <= 0.01)
-        stock = F.exists("variants", lambda v: v["available"])
+        stock, names = F.exists("variants", lambda v: v["available"]), ("shopify_price_mismatch", "shopify_availability_mismatch")
     else:
-        price_ok, stock = F.abs(F.col("price") - F.col("page.price")) <= 0.01, F.col("in_stock")
-    checks = F.array_compact(F.array(F.when(F.col("page.price").isNotNull() & ~price_ok, "api_price_mismatch"), F.when(F.col("page.in_stock").isNotNull() & (stock != F.col("page.in_stock")), "api_stock_mismatch")))
+        price_ok, stock, names = F.abs(F.col("price") - F.col("page.price")) <= 0.01, F.col("in_stock"), ("woocommerce_price_mismatch", "woocommerce_stock_mismatch")
+    checks = F.array_compact(F.array(F.when(F.col("page.price").isNotNull() & ~price_ok, names[0]), F.when(F.col("page.in_stock").isNotNull() & (stock != F.col("page.in_stock")), names[1])))
     return m.select(*key, F.col("page.url").alias("url"), F.explode(checks).alias("check_id"))
 
 

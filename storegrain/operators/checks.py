@@ -59,7 +59,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def insecure(pages: DataFrame) -> DataFrame:
     """(key, url, check_id, link): home pages without https, and http links inside https pages to the own host."""
-    home = pages.filter((F.col("seq") == 0) & (U.scheme(F.col("url")) != "https")).select(*KEY, "url", F.lit("https_homepage").alias("check_id"), F.lit(None).cast("string").alias("link"))
+    home = pages.filter((F.col("seq") == 0) & (U.scheme(F.col("url")) != "https")).select(*KEY, "url", F.lit("https_enforced").alias("check_id"), F.lit(None).cast("string").alias("link"))
     mixed = links(pages).filter(F.col("internal") & F.col("url").startswith("https://") & F.col("link").startswith("http://")).select(*KEY, "url", F.lit("https_mixed_content_link").alias("check_id"), "link")
     return home.unionByName(mixed)
 
@@ -130,10 +130,10 @@ def fetch_outcomes(fetches: DataFrame) -> DataFrame:
 
 
 def broken_pages(pages: DataFrame) -> DataFrame:
-    """(key, url, check_id): pages that can't be reached or verified; the latter only where not the whole crawl failed."""
+    """(key, url, check_id, confidence): pages that didn't load; those that couldn't be verified only where not the whole crawl failed."""
     ran = pages.groupBy(*KEY).agg(F.bool_or("reachable").alias("any"))
     j = pages.filter("not reachable").join(ran, KEY)
-    return j.filter("not cannot_verify or any").select(*KEY, "url", F.when(F.col("cannot_verify"), "page_unverifiable").otherwise("broken_internal_link").alias("check_id"))
+    return j.filter("not cannot_verify or any").select(*KEY, "url", F.lit("broken_internal_link").alias("check_id"), F.when(F.col("cannot_verify"), "cannot_verify").otherwise("confirmed").alias("confidence"))
 
 
 def platform(probes: DataFrame) -> DataFrame:
@@ -217,9 +217,16 @@ def form_checks(pages: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def journeys(rows: DataFrame) -> DataFrame:
-    """(product_url, check_id) of recorded purchase journeys: cart price absent or different, no shipping charge, total below the price."""
+    """(product_url, check_id) of recorded purchase journeys: another price in the cart, or none; no shipping at the checkout; a total below the price.
+
+    rows: product_url, product_price, cart_text, checkout_text; a step that was not reached has null.
+    """
     cart, total = X.price_in(F.col("cart_text")), X.price_in(F.regexp_extract("checkout_text", r"(?is)total.*$", 0))
-    checks = F.array_compact(F.array(F.when(F.col("cart_text").isNotNull() & cart.isNull(), "cart_price_absent"), F.when(F.abs(cart - F.col("product_price")) > 0.01, "cart_price_differs"), F.when(F.col("checkout_text").isNotNull() & ~F.rlike("checkout_text", F.lit("(?i)shipping|delivery")), "checkout_no_shipping"), F.when(total < F.col("product_price"), "checkout_total_low")))
+    seen = F.col("cart_text").isNotNull()
+    checks = F.array_compact(F.array(
+        F.when(seen & (F.abs(cart - F.col("product_price")) > 0.01), "purchase_journey_cart_price_mismatch").when(seen & cart.isNull(), "purchase_journey_cart_price_not_found"),
+        F.when(F.col("checkout_text").isNotNull() & ~F.rlike("checkout_text", F.lit("(?i)shipping|delivery")), "purchase_journey_shipping_not_shown"), F.when(total < F.col("product_price") - 0.01, "purchase_journey_total_lower_than_product_price"),
+    ))
     return rows.select("product_url", F.explode(checks).alias("check_id"))
 
 

@@ -117,7 +117,7 @@ def insecure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSECURE_SQL = r"""
 with p as (select a.page_id::varchar as store_id, a.url, regexp_replace(b.url, '://[^/?#]*', '://' || lower(regexp_extract(a.url, '://([^/?#]*)', 1))) as link from pages a join pages b on b.page_id = a.page_id + 1)
-select store_id, 'https_homepage' as check_id, null as link from p where not starts_with(url, 'https:')
+select store_id, 'https_enforced' as check_id, null as link from p where not starts_with(url, 'https:')
 union all select store_id, 'https_mixed_content_link', link from p where starts_with(url, 'https:') and starts_with(link, 'http:')
 """
 

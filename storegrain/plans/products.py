@@ -234,7 +234,7 @@ _F = (category_cap, fair_interleave, crawl_plan, page_budget, risk_sample, sampl
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
     "category_cap": CATEGORY_SQL, "fair_interleave": INTERLEAVE_SQL, "crawl_plan": PLAN_SQL, "page_budget": "with" + BUDGET_SQL + "select store_id, budget from b", "sample_coverage": COVERAGE_SQL, "sentence_chunks": CHUNK_SQL, "risk_sample": SAMPLE_SQL,
-    "api_match": SHOP_SQL + "select url, 'api_price_mismatch' as check_id from p where p_size > 10 and other_price union all select url, 'api_stock_mismatch' from p where p_size > 10 and page_stock <> api_stock",
+    "api_match": SHOP_SQL + "select url, 'woocommerce_price_mismatch' as check_id from p where p_size > 10 and other_price union all select url, 'woocommerce_stock_mismatch' from p where p_size > 10 and page_stock <> api_stock",
     "api_unmatched": SHOP_SQL + "select url from p where p_size <= 10",
     "feed_rules": "with" + FEED_SQL + "select k::varchar as id, rule, severity from w",
     "clean_gate": "with" + FEED_SQL + "select count(*) filter (where severity = 'critical') as n_critical, count(*) filter (where severity = 'warning') as n_warning, count(*) filter (where severity = 'critical') = 0 as clean from w",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from storegrain.operators import catalog_match as M
 from storegrain.operators import checks as C
+from storegrain.operators import extract as E
 from storegrain.sources import features as P
 
 HTML = """<html lang="en-GB"><head><title> A  shop </title><script type="application/ld+json">{"@graph": [{"@type": "Product", "sku": "W-1", "brand": {"name": "B"}, "gtin13": "0012345678905",
@@ -31,63 +32,157 @@ def test_checks(spark):
     assert {(r["src"], r["url"]) for r in C.first_image_pages(p).collect()} == {("/no-image.png", "http://shop.example/"), ("/ok.jpg", "http://shop.example/")}
     link = {r["link"]: r["internal"] for r in C.links(p).collect()}
     assert link["/1"] and not link["https://other.example/x"]
-    assert {r["check_id"] for r in C.insecure(p).collect()} == {"https_homepage"}
+    assert {r["check_id"] for r in C.insecure(p).collect()} == {"https_enforced"}
     probes = spark.createDataFrame([("/ok.jpg", 404, None, None, None)], "url string, status int, width int, height int, error string")
-    assert sorted((r["src"], r["check_id"]) for r in C.image_checks(p, probes).collect()) == [("/no-image.png", "image_missing_alt"), ("/no-image.png", "image_placeholder"), ("/ok.jpg", "image_broken")]
+    found = lambda pr: sorted((r["src"], r["check_id"], r["confidence"]) for r in C.image_checks(p, pr).collect())
+    own = [("/no-image.png", "product_image_missing_alt_text", "confirmed"), ("/no-image.png", "product_image_placeholder_filename", "potential_risk")]
+    assert found(probes) == [*own, ("/ok.jpg", "product_image_broken", "confirmed")]
+    for probe, want in ((("/ok.jpg", None, None, None, "dns"), [("/ok.jpg", "product_image_broken", "cannot_verify")]), (("/ok.jpg", 200, None, None, None), [("/ok.jpg", "product_image_broken", "potential_risk")]), (("/ok.jpg", 200, 249, 900, None), [("/ok.jpg", "product_image_low_resolution", "confirmed")]), (("/ok.jpg", 200, 250, 250, None), [])):
+        assert found(spark.createDataFrame([probe], probes.schema)) == own + want
     probes = spark.createDataFrame([("http://shop.example/", "/send", 500, None)], "page_url string, action string, status int, error string")
-    assert {r["check_id"] for r in C.form_checks(p, probes).collect()} == {"contact_form_missing_name", "form_email_validation", "form_action_unreachable"}
+    assert {(r["check_id"], r["detail"]) for r in C.form_checks(p, probes).collect()} == {("contact_form_missing_field", "name"), ("form_email_field_weak_validation", "contact"), ("form_action_unreachable", "contact")}
     offers = M.structured_products(p).orderBy("price").collect()
-    assert [(o["price"], o["availability"], o["gtin"]) for o in offers] == [(15.0, "unspecified", "00012345678905"), (1299.0, "in_stock", "00012345678905")]
-    assert {r["check_id"] for r in C.product_text(p.filter("seq = 1")).collect()} == {"generic_product_price_missing", "generic_product_availability_missing"}
-    credit = p.withColumn("links", F.array(F.lit("https://a.loopreturns.com/x")))
-    assert C.portal_credit(credit).first()["link"] == "https://a.loopreturns.com/x"
+    assert [(o["price"], o["availability"], o["gtin"], o["sku"], o["variant_key"]) for o in offers] == [(15.0, "unspecified", "00012345678905", "LG", "00012345678905"), (1299.0, "in_stock", "00012345678905", "W1", "00012345678905")]
+    text = p.filter("seq = 0").withColumn("text", F.explode(F.array(F.lit("nothing"), F.lit("USD 5 only"), F.lit("12,00 €, pre-order"), F.lit(""))))
+    assert sorted((r["check_id"]) for r in C.product_text(text).collect()) == ["generic_product_availability_missing"] * 2 + ["generic_product_price_missing"]
+    assert {r["link"] for r in C.external_links(p).collect()} == {"https://other.example/x"}
+
+
+def test_aggregate_offers(spark):
+    node = '{"@type": "Product", "mpn": "m-1", "offers": {"@type": "AggregateOffer", "lowPrice": "5.00", "offers": [{"price": 7, "sku": "a"}, {"price": "9.5", "sku": "b"}]}}'
+    p = spark.createDataFrame([("s", "r", 0, "u", [node, '{"@type": "Person"}', "no json"])], "store_id string, run_id string, seq int, url string, nodes array<string>")
+    offers = M.structured_products(p)
+    assert sorted((o["price"], o["variant_key"]) for o in offers.collect()) == [(5.0, "M1"), (7.0, "M1"), (9.5, "M1")]
+    facts = E.product_facts(offers, "jsonld")
+    assert sorted(r["value"] for r in facts.filter("fact = 'product.price_amount'").collect()) == ["5.0", "7.0", "9.5"] and {r["confidence"] for r in facts.collect()} == {0.95} and {r["variant_key"] for r in facts.collect()} == {"M1"}
+    pages_ = spark.createDataFrame([("s", "r", 0, "u", "homepage", ["Acme"], "mail a@b.cd")], "store_id string, run_id string, seq int, url string, page_type string, headings array<string>, text string")
+    all_ = E.all_facts(pages_, offers.withColumn("seq", F.col("seq").cast("int")))
+    assert {r["fact"] for r in all_.collect()} >= {"business.email", "business.name", "product.price_amount", "product.mpn"} and E.unknown_methods(all_).count() == 0
+
+
+def test_forms(spark):
+    field = "kind:string,hint:string,required:boolean,pattern:string"
+    f = lambda kind, hint, required=False, pattern=None: (kind, hint, required, pattern)
+    mail, message = f("email", "email"), f("textarea", "message")
+    forms = [
+        ("", "", [mail, message], "contact"), ("", "newsletter box", [mail], "newsletter"), ("", "", [mail], "newsletter"), ("", "login", [mail, message], None), ("", "", [mail, f("password", "pw")], None), ("/wp-comments-post.php", "", [mail, message], None), ("", "", [message], None),
+        ("", "contact", [mail, f("text", "x"), f("text", "y")], "contact"), ("", "", [mail, f("text", "x"), f("text", "y")], None), ("", "", [mail, f("hidden", "a"), f("submit", "b")], "newsletter"),
+    ]
+    rows = [("s", "r", f"https://a/{k}", "blog_other", [(a, h, x)]) for k, (a, h, x, _) in enumerate(forms)]
+    p = spark.createDataFrame(rows, f"store_id string, run_id string, url string, page_type string, forms array<struct<action:string,hint:string,fields:array<struct<{field}>>>>")
+    got = {r["url"]: r["kind"] for r in C.leads(p).collect()}
+    assert got == {f"https://a/{k}": kind for k, (*_, kind) in enumerate(forms) if kind}
+    assert [r["kind"] for r in C.leads(p.limit(9).filter("url = 'https://a/8'").withColumn("page_type", F.lit("contact_about"))).collect()] == ["contact"]
+    own = p.filter("url = 'https://a/0'").withColumn("forms", F.transform("forms", lambda x: x.withField("action", F.lit("/0/#form"))))
+    probes = spark.createDataFrame([("https://a/0", "/0/#form", 500, None)], "page_url string, action string, status int, error string")
+    assert {r["check_id"] for r in C.form_checks(own, probes).collect()} == {"contact_form_missing_field"}
+
+
+def test_credit(spark):
+    key = "store_id string, run_id string, seq int, url string, links array<string>, reachable boolean"
+    rows = [
+        ("s", "r", 0, "https://www.shop.co.uk/", ["/returns", "https://x.example/returns"], True), ("s", "r", 1, "https://www.shop.co.uk/a", ["https://help.shop.co.uk/refunds", "https://b.loopreturns.com/"], True), ("t", "r", 0, "https://t.example/", ["https://b.narvar.com/x"], True),
+        ("u", "r", 0, "https://u.example/", ["https://www.u.example/returns", "https://other.co.uk/help"], True), ("v", "r", 0, "https://v.example/", ["https://support.v.example/"], False),
+    ]
+    p = spark.createDataFrame(rows, key)
+    got = {r["store_id"]: (r["link"], r["matched_via"]) for r in C.returns_credit(p).collect()}
+    assert got == {"s": ("https://help.shop.co.uk/refunds", "same_organization_subdomain"), "t": ("https://b.narvar.com/x", "known_returns_portal")}
+    assert {r["store_id"]: r["found_on"] for r in C.contact_credit(p).collect()} == {"s": "https://www.shop.co.uk/a"}
 
 
 def test_fetch_outcomes(spark):
-    rows = [(200, "<p>Access denied</p>", None, "hard_block"), (200, "Access denied" + "x" * 2000, None, None), (429, "a", None, "rate_limited"), (None, None, "read timeout", "timeout"), (503, "a", None, "server_error"), (200, "", None, "empty"), (200, "captcha", None, "captcha")]
+    ok = "<body>" + "word " * 400 + "</body>"
+    rows = [
+        (200, ok, None, None), (200, "<body>Access denied</body>", None, "bot_blocked"), (200, ok + "Access denied", None, None), (200, ok + "Sorry, you have been blocked", None, "bot_blocked"), (200, ok + "Just a moment...", None, "bot_blocked"), (200, "<body>cf-turnstile</body>", None, "captcha_blocked"),
+        (200, ok + "g-recaptcha", None, None), (200, ok + "g-recaptcha I'm not a robot", None, "captcha_blocked"), (404, ok, None, "not_found"), (410, None, None, "not_found"), (429, ok, None, "rate_limited"), (403, ok, None, "bot_blocked"), (None, None, "network_error", "network_error"),
+        (None, None, "blocked_ssrf", "blocked_ssrf"), (503, ok, None, "http_error"), (200, "", None, "unknown"), (200, "<html></html>", None, "unknown"), (None, None, "other", "unknown"),
+    ]
     df = spark.createDataFrame(rows, "status int, html string, error string, want string")
-    assert all(r["got"] == r["want"] for r in df.select("want", C.failure_category(F.col("status"), F.col("html"), F.col("error")).alias("got")).collect())
+    out = C.fetch_outcomes(df).collect()
+    assert [r["failure_category"] for r in out] == [r["want"] for r in out]
+    assert {r["failure_category"] for r in out if not r["reachable"] and not r["cannot_verify"]} == {"not_found", "blocked_ssrf"}
     p = spark.createDataFrame([("s", "r", "a", True, False), ("s", "r", "b", False, False), ("s", "r", "c", False, True), ("t", "r", "d", False, True)], "store_id string, run_id string, url string, reachable boolean, cannot_verify boolean")
-    assert sorted((r["url"], r["check_id"]) for r in C.broken_pages(p).collect()) == [("b", "broken_internal_link"), ("c", "page_unverifiable")]
-    probes = spark.createDataFrame([("s", "r", "/products.json", 200, None, True, None), ("s", "r", "/wp-json", 200, ["wc/v3"], False, None), ("t", "r", "/", 200, None, False, "x cdn.shopify.com"), ("u", "r", "/", 200, [], False, "")], "store_id string, run_id string, path string, status int, namespaces array<string>, has_products boolean, html string")
-    assert {r["store_id"]: r["platform"] for r in C.platform(probes).collect()} == {"s": "woocommerce", "t": "shopify", "u": "unknown"}
+    assert sorted((r["url"], r["confidence"]) for r in C.broken_pages(p).collect()) == [("b", "confirmed"), ("c", "cannot_verify")]
+    n = lambda store, path, status=200, spaces=None, products=False, html=None: (store, "r", path, status, spaces, products, html)
+    probes = [
+        n("a", "/products.json", products=True), n("a", "/wp-json/", spaces=["wp/v2", "wc/v3"]), n("b", "/wp-json/", spaces=["wp/v2"]), n("b", "/", html="woocommerce"), n("c", "/wp-json/", 404), n("c", "/wp-json/wc/v3/products", 401), n("d", "/wp-json/wp/v2/"), n("d", "/products.json", products=True),
+        n("e", "/products.json", products=True), n("e", "/", html="woocommerce"), n("f", "/", html="wp-content and cdn.shopify.com"), n("g", "/", html="x cdn.shopify.com"), n("h", "/", html=""), n("i", "/products.json", 200),
+    ]
+    probes = spark.createDataFrame(probes, "store_id string, run_id string, path string, status int, namespaces array<string>, has_products boolean, html string")
+    assert {r["store_id"]: r["platform"] for r in C.platform(probes).collect()} == {"a": "woocommerce", "b": "wordpress", "c": "woocommerce", "d": "wordpress", "e": "shopify", "f": "wordpress", "g": "shopify", "h": "unknown", "i": "unknown"}
+
+
+def test_page_type(spark):
+    rows = [("https://a/", True, ["x"], "", "homepage"), ("https://a/products/widget", False, ["Returns policy"], "", "product"), ("https://a/x", False, ["Refund policy"], "", "returns_policy"), ("https://a/x", False, ["Legal notice"], "see our privacy policy", "blog_other"), ("https://a/x", False, [" "], "see our privacy policy", "privacy_policy"), ("https://a/x", False, [], "", "blog_other")]
+    df = spark.createDataFrame(rows, "url string, home boolean, headings array<string>, body string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", C.page_type(F.col("url"), F.col("home"), F.col("headings"), F.col("body")).alias("got")).collect())
 
 
 def test_journeys_claims_and_phones(spark):
-    j = spark.createDataFrame([("p", 10.0, "now $12.00", "Total $9.00"), ("q", 10.0, "$10.00", "Shipping $2 Total $12.00"), ("r", 10.0, "none", None)], "product_url string, product_price double, cart_text string, checkout_text string")
+    j = spark.createDataFrame([("p", 10.0, "now $12.00", "Total $9.00"), ("q", 10.0, "$10.00", "Shipping $2 Total $12.00"), ("r", 10.0, "none", None), ("t", 10.0, None, None)], "product_url string, product_price double, cart_text string, checkout_text string")
     got = {}
     for r in C.journeys(j).collect():
-        got.setdefault(r["product_url"], set()).add(r["check_id"])
-    assert got == {"p": {"cart_price_differs", "checkout_no_shipping", "checkout_total_low"}, "r": {"cart_price_absent"}}
-    rows = [("s", "r", 0, "home", "homepage", "Free shipping"), ("s", "r", 1, "pol", "returns_policy", "x"), *[("s", "r", 2 + k, f"p{k}", "product", "30-day returns") for k in range(7)]]
+        got.setdefault(r["product_url"], set()).add(r["check_id"].removeprefix("purchase_journey_"))
+    assert got == {"p": {"cart_price_mismatch", "shipping_not_shown", "total_lower_than_product_price"}, "r": {"cart_price_not_found"}}
+    rows = [("s", "r", 0, "home", "homepage", "Free shipping"), ("s", "r", 1, "pol", "returns_policy", "x"), ("s", "r", 2, "ship", "shipping_policy", "x"), *[("s", "r", 3 + k, f"p{k}", "product", "30-day returns" if k % 2 else "nothing") for k in range(9)]]
     p = spark.createDataFrame(rows, "store_id string, run_id string, seq long, url string, page_type string, text string")
-    assert sorted(r["url"] for r in C.claim_tasks(p).collect()) == ["home", "p0", "p1", "p2", "p3", "p4"]
-    f = spark.createDataFrame([("s", "r", "business.phone", "+4420"), ("s", "r", "business.phone", "+4930")], "store_id string, run_id string, fact string, value string")
+    assert sorted((r["url"], r["kind"], r["policy_url"]) for r in C.claim_tasks(p).collect()) == [("home", "shipping", "ship"), ("p1", "returns", "pol"), ("p3", "returns", "pol")]
+    soft = spark.createDataFrame([("s", "r", "pol")], "store_id string, run_id string, url string")
+    assert [r["kind"] for r in C.claim_tasks(p, soft).collect()] == ["shipping"]
+    f = spark.createDataFrame([("s", "r", "+4420", "u"), ("s", "r", "+4930", "u")], "store_id string, run_id string, phone string, url string")
     said = p.limit(1).withColumn("text", F.lit("our office in Germany"))
-    assert [(r["phone"], r["code"]) for r in C.phone_countries(f, said).collect()] == [("+4420", "44")]
+    assert [(r["phone"], r["code"]) for r in C.phone_countries(f, said).collect()] == [("+4420", "44")] and C.phone_countries(f, said.withColumn("page_type", F.lit("product"))).count() == 0
+
+
+def test_identity_and_required_pages(spark):
+    key = "store_id string, run_id string, seq long, url string, page_type string, reachable boolean, cannot_verify boolean, lang string, text string"
+    rows = [
+        ("a", "r", 0, "h", "homepage", True, False, "en", "a@b.cd or +44 20 7946 0958, in Germany"), ("a", "r", 1, "c", "contact_about", True, False, "en", "x@b.cd, a@b.cd"), ("a", "r", 2, "p", "product", True, False, "en", "other@b.cd"),
+        ("b", "r", 0, "h", "homepage", True, False, "pl", "nothing"), ("b", "r", 1, "v", "privacy_policy", False, True, None, None), ("c", "r", 0, "h", "homepage", False, True, None, None), ("d", "r", 0, "h", "homepage", True, False, None, "12 High Road"), ("d", "r", 1, "s", "faq", True, False, None, "x"),
+        *[("d", "r", 2 + k, t, t, True, False, None, "1") for k, t in enumerate(["privacy_policy", "shipping_policy", "returns_policy", "terms_of_service"])],
+    ]
+    p = spark.createDataFrame(rows, key)
+    runs = p.select("store_id", "run_id").distinct()
+    found = sorted((r["store_id"], r["check_id"].removeprefix("business_identity_"), r["n_values"], r["page_url"]) for r in C.identity_findings(p, runs).collect())
+    assert found == [("a", "email_consistency", 2, None), ("a", "phone_country_mismatch", 1, "h"), ("b", "present", 0, None)]
+    soft = p.filter("url = 'terms_of_service'").select("store_id", "run_id", "url")
+    got = sorted((r["store_id"], r["check_id"], r["page_type"] or "", r["severity"], r["page_url"]) for r in C.required_pages(p, soft, runs).collect())
+    four = ["privacy_policy", "returns_policy", "shipping_policy", "terms_of_service"]
+    assert got == [
+        *[("a", "required_page_present", t, "critical", None) for t in four], ("b", "required_page_present", "contact_about", "medium", None), ("b", "required_page_present", "privacy_policy", "high", "v"), *[("b", "required_page_present", t, "medium", None) for t in four[1:]],
+        ("c", "crawl_incomplete", "", "high", "h"), ("d", "required_page_present", "contact_about", "critical", None), ("d", "required_page_present", "terms_of_service", "high", "terms_of_service"),
+    ]
 
 
 def test_soft_404(spark):
-    text = "this page could not be found in our shop please go back " * 3
-    p = spark.createDataFrame([("s", "r", "a", text), ("s", "r", "b", text + "now"), ("s", "r", "c", "a real page about things"), ("s", "r", "d", None)], "store_id string, run_id string, url string, text string")
+    text, home = "this page could not be found in our shop please go back " * 3, "welcome to the shop of many things, all of them good " * 3
+    rows = [("s", 0, "h", home), ("s", 1, "a", text), ("s", 2, "b", text + "now"), ("s", 3, "c", "a real page about things"), ("s", 4, "d", None), ("s", 5, "e", home), ("s", 6, "f", home + "yes"), ("t", 0, "h", home), ("t", 1, "a", home), ("u", 0, "h", None), ("u", 1, "a", None), ("u", 2, "b", "text")]
+    p = spark.createDataFrame([(s, "r", k, u, t, True) for s, k, u, t in rows] + [("t", "r", 9, "z", home, False)], "store_id string, run_id string, seq long, url string, text string, reachable boolean")
     base = spark.createDataFrame([("s", "r", text)], "store_id string, run_id string, baseline string")
-    assert {r["url"]: r["how"] for r in C.soft_404(p, base).collect()} == {"a": "exact", "b": "near"}
+    got = {(r["store_id"], r["url"]): (r["matched"], r["how"]) for r in C.soft_404(p, base).collect()}
+    assert got == {("s", "a"): ("baseline", "exact"), ("s", "b"): ("baseline", "near"), ("s", "e"): ("homepage", "exact"), ("s", "f"): ("homepage", "near"), ("t", "a"): ("homepage", "exact"), ("u", "a"): ("homepage", "exact")}
 
 
 def test_products(spark):
     pages_ = spark.createDataFrame([("s", "r", 0, "https://x/p/w/", 19.99, True), ("s", "r", 1, "https://x/p/w", 1.0, True), ("s", "r", 2, "https://x/p/v", 24.99, False), ("s", "r", 3, "https://x/p/z", 1.0, True)], "store_id string, run_id string, seq long, url string, price double, in_stock boolean")
     api = spark.createDataFrame([("s", "r", "https://x/p/w", 19.99, True), ("s", "r", "https://x/p/v", 19.99, True)], "store_id string, run_id string, permalink string, price double, in_stock boolean")
     m = M.by_path(pages_, api)
-    assert sorted((r["url"], r["check_id"]) for r in M.mismatches(m).collect()) == [("https://x/p/v", "api_price_mismatch"), ("https://x/p/v", "api_stock_mismatch")]
+    assert sorted((r["url"], r["check_id"]) for r in M.mismatches(m).collect()) == [("https://x/p/v", "woocommerce_price_mismatch"), ("https://x/p/v", "woocommerce_stock_mismatch")]
     assert {r["url"] for r in M.unmatched(pages_, m).collect()} == {"https://x/p/w", "https://x/p/z"}
     shop = spark.createDataFrame([("s", "r", "w", [("18.00", False), ("19.99", True)])], "store_id string, run_id string, handle string, variants array<struct<price:string,available:boolean>>")
     assert M.mismatches(M.by_handle(pages_.filter("seq = 0"), shop)).count() == 0
-    feed = spark.createDataFrame([("1", "Toy", "for ages 3", 5.0, 5.0, "1", "toys", "in_stock", "new", {"a": "warning"}), ("2", "Phone", "", None, 5.0, None, "electronics", "in_stock", "new", {})], "id string, title string, description string, price double, landing_page_price double, gtin string, category string, availability string, condition string, attributes map<string,string>")
+    schema = "id string, title string, description string, price double, landing_page_price double, gtin string, category string, availability string, condition string, shipping_weight_kg double, attributes map<string,string>"
+    rows = [
+        ("1", "Playhouse", "for 3 years and up", 5.0, 5.0, "1", "playhouse", "in_stock", "new", None, {"x": "choking hazard"}), ("2", "Scooter", "", None, 5.0, None, "electric_scooter", "in_stock", "new", None, {}), ("3", "Fridge", "Energy Star", 5.0, 5.0, "1", "refrigerator", "in_stock", "used", None, {}),
+        ("4", "Fridge", "Energy Star, 2 year guarantee", 5.0, 5.0, "1", "refrigerator", "in_stock", "used", None, {"energy_rating": "A"}), ("5", "Motor", "x", 5.0, 5.0, "1", "electric_motor", "in_stock", "new", 2.0, {"certification": "CSA"}), ("6", "House", "x", 5.0, 5.0, "1", "playhouse", "in_stock", "new", None, {"age_grade": "3"}),
+    ]
+    feed = spark.createDataFrame(rows, schema)
     got = {(r["id"], r["rule"]) for r in M.feed_violations(feed).collect()}
-    assert got == {("2", "gtin_present"), ("2", "price_positive"), ("2", "required_description"), ("2", "battery_certification"), ("2", "warranty")}
+    assert got == {("2", "gtin_present"), ("2", "price_positive"), ("2", "required_description"), ("2", "battery_safety_certification"), ("2", "shipping_weight_present"), ("3", "warranty_disclosure"), ("3", "energy_claim_substantiation"), ("6", "playhouse_safety_warning")}
+    feed = feed.filter("id in ('1', '2')")
     answers = spark.createDataFrame([("1", '[{"rule": "x", "severity": "warning"}]'), ("2", "no json")], "id string, answer string")
     out = {(r["id"], r["rule"]): r["manual_review"] for r in M.evaluated(feed, M.feed_violations(feed), answers).collect()}
-    assert out["1", "x"] is False and out["2", "warranty"] is True and not M.gate(M.feed_violations(feed)).first()["clean"]
+    assert out["1", "x"] is False and out["2", "shipping_weight_present"] is True and not M.gate(M.feed_violations(feed)).first()["clean"]
     api_images = spark.createDataFrame([("s", "r", "u1", [("a", None)])], "store_id string, run_id string, url string, images array<struct<src:string,alt:string>>")
     own = spark.createDataFrame([("s", "r", "u1", [("b", None)]), ("s", "r", "u2", [("c", "t")])], api_images.schema)
     assert {(r["url"], r["src"], r["source"]) for r in M.product_images(own, api_images).collect()} == {("u1", "a", "api"), ("u2", "c", "page")}
