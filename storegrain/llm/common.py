@@ -32,10 +32,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/storegrain/{tag}-{uuid.uuid4().hex}"
 
 
-def landed(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+def fewer(df: DataFrame, times: int = 8) -> DataFrame:
+    """df in an eighth of the shuffle partitions: for what is left after an aggregate or a filter, so that it isn't written as many small files."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // times))
+
+
+def landed(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back. It cuts the lineage, and a lost executor loses none of it."""
     path = new_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -103,3 +108,29 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a bitmap of keys for each of them, and its least and greatest size.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 25
+
+
+def bitmap(hashes: DataFrame, column: str) -> tuple[int, Column]:
+    """(bits, constant array<bigint>) with a bit set for each 64-bit hash of the column, sized by their counted number; MOST_BITS / 64 longs at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * hashes.count()).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1)).cast("int")
+    cells = hashes.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
+    words = [0] * (bits // 64)
+    for r in cells:
+        words[r["cell"]] = r["bits"]
+    return bits, constant_array(words, "bigint")
+
+
+def is_set(table: Column, bits: int, hashed: Column) -> Column:
+    at = hashed.bitwiseAND(F.lit(bits - 1)).cast("int")
+    return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6)), at).bitwiseAND(F.lit(1).cast("long")) == 1  # a shift takes the low 6 bits
+
+
+def may_be_among(key: Column, rows: DataFrame, column: str) -> Column:
+    """False only where key is no value of the column of rows. Beyond some million values it rules out few."""
+    bits, table = bitmap(rows.select(F.xxhash64(column).alias("h")), "h")
+    return is_set(table, bits, F.xxhash64(key))

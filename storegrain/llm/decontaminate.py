@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import ascii_lower, constant_array, landed, sha256
+from storegrain.llm.common import ascii_lower, bitmap, fewer, is_set, landed, sha256
 
 #: What is no word character: ASCII but for digits and letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the bitmap for each counted window, and its least and greatest size.
-BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 25
 #: The first words of a window that the bitmap holds.
 HEAD = 3
 
@@ -57,28 +55,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
     docs that repeat give one row each. Item ids are compared as strings; items whose texts are alike all count.
     Rows of benchmark with a null item_id are one item: their words are hits, n_items counts it, items cannot name it.
     """
-    grams = landed(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD))), "benchmark-windows")
+    grams = landed(fewer(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD)))), "benchmark-windows")
     n_windows = grams.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_WINDOW * n_windows).bit_length()))
-    # bounded: at most MOST_BITS / 64 longs, and at most n lengths, whatever the benchmark's size
-    head = F.when(F.col("m") == 1, _head(F.col("gram"), F.lit(0), 1)).when(F.col("m") == 2, _head(F.col("gram"), F.lit(0), 2)).otherwise(_head(F.col("gram"), F.lit(0), HEAD))
-    at = head.bitwiseAND(F.lit(bits - 1)).cast("int")
-    cells = grams.select(F.shiftright(at, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
+    # at most n lengths, whatever the benchmark's size
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
-    bitmap = [0] * (bits // 64)
-    for r in cells:
-        bitmap[r["cell"]] = r["bits"]
-    table = constant_array(bitmap, "bigint")
+    head = F.when(F.col("m") == 1, _head(F.col("gram"), F.lit(0), 1)).when(F.col("m") == 2, _head(F.col("gram"), F.lit(0), 2)).otherwise(_head(F.col("gram"), F.lit(0), HEAD))
+    bits, table = bitmap(grams.select(head.alias("h")), "h")
     small = n_windows <= broadcast_rows
 
     def starts(ws: Column, m: int) -> Column:
         """Where the first m words of some window may stand."""
-
-        def maybe(i):
-            at = _head(ws, i, m).bitwiseAND(F.lit(bits - 1)).cast("int")
-            return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6)), at).bitwiseAND(F.lit(1).cast("long")) == 1  # a shift takes the low 6 bits
-
-        return F.when(F.size(ws) > 0, F.filter(F.sequence(F.lit(0), F.size(ws) - 1), maybe)).otherwise(F.array())
+        return F.when(F.size(ws) > 0, F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: is_set(table, bits, _head(ws, i, m)))).otherwise(F.array())
 
     def whole(m: int, k: int) -> Column:
         """Runs of k words from those starts."""
@@ -116,7 +103,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     bad = contamination(docs, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("d")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(landed(bad, "contaminated"), F.col("id").eqNullSafe(F.col("d")), "left_anti").select("row.*")
+    return rows.join(landed(fewer(bad), "contaminated"), F.col("id").eqNullSafe(F.col("d")), "left_anti").select("row.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import ascii_lower, deleted, free_name, landed, new_path, sha256
+from storegrain.llm.common import ascii_lower, deleted, fewer, free_name, landed, new_path, sha256
 
 #: The characters stripped at both ends of a line: space, and tab to carriage return.
 STRIP = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
 #: Lines of one batch, about; a table has three batches at least.
 BATCH_LINES = 500_000_000
+#: Lines for each bucket of the runs, about.
+BUCKET_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -42,9 +44,9 @@ class LineRuns:
     Runs are tables of the session's catalog, in the shared folder. `drop` takes them off the catalog and deletes them.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, n_lines: int = 0):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines // BUCKET_LINES)))
         self.levels: list[list[str]] = []
         self.known: str | None = None
         self.made: list[tuple[str, str]] = []
@@ -114,12 +116,13 @@ def frequent_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, b
         .select("doc_id", "th", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
     )
     lines = landed(lines, "lines")
-    batches = batches or max(3, -(-lines.count() // BATCH_LINES))
-    runs = LineRuns(spark, min_docs, fanout)
+    n_lines = lines.count()
+    batches = batches or max(3, -(-n_lines // BATCH_LINES))
+    runs = LineRuns(spark, min_docs, fanout, n_lines)
     for b in range(batches):
         new = lines.filter(F.pmod(F.xxhash64(F.lit(b"batch"), "doc_id"), F.lit(batches)) == b).select(*KEY, "doc_id").distinct()
         runs.add(new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs")))  # in parts, so a key found everywhere is one row a part
-    frequent = landed(runs.close(), "frequent-lines")
+    frequent = landed(fewer(runs.close()), "frequent-lines")
     runs.drop()
     return lines, frequent
 

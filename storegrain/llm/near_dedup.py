@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import discarded, landed, slices
+from storegrain.llm.common import discarded, fewer, landed, may_be_among, slices
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -247,41 +247,51 @@ def one_block_each(members: DataFrame) -> DataFrame:
     return members.withColumns({"j": F.lit(0), "comp": F.col("id"), "side": F.lit(0)}).withColumn("i", F.explode(i)).drop("nb")
 
 
-def across_blocks(members: DataFrame, components_of: DataFrame) -> DataFrame | None:
-    """Step 2: for groups of several blocks and components, the members outside of the largest component (side 0) by all members (side 1).
+def open_groups(members: DataFrame, components_of: DataFrame) -> DataFrame | None:
+    """(g, largest, nr) of the groups of several blocks that are in several components: the largest one, and blocks of the members outside of it.
 
-    members: (g, id, nb, ..); components_of: (id, component). None if there is no such group.
+    members: (g, id, nb); components_of: (id, component). None if there is no such group.
     """
     big = members.filter("nb > 1")
     if not big.limit(1).count():
         return None
     c = components_of.select(F.col("id").alias("c_id"), "component")
-    own = big.select("g", "id", "nb").join(c, F.col("id") == F.col("c_id"), "left").select("g", "id", "nb", F.coalesce("component", "id").alias("comp"))
-    per = own.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("nb").alias("nb"))
-    groups = per.groupBy("g").agg(F.count(F.lit(1)).alias("n_comps"), F.max(F.struct("k", "comp"))["comp"].alias("largest"), (F.sum("k") - F.max("k")).alias("rest"), F.max("nb").alias("nb"))
-    groups = landed(groups.filter("n_comps > 1"), "open-groups")
-    if not groups.limit(1).count():
-        return None
-    # blocks of the rest are as large as those of all members
-    rest_blocks = F.ceil(F.col("rest") / BLOCK_MEMBERS).cast("int")
-    rows = big.join(groups.select("g", "largest", rest_blocks.alias("nr")), "g").join(c, F.col("id") == F.col("c_id"), "left").withColumn("comp", F.coalesce("component", "id")).drop("c_id", "component")
+    own = big.select("g", "id").join(c, F.col("id") == F.col("c_id"), "left").select("g", F.coalesce("component", "id").alias("comp"))
+    per = own.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
+    groups = per.groupBy("g").agg(F.count(F.lit(1)).alias("n_comps"), F.max(F.struct("k", "comp"))["comp"].alias("largest"), (F.sum("k") - F.max("k")).alias("rest"))
+    groups = landed(fewer(groups.filter("n_comps > 1").select("g", "largest", n_blocks(F.col("rest")).alias("nr"))), "open-groups")
+    return groups if groups.limit(1).count() else None
+
+
+def across_blocks(members: DataFrame) -> DataFrame:
+    """Step 2: for open groups, the members outside of the largest component by all members, each pair of them in one block.
+
+    members: (g, id, nb, nr, comp, largest, ..). Blocks (i, j) with i < nr are those of the outside members: below nr, j
+    is a block of theirs too, and only pairs i <= j are made; from nr on, it is one of the largest component's members.
+    """
     block = lambda n: F.pmod(F.xxhash64(F.lit(1), "id"), F.col(n)).cast("int")
-    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    right = F.transform(to("nr"), lambda i: F.struct(i.alias("i"), block("nb").alias("j"), F.lit(1).alias("side")))
-    left = F.transform(to("nb"), lambda j: F.struct(block("nr").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    at = F.explode(F.when(F.col("comp") != F.col("largest"), F.concat(left, right)).otherwise(right)).alias("x")
-    return rows.select(*[x for x in rows.columns if x not in ("nb", "nr", "largest")], at).select("*", "x.*").drop("x")
-
-
-def grouped_links(members: DataFrame, work: Callable[[dict], list[tuple[int, int]]], tag: str) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), their components (id, component)) within the groups of members (g, id, nb, n, bits[, set])."""
-    links = landed(_compared(one_block_each(members), work).distinct(), f"{tag}-links")
-    found = landed(components(links), f"{tag}-components")
-    more = across_blocks(members, found)
-    if more is None:
+    upto = lambda a, b: F.when(F.lit(a) <= b if isinstance(a, int) else a <= b, F.sequence(F.lit(a) if isinstance(a, int) else a, b)).otherwise(F.array().cast("array<int>"))
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    own = block("nr")
+    outside = F.concat(
+        F.transform(upto(0, F.col("nr") + F.col("nb") - 1), lambda j: F.when(j >= own, cell(own, j, 0))), F.transform(upto(0, own - 1), lambda i: cell(i, own, 1))
+    )
+    inside = F.transform(upto(0, F.col("nr") - 1), lambda i: cell(i, F.col("nr") + block("nb"), 1))
+    at = F.explode(F.array_compact(F.when(F.col("comp") != F.col("largest"), outside).otherwise(inside))).alias("x")
+    return members.select(*[x for x in members.columns if x not in ("nb", "nr", "largest")], at).select("*", "x.*").drop("x")
+
+
+def grouped_links(members: DataFrame, work: Callable[[dict], list[tuple[int, int]]], tag: str, fill: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), their components (id, component)) within the groups of members (g, id, nb, n, bits, ..), a written table; fill adds what work needs besides."""
+    links = landed(fewer(_compared(one_block_each(fill(members)), work).distinct()), f"{tag}-links")
+    found = landed(fewer(components(links)), f"{tag}-components")
+    groups = open_groups(members, found)
+    if groups is None:
         return links, found
-    links = landed(links.unionByName(_compared(more, work)).distinct(), f"{tag}-all-links")
-    return links, landed(components(links), f"{tag}-all-components")
+    c = found.select(F.col("id").alias("c_id"), "component")
+    rows = members.join(groups, "g").join(c, F.col("id") == F.col("c_id"), "left").withColumn("comp", F.coalesce("component", "id")).drop("c_id", "component")
+    links = landed(fewer(links.unionByName(_compared(across_blocks(fill(landed(rows, "open-members"))), work)).distinct()), f"{tag}-all-links")
+    return links, landed(fewer(components(links)), f"{tag}-all-components")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,12 +305,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u", sign).agg(F.least(F.col("u"), F.min("v")).alias("m")).drop("sign")
-        large = landed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        large = landed(fewer(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()), "large-star")
         low = large.groupBy("u", sign).agg(F.min("v").alias("m")).drop("sign")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         seen = Observation()
-        edges = landed(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "small-star")
+        edges = landed(fewer(small).observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "small-star")
         discarded(large, *old)
         old, now = [edges], seen.get
         if now == before or not now["n"]:
@@ -315,11 +325,23 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(b.column("text").to_pylist(), word_hash)
         # of a doc_id with several texts the one that is meant
         own = [k for k, (s, f1, f2) in enumerate(zip(sets, b.column("f1").to_pylist(), b.column("f2").to_pylist(), strict=True)) if fingerprint(s) == (f1, f2)]
-        kept = b.take(pa.array(own, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("g", "id", "nb", "n", "bits")], pa.array([sets[k].tobytes() for k in own], pa.binary())], ["g", "id", "nb", "n", "bits", "set"])
+        kept = b.take(pa.array(own, pa.int64())).drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sets[k].tobytes() for k in own], pa.binary())], [*kept.schema.names, "set"])
+
+
+def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (id, f1, f2, ..), a written table, with set, the hashes of their documents' shingles.
+
+    Documents that no member can be are dropped by a bitmap of the members' ids before texts are shuffled, if they are.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").filter(may_be_among(F.col("doc_id").cast("long"), members, "id"))
+    rows = members.join(texts, F.col("id") == F.col("d")).drop("d")
+    schema = members.withColumn("set", F.lit(None).cast("binary")).schema
+    return rows.mapInArrow(_with_sets, schema)
 
 
 def n_blocks(n_members: Column, n_bytes: Column | None = None) -> Column:
+    """Blocks of a group by its members' number and their sets' bytes."""
     by_members = F.ceil(n_members / BLOCK_MEMBERS)
     return (by_members if n_bytes is None else F.greatest(by_members, F.ceil(n_bytes / BLOCK_BYTES))).cast("int")
 
@@ -334,29 +356,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sk = landed(sketches(docs), "sketches")
     with_id = sk.filter("n > 0 and doc_id is not null")
-    classes = landed(with_id.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = landed(fewer(with_id.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))), "classes")
     reps = with_id.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     reps = landed(reps.dropDuplicates(["id", "f1", "f2"]), "representatives")
     # band keys alone are shuffled until it is known which of them are shared
     buckets = reps.select(F.explode("bands").alias("g"), "id")
-    shared = landed(buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", n_blocks(F.col("m")).alias("nb")), "shared-buckets")
-    in_shared = landed(buckets.join(shared, "g").join(reps.select("id", "n", "bits"), "id").select("g", "id", "nb", "n", "bits"), "bucket-members")
+    shared = landed(fewer(buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", n_blocks(F.col("m")).alias("nb"))), "shared-buckets")
+    in_shared = landed(fewer(buckets.join(shared, "g").join(reps.select("id", "n", "bits"), "id").select("g", "id", "nb", "n", "bits"), 2), "bucket-members")
     _, clusters = grouped_links(in_shared, in_bucket, "bucket")
     discarded(in_shared)
 
     members = reps.join(clusters.select(F.col("id").alias("c"), F.col("component").alias("g")), F.col("id") == F.col("c")).select("g", "id", "n", "bits", "f1", "f2")
-    sizes = landed(members.groupBy("g").agg(n_blocks(F.count(F.lit(1)), F.sum("n") * 8).alias("nb")), "cluster-sizes")
-    members = members.join(sizes, "g")
-    sets = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(members, F.col("d") == F.col("id")).drop("d")
-    sets = sets.mapInArrow(_with_sets, "g long, id long, nb int, n long, bits binary, set binary")
-    links, final = grouped_links(sets, in_cluster, "cluster")
+    sizes = landed(fewer(members.groupBy("g").agg(n_blocks(F.count(F.lit(1)), F.sum("n") * 8).alias("nb"))), "cluster-sizes")
+    members = landed(fewer(members.join(sizes, "g"), 2), "cluster-members")
+    links, final = grouped_links(members, in_cluster, "cluster", lambda rows: with_sets(docs, rows))
     # texts of one doc_id are one node: where they are of several classes, these are linked by the id
     several = with_id.groupBy("doc_id").agg(F.count_distinct("f1", "f2").alias("k")).filter("k > 1").select(F.col("doc_id").alias("d"))
-    by_id = landed(with_id.join(several, F.col("doc_id") == F.col("d")).join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links-by-id")
+    by_id = landed(fewer(with_id.join(several, F.col("doc_id") == F.col("d")).join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()), "links-by-id")
     if by_id.limit(1).count():
-        final = landed(components(links.unionByName(by_id)), "components")
+        final = landed(fewer(components(links.unionByName(by_id))), "components")
     final = final.withColumnRenamed("id", "r")
-    known = landed(classes.join(final, F.col("rep") == F.col("r"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "class-components")
+    known = landed(fewer(classes.join(final, F.col("rep") == F.col("r"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))), "class-components")
     out = sk.join(known, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -367,7 +387,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     The ids are written first, so that Spark knows their size and sends them to the documents where they are few.
     """
-    gone = landed(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("d")).distinct(), "not-kept")
+    gone = landed(fewer(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("d")).distinct()), "not-kept")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     return rows.join(gone, F.col("id") == F.col("d"), "left_anti").select("row.*")
 

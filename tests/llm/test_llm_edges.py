@@ -211,13 +211,26 @@ def test_links_between_blocks_of_texts_that_are_alike_but_not_linked(spark):
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(texts).collect()}
     assert got == {k: k % 600 for k in range(1200)}
-    members = texts.select(F.lit(1).cast("long").alias("g"), F.col("doc_id").alias("id"), F.lit(3).alias("nb"))
-    most = spark.createDataFrame([(k, 0) for k in range(1100)], "id long, component long")
-    more = near_dedup.across_blocks(members, most)
-    # 100 members outside of the largest component: each meets all three blocks, and all members meet them
-    assert more.filter("side = 0").count() == 300 and more.filter("side = 1").count() == 1200
-    assert near_dedup.across_blocks(members, spark.createDataFrame([(k, 0) for k in range(1200)], "id long, component long")) is None
-    assert near_dedup.across_blocks(members.withColumn("nb", F.lit(1)), most) is None
+
+
+def test_open_groups_and_their_blocks(spark):
+    """300 members outside of the largest component by all 1,200: every pair of them meets exactly once, all others of the largest never."""
+    ids = spark.range(1200).select(F.lit(1).cast("long").alias("g"), "id", F.lit(3).alias("nb"))
+    most = ids.filter("id < 900").select("id", F.lit(0).cast("long").alias("component"))
+    groups = near_dedup.open_groups(ids, most)
+    assert [tuple(r) for r in groups.collect()] == [(1, 0, 1)]
+    assert near_dedup.open_groups(ids, ids.select("id", F.lit(0).alias("component"))) is None and near_dedup.open_groups(ids.withColumn("nb", F.lit(1)), most) is None
+    rows = ids.join(groups.withColumn("nr", F.lit(2)), "g").withColumn("comp", F.when(F.col("id") < 900, 0).otherwise(F.col("id")))
+    met = {}
+    blocks = {}
+    for r in near_dedup.across_blocks(rows).collect():
+        blocks.setdefault((r["i"], r["j"]), ([], []))[r["side"]].append(r["id"])
+    for left, right in blocks.values():
+        pairs = [(a, b) for a in left for b in (right or left) if a != b]
+        for a, b in pairs if right else [(a, b) for a, b in pairs if a < b]:
+            key = (min(a, b), max(a, b))
+            met[key] = met.get(key, 0) + 1
+    assert set(met.values()) == {1} and set(met) == {(a, b) for a in range(1200) for b in range(max(a + 1, 900), 1200)}
 
 
 def test_texts_of_one_id_are_one_node(spark):
