@@ -28,22 +28,47 @@ def test_admission_stream_is_the_batch(spark, tmp_path):
 
 
 def test_findings_are_kept_current(spark, tmp_path):
-    schema = "store_id string, run_id string, seq long, check_id string, page_url string, evidence string"
+    schema = "store_id string, run_id string, seq long, check_id string, title string, severity string, confidence string, page_url string, evidence string, location string"
     for k in range(2):
-        rows = [("s", "r", 10 * k + i, "c", f"p{10 * k + i}", "") for i in range(3)]
+        rows = [("1", "7", 10 * k + i, "broken_image", "t", "low", "confirmed", f"p{10 * k + i}", "e", None) for i in range(3)]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         S.keep_current(stream, str(tmp_path / "store"), str(tmp_path / "rollups"), str(tmp_path / "cp")).awaitTermination()
         assert [r["n"] for r in spark.read.parquet(str(tmp_path / "rollups")).collect()] == [3 * (k + 1)]
+    # a run that no later batch touches stays as it is, and its files are not read again
+    other = spark.createDataFrame([("2", "7", 99, "x", "t", "low", "confirmed", "p", "e", None)], schema)
+    other.write.mode("append").parquet(str(tmp_path / "in"))
+    S.keep_current(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "rollups"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "rollups")).collect()) == [1, 6]
+    assert (tmp_path / "store/store_id=1/run_id=7").is_dir()
 
 
 def test_due_list(spark, tmp_path):
-    stores = spark.createDataFrame([("a", "interval", 3, None), ("b", "on_change", None, None)], "url string, mode string, interval_days int, last_full_audit_at timestamp")
+    stores = spark.createDataFrame([("a", "interval", 3, None, None, None), ("b", "on_change", None, None, None, None)], "url string, mode string, interval_days int, last_full_audit_at timestamp, cheap_check_interval_days int, last_cheap_check_at timestamp")
     spark.range(1).write.parquet(str(tmp_path / "in"))
     S.write_due(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), stores, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
 
 
+def test_new_alerts(spark):
+    v = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "product_id int, rule string")
+    assert sorted(tuple(r) for r in S.new_alerts(v, v.filter("rule = 'b'")).collect()) == [(1, "a"), (2, "a")]
+
+
+def test_sitemap_walk(spark, tmp_path):
+    """An index names two documents and itself, one of them is an index too; its child's child is too deep."""
+    from urllib.parse import quote
+
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    pages = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    docs = {"https://a/0": index("https://a/0", "https://a/1", "https://a/2"), "https://a/1": pages("https://a/x", "https://a/y"), "https://a/2": index("https://a/3"), "https://a/3": pages("https://a/y", "https://a/z"), "https://a/4": pages("https://a/not-linked"), "https://a/5": index("https://a/2")}
+    (tmp_path / "maps").mkdir()
+    for url, text in docs.items():
+        (tmp_path / "maps" / f"{quote(url, safe='')}.xml").write_text(text)
+    walk = lambda url: {r["loc"]: r["depth"] for r in T.sitemap_walk(spark, str(tmp_path / "maps"), spark.createDataFrame([(url,)], "url string")).collect()}
+    assert walk("https://a/0") == {"https://a/x": 1, "https://a/y": 1, "https://a/z": 2} and walk("https://a/5") == {"https://a/y": 2, "https://a/z": 2} and walk("https://a/1") == {"https://a/x": 0, "https://a/y": 0}
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "maps").mkdir()
     (tmp_path / "maps/a.xml").write_text("<urlset><url><loc>https://a/1</loc></url><url><loc>https://a/2</loc></url></urlset>")
@@ -52,14 +77,23 @@ def test_landed_files(spark, tmp_path):
     assert [r["loc"] for r in T.sitemap_children(spark, str(tmp_path / "maps")).collect()] == ["https://a/m.xml"]
     (tmp_path / "s.json").write_text(json.dumps({"products": [{"handle": "w", "variants": [{"price": "1.00", "available": True}]}]}))
     assert T.shopify_products(spark, str(tmp_path / "s.json")).first()["variants"][0]["price"] == "1.00"
-    (tmp_path / "w.json").write_text(json.dumps([{"id": 1, "name": "n", "price": "", "regular_price": "5.00", "meta_data": [{"key": "_gtin", "value": "123"}], "categories": [{"name": "Toys"}], "stock_status": "instock"}]))
     from storegrain.operators.catalog_match import normalized_feed
 
-    raw = T.woocommerce_products(spark, str(tmp_path / "w.json")).withColumn("categories", F.col("categories.name"))
-    row = normalized_feed(raw).first()
-    assert (row["price"], row["gtin"], row["category"], row["availability"]) == (5.0, "00000000000123", "toys", "in_stock")
+    raw = [
+        {"id": 1, "name": "n", "price": "", "regular_price": "5.00", "sku": "S-1", "weight": "2.5", "dimensions": {"length": "3", "width": "", "height": None}, "meta_data": [{"key": "_EAN", "value": "123"}, {"key": "gtin", "value": "9"}, {"key": "condition", "value": "Used"}], "categories": [{"name": "Toys"}, {"name": "Espresso & Coffee"}], "attributes": [{"key": "color", "value": "red"}], "images": [{"src": "i"}, {"src": ""}], "stock_status": "instock"},
+        {"id": 2, "short_description": "s", "price": "x", "meta_data": [{"key": "condition", "value": "broken"}], "categories": [{"slug": "motor-parts"}], "stock_status": "onbackorder"}, {"id": 3, "price": "7"},
+    ]
+    (tmp_path / "w.json").write_text(json.dumps(raw))
+    a, b, c = normalized_feed(T.woocommerce_products(spark, str(tmp_path / "w.json"))).orderBy("id").collect()
+    assert (a["id"], a["source_id"], a["price"], a["landing_page_price"], a["gtin"], a["mpn"], a["category"], a["condition"], a["availability"], a["shipping_weight_kg"], a["attributes"], len(a["images"])) == ("woocommerce-1", "1", 5.0, 5.0, "123", "S-1", "coffee_machine", "used", "in_stock", 2.5, {"color": "red"}, 1)
+    assert tuple(a["shipping_dims_cm"]) == (3.0, 0.0, 0.0)
+    assert (b["title"], b["description"], b["price"], b["category"], b["condition"], b["availability"], b["shipping_dims_cm"]) == ("", "s", None, "electric_motor", "new", "onbackorder", None)
+    assert (c["price"], c["category"], c["availability"], c["gtin"]) == (7.0, "household_tool", "out_of_stock", None)
     (tmp_path / "l.json").write_text(json.dumps([{"store_url": "s", "platform": "p", "ground_truth": {"k": {"verdict": "pass", "notes": ""}, "m": {"verdict": "fail", "notes": "x"}}}]))
     assert {(r["category"], r["verdict"]) for r in T.ground_truth(spark, str(tmp_path / "l.json")).collect()} == {("k", "pass"), ("m", "fail")}
+    rows = spark.createDataFrame([([1, 2],)], "a array<int>")
+    texts = T.write_json_columns(rows, ["a"])
+    assert texts.first()["a"] == "[1,2]" and T.read_json_columns(texts.unionByName(spark.createDataFrame([("no",)], "a string")), {"a": "array<int>"}).collect() == [([1, 2],), (None,)]
 
 
 def test_tables_out(spark, tmp_path):
@@ -74,5 +108,6 @@ def test_tables_out(spark, tmp_path):
     chunks.write.parquet(str(tmp_path / "e/1"))
     chunks.withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "e/2"))
     assert "more" in T.read_evolved(spark, str(tmp_path / "e/*")).columns
-    N.export_csv(chunks, str(tmp_path / "csv"), ["chunk_text", "policy_id"])
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["chunk_text", "policy_id"]
+    N.export_csv(spark.createDataFrame([("c", "a, b", None)], "check_id string, title string, page_url string"), str(tmp_path / "csv"))
+    row = spark.read.csv(str(tmp_path / "csv"), header=True).first()
+    assert row.asDict().keys() == set(N.EXPORT) and (row["check_id"], row["title"], row["page_url"]) == ("c", "a, b", None)
