@@ -18,9 +18,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that op2 finds in no language (`und`): those of null or empty text or without a letter.
 
     Mixed texts stay, however their languages are shared. Rows are judged one by one, whatever their doc_id; where no
-    document has a known language, the model knows none and all are dropped.
+    document to learn from has a known language, the model knows none, and only texts without a letter go.
     """
     model = langid.train(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    if not model["langs"]:
+        return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
     judged = langid.with_language(docs, model)
     return judged.filter(F.col(free_name(docs.columns, "lang_pred")) != "und").select(*docs.columns)
 
