@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL where it can express them."""
 
 import corpus_pipeline
-from storegrain.llm import bpe, chat, decontaminate, langid, line_dedup, near_dedup, quality, secrets, topk, urls
+from storegrain.llm import bpe, chat, decontaminate, langid, line_dedup, near_dedup, periodic, quality, secrets, topk, urls
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         decontaminate.op8_benchmark_decontamination,
         near_dedup.op9_minhash_near_dedup,
         secrets.op10_secret_scans,
+        periodic.op12_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL = {
