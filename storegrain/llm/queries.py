@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL where it can express them."""
 
 import corpus_pipeline
-from storegrain.llm import align, bpe, chat, decontaminate, langid, line_dedup, near_dedup, periodic, quality, secrets, topk, urls
+from storegrain.llm import align, bpe, chat, decontaminate, langid, line_dedup, near_dedup, passages, periodic, quality, secrets, topk, urls
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         secrets.op10_secret_scans,
         align.op11_cross_tokenizer_alignment,
         periodic.op12_periodic_runs,
+        passages.op13_suffix_array_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL = {
