@@ -41,16 +41,25 @@ def by_handle(pages: DataFrame, products: DataFrame) -> DataFrame:
     return products.join(first, [*key, "handle"], "left")
 
 
+def shown(pages: DataFrame, *, theme: bool) -> DataFrame:
+    """pages of products that loaded, with price and in_stock as they show them: theme tells availability as a boolean, else it is a stock status."""
+    price, stock = ("theme_price", "theme_available") if theme else ("order_price", "order_stock")
+    loaded = F.col("reachable") if "reachable" in pages.columns else F.lit(True)
+    return pages.filter((F.col("page_type") == "product") & loaded).withColumns({"price": F.col(f"rendered.{price}"), "in_stock": F.col(f"rendered.{stock}")})
+
+
 def mismatches(matched: DataFrame) -> DataFrame:
     """(key, url, check_id) where a product (price, in_stock, or variants of price and available) disagrees with its page (price, in_stock).
 
-    With variants any price within 0.01 will do, and any available one makes the product available.
+    With variants any price within 0.01 will do, and any available one makes the product available. What either side
+    doesn't tell, a product without variants or without prices among them, is no mismatch.
     """
     key = ["store_id", "run_id"]
     m = matched.filter("page is not null")
     if "variants" in m.columns:
-        price_ok = F.exists("variants", lambda v: F.abs(v["price"].try_cast("double") - F.col("page.price")) <= 0.01)
-        stock, names = F.exists("variants", lambda v: v["available"]), ("shopify_price_mismatch", "shopify_availability_mismatch")
+        prices = F.filter(F.transform("variants", lambda v: F.regexp_extract(F.replace(v["price"].cast("string"), F.lit(","), F.lit("")), r"[\d.]+", 0).try_cast("double")), lambda x: x.isNotNull())
+        price_ok = F.when(F.size(prices) > 0, F.exists(prices, lambda x: F.abs(x - F.col("page.price")) <= 0.01))
+        stock, names = F.when(F.size("variants") > 0, F.exists("variants", lambda v: F.coalesce(v["available"], F.lit(False)))), ("shopify_price_mismatch", "shopify_availability_mismatch")
     else:
         price_ok, stock, names = F.abs(F.col("price") - F.col("page.price")) <= 0.01, F.col("in_stock"), ("woocommerce_price_mismatch", "woocommerce_stock_mismatch")
     checks = F.array_compact(F.array(F.when(F.col("page.price").isNotNull() & ~price_ok, names[0]), F.when(F.col("page.in_stock").isNotNull() & (stock != F.col("page.in_stock")), names[1])))
@@ -140,22 +149,63 @@ def gate(violations: DataFrame) -> DataFrame:
     return n.withColumn("clean", F.col("n_critical") == 0)
 
 
+def _kinds(v: Column) -> Column:
+    """The @type of an object, one or a list, in lower case."""
+    several, one = F.try_variant_get(v, "$['@type']", "array<string>"), F.try_variant_get(v, "$['@type']", "string")
+    return F.transform(F.coalesce(several, F.array(one)), F.lower)
+
+
+def _scalar(v: Column, path: str) -> Column:
+    """The text of a string or number that says something; null for all else."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(~F.rlike(kind, F.lit("OBJECT|ARRAY|VOID")), F.nullif(F.try_variant_get(v, path, "string"), F.lit("")))
+
+
+def _price(v: Column, path: str) -> Column:
+    """A number as it is, a text if it is a plain number without its thousands separators."""
+    text = F.trim(F.replace(_scalar(v, path), F.lit(","), F.lit("")))
+    is_number = F.rlike(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("BIGINT|DOUBLE|FLOAT|DECIMAL"))
+    return F.when(is_number | F.rlike(text, F.lit(r"^\d+(\.\d+)?$")), text)
+
+
+def _gtin(v: Column) -> Column:
+    return F.coalesce(*[X.gtin(_scalar(v, f"$.{k}")) for k in ("gtin14", "gtin13", "gtin12", "gtin8", "gtin")])
+
+
 def structured_products(pages: DataFrame) -> DataFrame:
-    """(key, seq, url, price, currency, availability, condition, brand, gtin, mpn, sku, variant_key) of each offer of the page's structured product nodes.
+    """(key, seq, k, url, price, currency, availability, condition, brand, gtin, mpn, sku, variant_key) of the product nodes of product pages' structured data.
 
-    An aggregate offer gives its lowest price as one row, and each offer inside it as one more.
+    A node is a product if one of its types is, whatever its case. It gives a row without variant_key that has its brand and condition
+    and, where it has no offers, its identifiers; and a row for each offer with price, currency of a price, availability and
+    the identifiers of the offer, else of its node. An aggregate offer has its lowest price, and each offer inside it is one
+    more row. The key of a variant is its gtin, else mpn, else sku, else a hash of the offer. price is text. k numbers
+    the rows of a page. Pages that didn't load, or are of another type where page_type is given, have none.
     """
-    n = pages.select("store_id", "run_id", "seq", "url", F.explode("nodes").alias("node")).filter(F.contains("node", F.lit('"Product'))).withColumn("v", F.try_parse_json("node"))
-    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
-    whole = F.coalesce(F.try_variant_get("v", "$.offers", "array<variant>"), F.array(F.try_variant_get("v", "$.offers", "variant")))
-    inner = F.coalesce(F.flatten(F.transform(whole, lambda o: F.coalesce(F.try_variant_get(o, "$.offers", "array<variant>"), F.array().cast("array<variant>")))), F.array().cast("array<variant>"))
-    o = n.withColumn("o", F.explode(F.concat(whole, inner))).filter("o is not null")
-    of = lambda path: F.try_variant_get("o", path, "string")
-    number = lambda c: F.when(F.rlike(c, F.lit(r"^\d+(\.\d+)?$")), c.cast("double"))
-    price = number(F.replace(F.coalesce(of("$.price"), of("$.lowPrice")), F.lit(","), F.lit("")))
-    gtin = X.gtin(F.coalesce(*[F.coalesce(of(f"$.{k}"), get(f"$.{k}")) for k in ("gtin14", "gtin13", "gtin12", "gtin8", "gtin")]))
-    mpn, sku = X.identifier(F.coalesce(of("$.mpn"), get("$.mpn"))), X.identifier(F.coalesce(of("$.sku"), get("$.sku")))
-    return o.select("store_id", "run_id", "seq", "url", price.alias("price"), of("$.priceCurrency").alias("currency"), X.availability(of("$.availability")).alias("availability"), X.condition(of("$.itemCondition")).alias("condition"), F.coalesce(get("$.brand.name"), get("$.brand")).alias("brand"), gtin.alias("gtin"), mpn.alias("mpn"), sku.alias("sku"), F.coalesce(gtin, mpn, sku, F.left(F.sha2(F.to_json("o").cast("binary"), 256), F.lit(16))).alias("variant_key"))
+    for column, keeps in (("page_type", F.col("page_type") == "product"), ("reachable", F.col("reachable"))):
+        pages = pages.filter(keeps) if column in pages.columns else pages
+    n = pages.select("store_id", "run_id", "seq", "url", F.posexplode("nodes").alias("i", "node")).withColumn("v", F.try_parse_json("node"))
+    n = n.filter(F.exists(_kinds(F.col("v")), lambda t: t == "product")).drop("node")
+    v, o = F.col("v"), F.col("o")
+    listed = F.coalesce(F.try_variant_get(v, "$.offers", "array<variant>"), F.array(F.try_variant_get(v, "$.offers", "variant")))
+    inner = lambda x: F.coalesce(F.try_variant_get(x, "$.offers", "array<variant>"), F.array().cast("array<variant>"))
+    aggregate = lambda x: F.coalesce(F.exists(_kinds(x), lambda t: t == "aggregateoffer"), F.lit(False))
+    offers = F.flatten(F.transform(listed, lambda x: F.when(aggregate(x), F.concat(F.array(x), inner(x))).otherwise(F.array(x))))
+    offers = F.filter(offers, lambda x: F.rlike(F.schema_of_variant(x), F.lit("^OBJECT")))
+    n = n.withColumn("offers", offers)
+    e = n.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("variant")), "offers")).alias("j", "o"))
+    whole, bare = F.col("j") == 0, F.size("offers") == 0
+    price = F.when(aggregate(o), _price(o, "$.lowPrice")).otherwise(_price(o, "$.price"))
+    either = lambda c: F.when(whole, F.when(bare, c(v))).otherwise(F.coalesce(c(o), c(v)))
+    gtin, mpn, sku = either(_gtin), either(lambda x: X.identifier(_scalar(x, "$.mpn"))), either(lambda x: X.identifier(_scalar(x, "$.sku")))
+    brand, condition = F.trim(F.coalesce(_scalar(v, "$.brand.name"), _scalar(v, "$.brand"))), _scalar(v, "$.itemCondition")
+    rows = e.select(
+        "store_id", "run_id", "seq", (F.col("i") * 1000 + F.col("j")).alias("k"), "url", price.alias("price"), F.when(price.isNotNull(), F.upper(_scalar(o, "$.priceCurrency"))).alias("currency"),
+        F.when(_scalar(o, "$.availability").isNotNull(), X.availability(_scalar(o, "$.availability"))).alias("availability"), F.when(whole & condition.isNotNull(), X.condition(condition)).alias("condition"),
+        F.when(whole, F.nullif(brand, F.lit(""))).alias("brand"), gtin.alias("gtin"), mpn.alias("mpn"), sku.alias("sku"),
+        F.when(~whole, F.coalesce(gtin, mpn, sku, F.left(F.sha2(F.to_json(o).cast("binary"), 256), F.lit(16)))).alias("variant_key"),
+    )
+    said = ["price", "currency", "availability", "condition", "brand", "gtin", "mpn", "sku"]
+    return rows.filter(F.coalesce(*said).isNotNull())
 
 
 def word_count(text: Column) -> Column:

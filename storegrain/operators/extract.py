@@ -96,8 +96,9 @@ def product_facts(offers: DataFrame, method: str) -> DataFrame:
     """
     names = {"product.price_amount": "price", "product.price_currency": "currency", "product.availability": "availability", "product.condition": "condition", "product.brand": "brand", "product.gtin": "gtin", "product.mpn": "mpn", "product.sku": "sku"}
     all_ = F.array_compact(F.array(*[_fact(fact, F.col(c), method) for fact, c in names.items()]))
-    found = offers.select(*KEY, F.col("seq").alias("page_seq"), F.col("url").alias("resource_url"), "variant_key", F.posexplode(all_).alias("k", "f"))
-    return found.select(*KEY, F.struct("page_seq", (1000 + F.col("k")).alias("k")).alias("seq"), "resource_url", "f.*", "variant_key")
+    at = F.col("k") if "k" in offers.columns else F.lit(0)
+    found = offers.select(*KEY, F.col("seq").alias("page_seq"), at.alias("at"), F.col("url").alias("resource_url"), "variant_key", F.posexplode(all_).alias("k", "f"))
+    return found.select(*KEY, F.struct("page_seq", (1000 + 10 * F.col("at") + F.col("k")).alias("k")).alias("seq"), "resource_url", "f.*", "variant_key")
 
 
 def all_facts(pages: DataFrame, structured: DataFrame, platform: DataFrame | None = None) -> DataFrame:

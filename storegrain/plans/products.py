@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from storegrain.operators import catalog_match as M
 from storegrain.operators import crawl as W
+from storegrain.operators import extract as E
 from storegrain.operators import retrieval as V
 from storegrain.plans import read
-
+from storegrain.sources import features as P
 
 
 def keyed(df: DataFrame, *cols) -> DataFrame:
@@ -230,10 +231,71 @@ d as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lo
 select item_id as quote_id, count(doc_id) as n_texts from q left join d on q.q <> '' and contains(t, ' ' || q.q || ' ') group by 1
 """
 
-_F = (category_cap, fair_interleave, crawl_plan, page_budget, risk_sample, sample_coverage, api_match, api_unmatched, feed_rules, clean_gate, vector_topk_sections, sentence_chunks, verdict_reuse, precision_recall, quote_verified)
+def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as product pages with structured data of six forms and a price and stock state of either platform's themes; every sixth is no product page."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    offer = lambda more, kind="Offer": F.concat(F.lit(f'{{"@type": "{kind}", "priceCurrency": "usd", '), *more, F.lit("}"))
+    told = lambda text: [F.lit('"price": "'), text, F.lit('"')]
+    variants = [F.concat(F.lit(f'{{"@type": "Product", "sku": "all", "mpn": "m-{v}-'), k, F.lit('", "offers": '), offer(told(price)), F.lit("}")) for v in "ab"]
+    forms = [
+        F.concat(F.lit('{"@type": "Product", "brand": {"name": " '), "p_brand", F.lit('"}, "sku": "s-'), k, F.lit('", "gtin13": "'), F.lpad(k.cast("string"), 13, "0"), F.lit('", "itemCondition": "https://schema.org/RefurbishedCondition", "offers": '), offer([*told(price), F.lit(', "availability": "https://schema.org/InStock"')]), F.lit("}")),
+        F.concat(F.lit('{"@graph": [{"@type": "WebPage", "name": "Products", "offers": {"price": 9}}, {"@type": ["Thing", "product"], "brand": "'), "p_brand", F.lit('", "offers": [[{"sku": "x-'), k, F.lit('", "price": '), "p_size", F.lit('}], {"sku": "", "price": "1 or 2"}]}]}')),
+        F.concat(F.lit('{"@type": "ProductGroup", "sku": "group", "offers": {"price": 1}, "hasVariant": ['), variants[0], F.lit(", "), variants[1], F.lit("]}")),
+        F.concat(F.lit('[{"@type": "Product", "mpn": "m'), k, F.lit('", "offers": '), offer([F.lit('"lowPrice": "'), price, F.lit('", "offers": ['), offer([*told(F.lit("1,299.00")), F.lit(', "sku": "in"')]), F.lit("]")], "AggregateOffer"), F.lit("}]")),
+        F.concat(F.lit('{"@type": "Product", "sku": "alone-'), k, F.lit('", "itemCondition": ""}')), F.concat(F.lit('{"@type": "Product", "offers": {"price": "'), price, F.lit('"}}')),
+    ]
+    wrong = F.when(k % 4 == 0, F.lit("7.77")).otherwise(price)
+    theme = F.concat(F.lit('<div class="x price">$<b>'), wrong, F.lit("</b></div><button>"), F.when(k % 7 == 0, "Sold out").otherwise("Add to cart"), F.lit("</button><p>in stock</p>"))
+    order = F.concat(F.lit('<p class="price"><del><span class="amount">9,999.00</span></del> <ins>$'), wrong, F.lit('</ins></p><p class="big stock">'), F.when(k % 7 == 0, "Sold out").otherwise("Only 3 in stock"), F.lit("</p>"))
+    node = F.get(F.array(*forms), (k % 6).cast("int"))
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), node, F.lit("</script></head><body>"), F.when(k % 2 == 0, theme).otherwise(order), F.lit("</body></html>"))
+    return keyed(p, k.alias("seq"), F.concat(F.lit("https://shop/p/"), k).alias("url"), F.when(k % 6 == 5, "blog_other").otherwise("product").alias("page_type"), html.alias("html"))
+
+
+def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of structured product data, from html to rows."""
+    found = E.product_facts(M.structured_products(P.page_features(_part_pages(spark, sf_dir))), "jsonld")
+    return found.select("resource_url", "fact", "value", "variant_key")
+
+
+PRODUCT_FACTS_SQL = """
+with p as (select *, 'https://shop/p/' || p_partkey as url, p_partkey % 6 as form, p_retailprice::decimal(12, 2)::varchar as price from part),
+o as (
+  select url, unnest([{'v': '0' || lpad(p_partkey::varchar, 13, '0'), 'price': price, 'stock': 'in_stock', 'sku': 'S' || p_partkey, 'gtin': '0' || lpad(p_partkey::varchar, 13, '0'), 'mpn': null, 'usd': true}]) as o from p where form = 0
+  union all select url, unnest([{'v': 'X' || p_partkey, 'price': p_size::varchar, 'stock': null, 'sku': 'X' || p_partkey, 'gtin': null, 'mpn': null, 'usd': false}]) from p where form = 1
+  union all select url, unnest([{'v': 'MA' || p_partkey, 'price': price, 'stock': null, 'sku': 'ALL', 'gtin': null, 'mpn': 'MA' || p_partkey, 'usd': true}, {'v': 'MB' || p_partkey, 'price': price, 'stock': null, 'sku': 'ALL', 'gtin': null, 'mpn': 'MB' || p_partkey, 'usd': true}]) from p where form = 2
+  union all select url, unnest([{'v': 'M' || p_partkey, 'price': price, 'stock': null, 'sku': null, 'gtin': null, 'mpn': 'M' || p_partkey, 'usd': true}, {'v': 'M' || p_partkey, 'price': '1299.00', 'stock': null, 'sku': 'IN', 'gtin': null, 'mpn': 'M' || p_partkey, 'usd': true}]) from p where form = 3),
+f as (
+  select url, o.v as variant_key, unnest([{'fact': 'product.price_amount', 'value': o.price}, {'fact': 'product.price_currency', 'value': case when o.usd then 'USD' end}, {'fact': 'product.availability', 'value': o.stock}, {'fact': 'product.sku', 'value': o.sku}, {'fact': 'product.gtin', 'value': o.gtin}, {'fact': 'product.mpn', 'value': o.mpn}]) as f from o
+  union all select url, null, unnest([{'fact': 'product.brand', 'value': case when form < 2 then p_brand end}, {'fact': 'product.condition', 'value': case when form = 0 then 'refurbished' end}, {'fact': 'product.sku', 'value': case when form = 4 then 'ALONE' || p_partkey end}]) from p where form < 5)
+select url as resource_url, f.fact as fact, f.value as value, variant_key from f where f.value is not null
+"""
+
+
+def rendered_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From html to findings: what pages show against platform products, of even parts by handle and variants, of odd ones by path and stock status; every ninth product has no variants."""
+    pages, p, k = P.page_features(_part_pages(spark, sf_dir)), read(spark, sf_dir, "part"), F.col("p_partkey")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    variant = lambda text, there: F.struct(text.alias("price"), there.alias("available"))
+    variants = F.when(k % 9 != 0, F.array(variant(F.lit("3.33"), F.lit(False)), variant(price, F.lit(True)))).otherwise(F.array().cast("array<struct<price:string,available:boolean>>"))
+    shop = keyed(p.filter("p_partkey % 2 = 0"), k.cast("string").alias("handle"), variants.alias("variants"))
+    store = keyed(p.filter("p_partkey % 2 = 1"), F.concat(F.lit("https://shop/p/"), k, F.lit("/")).alias("permalink"), price.cast("double").alias("price"), F.lit("instock").alias("in_stock"))
+    found = M.mismatches(M.by_handle(M.shown(pages, theme=True), shop)).unionByName(M.mismatches(M.by_path(M.shown(pages, theme=False), store)))
+    return found.select("url", "check_id")
+
+
+RENDERED_SQL = """
+with p as (select *, 'https://shop/p/' || p_partkey as url, p_partkey as k from part where p_partkey % 6 <> 5)
+select url, 'shopify_price_mismatch' as check_id from p where k % 4 = 0 and k % 9 <> 0
+union all select url, 'shopify_availability_mismatch' from p where k % 2 = 0 and k % 7 = 0 and k % 9 <> 0
+union all select url, 'woocommerce_stock_mismatch' from p where k % 2 = 1 and k % 7 = 0
+"""
+
+_F = (product_facts, rendered_mismatches, category_cap, fair_interleave, crawl_plan, page_budget, risk_sample, sample_coverage, api_match, api_unmatched, feed_rules, clean_gate, vector_topk_sections, sentence_chunks, verdict_reuse, precision_recall, quote_verified)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
-    "category_cap": CATEGORY_SQL, "fair_interleave": INTERLEAVE_SQL, "crawl_plan": PLAN_SQL, "page_budget": "with" + BUDGET_SQL + "select store_id, budget from b", "sample_coverage": COVERAGE_SQL, "sentence_chunks": CHUNK_SQL, "risk_sample": SAMPLE_SQL,
+    "product_facts": PRODUCT_FACTS_SQL, "rendered_mismatches": RENDERED_SQL, "category_cap": CATEGORY_SQL, "fair_interleave": INTERLEAVE_SQL, "crawl_plan": PLAN_SQL, "page_budget": "with" + BUDGET_SQL + "select store_id, budget from b", "sample_coverage": COVERAGE_SQL, "sentence_chunks": CHUNK_SQL, "risk_sample": SAMPLE_SQL,
     "api_match": SHOP_SQL + "select url, 'woocommerce_price_mismatch' as check_id from p where p_size > 10 and other_price union all select url, 'woocommerce_stock_mismatch' from p where p_size > 10 and page_stock <> api_stock",
     "api_unmatched": SHOP_SQL + "select url from p where p_size <= 10",
     "feed_rules": "with" + FEED_SQL + "select k::varchar as id, rule, severity from w",

@@ -1,5 +1,7 @@
 """Page parsing and page checks on literal pages."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from storegrain.operators import catalog_match as M
@@ -41,8 +43,10 @@ def test_checks(spark):
         assert found(spark.createDataFrame([probe], probes.schema)) == own + want
     probes = spark.createDataFrame([("http://shop.example/", "/send", 500, None)], "page_url string, action string, status int, error string")
     assert {(r["check_id"], r["detail"]) for r in C.form_checks(p, probes).collect()} == {("contact_form_missing_field", "name"), ("form_email_field_weak_validation", "contact"), ("form_action_unreachable", "contact")}
-    offers = M.structured_products(p).orderBy("price").collect()
-    assert [(o["price"], o["availability"], o["gtin"], o["sku"], o["variant_key"]) for o in offers] == [(15.0, "unspecified", "00012345678905", "LG", "00012345678905"), (1299.0, "in_stock", "00012345678905", "W1", "00012345678905")]
+    assert M.structured_products(p).count() == 0  # the home page is no product page
+    offers = M.structured_products(p.withColumn("page_type", F.lit("product"))).orderBy("k").collect()
+    assert [(o["price"], o["availability"], o["gtin"], o["sku"], o["variant_key"]) for o in offers if o["variant_key"]] == [("1299.00", "in_stock", "00012345678905", "W1", "00012345678905"), ("15", None, "00012345678905", "LG", "00012345678905")]
+    assert [(o["brand"], o["gtin"], o["sku"]) for o in offers if not o["variant_key"]] == [("B", None, None)]
     text = p.filter("seq = 0").withColumn("text", F.explode(F.array(F.lit("nothing"), F.lit("USD 5 only"), F.lit("12,00 €, pre-order"), F.lit(""))))
     assert sorted((r["check_id"]) for r in C.product_text(text).collect()) == ["generic_product_availability_missing"] * 2 + ["generic_product_price_missing"]
     assert {r["link"] for r in C.external_links(p).collect()} == {"https://other.example/x"}
@@ -52,14 +56,64 @@ def test_aggregate_offers(spark):
     node = '{"@type": "Product", "mpn": "m-1", "offers": {"@type": "AggregateOffer", "lowPrice": "5.00", "offers": [{"price": 7, "sku": "a"}, {"price": "9.5", "sku": "b"}]}}'
     p = spark.createDataFrame([("s", "r", 0, "u", [node, '{"@type": "Person"}', "no json"])], "store_id string, run_id string, seq int, url string, nodes array<string>")
     offers = M.structured_products(p)
-    assert sorted((o["price"], o["variant_key"]) for o in offers.collect()) == [(5.0, "M1"), (7.0, "M1"), (9.5, "M1")]
+    assert sorted((o["price"], o["variant_key"]) for o in offers.collect()) == [("5.00", "M1"), ("7", "M1"), ("9.5", "M1")]
     facts = E.product_facts(offers, "jsonld")
-    assert sorted(r["value"] for r in facts.filter("fact = 'product.price_amount'").collect()) == ["5.0", "7.0", "9.5"] and {r["confidence"] for r in facts.collect()} == {0.95} and {r["variant_key"] for r in facts.collect()} == {"M1"}
+    assert sorted(r["value"] for r in facts.filter("fact = 'product.price_amount'").collect()) == ["5.00", "7", "9.5"] and {r["confidence"] for r in facts.collect()} == {0.95} and {r["variant_key"] for r in facts.collect()} == {"M1"}
     pages_ = spark.createDataFrame([("s", "r", 0, "u", "homepage", ["Acme"], "mail a@b.cd")], "store_id string, run_id string, seq int, url string, page_type string, headings array<string>, text string")
     all_ = E.all_facts(pages_, offers.withColumn("seq", F.col("seq").cast("int")))
     assert {r["fact"] for r in all_.collect()} >= {"business.email", "business.name", "product.price_amount", "product.mpn"} and E.unknown_methods(all_).count() == 0
 
 
+def product_rows(spark, *blocks, page_type="product", html=None):
+    html = html or "".join(f'<script type="application/ld+json">{b if isinstance(b, str) else json.dumps(b)}</script>' for b in blocks)
+    p = spark.createDataFrame([("s", "r", 0, "u", page_type, html)], "store_id string, run_id string, seq long, url string, page_type string, html string")
+    rows = E.product_facts(M.structured_products(P.page_features(p)), "jsonld").orderBy("seq").collect()
+    return [(r["fact"].removeprefix("product."), r["value"]) for r in rows]
+
+
+def test_structured_product_facts(spark):
+    offer = {"@type": "Offer", "price": "5.00", "priceCurrency": "USD"}
+    rows = product_rows(spark, {"@type": "Product", "brand": "Acme", "sku": "ABC-123", "gtin13": "0123456789012", "offers": offer | {"availability": "https://schema.org/InStock"}})
+    assert sorted(rows) == [("availability", "in_stock"), ("brand", "Acme"), ("gtin", "00123456789012"), ("price_amount", "5.00"), ("price_currency", "USD"), ("sku", "ABC123")]
+    prices = lambda *blocks, **more: [v for f, v in product_rows(spark, *blocks, **more) if f == "price_amount"]
+    assert prices({"@graph": [{"@type": "WebPage", "name": "Products", "offers": {"price": 9}}, {"@type": "product", "offers": offer}]}) == ["5.00"]
+    assert prices({"@type": "Organization"}, "{not valid json", {"@type": ["Thing", "Product"], "offers": offer | {"price": 19.99}}) == ["19.99"]
+    assert prices({"@type": "Product", "offers": [offer | {"price": "1,299.00"}, [offer | {"price": "about 5"}], None, "5"]}) == ["1299.00"]
+    assert prices({"@type": "ProductGroup", "offers": offer | {"price": 1}, "hasVariant": [{"@type": "Product", "offers": offer}, {"@type": "Product", "offers": offer | {"price": 6}}]}) == ["5.00", "6"]
+    deep = {"@type": "AggregateOffer", "lowPrice": "1.00", "price": "7", "offers": {"@type": ["AggregateOffer"], "lowPrice": 2, "offers": [offer, offer | {"sku": "RED"}]}}
+    assert prices({"@type": "Product", "offers": deep}) == ["1.00", "2", "5.00", "5.00"]
+    assert prices({"@type": "Product", "offers": offer | {"offers": [offer]}}) == ["5.00"]  # only aggregate offers are opened
+    assert product_rows(spark, {"@type": "Product", "sku": "a-1", "mpn": 7, "brand": {"name": ""}}) == [("mpn", "7"), ("sku", "A1")]
+    assert product_rows(spark, {"@type": "Product", "itemCondition": "https://schema.org/RefurbishedCondition", "offers": {"priceCurrency": "usd", "itemCondition": "NewCondition"}}) == [("condition", "refurbished")]
+    assert product_rows(spark, {"@type": "Product", "offers": {"price": "1", "priceCurrency": "usd"}}, page_type="contact_about") == []
+    assert product_rows(spark, {"@type": "Product", "sku": "", "mpn": None, "offers": {"@type": "Offer", "price": None, "priceCurrency": "USD"}}) == []
+    assert [v for f, v in product_rows(spark, {"@type": "Product", "gtin8": "12345670", "gtin": "1", "offers": offer}) if f == "gtin"] == ["00000012345670"]
+
+
+def test_prices_and_stock_as_pages_show_them():
+    shown = lambda html: tuple(P.parse(html)["rendered"].values())
+    assert shown(None) == (None, None, None, None)
+    assert shown('<i class="price-item--sale">$ <b>1,0</b>9.5</i><b class="price">3</b> Sold out, add to cart') == (109.5, False, None, "outofstock")
+    assert shown("<div data-product-price>none</div><b class=price>3</b>buy now") == (None, True, None, None)
+    assert shown('<p class="price"><span class="amount">8</span><ins>7<b class="amount">9</b></ins></p><ins>1</ins>') == (879.0, None, 79.0, None)
+    assert shown('<span class="amount">1</span><p class="price">from <span class="amount">8</span> to <span class="amount">9</span></p>') == (8.0, None, 8.0, None)
+    assert shown('<p class="price">5.5.5</p><p class="stock out"> </p>ON BACKORDER<script>in stock</script>') == (None, None, None, "onbackorder")
+    assert shown('<p class="stock">Currently unavailable</p> in stock')[1:] == (True, None, "instock")  # the words are looked for in their order
+    assert shown("<title>In stock</title><style>sold out</style>")[1] is True
+
+
+def test_pages_to_platform_findings(spark):
+    page = lambda k, body, kind="product": ("s", "r", k, f"https://x/p/{k}", kind, f"<body>{body}</body>")
+    theme = lambda price, text="Add to cart": f'<div class="product-price">{price}</div>{text}'
+    rows = [page(0, theme("$19.99")), page(1, theme("$24.99")), page(2, theme("$19.99", "Sold out")), page(3, theme("$5", "Sold out")), page(4, theme("$5"), "blog_other"), page(5, "nothing"), page(6, theme("$1"))]
+    p = P.page_features(spark.createDataFrame(rows, "store_id string, run_id string, seq long, url string, page_type string, html string"))
+    one = [("19.99", True)]
+    api = [("s", "r", str(k), one) for k in (0, 1, 2, 4, 5)] + [("s", "r", "3", []), ("s", "r", "6", [("none", None), (None, True)])]
+    shop = spark.createDataFrame(api, "store_id string, run_id string, handle string, variants array<struct<price:string,available:boolean>>")
+    got = sorted((r["url"][-1], r["check_id"]) for r in M.mismatches(M.by_handle(M.shown(p, theme=True), shop)).collect())
+    assert got == [("1", "shopify_price_mismatch"), ("2", "shopify_availability_mismatch")]
+
+
 def test_forms(spark):
     field = "kind:string,hint:string,required:boolean,pattern:string"
     f = lambda kind, hint, required=False, pattern=None: (kind, hint, required, pattern)
