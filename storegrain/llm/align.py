@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.bpe import _Words, byte_alphabet
+from storegrain.llm.bpe import byte_alphabet
 from storegrain.llm.common import landed, slices
 
 #: Texts that are aligned at once in a task.
@@ -30,7 +30,6 @@ AT_ONCE = 64
 MOST_PAIRS = 1_000_000
 #: Distinct pairs that a task counts before it hands them on.
 MOST_COUNTED = 1_000_000
-SPACED = re.compile(r" *[^ ]+| +")
 
 
 class ByteLevel:
@@ -55,7 +54,7 @@ class ByteLevel:
 
 
 class Pieces:
-    """BPE of a sentencepiece model. Where no piece goes on after a space, stretches from one space to the next are independent and remembered."""
+    """BPE of a sentencepiece model."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,17 +62,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = [bytes([int(t[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", t) else t.replace("▁", " ").encode() for t in names]
-        self.whole = model.encode
-        lead = model.encode("x")
-        self.split = len(lead) == 1 and not any(re.search("[^▁]▁", t) for t in names)
-        self.part = _Words(lambda s: tuple(model.encode("x" + s)[1:]) or (-1,))
-
-    def encode(self, text: str) -> list[int]:
-        if self.split and "▁" not in text:
-            ids = [*chain.from_iterable(map(self.part.__getitem__, SPACED.findall(" " + text)))]
-            if -1 not in ids:
-                return ids
-        return self.whole(text)
+        self.encode = lambda texts: model.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=4)
@@ -103,9 +92,9 @@ def _packed(keys: np.ndarray) -> bytes:
     return np.diff(keys, prepend=np.zeros(1, keys.dtype)).tobytes()
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, *, texts: bool = False) -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, *, written: bool = False) -> DataFrame:
     """Per row: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and as bytes its distinct pairs (differences of
-    a * size of B + b) and how often each is linked; with texts=True also groups.
+    a * size of B + b) and how often each is linked; with written=True also groups.
 
     Side A encodes a space and the text, side B the text, before which it puts the space itself. Null and empty texts, and those
     whose tokens of either side don't give the bytes of space and text, have no tokens.
@@ -119,15 +108,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, texts: bool = False) -
         marked = [[np.array([f"{i}{mark}" for i in range(len(s))], object) for mark in marks] for s, marks in ((size_a, ",|"), (size_b, ",;"))]
         for batch in slices(batches, AT_ONCE):
             a, b = [], []
-            for text in batch.column("text").to_pylist():
-                x, y, raw = [], [], b""
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for text, y in zip(texts, right.encode(texts), strict=True):
+                x, raw = [], b" " + text.encode("utf-8", "surrogatepass")
                 if text:
-                    raw = b" " + text.encode("utf-8", "surrogatepass")
-                    y = right.encode(text)
                     if b"".join(map(right.bytes.__getitem__, y)) == raw:
                         x = left.encode(" " + text)
-                    if not x or b"".join(map(left.bytes.__getitem__, x)) != raw:
-                        x, y = [], []
+                if not x or b"".join(map(left.bytes.__getitem__, x)) != raw:
+                    x, y = [], []
                 a.append(x)
                 b.append(y)
             n = len(a)
@@ -156,11 +144,11 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, texts: bool = False) -
                 "n_links": pa.array(np.bincount(doc_a[link_a], minlength=n)), "groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()),
                 "pairs": pa.array([_packed(key[x:y]) for x, y in zip(of[:-1], of[1:], strict=True)], pa.binary()), "times": pa.array([times[x:y].tobytes() for x, y in zip(of[:-1], of[1:], strict=True)], pa.binary()),
             }
-            yield pa.RecordBatch.from_pydict(columns | ({"groups": pa.array(groups, pa.string())} if texts else {}))
+            yield pa.RecordBatch.from_pydict(columns | ({"groups": pa.array(groups, pa.string())} if written else {}))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
-    return rows.mapInArrow(run, schema + ", groups string" * texts)
+    return rows.mapInArrow(run, schema + ", groups string" * written)
 
 
 @lru_cache(maxsize=4)
@@ -258,7 +246,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, texts: bool = False, mos
     A text is aligned whole in one task; its tokens take some 300 bytes each there.
     """
     sizes = vocabulary_sizes(path_a, path_b)
-    rows = landed(aligned(docs, path_a, path_b, texts=texts), "alignments")
+    rows = landed(aligned(docs, path_a, path_b, written=texts), "alignments")
     return scored(rows, landed(pair_counts(rows, sizes), "pairs"), sizes, most_pairs=most_pairs).drop("row")
 
 
