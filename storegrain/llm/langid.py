@@ -42,6 +42,10 @@ BUCKETS = 1 << 16
 REMEMBERED = 100_000
 #: Words that go through the Viterbi recursion in one step-wise pass; longer texts are chained exactly.
 CHUNK = 256
+#: Languages that are learned at most; half a megabyte of the model each.
+MOST_LANGS = 300
+#: States up to which chunks of a sequence run side by side from every start state; back-pointers that are in memory at once beyond.
+FEW_STATES, CELLS = 16, 20_000_000
 
 
 @lru_cache(maxsize=100_000)
@@ -70,14 +74,20 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, *, bound: int = 4_000) -> dict:
-    """Model from docs (doc_id, text, lang): about `bound` documents of those with text and lang, chosen by a hash of doc_id,
-    of repeated rows of a doc_id all or none.
+    """Model from docs (doc_id, text, lang): about `bound` documents of those with text and lang, chosen by a hash of doc_id
+    and text; equal rows count once.
 
     Its size depends on the number of languages only: log-probabilities of BUCKETS hashed n-grams and the
-    scripts seen, both by language. Without labelled documents the model knows no language.
+    scripts seen, both by language. The MOST_LANGS languages of most rows are learned, of equally many the first by name.
+    Without labelled documents the model knows no language.
     """
     labelled = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    labelled = labelled.filter(F.xxhash64("doc_id") <= bounded_share(bound, labelled.count()))
+    # a row a language, also of a column of free text: only the first of them come to the driver
+    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    total = sum(r["count"] for r in counted)
+    learned = docs.sparkSession.createDataFrame([(r["lang"],) for r in counted], "lang string")
+    labelled = labelled.join(F.broadcast(learned), "lang", "left_semi")
+    labelled = labelled.filter(F.xxhash64("doc_id", "text") <= bounded_share(bound, total)).dropDuplicates(["doc_id", "text", "lang"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -159,6 +169,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     sequence are then chained, so the result is that of one pass over it whatever its length.
     """
     n_states = max((s.shape[1] for s in scores), default=0)
+    if n_states > FEW_STATES:
+        return _side_by_side(scores, penalty, n_states)
     sizes = [len(s) for s in scores]
     n_chunks = [-(-n // CHUNK) for n in sizes]
     total = sum(n_chunks)
@@ -211,6 +223,33 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     return out
 
 
+def _side_by_side(scores: list[np.ndarray], penalty: float, n_states: int) -> list[np.ndarray]:
+    """The same for many states: whole sequences of like length side by side, as many as CELLS back-pointers allow, so the work grows with states and not with their square."""
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
+    order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: len(scores[k]))
+    while order:
+        steps = len(scores[order[-1]])
+        group, order = order[-max(1, CELLS // (steps * n_states)) :], order[: -max(1, CELLS // (steps * n_states))]
+        length = np.array([len(scores[k]) for k in group])
+        back = np.zeros((steps, len(group), n_states), np.min_scalar_type(n_states))
+        best = np.zeros((len(group), n_states))
+        for t in range(steps):
+            live = np.flatnonzero(t < length)
+            top = best[live].argmax(1)
+            jump = np.take_along_axis(best[live], top[:, None], 1) - penalty
+            stay = best[live] >= jump
+            back[t, live] = np.where(stay, np.arange(n_states)[None], top[:, None])
+            best[live] = np.where(stay, best[live], jump) + np.stack([scores[group[k]][t] for k in live])
+        at = best.argmax(1)
+        for j, k in enumerate(group):
+            path, b = np.empty(length[j], np.int64), int(at[j])
+            for t in range(length[j] - 1, -1, -1):
+                path[t] = b
+                b = int(back[t, j, b])
+            out[k] = path
+    return out
+
+
 def spans(path: np.ndarray) -> list[tuple[int, int, int]]:
     """(first word, end word, language index) of each run of one language."""
     if not len(path):
