@@ -121,7 +121,8 @@ def dual_coordinate_descent(xs: list[np.ndarray], y: np.ndarray, ratio: np.ndarr
 
 def train(labelled: DataFrame, *, bound: int = 3_000, alpha: float = 1.0) -> dict:
     """Model from labelled (doc_id, text, label 0 or 1). Class counts are over all rows; the linear model is fitted on about `bound`
-    rows of each class, chosen by a hash of doc_id, in one task. Without rows of a class all scores are 0.5.
+    rows of each class, chosen by a hash of doc_id and text, equal rows once, in one task. Class counts take repeated rows as
+    often as they are there; other columns are not read. Without rows of a class all scores are 0.5.
     """
     n = class_counts(labelled)
     totals = n[:, BUCKETS]
@@ -131,11 +132,11 @@ def train(labelled: DataFrame, *, bound: int = 3_000, alpha: float = 1.0) -> dic
     p = (n[:, :BUCKETS] + alpha) / (totals[:, None] + 2 * alpha)
     ratio = np.log(p[1] / p[0])
     most = [bounded_share(bound, int(t)) for t in totals]
-    chosen = labelled.filter(F.xxhash64("doc_id") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
+    chosen = labelled.filter(F.xxhash64("doc_id", "text") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).select("doc_id", "text", "label").dropDuplicates()
 
     def fit(b: pd.DataFrame) -> pd.DataFrame:
         table = Tokens()
-        b = b.sort_values("doc_id")
+        b = b.sort_values(["doc_id", "text"])
         xs = [indicators(t, table) for t in b["text"]]
         y = np.where(b["label"] == 1, 1.0, -1.0)
         w, bias = dual_coordinate_descent(xs, y, ratio)
@@ -166,8 +167,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the rows to learn from: those not held out, with a quality of 0 or 1."""
-    known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("label"))
+    """(doc_id, text, label) of the rows to learn from: those not held out, with a quality of 0 or 1.
+
+    A doc_id that is labelled several times has one label; where its labels differ it has none. Each row of docs with
+    such a doc_id is one to learn from.
+    """
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("d")).agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("most"))
+    known = known.filter(F.col("label") == F.col("most")).drop("most")
     # a label is two numbers: up to a counted size they go to the texts, beyond it the texts are shuffled
     known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
     return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("d")).drop("d")
