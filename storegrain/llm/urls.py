@@ -76,10 +76,12 @@ class DigestIndex:
         return out
 
 
-def suffixes(h: str) -> list[str]:
-    """The host and its parent domains, longest first."""
-    parts = h.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))]
+def suffixes(h: str, longest: int) -> list[str]:
+    """The host and its parent domains, longest first, of those with `longest` characters at most: no other is the host of a rule."""
+    out, at = [h] if len(h) <= longest else [], max(0, len(h) - longest - 1)
+    while (at := h.find(".", at) + 1) > 0:
+        out.append(h[at:])
+    return out
 
 
 def judge(urls: DataFrame, rules: DataFrame, *, default: str = "allow", most_rules: int = 2_000_000) -> DataFrame:
@@ -106,13 +108,14 @@ def _judge_by_index(u: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     written(spark, path, DigestIndex.packed(rows))
     spark.sparkContext.addFile(path)
     name = path.rpartition("/")[2]
+    longest = max((len(r[0]) for r in rows), default=0)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestIndex(SparkFiles.get(name))
         for b in batches:
             strings, owners, ranks = [], [], []
             for i, (h, p) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)):
-                for s in suffixes(h):
+                for s in suffixes(h, longest):
                     for n in index.lengths:
                         if n <= len(p):
                             strings.append(s + p[:n])
@@ -132,9 +135,12 @@ def _judge_by_join(u: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same by a shuffle on (host suffix, path length, path start), for more rules than a worker should hold."""
     r = rules.select(F.col("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv"))
     lengths = sorted(x["n"] for x in r.select(F.char_length("rp").alias("n")).distinct().collect())
+    longest = r.agg(F.max(F.char_length("rh"))).first()[0]
     u = u.withColumn("__id", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # of a longer host what stands behind the first dot of its end
+    end = F.right("host", F.lit(longest + 1))
+    labels = F.when(F.char_length("host") <= longest, F.split("host", r"\.")).when(F.contains(end, F.lit(".")), F.split(F.substr(end, F.instr(end, ".") + 1), r"\.")).otherwise(F.array().cast("array<string>"))
+    hosts = F.transform(F.when(F.size(labels) > 0, F.sequence(F.lit(1), F.size(labels))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     c = u.select("__id", "path", F.explode(hosts).alias("rh")).select("__id", "rh", F.explode(F.array(*[F.when(F.char_length("path") >= n, F.left("path", F.lit(n))) for n in lengths])).alias("rp"))
     hit = c.join(r, ["rh", "rp"]).groupBy("__id").agg(F.max(F.struct((F.char_length("rh") + F.char_length("rp")).alias("n"), F.char_length("rh").alias("m"), F.concat("rh", "rp").alias("rule"), "rv")).alias("b"))
     return u.join(hit, "__id", "left").withColumns({"rule": F.col("b.rule"), "verdict": F.coalesce("b.rv", F.lit(default))}).drop("__id", "b")
