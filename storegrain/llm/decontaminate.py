@@ -47,7 +47,7 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step)["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadcast_rows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted strings), spans of hit words.
 
     Null, empty and wordless texts have no words and no hits. An empty benchmark gives no hits, an empty docs no rows;
@@ -55,13 +55,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
     docs that repeat give one row each. Item ids are compared as strings; items whose texts are alike all count.
     Rows of benchmark with a null item_id are one item: their words are hits, n_items counts it, items cannot name it.
     """
-    grams = landed(fewer(benchmark_windows(benchmark, n).withColumn("m", F.least("len", F.lit(HEAD)))), "benchmark-windows")
-    n_windows = grams.count()
+    grams = benchmark_windows(benchmark, n).groupBy("len", "h", "gram").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items_of"), F.count_if(F.col("item_id").isNull()).alias("nulls"))
+    grams = landed(fewer(grams.select("*", F.least("len", F.lit(HEAD)).alias("m"), F.monotonically_increasing_id().alias("window"))), "benchmark-windows")
+    held = F.aggregate(F.concat("gram", "items_of"), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    n_bytes = grams.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
     # at most n lengths, whatever the benchmark's size
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())
     head = F.when(F.col("m") == 1, _head(F.col("gram"), F.lit(0), 1)).when(F.col("m") == 2, _head(F.col("gram"), F.lit(0), 2)).otherwise(_head(F.col("gram"), F.lit(0), HEAD))
     bits, table = bitmap(grams.select(head.alias("h")), "h")
-    small = n_windows <= broadcast_rows
+    small = n_bytes <= broadcast_bytes
 
     def starts(ws: Column, m: int) -> Column:
         """Where the first m words of some window may stand."""
@@ -79,15 +81,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, broadca
     d = d.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), found.alias("found"))
     each = d.select("row", "doc_id", "n_words", F.explode_outer("found").alias("w")).select("row", "doc_id", "n_words", F.col("w.at").alias("at"), F.col("w.len").alias("len"), F.col("w.gram").alias("gram"))
     each = each.withColumn("h", F.xxhash64("gram"))
-    items = grams.withColumnRenamed("len", "len_b").withColumnRenamed("gram", "gram_b").withColumn("item", F.col("item_id").cast("string")).drop("item_id", "m").withColumn("matched", F.lit(True))
-    items = F.broadcast(items) if small else items
-    hit = each.join(items, (each.h == items.h) & (F.col("len") == F.col("len_b")) & (F.col("gram") == F.col("gram_b")), "left").drop(items.h)
-    out = hit.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("matched"), F.struct("at", "len")))).alias("spans"),
-        F.array_sort(F.collect_set("item")).alias("items"),
-        F.count_if(F.col("matched") & F.col("item").isNull()).alias("n_null"),
-    )
-    out = out.withColumn("n_items", F.size("items").cast("long") + F.when(F.col("n_null") > 0, 1).otherwise(0)).drop("n_null")
+    # windows first, each once; items come to the distinct windows of a row
+    windows = grams.select(F.col("h").alias("h_b"), F.col("len").alias("len_b"), F.col("gram").alias("gram_b"), "window")
+    windows = F.broadcast(windows) if small else windows
+    hit = each.join(windows, (F.col("h") == F.col("h_b")) & (F.col("len") == F.col("len_b")) & (F.col("gram") == F.col("gram_b")), "left")
+    of_row = ["row", "doc_id", "n_words"]
+    rows = hit.groupBy(*of_row).agg(F.array_sort(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("at", "len")))).alias("spans"), F.collect_set("window").alias("windows"))
+    held = grams.select(F.col("window").alias("w"), "items_of", "nulls")
+    held = F.broadcast(held) if small else held
+    named = rows.select(*of_row, "spans", F.explode_outer("windows").alias("window")).join(held, F.col("window") == F.col("w"), "left")
+    out = named.groupBy(*of_row).agg(F.first("spans").alias("spans"), F.collect_set("items_of").alias("items"), F.sum("nulls").alias("nulls"))
+    out = out.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
+    out = out.withColumn("n_items", F.size("items").cast("long") + F.when(F.col("nulls") > 0, 1).otherwise(0)).drop("nulls")
     return out.withColumn("n_hit", _covered(F.col("spans"))).drop("row")
 
 

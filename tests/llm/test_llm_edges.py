@@ -139,14 +139,14 @@ def brute_hits(text, items, n=13):
     return len(ws), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
+@pytest.mark.parametrize("bound", [0, 1 << 20])
 def test_decontamination(docs, none, spark, bound):
     items = [(1, prose(3, 20)), (2, "Two"), (3, "漢字 😀"), (4, None), (5, "..."), (6, prose(3, 20)), (10, " ".join(prose(1, 30_000).split()[500:530]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     more = docs.unionByName(spark.createDataFrame([(99, "x " + prose(3, 20).upper() + " y " + prose(3, 20))], "doc_id long, text string"), allowMissingColumns=True)
     short = [(i, t) for i, t in ((r["doc_id"], r["text"]) for r in more.collect()) if i not in (5, 6)]
     got = {}
-    for r in decontaminate.contamination(more, bench, broadcast_rows=bound).collect():
+    for r in decontaminate.contamination(more, bench, broadcast_bytes=bound).collect():
         got[r["doc_id"]] = (r["n_words"], r["n_hit"], r["items"])
     assert all(got[i] == brute_hits(t, items) for i, t in short)
     assert got[5][1:] == (30, ["10"])
