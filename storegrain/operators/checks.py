@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from storegrain.functions import facts as X
 from storegrain.functions import urls as U
 from storegrain.operators.rules import KEY, small
-from storegrain.sources.features import may_be_similar, ratio
+from storegrain.sources.features import may_be_similar, ratio, shared_characters
+from storegrain.sources.tables import landed
 
 # Phrases of block pages, those that count only on short pages, and the visible length below which they do.
 HARD_BLOCK = [
@@ -230,22 +231,67 @@ def journeys(rows: DataFrame) -> DataFrame:
     return rows.select("product_url", F.explode(checks).alias("check_id"))
 
 
+def _tokens(text: Column, q: int) -> Column:
+    """The strings of q characters of a text as a multiset: a hash of each and of how many equal ones stand before it."""
+    n = F.char_length(text)
+    grams = F.array_sort(F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>")))
+    return F.transform(grams, lambda g, i: F.xxhash64(g, i.cast("long") - F.array_position(grams, g)))
+
+
+def _least_overlap(both: Column, q: int) -> Column:
+    """Tokens of q characters that two texts of `both` characters in all share if they are SIMILAR.
+
+    m matched characters lie in blocks that a character matched on neither side parts, of which there are both - 2 * m at
+    most; so both - 2 * m + 1 blocks have m - (q - 1) * (both - 2 * m + 1) tokens or more, which grows with m.
+    """
+    m = both * (SIMILAR / 2)
+    return F.ceil(m - (q - 1) * (both - 2 * m + 1) - 1e-9).cast("int")
+
+
+#: Titles shorter than the first number are compared by characters, those from the second number on by strings of three; no similar pair has a side of each kind only.
+BY_CHARACTERS, BY_TRIPLES = 14, 12
+
+
+def title_candidates(titles: DataFrame) -> DataFrame:
+    """(key, seq_a, seq_b) of titles (key, seq, norm, block) of one block that may be SIMILAR: they share a token among their rarest ones.
+
+    Tokens are put in order of the titles of their block that have them, rarest first. Similar titles share so
+    many tokens that the first few of both, as many as there are besides, hold one of them. What a frequent first word brings
+    into every title of its block is last in this order, and so makes no pairs.
+    """
+    n = F.char_length("norm")
+    kinds = F.array_compact(F.array(F.when(n < BY_CHARACTERS, 1), F.when(n >= BY_TRIPLES, 3)))
+    t = titles.select(*KEY, "block", "seq", n.alias("n"), "norm", F.explode(kinds).alias("q"))
+    t = t.withColumn("tokens", F.when(F.col("q") == 1, _tokens(F.col("norm"), 1)).otherwise(_tokens(F.col("norm"), 3))).drop("norm")
+    # the shortest partner that can be similar has SIMILAR / (2 - SIMILAR) of the length
+    both = F.col("n") + F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9)
+    most = F.size("tokens") - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3)) + 1
+    each = t.select(*KEY, "block", "q", "seq", "n", F.greatest(F.lit(1), most).alias("most"), F.explode("tokens").alias("token"))
+    of_token = [*KEY, "block", "q", "token"]
+    known = each.groupBy(*of_token).agg(F.count(F.lit(1)).alias("known")).filter("known > 1")  # a token of one title makes no pair, yet takes its place below
+    ordered = each.join(known, of_token, "left").groupBy(*KEY, "block", "q", "seq", "n", "most").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("known", F.lit(1)).alias("known"), "token"))).alias("tokens"))  # a title's own
+    first = ordered.select(*KEY, "block", "q", "seq", "n", F.explode(F.slice("tokens", F.lit(1), F.col("most"))).alias("t")).filter("t.known > 1").select(*KEY, "block", "q", "seq", "n", F.col("t.token").alias("token"))
+    other = first.select(*of_token, F.col("seq").alias("seq_b"), F.col("n").alias("n_b"))
+    fits = 2 * F.least("n", "n_b") >= SIMILAR * (F.col("n") + F.col("n_b"))
+    return first.join(other, of_token).filter((F.col("seq") < F.col("seq_b")) & fits).select(*KEY, F.col("seq").alias("seq_a"), "seq_b").distinct()
+
+
 def near_titles(titles: DataFrame) -> DataFrame:
     """(key, url_a, url_b, ratio) of titles (key, seq, url, title) at least 0.92 alike but not equal, blocked on their first word.
 
-    Titles that are equal come down to the first of them before any pair is made, and pairs whose lengths rule
-    the ratio out are dropped inside the join, so a frequent first word does not make pairs of its copies.
+    Titles that are equal come down to the first of them. A similarity join by rare tokens gives the pairs; those that share
+    too few tokens are dropped by built-in functions, and only the rest are compared in sequence.
     """
     norm = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
     t = titles.withColumn("norm", norm).filter("norm <> ''").groupBy(*KEY, "norm").agg(F.min_by(F.struct("seq", "url"), "seq").alias("first"))
-    t = t.select(*KEY, "norm", F.col("first.seq").alias("seq"), F.col("first.url").alias("url"), F.split("norm", " ")[0].alias("block"), F.char_length("norm").alias("n"))
-    # neighbours in length only: a band is as wide as the lengths that can still be alike
-    band = lambda n: F.floor(F.ln(n.cast("double")) / F.lit(0.174)).cast("int")
-    a = t.withColumn("band", band(F.col("n")))
-    b = t.withColumn("band", F.explode(F.array_distinct(F.array(band(F.col("n")) - 1, band(F.col("n")), band(F.col("n")) + 1))))
-    b = b.select(*KEY, "block", "band", *[F.col(c).alias(f"{c}_b") for c in ("seq", "url", "norm")])
-    pairs = a.join(b, [*KEY, "block", "band"]).filter(F.col("seq") < F.col("seq_b")).filter(may_be_similar(F.col("norm"), F.col("norm_b"), SIMILAR))
-    return pairs.withColumn("ratio", ratio("norm", "norm_b")).filter(F.col("ratio") >= SIMILAR).select(*KEY, F.col("url").alias("url_a"), F.col("url_b"), "ratio")
+    t = landed(t.select(*KEY, "norm", F.col("first.seq").alias("seq"), F.col("first.url").alias("url"), F.split("norm", " ")[0].alias("block")), "titles")
+    side = lambda x: t.select(*KEY, *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "url", "norm")])
+    pairs = title_candidates(t).join(side("a"), [*KEY, "seq_a"]).join(side("b"), [*KEY, "seq_b"])
+    a, b = F.col("norm_a"), F.col("norm_b")
+    both = F.char_length(a) + F.char_length(b)
+    enough = lambda q: F.size(F.array_intersect(_tokens(a, q), _tokens(b, q))) >= _least_overlap(both, q)
+    pairs = pairs.filter(enough(1)).filter(enough(3))
+    return pairs.withColumn("ratio", ratio("norm_a", "norm_b")).filter(F.col("ratio") >= SIMILAR).select(*KEY, "url_a", "url_b", "ratio")
 
 
 def same_titles(titles: DataFrame) -> DataFrame:
@@ -265,12 +311,15 @@ def soft_404(pages: DataFrame, baselines: DataFrame) -> DataFrame:
     first = pages.groupBy(*KEY).agg(F.min_by(F.struct("url", F.coalesce("text", F.lit("")).alias("text"), F.col("reachable").alias("ok") if "reachable" in pages.columns else F.lit(True).alias("ok")), "seq").alias("h"))
     home = first.select(*KEY, F.col("h.url").alias("home_url"), F.when(F.col("h.ok"), F.col("h.text")).alias("home"))
     j = t.join(home, KEY, "left").join(baselines.select(*KEY, "baseline"), KEY, "left").withColumn("home", F.when(F.col("url") != F.col("home_url"), F.col("home")))
-    # hashes first; the ratio is computed only where lengths leave a chance
+    # hashes first; the ratio is computed only where lengths, then characters leave a chance
     j = j.select(*KEY, "url", X.compare_text(F.col("text")).alias("a"), X.content_hash(F.col("text")).alias("h"), *[x for c in ("baseline", "home") for x in (X.compare_text(F.col(c)).alias(f"{c}_text"), F.when(F.col(c).isNotNull(), X.content_hash(F.col(c))).alias(f"{c}_hash"))])
     equal = lambda c: F.coalesce(F.col("h") == F.col(f"{c}_hash"), F.lit(False))
     maybe = lambda c: F.coalesce(~equal(c) & (F.col("a") != "") & (F.col(f"{c}_text") != "") & may_be_similar(F.col("a"), F.col(f"{c}_text"), SIMILAR), F.lit(False))
     j = j.withColumns({f"{c}_equal": equal(c) for c in ("baseline", "home")} | {f"{c}_maybe": maybe(c) for c in ("baseline", "home")})
     j = j.filter("baseline_equal or home_equal or baseline_maybe or home_maybe")
+    for c in ("baseline", "home"):
+        j = j.withColumn(f"{c}_maybe", F.when(F.col(f"{c}_maybe"), shared_characters(F.col("a"), F.col(f"{c}_text")) >= SIMILAR).otherwise(F.lit(False)))
+    j = j.filter("baseline_equal or home_equal or baseline_maybe or home_maybe")
     near = lambda c: ratio(F.when(F.col(f"{c}_maybe"), F.col("a")).otherwise("x"), F.when(F.col(f"{c}_maybe"), F.col(f"{c}_text")).otherwise("y")) >= SIMILAR
     j = j.withColumns({"near_baseline": near("baseline"), "near_home": near("home")})
     matched = F.when(F.col("baseline_equal") | F.col("near_baseline"), "baseline").when(F.col("home_equal") | F.col("near_home"), "homepage")

@@ -247,5 +247,19 @@ def may_be_similar(a: Column, b: Column, least: float = 0.92) -> Column:
     return F.when(x + y == 0, F.lit(True)).otherwise(2 * F.least(x, y) / (x + y) >= least)
 
 
+#: Characters that are counted each; all others are counted together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 .,"
+
+
+def shared_characters(a: Column, b: Column) -> Column:
+    """An upper bound of ratio by the characters that both texts have, counted with built-in functions."""
+    n = lambda t, c: F.char_length(t) - F.char_length(F.replace(t, F.lit(c), F.lit("")))
+    counts = lambda t: F.array(*[n(t, c) for c in COUNTED])
+    least = F.zip_with(counts(a), counts(b), lambda x, y: F.least(x, y))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    rest = F.least(F.char_length(a) - total(counts(a)), F.char_length(b) - total(counts(b)))
+    return 2 * (total(least) + rest) / (F.char_length(a) + F.char_length(b))
+
+
 def dom_hash(tags: Column) -> Column:
     return F.sha2(F.array_join(tags, "|").cast("binary"), 256)

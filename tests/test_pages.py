@@ -240,3 +240,42 @@ def test_products(spark):
     api_images = spark.createDataFrame([("s", "r", "u1", [("a", None)])], "store_id string, run_id string, url string, images array<struct<src:string,alt:string>>")
     own = spark.createDataFrame([("s", "r", "u1", [("b", None)]), ("s", "r", "u2", [("c", "t")])], api_images.schema)
     assert {(r["url"], r["src"], r["source"]) for r in M.product_images(own, api_images).collect()} == {("u1", "a", "api"), ("u2", "c", "page")}
+
+
+def test_titles_with_a_hot_first_word(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    titles = ["new " + " ".join(word() for _ in range(rng.randint(0, 8))) for _ in range(500)]
+    for _ in range(200):  # near ones of all lengths
+        t = list(rng.choice(titles))
+        for _ in range(rng.randint(1, 3)):
+            if len(t) > 4:
+                t[rng.randrange(4, len(t))] = rng.choice("xyz ")
+        titles.append("".join(t))
+    titles += ["new", "new a", "new ab", "new abc", "new aab", "new " + "z" * 300, "new " + "z" * 299 + "y", "New  A", "", " ", None]
+    df = spark.createDataFrame([("s", "r", k, f"u{k}", t) for k, t in enumerate(titles)], "store_id string, run_id string, seq long, url string, title string")
+    first = {}
+    for k, t in enumerate(titles):
+        first.setdefault(" ".join((t or "").split()).lower(), k)
+    rows = sorted((k, t) for t, k in first.items() if t)
+    want = set()
+    for i, (k, x) in enumerate(rows):
+        for j, y in rows[i + 1 :]:
+            m = difflib.SequenceMatcher(None, x, y)
+            if x.split()[0] == y.split()[0] and m.quick_ratio() >= 0.92 and m.ratio() >= 0.92:
+                want.add((f"u{k}", f"u{j}"))
+    assert {(r["url_a"], r["url_b"]) for r in C.near_titles(df).collect()} == want and len(want) > 50
+    t = df.filter("trim(title) <> ''").selectExpr("store_id", "run_id", "seq", "lower(trim(regexp_replace(title, '\\\\s+', ' '))) as norm", "'new' as block")
+    assert C.title_candidates(t).count() < len(rows) ** 2 / 2 / 20  # of all pairs of the block
+
+
+def test_shared_characters_bound_the_ratio(spark):
+    import difflib
+
+    texts = ["", "a", "ab ba", "the quick brown fox", "the quick brown fax!", "éüß éüß", "xyz" * 40, "zyx" * 40]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts if a + b], "a string, b string")
+    for a, b, bound in df.select("a", "b", P.shared_characters(F.col("a"), F.col("b"))).collect():
+        assert bound >= difflib.SequenceMatcher(None, a, b).ratio() - 1e-9
