@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.functions.facts import TOLERANCE, VERBATIM, compare_text
+from storegrain.operators.classes import leaders
 from storegrain.sources.tables import landed
 
 KEY = ["store_id", "run_id"]
@@ -72,8 +73,7 @@ def cross_page(facts: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFram
 
     Fewer than two observations give no row. Values fall into classes in order of seq, each value to the first
     class whose first member it equals by the fact's own comparison; one class passes, more fail from the rule's
-    confidence on, and need review below it. Only the facts with a tolerance gather their distinct values, which are
-    those of one store's run, in one row.
+    confidence on, and need review below it. Classes within a tolerance are counted by their leaders.
     """
     r = small(rules.select(F.col("id").alias("rule_id"), F.col("fact").alias("rf"), "sources", "min_confidence"))
     p = pages.select(*KEY, F.col("url").alias("resource_url"), "page_type")
@@ -83,19 +83,27 @@ def cross_page(facts: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFram
     tol = F.try_element_at(F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv]), F.col("fact"))
     canon = F.when(F.col("fact").isin(VERBATIM), F.col("value")).when(tol.isNotNull(), F.coalesce(num(F.col("value")).cast("string"), compare_text(F.col("value")))).otherwise(compare_text(F.col("value")))
     values = seen.groupBy(*KEY, "rule_id", tol.alias("tolerance"), "min_confidence", canon.alias("value")).agg(F.min("seq").alias("seq"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
-    # with tolerance 0 the classes are the distinct values; others are folded in order, as nearness is not transitive
-    near = F.when(F.col("tolerance") > 0, F.struct("seq", "value"))
-    per = values.groupBy(*KEY, "rule_id", "tolerance", "min_confidence").agg(F.sum("n").alias("observations"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_values"), F.sort_array(F.collect_list(near)).alias("vs"))
-    same = lambda a, b: F.when(num(a).isNotNull() & num(b).isNotNull(), F.abs(num(a) - num(b)) <= F.col("tolerance")).otherwise(a == b)
-    folded = F.aggregate("vs", F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda c: same(c, x["value"])), acc).otherwise(F.concat(acc, F.array(x["value"]))))
-    classes = F.when(F.col("tolerance") > 0, F.size(folded)).otherwise(F.col("n_values"))
-    out = per.filter("observations >= 2").withColumn("distinct_values", classes.cast("long"))
+    # with tolerance 0 the classes are the distinct values, and so they are for what is no number
+    on = [*KEY, "rule_id"]
+    number = F.when(F.col("tolerance") > 0, num(F.col("value")))
+    number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    per = lambda v: v.groupBy(*on, "min_confidence").agg(F.sum("n").alias("observations"), F.min("confidence").alias("confidence"), F.count_if(number.isNull()).alias("distinct_values"))
+    if rules.filter(F.col("fact").isin([fact for fact, t in TOLERANCE.items() if t > 0])).isEmpty():
+        out = per(values)
+    else:
+        values = landed(values, "fact-values")
+        classes = leaders(values.select(*on, "tolerance", "seq", number.alias("value")).filter("value is not null"), on).groupBy(*on).agg(F.count(F.lit(1)).alias("classes"))
+        out = per(values).join(classes, on, "left").withColumn("distinct_values", F.col("distinct_values") + F.coalesce("classes", F.lit(0).cast("long")))
+    out = out.filter("observations >= 2")
     result = F.when(F.col("distinct_values") == 1, "pass").when(F.col("confidence") >= F.col("min_confidence"), "fail").otherwise("needs_review")
     return out.select(*KEY, "rule_id", result.alias("result"), "confidence", "observations", "distinct_values")
 
 
 def method_mismatch(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first facts of a rule's two methods within one resource and variant: (key, rule_id, resource_url, variant_key, value_1, value_2, result, confidence)."""
+    """The first facts of a rule's two methods within one resource and variant: (key, rule_id, resource_url, variant_key, value_1, value_2, result, confidence).
+
+    Numbers agree within the rule's tolerance, texts only where they are the same.
+    """
     r = small(rules.select(F.col("id").alias("rule_id"), F.col("fact").alias("rf"), F.col("methods")[0].alias("m1"), F.col("methods")[1].alias("m2"), "tolerance", "min_confidence"))
     f = facts.join(r, (F.col("fact") == F.col("rf")) & ((F.col("method") == F.col("m1")) | (F.col("method") == F.col("m2"))))
     first = lambda m, c: F.min_by(F.when(F.col("method") == F.col(m), F.col(c)), F.when(F.col("method") == F.col(m), F.col("seq")))
@@ -104,7 +112,7 @@ def method_mismatch(facts: DataFrame, rules: DataFrame) -> DataFrame:
     )
     g = g.filter("value_1 is not null and value_2 is not null")
     x, y = F.col("value_1").try_cast("double"), F.col("value_2").try_cast("double")
-    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= F.col("tolerance")).otherwise(compare_text(F.col("value_1")) == compare_text(F.col("value_2")))
+    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= F.col("tolerance")).otherwise(F.col("value_1") == F.col("value_2"))
     result = F.when(same, "pass").when(F.col("confidence") >= F.col("min_confidence"), "fail").otherwise("needs_review")
     return g.select(*KEY, "rule_id", "resource_url", "variant_key", "value_1", "value_2", result.alias("result"), "confidence")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storegrain.functions import facts as X
 from storegrain.operators import rules as R
+from storegrain.operators.classes import leaders
 from storegrain.plans import read
 from storegrain.sources.tables import landed
 
@@ -191,7 +192,14 @@ def identity_inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(first.groupBy("store_id", "fact").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("found")), ["store_id", "fact"])
 
 
-QUERIES = {f.__name__: f for f in (first_audit_status, rule_dispatch, cross_page_contradiction, missing_fact_sets, method_price_mismatch, missing_resource_verdict, rule_sync, identity_signals, identity_inconsistent)}
+def price_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of the unit prices of each return flag within 1.50, in order of the order lines: how many there are, and their first members."""
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    values = li.groupBy("l_returnflag", "value").agg(F.min("seq").alias("seq")).withColumn("tolerance", F.lit(1.5))
+    return leaders(values, ["l_returnflag"])
+
+
+QUERIES = {f.__name__: f for f in (price_classes, first_audit_status, rule_dispatch, cross_page_contradiction, missing_fact_sets, method_price_mismatch, missing_resource_verdict, rule_sync, identity_signals, identity_inconsistent)}
 SQL = {
     "first_audit_status": STATUS_SQL,
     "rule_dispatch": DISPATCH_SQL,

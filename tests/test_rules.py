@@ -143,3 +143,33 @@ def test_extraction(spark):
     # contacts come from identity pages only, pages without a text or that didn't load have no facts
     assert ("p", "shipping.processing_days", "shipping_time_regex") not in got and not [k for k in got if k[0] == "n" or (k[0] == "d" and k[1].startswith("business."))]
     assert E.unknown_methods(f).count() == 0 and E.extract_facts(p.withColumn("reachable", F.lit(False))).count() == 0
+
+
+def test_classes_within_a_tolerance(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, want = [], {}
+    for key, n, make in (("a", 300, lambda: round(rng.uniform(0, 3), 2)), ("b", 60, lambda: rng.choice([0.28, 0.29, 0.3, 0.31, -0.0, 0.01])), ("c", 40, None), ("d", 1, lambda: 5.0)):
+        values = list(dict.fromkeys(make() for _ in range(n))) if make else [k / 1000 * 9.9 for k in range(n)]  # a chain
+        rows += [(key, v, k, 0.01) for k, v in enumerate(values)]
+        found = []
+        for v in values:
+            if not any(abs(v - x) <= 0.01 for x in found):
+                found.append(v)
+        want[key] = sorted(found)
+    from storegrain.operators.classes import leaders
+
+    got = {}
+    df = spark.createDataFrame(rows, "k string, value double, seq long, tolerance double")
+    for r in leaders(df, ["k"]).collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert leaders(df.limit(0), ["k"]).count() == 0
+
+
+def test_texts_of_two_methods_agree_only_as_they_are(spark):
+    rows = [("s", "r", k, f"u{k}", "product.availability", v, m, 0.9, None) for k, (a, b) in enumerate([("in_stock", "in_stock"), ("In Stock", "in stock"), ("in  stock", "in stock"), ("5.00", "5.004")]) for v, m in ((a, "jsonld"), (b, "platform_api"))]
+    f = spark.createDataFrame(rows, "store_id string, run_id string, seq long, resource_url string, fact string, value string, method string, confidence double, variant_key string")
+    r = rule_table(spark, rule(id="x", type="numeric_mismatch", fact="product.availability", methods=["jsonld", "platform_api"], tolerance=0.01))
+    assert [x["result"] for x in R.method_mismatch(f, r).orderBy("resource_url").collect()] == ["pass", "fail", "fail", "pass"]
