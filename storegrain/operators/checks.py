@@ -77,10 +77,20 @@ def external_links(pages: DataFrame) -> DataFrame:
 
 
 def robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages with allowed: what the first robots rule (host, path_prefix, allow, rule_order) says that fits; allowed without one."""
-    r = small(rules.select(F.col("host").alias("rh"), "path_prefix", "allow", "rule_order"))
-    j = pages.join(r, (U.netloc(F.col("url")) == F.col("rh")) & U.path(F.col("url")).startswith(F.col("path_prefix")), "left")
-    return j.groupBy(*pages.columns).agg(F.coalesce(F.min_by("allow", "rule_order"), F.lit(True)).alias("allowed"))
+    """pages with allowed: what the first robots rule (host, path_prefix, allow, rule_order) says that fits; allowed without one.
+
+    Each distinct path is cut to the lengths that its host's rules have, and the cuts meet the rules by equality, of equal
+    rules the first. So a host of very many rules costs a path as many rows as there are lengths, and no page column is grouped.
+    Pages without a host, and hosts without rules, are allowed.
+    """
+    r = rules.groupBy(F.col("host").alias("h"), F.col("path_prefix").alias("prefix")).agg(F.min_by("allow", "rule_order").alias("allow"), F.min("rule_order").alias("rule_order"))
+    lengths = r.groupBy("h").agg(F.sort_array(F.collect_set(F.char_length("prefix"))).alias("lengths"))
+    p = pages.select(F.struct("*").alias("row"), U.netloc(F.col("url")).alias("robots_host"), U.path(F.col("url")).alias("robots_path"))
+    places = p.select(F.col("robots_host").alias("h"), F.col("robots_path").alias("path")).distinct()
+    cuts = places.join(small(lengths), "h").select("h", "path", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))).alias("n"))
+    hit = cuts.withColumn("prefix", F.left("path", F.col("n"))).join(small(r), ["h", "prefix"]).groupBy("h", "path").agg(F.min_by("allow", "rule_order").alias("said"))
+    j = p.join(hit, (F.col("robots_host") == F.col("h")) & (F.col("robots_path") == F.col("path")), "left")
+    return j.select("row.*", F.coalesce("said", F.lit(True)).alias("allowed"))
 
 
 def _any_of(text: Column, phrases: list[str]) -> Column:
@@ -218,11 +228,11 @@ def form_checks(pages: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def journeys(rows: DataFrame) -> DataFrame:
-    """(product_url, check_id) of recorded purchase journeys: another price in the cart, or none; no shipping at the checkout; a total below the price.
+    """(product_url, check_id) of recorded purchase journeys: another price in the cart, or none; no shipping at the checkout; its first price below the product's.
 
     rows: product_url, product_price, cart_text, checkout_text; a step that was not reached has null.
     """
-    cart, total = X.price_in(F.col("cart_text")), X.price_in(F.regexp_extract("checkout_text", r"(?is)total.*$", 0))
+    cart, total = X.price_in(F.col("cart_text")), X.price_in(F.col("checkout_text"))
     seen = F.col("cart_text").isNotNull()
     checks = F.array_compact(F.array(
         F.when(seen & (F.abs(cart - F.col("product_price")) > 0.01), "purchase_journey_cart_price_mismatch").when(seen & cart.isNull(), "purchase_journey_cart_price_not_found"),
@@ -371,10 +381,33 @@ def registrable(host: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(host, rf"([^.]+\.{PUBLIC_SECOND})$", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
 
 
-def off_domain_credit(pages: DataFrame, words: list[str], portals: list[str] = ()) -> DataFrame:
+def registered_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(host, domain) of distinct hosts (host) by a table of public suffixes (rule), such as co.uk, *.ck and !www.ck.
+
+    The longest rule that fits the last labels of a host counts, a rule with ! before all others and for one label less; * stands for
+    one label; a host that no rule fits has its last label as suffix. The domain is the suffix and one label more, or
+    the host where it has none. Only as many last labels are looked up as the longest rule has.
+    """
+    rules = suffixes.select(F.lower(F.trim("rule")).alias("rule")).filter("rule <> ''").distinct()
+    most = rules.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 1
+    h = hosts.select("host").distinct().withColumn("labels", F.split(F.lower("host"), r"\."))
+    last = lambda k: F.array_join(F.slice("labels", -k, k), ".")
+    forms = []
+    for k in range(1, most + 1):
+        wild = F.concat(F.lit("*."), last(k - 1)) if k > 1 else F.lit("*")
+        for rule, first, n in ((last(k), 0, k), (wild, 0, k), (F.concat(F.lit("!"), last(k)), 1, k - 1)):
+            forms.append(F.when(F.size("labels") >= k, F.struct(rule.alias("rule"), F.lit(first).alias("first"), F.lit(n).alias("n"))))
+    found = h.select("host", F.explode(F.array_compact(F.array(*forms))).alias("f")).select("host", "f.*").join(small(rules), "rule").groupBy("host").agg(F.max(F.struct("first", "n")).alias("b"))
+    n = F.coalesce(F.col("b.n"), F.lit(1)) + 1
+    own = F.when(F.size("labels") >= n, F.array_join(F.slice("labels", -n, n), ".")).otherwise(F.lower("host"))
+    return h.join(found, "host", "left").select("host", own.alias("domain"))
+
+
+def off_domain_credit(pages: DataFrame, words: list[str], portals: list[str] = (), suffixes: DataFrame | None = None) -> DataFrame:
     """(key, link, found_on, matched_via): the first external link of a run to a known portal, or to another host of the same organisation whose URL has one of the words.
 
-    pages: key, seq, url, links[, reachable]; the store's own host is that of the page with the lowest seq.
+    pages: key, seq, url, links[, reachable]; the store's own host is that of the page with the lowest seq. Organisations
+    are told apart by the public suffixes given, else by the pattern of `registrable`.
     """
     host = lambda u: F.regexp_replace(U.netloc(u), r":\d+$", "")
     base = pages.groupBy(*KEY).agg(F.min_by("url", "seq").alias("base")).select(*KEY, host(F.col("base")).alias("base"))
@@ -382,8 +415,15 @@ def off_domain_credit(pages: DataFrame, words: list[str], portals: list[str] = (
     e = p.select(*KEY, "seq", "url", F.posexplode("links").alias("pos", "link")).filter(host(F.col("link")) != "").join(base, KEY)
     root = lambda c: F.regexp_replace(c, r"^www\.", "")
     e = e.withColumn("h", host(F.col("link"))).filter(root(F.col("h")) != root(F.col("base")))
-    portal = registrable(F.col("h")).isin(list(portals)) if portals else F.lit(False)
-    same = (registrable(F.col("h")) == registrable(F.col("base"))) & _any_of(F.lower("link"), words)
+    if suffixes is None:
+        e = e.withColumns({"h_domain": registrable(F.col("h")), "base_domain": registrable(F.col("base"))})
+    else:
+        e = landed(e, "external-links")
+        known = landed(registered_domains(e.select(F.col("h").alias("host")).union(base.select("base")), suffixes), "domains")
+        for c in ("h", "base"):
+            e = e.join(known.select(F.col("host").alias(c), F.col("domain").alias(f"{c}_domain")), c, "left")
+    portal = F.col("h_domain").isin(list(portals)) if portals else F.lit(False)
+    same = (F.col("h_domain") == F.col("base_domain")) & _any_of(F.lower("link"), words)
     e = e.filter(portal | same).withColumn("via", F.when(portal, "known_returns_portal").otherwise("same_organization_subdomain"))
     return e.groupBy(*KEY).agg(F.min_by(F.struct("link", F.col("url").alias("found_on"), F.col("via").alias("matched_via")), F.struct("seq", "pos")).alias("c")).select(*KEY, "c.*")
 

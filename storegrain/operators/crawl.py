@@ -83,7 +83,12 @@ def sample_coverage(pages: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def image_work(images: DataFrame, cap: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(each page's first `cap` images (key, url, image_url), the distinct ones of these that a model has to see (image_url)). images: key, url, pos, image_url."""
-    w = Window.partitionBy(*KEY, "url").orderBy("pos", "image_url")
-    shown = images.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= cap).select(*KEY, "url", "image_url")
+    """(key, url, image_url) of the first image of the first `cap` product pages of a run that have one, and the distinct images (image_url) of these, which a model has to see.
+
+    images: key, seq, url, pos, image_url[, page_type, reachable]; seq is the page's place in the run. Pages that didn't load take no part.
+    """
+    for column, keeps in (("page_type", F.col("page_type") == "product"), ("reachable", F.col("reachable"))):
+        images = images.filter(keeps) if column in images.columns else images
+    first = images.groupBy(*KEY, "url").agg(F.min("seq").alias("seq"), F.min_by("image_url", F.struct("pos", "image_url")).alias("image_url"))
+    shown = capped(first, KEY, ["seq", "url"], cap).select(*KEY, "url", "image_url")
     return shown, shown.select("image_url").distinct()

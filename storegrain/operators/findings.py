@@ -15,6 +15,15 @@ from storegrain.operators.rules import KEY, SEVERITY
 SUSPENSION_POINTS = {"critical": 25, "high": 15, "medium": 8, "low": 4}
 DISAPPROVAL_POINTS = {"critical": 10, "high": 5, "medium": 2, "low": 1}
 QUALITY_POINTS = 0.5
+# The lines of a score's breakdown: deductions in their order, findings left out, a clamped score, no deduction, no score.
+DEDUCTION = {
+    "suspension": "-%1$s: %2$d suspension-risk finding(s) at %3$s severity (%4$s pt each)", "disapproval": "-%1$s: %2$d listing-disapproval finding(s) at %3$s severity (%4$s pt each)",
+    "quality": "-%1$s: %2$d quality-improvement finding(s) (%4$s pt each)",
+}
+EXCLUDED = "%d finding(s) excluded from scoring: cannot-verify (an unconfirmed issue doesn't move this score either way)."
+CLAMPED = "Raw score before clamping: %d - %s to %d (score is always shown in the 0-100 range)."
+NO_DEDUCTION = "No confirmed findings to deduct for - starting score of 100 stands."
+NO_SCORE = 'This audit did not complete, so no risk score is meaningful - see "This Audit Could Not Run" above.'
 LEAST_GROUP, EXAMPLES = 3, 5
 AREAS = ["shipping_policy", "returns_refunds", "business_identity", "misrepresentation", "prohibited_content", "privacy_policy", "terms_of_service", "editorial_quality"]
 
@@ -94,6 +103,10 @@ def with_impact(findings: DataFrame) -> DataFrame:
     return out.withColumn("ads_eligibility_impact", F.when(F.col("policy_area").isin(AREAS), "ads_and_listings").otherwise("unclear"))
 
 
+#: What findings of one group share.
+GROUP = [*KEY, "check_id", "how", "value"]
+
+
 def rolled_up(findings: DataFrame) -> DataFrame:
     """Groups of LEAST_GROUP and more like findings as one row, where their check has a strategy and as many findings; all others as they are.
 
@@ -103,15 +116,33 @@ def rolled_up(findings: DataFrame) -> DataFrame:
     examples by seq and how many more there are. Counts are aggregated in parts, so a check that fires everywhere is no
     burden to one task.
     """
+    return rolled_from(finding_parts(findings), findings)
+
+
+def _grouped(findings: DataFrame) -> DataFrame:
+    """findings with how and value, what makes them alike, and the example that each is."""
     href, src = (F.nullif(F.regexp_extract("location", f'{a}="([^"]*)"', 1), F.lit("")) for a in ("href", "src"))
     how = looked_up(F.col("check_id"), STRATEGY)
     domain = F.nullif(F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
     value = F.when(how == "href", href).when(how == "domain", domain).when(how == "check", F.lit(""))
     pair = F.format_string("%s (on %s)", F.coalesce(src, F.nullif("location", F.lit("")), F.lit("?")), F.coalesce("page_url", F.lit("unknown page")))
-    f = findings.withColumns({"how": how, "value": value}).withColumn("example", F.when(F.col("how") == "check", pair).otherwise(F.col("page_url")))
-    g = [*KEY, "check_id", "how", "value"]
+    return findings.withColumns({"how": how, "value": value}).withColumn("example", F.when(F.col("how") == "check", pair).otherwise(F.col("page_url")))
+
+
+def finding_parts(findings: DataFrame) -> DataFrame:
+    """What a batch of findings adds to their groups: (key, check_id, how, value, page_url, example, n, seq, first). Parts of several batches add up."""
     first = F.min_by(F.struct("title", "severity", "confidence"), "seq")
-    parts = f.filter("how is not null").groupBy(*g, "page_url", "example").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), first.alias("first"))
+    return _grouped(findings).filter("how is not null").groupBy(*GROUP, "page_url", "example").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), first.alias("first"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of several batches as one for each group, page and example."""
+    return parts.groupBy(*GROUP, "page_url", "example").agg(F.sum("n").alias("n"), F.min("seq").alias("s"), F.min_by("first", "seq").alias("first")).withColumnRenamed("s", "seq")
+
+
+def rolled_from(parts: DataFrame, findings: DataFrame) -> DataFrame:
+    """rolled_up from the parts of all findings; of findings only those of small groups and those without a group appear."""
+    f, g = _grouped(findings), GROUP
     checks = parts.groupBy(*KEY, F.col("check_id").alias("c")).agg(F.sum("n").alias("of_check")).filter(F.col("of_check") >= LEAST_GROUP)
     groups = parts.filter("value is not null").groupBy(*g).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("page_url").isNotNull(), F.col("n")).otherwise(0)).alias("with_page"), F.count_distinct("page_url").alias("n_pages"), F.count_distinct("example").alias("n_examples"),
@@ -137,17 +168,45 @@ def rolled_up(findings: DataFrame) -> DataFrame:
     return rolled.unionByName(single)
 
 
-def risk_score(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(key, score, rating): 100 less the points of confirmed findings, rounded half to even and clamped; null and N/A for failed runs."""
-    risk = is_suspension_risk(F.col("severity"), F.col("impact_tier"), F.col("confidence"))
-    points = lambda table: looked_up(F.col("severity"), {k: float(v) for k, v in table.items()})
-    off = F.when(F.col("confidence") == "cannot_verify", 0.0).when(risk, points(SUSPENSION_POINTS)).when(F.col("impact_tier") == "listing_disapproval", points(DISAPPROVAL_POINTS)).when(F.col("impact_tier") == "quality_improvement", QUALITY_POINTS).otherwise(0.0)
-    per = findings.groupBy(*KEY).agg(F.sum(off).alias("off"), F.bool_or(risk & (F.col("severity") == "critical")).alias("critical"))
+def score_counts(findings: DataFrame) -> DataFrame:
+    """(key, kind, severity, n): findings by what they cost, as counts that can be added up: suspension, disapproval, quality, other, or excluded as not confirmed."""
+    c = F.col
+    risk = is_suspension_risk(c("severity"), c("impact_tier"), c("confidence"))
+    kind = F.when(c("confidence") == "cannot_verify", "excluded").when(risk, "suspension").when(c("impact_tier") == "listing_disapproval", "disapproval").when(c("impact_tier") == "quality_improvement", "quality").otherwise("other")
+    return findings.groupBy(*KEY, kind.alias("kind"), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_of(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, score, rating, breakdown) from score_counts, of several batches too: 100 less the points of confirmed findings, rounded half to even and clamped.
+
+    The breakdown names each deduction, the findings that are left out and a clamped score. Failed runs have no score, N/A, and say why.
+    """
+    n, rank, number = F.sum("n"), severity_rank(F.col("severity")), lambda x: F.regexp_replace(x.cast("decimal(38,1)").cast("string"), r"\.0$", "")
+    each = looked_up(F.concat_ws(" ", "kind", "severity"), {f"{k} {sev}": float(v) for k, t in (("suspension", SUSPENSION_POINTS), ("disapproval", DISAPPROVAL_POINTS)) for sev, v in t.items()} | {f"quality {sev}": QUALITY_POINTS for sev in SEVERITY})
+    # a quality finding costs the same at any severity
+    level = F.when(F.col("kind").isin("suspension", "disapproval"), F.col("severity"))
+    per = counts.withColumn("each", F.coalesce(each, F.lit(0.0))).groupBy(*KEY, "kind", level.alias("level"), "each").agg(n.alias("n"), F.min(rank).alias("rank"))
+    off = F.col("n") * F.col("each")
+    line = F.printf(looked_up(F.col("kind"), DEDUCTION), number(off), F.col("n"), F.coalesce("level", F.lit("")), number(F.col("each")))
+    line = F.when(F.col("kind") == "excluded", F.format_string(EXCLUDED, "n")).otherwise(F.trim(line))
+    place = F.struct(looked_up(F.col("kind"), {k: i for i, k in enumerate([*DEDUCTION, "excluded"])}).alias("k"), F.col("rank"), line.alias("line"))
+    per = per.groupBy(*KEY).agg(
+        F.sum(off).alias("off"), F.bool_or((F.col("kind") == "suspension") & (F.col("level") == "critical")).alias("critical"), F.sort_array(F.collect_list(F.when((F.col("each") > 0) | (F.col("kind") == "excluded"), place))).alias("lines")
+    )  # a line for each kind and severity at most
     j = runs.select(*KEY, "failed").join(per, KEY, "left")
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 - F.coalesce("off", F.lit(0.0)), 0).cast("int")))
-    j = j.withColumn("score", F.when(~F.col("failed"), score))
+    raw = F.bround(100 - F.coalesce("off", F.lit(0.0)), 0).cast("int")
+    j = j.withColumns({"raw": raw, "score": F.when(~F.col("failed"), F.greatest(F.lit(0), F.least(F.lit(100), raw)))})
     rating = F.when(F.col("failed"), "N/A").when(F.coalesce("critical", F.lit(False)) | (F.col("score") < 50), "HIGH").when(F.col("score") < 80, "MEDIUM").otherwise("LOW")
-    return j.select(*KEY, "score", rating.alias("rating"))
+    lines = F.transform(F.coalesce("lines", F.array().cast(j.schema["lines"].dataType)), lambda x: x["line"])
+    cost = F.coalesce(F.exists("lines", lambda x: x["k"] < len(DEDUCTION)), F.lit(False))
+    clamp = F.when(F.col("raw") != F.col("score"), F.format_string(CLAMPED, F.col("raw"), F.when(F.col("score") == 0, "floored").otherwise("capped"), F.col("score")))
+    text = F.when(F.col("failed"), F.array(F.lit(NO_SCORE))).otherwise(F.array_compact(F.concat(F.array(F.when(~cost, NO_DEDUCTION)), lines, F.array(clamp))))
+    return j.select(*KEY, "score", rating.alias("rating"), text.alias("breakdown"))
+
+
+def risk_score(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(key, score, rating, breakdown) of each run; see score_of."""
+    return score_of(runs, score_counts(findings))
 
 
 def policy_matrix(runs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -258,34 +317,40 @@ def kept_bodies(pages: DataFrame, cited: DataFrame, keep_all: bool = False) -> D
     return pages if keep_all else pages.join(cited.select(*KEY, "url").distinct(), [*KEY, "url"], "left_semi")
 
 
+def quote_stands(quote: Column, text: Column) -> Column:
+    """Whether a quote is on a page, but for case, white space and entities. A null or blank quote claims nothing, so it stands."""
+    q = X.quote_text(F.coalesce(quote, F.lit("")))
+    return (q == "") | F.coalesce(F.contains(X.quote_text(text), q), F.lit(False))
+
+
 def reconciled(regex: DataFrame, model: DataFrame, pages: DataFrame) -> DataFrame:
     """Facts of regex candidates and model answers (key, url, fact, value[, quote, confidence]).
 
-    A model null or a quote that isn't on the page gives none; agreement gives regex_llm_agree at 0.95; else the
-    model's value counts, its confidence within 0 and 0.9. Facts the model wasn't asked about stay as they are.
+    The model's value counts: agreement gives regex_llm_agree at 0.95, else its confidence is taken within 0 and 1. A model
+    null, or a quote that isn't on the page, gives no fact; a blank quote claims nothing. Facts the model wasn't asked
+    about stay as they are.
     """
     on = [*KEY, "url", "fact"]
     m = model.select(*on, F.col("value").alias("m_value"), "quote", F.col("confidence").alias("m_conf"), F.lit(True).alias("asked"))
     j = regex.select(*on, "value", F.col("confidence").alias("r_conf")).join(m, on, "full_outer").join(pages.select(*KEY, "url", "text"), [*KEY, "url"], "left")
-    on_page = F.contains(X.quote_text(F.col("text")), X.quote_text(F.col("quote")))
-    gone = F.col("asked") & (F.col("m_value").isNull() | ~F.coalesce(on_page, F.lit(False)))
+    gone = F.col("asked") & (F.col("m_value").isNull() | ~quote_stands(F.col("quote"), F.col("text")))
     agree = X.same_value(F.col("fact"), F.col("value"), F.col("m_value"))
     j = j.filter(~F.coalesce(gone, F.lit(False)))
     pick = lambda alone, both, other: F.when(F.col("asked").isNull(), alone).when(F.coalesce(agree, F.lit(False)), both).otherwise(other)
-    return j.select(*on, pick(F.col("value"), F.col("value"), F.col("m_value")).alias("value"), pick(F.lit("regex"), F.lit("regex_llm_agree"), F.lit("llm")).alias("method"), pick(F.col("r_conf"), F.lit(0.95), F.greatest(F.lit(0.0), F.least(F.lit(0.9), F.col("m_conf")))).alias("confidence"))
+    return j.select(*on, pick(F.col("value"), F.col("m_value"), F.col("m_value")).alias("value"), pick(F.lit("regex"), F.lit("regex_llm_agree"), F.lit("llm")).alias("method"), pick(F.col("r_conf"), F.lit(0.95), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m_conf")))).alias("confidence"))
 
 
 def verdict_findings(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
-    """(key, url, check_id, confidence, evidence_verified) of flagged model verdicts; a quote that isn't on the page makes them unverifiable.
+    """(key, url, check_id, confidence, evidence_verified) of flagged model verdicts; with a quote that isn't on the page they are no longer confirmed, but a potential risk.
 
     Contradictions without a dimension or a policy quote, or with the same day counts on both sides, are left out.
     """
     j = verdicts.filter("flagged").join(pages.select(*KEY, "url", "text"), [*KEY, "url"], "left")
-    ok = F.coalesce(F.contains(X.quote_text(F.col("text")), X.quote_text(F.col("evidence_quote"))), F.lit(False))
+    ok = quote_stands(F.col("evidence_quote"), F.col("text"))
     counts = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)\s*(?:business\s+)?days?"), F.lit(1))))
     same_days = (F.size(counts("evidence_quote")) > 0) & (counts("evidence_quote") == counts("policy_quote"))
     bad = (F.col("check_id") == "llm_claim_policy_contradiction") & (F.col("conflict_dimension").isNull() | (F.col("conflict_dimension") == "none") | F.col("policy_quote").isNull() | F.coalesce(same_days, F.lit(False)))
-    return j.filter(~bad).select(*KEY, "url", "check_id", F.when(ok, F.col("confidence")).otherwise("cannot_verify").alias("confidence"), ok.alias("evidence_verified"))
+    return j.filter(~bad).select(*KEY, "url", "check_id", F.when(~ok & (F.col("confidence") == "confirmed"), "potential_risk").otherwise(F.col("confidence")).alias("confidence"), ok.alias("evidence_verified"))
 
 
 def image_findings(images: DataFrame, verdicts: DataFrame) -> DataFrame:

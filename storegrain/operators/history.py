@@ -13,11 +13,15 @@ def to_prune(runs: DataFrame, store: list[str], keep: int) -> DataFrame:
 
 
 def expired(runs: DataFrame, store: list[str], now: Column, days: int | None = None, keep: int | None = None) -> DataFrame:
-    """Runs that are neither young enough nor among the newest; without any policy none."""
+    """Runs that are neither young enough nor among the newest; without any policy none.
+
+    A run is as old as the time since its finished_at, where it has one, else since its started_at, to the second.
+    """
     if days is None and keep is None:
         return runs.limit(0)
     w = Window.partitionBy(*store).orderBy(F.desc("started_at"), F.desc("run_id"))
-    young = F.lit(False) if days is None else F.col("started_at") >= F.date_sub(now, days)
+    ended = F.coalesce("finished_at", "started_at") if "finished_at" in runs.columns else F.col("started_at")
+    young = F.lit(False) if days is None else ended >= now.cast("timestamp") - F.make_dt_interval(F.lit(days))
     new = F.lit(False) if keep is None else F.row_number().over(w) <= keep
     return runs.withColumn("kept", young | new).filter("not kept").drop("kept")
 
@@ -99,8 +103,8 @@ def registration_errors(stores: DataFrame) -> DataFrame:
 
 
 def old_jobs(jobs: DataFrame, now: Column, days: int) -> DataFrame:
-    """Jobs made more than `days` days before now."""
-    return jobs.filter(F.col("created_at") < F.date_sub(now, days).cast("timestamp"))
+    """Jobs made more than `days` days before now, to the second."""
+    return jobs.filter(F.col("created_at") < now.cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
 def blobs(references: DataFrame) -> DataFrame:
@@ -108,6 +112,31 @@ def blobs(references: DataFrame) -> DataFrame:
     return references.groupBy(F.sha2(F.col("content").cast("binary"), 256).alias("hash")).agg(F.max(F.octet_length("content")).alias("bytes"), F.count(F.lit(1)).alias("refcount"), F.max("at").alias("last_referenced_at"))
 
 
+def merged_blobs(stored: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(hash, bytes, refcount, last_referenced_at, released) of stored (hash, bytes, refcount, last_referenced_at) after deltas (hash, bytes, change, at, seq).
+
+    change is 1 for a reference more and -1 for one less. A count of zero releases the content; releasing what isn't there does
+    nothing, and a later reference stores it anew. So a count is the running sum less its lowest point below zero. Sums and lowest
+    points are taken for each day of a content first, then over its days, so a content that is referenced everywhere
+    is not one group. Rows with released are tombstones: their objects are to be deleted.
+    """
+    day = F.date_trunc("day", F.col("at"))
+    w = Window.partitionBy("hash", "day").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    each = deltas.withColumn("day", day).withColumn("run", F.sum("change").over(w))
+    # the sum and the lowest running sum of a day
+    days = each.groupBy("hash", "day").agg(F.sum("change").alias("total"), F.min("run").alias("low"), F.max("bytes").alias("bytes"), F.max(F.when(F.col("change") > 0, F.col("at"))).alias("at"))
+    start = stored.select("hash", F.lit(None).cast("timestamp").alias("day"), F.col("refcount").cast("long").alias("total"), F.col("refcount").cast("long").alias("low"), "bytes", F.col("last_referenced_at").alias("at"))
+    all_days = Window.partitionBy("hash").orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    both = start.unionByName(days).withColumn("low", F.coalesce(F.sum("total").over(all_days), F.lit(0)) + F.col("low"))
+    out = both.groupBy("hash").agg(F.max("bytes").alias("bytes"), (F.sum("total") - F.least(F.lit(0), F.min("low"))).alias("refcount"), F.max("at").alias("last_referenced_at"))
+    return out.withColumn("released", F.col("refcount") == 0)
+
+
+def orphans(objects: DataFrame, kept: DataFrame) -> DataFrame:
+    """Stored objects (hash, ..) that no kept content (hash, released) names."""
+    return objects.join(kept.filter("not released").select("hash"), "hash", "left_anti")
+
+
 def with_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """df with the columns it lacks, and the default where one is null."""
     return df.withColumns({c: F.coalesce(F.col(c), d) if c in df.columns else d for c, d in defaults.items()})

@@ -69,19 +69,35 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
-def upserted(cache: DataFrame, new: DataFrame, rebuilt: bool = False) -> DataFrame:
-    """The cache (cache_key, result_json, created_at) with new entries: the newest of each key. rebuilt: a policy index was, so no old entry stays."""
-    all_ = new if rebuilt else cache.unionByName(new)
-    return all_.groupBy("cache_key").agg(F.max_by(F.struct("result_json", "created_at"), "created_at").alias("r")).select("cache_key", "r.*")
-
-
-def reuse(work: DataFrame, cache: DataFrame, now: Column, valid_from: Column | None = None) -> DataFrame:
-    """work (cache_key, ..) with result_json and hit: the newest entry of at most CACHE_DAYS days, not older than valid_from."""
-    c = cache.filter(F.col("created_at") >= F.date_sub(now, CACHE_DAYS))
-    if valid_from is not None:
-        c = c.filter(F.col("created_at") > valid_from)
-    newest = c.groupBy("cache_key").agg(F.max_by("result_json", "created_at").alias("result_json"))
-    return work.join(newest, "cache_key", "left").withColumn("hit", F.col("result_json").isNotNull())
+def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache (cache_key, result_json, created_at) with new entries: the newest of each key."""
+    return cache.unionByName(new).groupBy("cache_key").agg(F.max_by(F.struct("result_json", "created_at"), "created_at").alias("r")).select("cache_key", "r.*")
+
+
+def reuse(work: DataFrame, cache: DataFrame, now: Column, changes: DataFrame | None = None) -> DataFrame:
+    """work (cache_key[, policy_id], ..) with result_json and hit: its newest entry by then, if that is CACHE_DAYS old at most, to the second,
+    and newer than the last change of its policy by then.
+
+    now: when a row of work asks, a column of it or a constant. changes: policy_id, changed_at; whatever comes after a row asks
+    doesn't count, and without changes no entry is outdated. Both as-of joins go through equal asks once: entries and asks of a
+    key are put in order and the last entry is carried forward; a policy's changes are few and travel as one sorted array.
+    """
+    on = ["cache_key"] + ["policy_id"] * (changes is not None)
+    asked = work.withColumn("asked_at", now.cast("timestamp"))
+    asks = asked.select(*on, "asked_at").distinct()
+    if changes is not None:
+        known = changes.groupBy("policy_id").agg(F.sort_array(F.collect_set("changed_at")).alias("changed"))
+        asks = asks.join(known, "policy_id", "left").withColumn("changed", F.array_max(F.filter("changed", lambda t: t <= F.col("asked_at"))))
+    else:
+        asks = asks.withColumn("changed", F.lit(None).cast("timestamp"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    entries = cache.select("cache_key", F.col("created_at").alias("at"), F.struct(F.col("created_at").alias("at"), "result_json").alias("entry"), F.lit(0).alias("side"), *[none(c, asks.schema[c].dataType) for c in [*on[1:], "changed"]])
+    both = entries.unionByName(asks.select("cache_key", F.col("asked_at").alias("at"), none("entry", entries.schema["entry"].dataType), F.lit(1).alias("side"), *on[1:], "changed"))
+    w = Window.partitionBy("cache_key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("entry", F.last("entry", ignorenulls=True).over(w)).filter("side = 1").withColumnRenamed("at", "asked_at")
+    young = F.col("entry.at") >= F.col("asked_at") - F.make_dt_interval(F.lit(CACHE_DAYS))
+    found = found.filter(young & (F.col("changed").isNull() | (F.col("entry.at") > F.col("changed")))).select(*on, "asked_at", F.col("entry.result_json").alias("result_json"))
+    return asked.join(found, [*on, "asked_at"], "left").withColumn("hit", F.col("result_json").isNotNull()).drop("asked_at")
 
 
 def accuracy(verdicts: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:

@@ -243,10 +243,61 @@ RETENTION_SQL = "select o_custkey, o_orderkey as run_id from (select *, row_numb
 
 
 def retention_age_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.expired(order_runs(spark, sf_dir), ["o_custkey"], F.lit("1998-08-01").cast("date"), days=900, keep=3).select("o_custkey", "run_id")
+    """orders as runs that began at an hour of their day, two thirds of which ended hours later: beyond the newest three of a customer, and ended over 900 days before a moment."""
+    k, start = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    runs = read(spark, sf_dir, "orders").select("o_custkey", k.alias("run_id"), (start + F.make_dt_interval(F.lit(0), k % 24)).alias("started_at"), F.when(k % 3 != 0, start + F.make_dt_interval(F.lit(0), k % 24 + k % 11, k % 60)).alias("finished_at"))
+    return H.expired(runs, ["o_custkey"], F.lit("1998-08-01 10:30:00").cast("timestamp"), days=900, keep=3).select("o_custkey", "run_id")
 
 
-AGE_SQL = "select o_custkey, o_orderkey as run_id from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k > 3 and o_orderdate < date '1998-08-01' - 900"
+AGE_SQL = """
+with r as (select o_custkey, o_orderkey as k, o_orderdate::timestamp + to_hours(o_orderkey % 24) as s, case when o_orderkey % 3 <> 0 then o_orderdate::timestamp + to_hours(o_orderkey % 24 + o_orderkey % 11) + to_minutes(o_orderkey % 60) end as f from orders)
+select o_custkey, k as run_id from (select *, row_number() over (partition by o_custkey order by s desc, k desc) as n from r) where n > 3 and coalesce(f, s) < timestamp '1998-08-01 10:30:00' - interval 900 days
+"""
+
+
+def blob_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as contents: stored once for the documents of odd id, then referenced and released in the order of the order lines, which name them by part."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    at = F.lit("2024-01-01").cast("timestamp")
+    stored = d.filter("doc_id % 2 = 1").groupBy("hash").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("refcount")).withColumn("last_referenced_at", at)
+    n = d.agg(F.max("doc_id") + 1).first()[0] or 1
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") % n).alias("doc_id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1).alias("change"))
+    deltas = li.join(d, "doc_id").select("hash", "bytes", "change", "at", F.col("k").alias("seq"))
+    return H.merged_blobs(stored, deltas).select("hash", "bytes", F.col("refcount").cast("long").alias("refcount"), "released")
+
+
+BLOB_SQL = """
+with d as (select doc_id, sha256(coalesce(text, '')) as hash, octet_length(encode(coalesce(text, ''))) as bytes from documents),
+s as (select hash, max(bytes) as bytes, count(*) as n from d where doc_id % 2 = 1 group by 1),
+m as (select hash, bytes, l_orderkey * 7 + l_linenumber as k, l_shipdate as day, case when l_linenumber % 2 = 0 then 1 else -1 end as c from lineitem join d on doc_id = l_partkey % (select max(doc_id) + 1 from documents)),
+r as (select hash, bytes, coalesce(n, 0) + sum(c) over (partition by hash order by day, k rows unbounded preceding) as run, row_number() over (partition by hash order by day desc, k desc) as last from m left join s using (hash, bytes)),
+f as (select hash, max(bytes) as bytes, max(case when last = 1 then run end) - least(0, min(run)) as refcount from r group by 1)
+select hash, bytes, refcount::bigint as refcount, refcount = 0 as released from f union all select hash, bytes, n, false from s where hash not in (select hash from f)
+"""
+
+
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each store's score, in order."""
+    f = order_findings(spark, sf_dir)
+    return N.risk_score(_runs(f), f).select("store_id", F.posexplode("breakdown").alias("k", "line"))
+
+
+BREAKDOWN_SQL = "with" + ORDERS_SQL + r""",
+g as (select store_id, case when not confirmed then 'excluded' when risk then 'suspension' when tier = 'listing_disapproval' then 'disapproval' when tier = 'quality_improvement' then 'quality' end as kind, rank, severity from r),
+c as (
+  select store_id, kind, case when kind in ('suspension', 'disapproval') then rank end as rank, case when kind in ('suspension', 'disapproval') then severity end as severity, count(*) as n,
+    case kind when 'suspension' then [25, 15, 8, 4][any_value(rank) + 1] when 'disapproval' then [10, 5, 2, 1][any_value(rank) + 1] when 'quality' then 0.5 else 0 end as each
+  from g where kind is not null group by 1, 2, 3, 4),
+t as (select store_id, round_even(100 - sum(n * each), 0)::int as raw, greatest(0, least(100, raw)) as score, bool_or(each > 0) as cost from c group by 1),
+l as (
+  select store_id, ['suspension', 'disapproval', 'quality', 'excluded'].list_position(kind) as a, rank as b,
+    case when kind = 'excluded' then n || ' finding(s) excluded from scoring: cannot-verify (an unconfirmed issue doesn''t move this score either way).'
+      else '-' || regexp_replace((n * each)::decimal(38, 1)::varchar, '\.0$', '') || ': ' || n || ' ' || case kind when 'suspension' then 'suspension-risk' when 'disapproval' then 'listing-disapproval' else 'quality-improvement' end || ' finding(s)'
+        || case when kind = 'quality' then '' else ' at ' || severity || ' severity' end || ' (' || regexp_replace(each::decimal(38, 1)::varchar, '\.0$', '') || ' pt each)' end as line from c
+  union all select store_id, 0, 0, 'No confirmed findings to deduct for - starting score of 100 stands.' from t where not cost
+  union all select store_id, 9, 0, 'Raw score before clamping: ' || raw || ' - ' || case when score = 0 then 'floored' else 'capped' end || ' to ' || score || ' (score is always shown in the 0-100 range).' from t where raw <> score)
+select store_id, row_number() over (partition by store_id order by a, b)::int - 1 as k, line from l
+"""
 
 
 def cache_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,12 +335,12 @@ def schema_evolve_sql() -> str:
     return "select r_regionkey as id, case when r_regionkey > 1 then r_name else 'untitled' end as title, true as active from region"
 
 
-_F = (aggregate_findings, impact_tiers, risk_score, policy_matrix, run_summary, page_status, crawl_summary, catalog_rollup, fix_list, severity_topk, delta_runs, retention_runs, retention_age_or_rank, cache_cap, previous_run, latest_run, policy_changes, schema_evolve)
+_F = (blob_releases, score_breakdown, aggregate_findings, impact_tiers, risk_score, policy_matrix, run_summary, page_status, crawl_summary, catalog_rollup, fix_list, severity_topk, delta_runs, retention_runs, retention_age_or_rank, cache_cap, previous_run, latest_run, policy_changes, schema_evolve)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
     "aggregate_findings": ROLLED_SQL, "impact_tiers": IMPACT_SQL, "risk_score": SCORE_SQL, "policy_matrix": MATRIX_SQL, "run_summary": SUMMARY_SQL, "page_status": STATUS_SQL, "crawl_summary": CRAWL_SQL, "catalog_rollup": CATALOG_SQL, "fix_list": FIX_SQL, "delta_runs": DELTA_SQL,
     "severity_topk": "with" + ORDERS_SQL + "select store_id, arg_min(title, (rank, seq)) as worst_title from r group by 1",
-    "retention_runs": RETENTION_SQL, "retention_age_or_rank": AGE_SQL, "cache_cap": CAP_SQL,
+    "blob_releases": BLOB_SQL, "score_breakdown": BREAKDOWN_SQL, "retention_runs": RETENTION_SQL, "retention_age_or_rank": AGE_SQL, "cache_cap": CAP_SQL,
     "previous_run": "select o_custkey, o_orderkey as run_id, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous from orders",
     "latest_run": "select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as run_id from orders group by 1",
     "policy_changes": r"select distinct source as policy_id from documents where regexp_extract(source, '(\d+)$', 1)::int % 2 = 1",

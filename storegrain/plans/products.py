@@ -193,16 +193,23 @@ select id, i::int - 1 as chunk_index, length(chunks[i]) as n_chars, md5(chunks[i
 
 
 def verdict_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents by content key against a cache of the labelled ones, aged by their ids."""
-    d = read(spark, sf_dir, "documents").select("doc_id", V.cache_key(F.lit("p"), F.lit("m"), F.coalesce("text", F.lit(""))).alias("cache_key"))
-    cache = read(spark, sf_dir, "labels").join(d, "doc_id").select("cache_key", F.col("quality").cast("string").alias("result_json"), F.date_sub(F.lit("2024-06-30").cast("date"), (F.col("doc_id") % 60).cast("int")).cast("timestamp").alias("created_at"))
+    """documents of four policies ask at hours of a day for verdicts of a cache of the labelled ones, aged by days and hours; suppliers are the changes of their policies."""
+    noon = F.lit("2024-06-30 12:00:00").cast("timestamp")
+    key = lambda c: V.cache_key(F.lit("p"), F.lit("m"), c)
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.col("doc_id") % 4).alias("policy_id"), key(F.coalesce("text", F.lit(""))).alias("cache_key"), (noon + F.make_dt_interval(F.lit(0), F.col("doc_id") % 7)).alias("at"))
+    age = F.make_dt_interval(F.col("doc_id") % 60, F.col("doc_id") % 24)
+    cache = read(spark, sf_dir, "labels").join(d, "doc_id").select("cache_key", F.col("quality").cast("string").alias("result_json"), (noon - age).alias("created_at"))
+    changes = read(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 3").select(F.concat(F.lit("p"), F.col("s_suppkey") % 4).alias("policy_id"), (noon - F.make_dt_interval(5 + F.col("s_suppkey") % 50, 6 * (F.col("s_suppkey") % 4))).alias("changed_at"))
     # of equally new entries of one key any may be found, so only the hit is reported
-    return V.reuse(d, cache, F.lit("2024-06-30").cast("date")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cache_key").alias("n_keys"))
+    return V.reuse(d, cache, F.col("at"), changes).select("doc_id", "hit")
 
 
 REUSE_SQL = """
-with d as (select doc_id, sha256('p|m|' || coalesce(text, '')) as k from documents), c as (select distinct k from labels join d using (doc_id) where doc_id % 60 <= 30)
-select c.k is not null as hit, count(*) as n, count(distinct d.k) as n_keys from d left join c on d.k = c.k group by 1
+with d as (select doc_id, 'p' || doc_id % 4 as policy_id, sha256('p|m|' || coalesce(text, '')) as k, timestamp '2024-06-30 12:00:00' + to_hours(doc_id % 7) as asked from documents),
+c as (select k, timestamp '2024-06-30 12:00:00' - to_days((doc_id % 60)::int) - to_hours(doc_id % 24) as created from labels join d using (doc_id)),
+h as (select 'p' || s_suppkey % 4 as policy_id, timestamp '2024-06-30 12:00:00' - to_days((5 + s_suppkey % 50)::int) - to_hours(6 * (s_suppkey % 4)) as changed from supplier where s_suppkey % 4 <> 3),
+a as (select doc_id, policy_id, asked, (select max(created) from c where c.k = d.k and created <= asked) as created, (select max(changed) from h where h.policy_id = d.policy_id and changed <= asked) as changed from d)
+select doc_id, coalesce(created >= asked - interval 30 days and (changed is null or created > changed), false) as hit from a
 """
 
 

@@ -98,3 +98,44 @@ def replace_policies(chunks: DataFrame, path: str) -> None:
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     """A table whose files have come to have more columns over time."""
     return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def _bucket(key: list[str], n: int):
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
+    """df as a table of folders by a hash of its key, for merge_buckets."""
+    df.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_buckets(new: DataFrame, path: str, key: list[str], merge, buckets: int = 64) -> None:
+    """Puts new into the table at path (of write_buckets, with as many buckets) by merge(old, new), which has one key's rows at a time.
+
+    Only the folders that new has keys of are read and written; all others keep their files. What is merged is written
+    to the shared folder first, so a job that fails leaves the table as it was.
+    """
+    spark = new.sparkSession
+    n = new.withColumn("bucket", _bucket(key, buckets))
+    touched = sorted(r["bucket"] for r in n.select("bucket").distinct().collect())  # `buckets` numbers at most
+    if not touched:
+        return
+    old = spark.read.schema(n.schema).parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = landed(merge(old, new).withColumn("bucket", _bucket(key, buckets)), "merged-buckets")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def replace_changed_buckets(after: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
+    """Makes the table at path (of write_buckets) be after, and writes only the folders of which a row is new, gone or another."""
+    spark = after.sparkSession
+    a = landed(after.withColumn("bucket", _bucket(key, buckets)), "after")
+    row = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.to_json(F.struct(*after.columns)))).alias("h"))
+    before = spark.read.schema(a.schema).parquet(path)
+    j = row(a).join(row(before).withColumnsRenamed({"n": "m", "h": "g"}), "bucket", "full_outer")
+    rows = j.filter("n is distinct from m or h is distinct from g").select("bucket", F.col("n").isNull().alias("gone")).collect()  # `buckets` rows at most
+    changed = [r["bucket"] for r in rows if not r["gone"]]
+    a.filter(F.col("bucket").isin(changed)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for r in rows:
+        if r["gone"]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={r['bucket']}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

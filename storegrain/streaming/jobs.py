@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
 from storegrain.operators import findings as N
 from storegrain.operators import history as H
 from storegrain.operators.rules import KEY, small
+from storegrain.sources.tables import landed
 
 
 class _Changes(StatefulProcessor):
@@ -61,10 +63,13 @@ def admit(times: list, limit: int, seconds: float, accepted: list | None = None)
 
 
 class _Admission(StatefulProcessor):
-    def __init__(self, limit: int, seconds: float):
-        self.limit, self.seconds = limit, seconds
+    """With timers a key's state goes when its window has passed: the watermark is then behind all that could still count."""
+
+    def __init__(self, limit: int, seconds: float, timers: bool):
+        self.limit, self.seconds, self.timers = limit, seconds, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getListState("accepted", "t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -72,8 +77,16 @@ class _Admission(StatefulProcessor):
         before = [x[0] for x in self.accepted.get()] if self.accepted.exists() else []
         ok, window = admit([t.timestamp() for t in b["ts"]], self.limit, self.seconds, before)
         self.accepted.put([(t,) for t in window])
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            self.handle.registerTimer(int((max(window) + self.seconds) * 1000) + 1)
         yield pd.DataFrame({"key": key[0], "event_id": b["event_id"].to_numpy(), "admitted": ok})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        yield pd.DataFrame({"key": [], "event_id": [], "admitted": []}).astype({"key": "int64", "event_id": "int64", "admitted": "bool"})
+
     def close(self) -> None:
         pass
 
@@ -81,12 +94,14 @@ class _Admission(StatefulProcessor):
 ADMITTED = "key long, event_id long, admitted boolean"
 
 
-def admissions(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
+def admissions(stream: DataFrame, limit: int, seconds: float, watermark: str | None = None) -> DataFrame:
     """(key, event_id, admitted) of a stream (key, ts, event_id): at most limit per key in a sliding window; what is rejected is not counted.
 
-    Whether an event is admitted depends on those before it, so one key's events go through one task in order.
+    Whether an event is admitted depends on those before it, so one key's events go through one task in order. With a
+    watermark events that come later than it are dropped, and a key that is idle for longer than the window leaves no state.
     """
-    return stream.groupBy("key").transformWithStateInPandas(_Admission(limit, seconds), ADMITTED, "Append", "None")
+    stream = stream.withWatermark("ts", watermark) if watermark else stream
+    return stream.groupBy("key").transformWithStateInPandas(_Admission(limit, seconds, bool(watermark)), ADMITTED, "Append", "EventTime" if watermark else "None")
 
 
 def admissions_batch(events: DataFrame, limit: int, seconds: float) -> DataFrame:
@@ -127,25 +142,62 @@ def write_due(triggers: DataFrame, stores: DataFrame, path: str, checkpoint: str
     return triggers.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_current(findings: DataFrame, store: str, rollups: str, checkpoint: str):
-    """Appends each micro-batch of findings to store and rebuilds the rollups of the runs it touches.
+def keep_current(findings: DataFrame, store: str, parts: str, counts: str, checkpoint: str):
+    """Keeps findings and the partial aggregates of their rollups and scores: each micro-batch appends its own and reads no other.
 
-    Both tables are partitioned by run, the store by batch too, so only the touched runs' files are read, and a batch
-    that is run again after a failure writes its own files anew.
+    What a batch adds is a row for each group, page and example, and one for each kind and severity of a run, so no
+    more is read or written than the batch has. `current_rollups` and `current_scores` add the parts up, `compact` makes one part
+    of many. The tables are partitioned by run and batch; a batch that is run again after a failure writes its own files anew.
+    Impact columns that the scores need are added by with_impact where findings lack them.
     """
-    stored = StructType([*findings.schema.fields, StructField("batch", LongType())])
 
     def each(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        to = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
-        to(batch.withColumn("batch", F.lit(k).cast("long")), *KEY, "batch").parquet(store)
-        touched = small(batch.select(*KEY).distinct())
-        rows = spark.read.schema(stored).parquet(store).drop("batch").join(touched, KEY, "left_semi")
-        to(N.rolled_up(rows), *KEY).parquet(rollups)
+        def out(df: DataFrame, path: str) -> None:
+            df.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY, "batch").parquet(path)
+
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            out(batch, store)
+            out(N.finding_parts(batch), parts)
+            out(N.score_counts(batch if "impact_tier" in batch.columns else N.with_impact(batch)), counts)
+        finally:
+            batch.unpersist()
 
     return findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _kept(spark: SparkSession, path: str, runs: DataFrame | None) -> DataFrame:
+    """A table of keep_current without batches; of the given runs, if any, whose folders alone are read."""
+    t = spark.read.parquet(path).drop("batch")
+    t = t.withColumns({c: F.col(c).cast("string") for c in KEY})  # names of folders are read as what they look like
+    return t if runs is None else t.join(small(runs.select(*KEY).distinct()), KEY, "left_semi")
+
+
+def current_rollups(spark: SparkSession, store: str, parts: str, runs: DataFrame | None = None) -> DataFrame:
+    """rolled_up of all findings so far, from their parts."""
+    return N.rolled_from(N.merged_parts(_kept(spark, parts, runs)), _kept(spark, store, runs))
+
+
+def current_scores(spark: SparkSession, counts: str, runs: DataFrame) -> DataFrame:
+    """risk_score of all findings so far of the given runs (key, failed)."""
+    return N.score_of(runs, _kept(spark, counts, runs))
+
+
+def compact(spark: SparkSession, parts: str, runs: DataFrame) -> None:
+    """Makes one batch of the parts of finished runs: the merged ones are written as batch -1, then the folders they came from are dropped."""
+    old = spark.read.parquet(parts)
+    old = old.withColumns({c: F.col(c).cast("string") for c in KEY}).join(small(runs.select(*KEY).distinct()), KEY, "left_semi")
+    folders = sorted({f.rpartition("/")[0] for f in old.inputFiles()} if old.limit(1).count() else ())
+    touched = {tuple(r) for r in old.select(*KEY).distinct().collect()}  # the runs given
+    merged = landed(N.merged_parts(old).withColumn("batch", F.lit(-1).cast("long")), "compacted")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY, "batch").parquet(parts)
+    for f in folders:
+        names = dict(x.split("=", 1) for x in f.split("/") if "=" in x)
+        if tuple(unquote(names[c]) for c in KEY) in touched and names["batch"] != "-1":
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Writes all that a stream has now as Parquet, and reads it."""
     out = prepare(stream) if prepare else stream

@@ -76,6 +76,15 @@ def test_score_rounds_half_to_even(spark):
     f = spark.createDataFrame(rows, "store_id string, run_id string, seq int, severity string, impact_tier string, confidence string")
     runs = spark.createDataFrame([("s", "r", False), ("t", "r", False), ("u", "r", True)], "store_id string, run_id string, failed boolean")
     assert {r["store_id"]: (r["score"], r["rating"]) for r in N.risk_score(runs, f).collect()} == {"s": (98, "LOW"), "t": (75, "HIGH"), "u": (None, "N/A")}
+    rows = [("v", "r", k, "high", "suspension_risk", "confirmed") for k in range(9)] + [("v", "r", 20, "critical", "listing_disapproval", "confirmed"), ("v", "r", 21, "low", "listing_disapproval", "potential_risk"), ("w", "r", 1, "low", "x", "cannot_verify")] + [("v", "r", 30 + k, "low", "quality_improvement", "confirmed") for k in range(3)]
+    f, runs = f.union(spark.createDataFrame(rows, f.schema)), runs.union(spark.createDataFrame([(x, "r", False) for x in "vwx"], runs.schema))
+    got = {r["store_id"]: (r["score"], r["breakdown"]) for r in N.risk_score(runs, f).collect()}
+    left_out = "1 finding(s) excluded from scoring: cannot-verify (an unconfirmed issue doesn't move this score either way)."
+    assert got["s"] == (98, ["-1.5: 3 quality-improvement finding(s) (0.5 pt each)"])
+    assert got["t"] == (75, ["-25: 1 suspension-risk finding(s) at critical severity (25 pt each)", left_out])
+    assert got["v"] == (0, ["-25: 1 suspension-risk finding(s) at critical severity (25 pt each)", "-135: 9 suspension-risk finding(s) at high severity (15 pt each)", "-1: 1 listing-disapproval finding(s) at low severity (1 pt each)", "-1.5: 3 quality-improvement finding(s) (0.5 pt each)", "Raw score before clamping: -62 - floored to 0 (score is always shown in the 0-100 range)."])
+    none = "No confirmed findings to deduct for - starting score of 100 stands."
+    assert got["w"] == (100, [none, left_out]) and got["x"] == (100, [none]) and got["u"][1] == [N.NO_SCORE]
 
 
 def test_citations(spark):
@@ -89,14 +98,17 @@ def test_reconciled_and_verdicts(spark):
     key = "store_id string, run_id string, url string"
     pages = spark.createDataFrame([("s", "r", "u", "Returns within 30 days &amp; more")], key + ", text string")
     regex = spark.createDataFrame([("s", "r", "u", f, v, 0.8) for f, v in (("return.window_days", "30"), ("b", "30"), ("c", "30"), ("d", "30"), ("e", "30"))], key + ", fact string, value string, confidence double")
-    model = spark.createDataFrame([("s", "r", "u", "return.window_days", "30.0", "within 30 days", 0.7), ("s", "r", "u", "b", None, None, None), ("s", "r", "u", "c", "14", "30 DAYS & more", 0.99), ("s", "r", "u", "d", "14", "not there", 0.9)], key + ", fact string, value string, quote string, confidence double")
+    regex = regex.union(spark.createDataFrame([("s", "r", "u", "f", "30", 0.8)], regex.schema))
+    model = spark.createDataFrame([("s", "r", "u", "return.window_days", "30.0", "within 30 days", 0.7), ("s", "r", "u", "b", None, None, None), ("s", "r", "u", "c", "14", "30 DAYS & more", 0.97), ("s", "r", "u", "d", "14", "not there", 0.9), ("s", "r", "u", "f", "9", " ", 1.7), ("s", "r", "u", "g", "9", None, -1.0)], key + ", fact string, value string, quote string, confidence double")
     got = {r["fact"]: (r["value"], r["method"], r["confidence"]) for r in N.reconciled(regex, model, pages).collect()}
-    assert got == {"return.window_days": ("30", "regex_llm_agree", 0.95), "c": ("14", "llm", 0.9), "e": ("30", "regex", 0.8)}
+    assert got == {"return.window_days": ("30.0", "regex_llm_agree", 0.95), "c": ("14", "llm", 0.97), "e": ("30", "regex", 0.8), "f": ("9", "llm", 1.0), "g": ("9", "llm", 0.0)}
     v = spark.createDataFrame(
         [("s", "r", "u", "x", True, "high", "30 days", None, None), ("s", "r", "u", "y", True, "high", "no such", None, None), ("s", "r", "u", "llm_claim_policy_contradiction", True, "high", "30 days", "our 30 days", "days"), ("s", "r", "u", "z", False, "high", "30 days", None, None)],
         key + ", check_id string, flagged boolean, confidence string, evidence_quote string, policy_quote string, conflict_dimension string",
     )
-    assert {r["check_id"]: (r["confidence"], r["evidence_verified"]) for r in N.verdict_findings(v, pages).collect()} == {"x": ("high", True), "y": ("cannot_verify", False)}
+    assert {r["check_id"]: (r["confidence"], r["evidence_verified"]) for r in N.verdict_findings(v, pages).collect()} == {"x": ("high", True), "y": ("high", False)}
+    said = lambda confidence, quote: N.verdict_findings(v.filter("check_id = 'x'").withColumns({"confidence": F.lit(confidence), "evidence_quote": F.lit(quote).cast("string")}), pages).first()["confidence"]
+    assert [said(c, q) for c in ("confirmed", "potential_risk", "cannot_verify") for q in ("no such", "30  Days", None, "")] == ["potential_risk", *["confirmed"] * 3, *["potential_risk"] * 4, *["cannot_verify"] * 4]
     i = spark.createDataFrame([("s", "r", "u", "i1"), ("s", "r", "w", "i1"), ("s", "r", "u", "i2")], key + ", image_url string")
     iv = spark.createDataFrame([("i1", False, True)], "image_url string, plausible_match boolean, potentially_prohibited boolean")
     assert sorted((r["url"], r["check_id"]) for r in N.image_findings(i, iv).collect()) == [("u", "llm_image_product_mismatch"), ("u", "llm_image_prohibited_content_flag"), ("u", "llm_image_vision_check"), ("w", "llm_image_product_mismatch"), ("w", "llm_image_prohibited_content_flag")]
@@ -110,6 +122,8 @@ def test_history(spark):
     now = F.lit("2024-01-05").cast("date")
     assert {r["run_id"] for r in H.expired(runs, ["store"], now, days=3, keep=1).collect()} == {1}
     assert H.expired(runs, ["store"], now).count() == 0
+    timed = spark.createDataFrame([("s", 1, day(1), None), ("s", 2, day(1), dt.datetime(2024, 1, 2, 1, 30)), ("s", 3, day(2), dt.datetime(2024, 1, 2, 1, 29, 59)), ("s", 4, day(9), None)], "store string, run_id int, started_at timestamp, finished_at timestamp")
+    assert {r["run_id"] for r in H.expired(timed, ["store"], F.lit(dt.datetime(2024, 1, 5, 1, 30)), days=3).collect()} == {1, 3}
     old = spark.createDataFrame([("s", "a", "1", day(1)), ("s", "b", "1", day(1))], "store string, url string, h string, fetched_at timestamp")
     new = spark.createDataFrame([("s", "a", "2", day(2)), ("s", "c", "1", day(2))], old.schema)
     assert {r["url"]: r["h"] for r in H.upsert_snapshots(old, new, ["store", "url"]).collect()} == {"a": "2", "b": "1", "c": "1"}
@@ -123,6 +137,14 @@ def test_history(spark):
     assert sorted(tuple(r) for r in H.registration_errors(stores).collect()) == [("f", "already registered"), ("f", "cheap_check_interval_days is required"), ("f", "interval_days is required"), ("f", "unknown mode")]
     jobs = spark.createDataFrame([(1, day(1)), (2, day(3)), (3, day(2))], "job_id int, created_at timestamp")
     assert {r["job_id"] for r in H.old_jobs(jobs, now, 3).collect()} == {1}
+    assert {r["job_id"] for r in H.old_jobs(jobs, F.lit(dt.datetime(2024, 1, 5, 22, 30)), 3).collect()} == {1, 3}
+    stored = spark.createDataFrame([("a", 5, 2, day(1)), ("b", 5, 1, day(1)), ("e", 1, 3, day(1))], "hash string, bytes int, refcount int, last_referenced_at timestamp")
+    moves = [("a", 1, 2), ("a", -1, 2), ("b", -1, 2), ("b", -1, 2), ("b", -1, 3), ("b", 1, 3), ("b", 1, 4), ("b", -1, 4), ("c", -1, 2), ("d", 1, 2), ("d", -1, 3), ("d", -1, 3)]
+    deltas = spark.createDataFrame([(h, 5, c, day(d), k) for k, (h, c, d) in enumerate(moves)], "hash string, bytes int, change int, at timestamp, seq int")
+    got = {r["hash"]: (r["refcount"], r["released"]) for r in H.merged_blobs(stored, deltas).collect()}
+    assert got == {"a": (2, False), "b": (1, False), "c": (0, True), "d": (0, True), "e": (3, False)}
+    objects = spark.createDataFrame([("a",), ("d",), ("zz",)], "hash string")
+    assert {r["hash"] for r in H.orphans(objects, H.merged_blobs(stored, deltas)).collect()} == {"d", "zz"}
     changed = spark.createDataFrame([("p2",), ("p1",)], "policy_id string")
     assert {(r["url"], r["trigger"]) for r in H.reaudits(changed, stores).collect()} == {(u, "p1, p2") for u in "acd"} and H.reaudits(changed.limit(0), stores).count() == 0
     texts = spark.createDataFrame([("p", 1, "a  b"), ("p", 2, "c")], "policy_id string, pos int, text string")
@@ -147,9 +169,9 @@ def test_crawl(spark):
     assert [r["b"] for r in b.collect()] == [60, 60, 99, 60, 240]
     u = spark.createDataFrame([("https://s/product-category/mugs/blue/", "https://s/c", "collection"), ("https://s/product-category/mugs/blue/", "https://s/", "homepage"), ("https://s/mug", None, None)], "u string, f string, k string")
     assert [r["c"] for r in u.select(W.category(F.col("u"), F.col("f"), F.col("k")).alias("c")).collect()] == ["https://s/c", "/product-category/mugs", "/"]
-    images = spark.createDataFrame([("s", "r", "u", k, f"i{k}") for k in range(7)] + [("s", "r", "w", 0, "i1")], key + "url string, pos int, image_url string")
-    shown, work = W.image_work(images)
-    assert shown.count() == 6 and {r["image_url"] for r in work.collect()} == {f"i{k}" for k in range(5)}
+    images = [("s", "r", p, f"u{p}", k, f"i{p}-{k}" if p != 3 else "i1-0", "product") for p in range(8) for k in (1, 0)] + [("s", "r", -1, "home", 0, "h", "homepage"), ("t", "r", 0, "v", 5, "j", "product")]
+    shown, work = W.image_work(spark.createDataFrame(images, key + "seq int, url string, pos int, image_url string, page_type string"))
+    assert {(r["url"], r["image_url"]) for r in shown.collect()} == {("u0", "i0-0"), ("u1", "i1-0"), ("u2", "i2-0"), ("u3", "i1-0"), ("u4", "i4-0"), ("v", "j")} and work.count() == 5
     p = spark.createDataFrame([("s", "r"), ("s", "r"), ("t", "r")], "store_id string, run_id string")
     assert {r["store_id"]: (r["coverage"], r["is_partial"]) for r in W.sample_coverage(p, p.limit(1)).collect()} == {"s": (0.5, True), "t": (0.0, True)}
 
@@ -179,9 +201,13 @@ def test_accuracy_and_cache(spark):
     work = spark.createDataFrame([("x",), ("y",), ("z",)], "cache_key string")
     now = F.lit("2024-03-10").cast("date")
     assert {r["cache_key"]: r["result_json"] for r in V.reuse(work, cache, now).collect()} == {"x": "2", "y": None, "z": None}
-    assert V.reuse(work, cache, now, F.lit("2024-03-05").cast("timestamp")).filter("hit").count() == 0
+    at = lambda *t: F.lit(dt.datetime(2024, *t))
+    assert [V.reuse(work.limit(1), cache, at(*t)).first()["hit"] for t in ((4, 1, 0, 0), (4, 1, 0, 1), (3, 1, 12, 0), (2, 28, 0, 0))] == [True, False, True, False]  # 30 days to the second, nothing from later
+    asks = spark.createDataFrame([("x", "p", dt.datetime(2024, 3, 10, h)) for h in (0, 10, 14)] + [("x", "q", dt.datetime(2024, 3, 10))], "cache_key string, policy_id string, at timestamp")
+    changes = spark.createDataFrame([("p", dt.datetime(2024, 3, 10, 12)), ("p", day(1)), ("q", day(2)), ("z", day(9))], "policy_id string, changed_at timestamp")
+    assert {(r["policy_id"], r["at"].hour): r["result_json"] for r in V.reuse(asks, cache, F.col("at"), changes).collect()} == {("p", 0): "2", ("p", 10): "2", ("p", 14): None, ("q", 0): None}
     new = spark.createDataFrame([("x", "9", day(5))], cache.schema)
-    assert {r["cache_key"]: r["result_json"] for r in V.upserted(cache, new).collect()} == {"x": "9", "y": "3"} and V.upserted(cache, new, rebuilt=True).count() == 1
+    assert {r["cache_key"]: r["result_json"] for r in V.upserted(cache, new).collect()} == {"x": "9", "y": "3"}
 
 
 @pytest.mark.parametrize("size, priced, want", [(4, 4, 4), (200, 200, 10)])

@@ -177,7 +177,7 @@ def test_journeys_claims_and_phones(spark):
     got = {}
     for r in C.journeys(j).collect():
         got.setdefault(r["product_url"], set()).add(r["check_id"].removeprefix("purchase_journey_"))
-    assert got == {"p": {"cart_price_mismatch", "shipping_not_shown", "total_lower_than_product_price"}, "r": {"cart_price_not_found"}}
+    assert got == {"p": {"cart_price_mismatch", "shipping_not_shown", "total_lower_than_product_price"}, "q": {"total_lower_than_product_price"}, "r": {"cart_price_not_found"}}  # the first price of the checkout counts
     rows = [("s", "r", 0, "home", "homepage", "Free shipping"), ("s", "r", 1, "pol", "returns_policy", "x"), ("s", "r", 2, "ship", "shipping_policy", "x"), *[("s", "r", 3 + k, f"p{k}", "product", "30-day returns" if k % 2 else "nothing") for k in range(9)]]
     p = spark.createDataFrame(rows, "store_id string, run_id string, seq long, url string, page_type string, text string")
     assert sorted((r["url"], r["kind"], r["policy_url"]) for r in C.claim_tasks(p).collect()) == [("home", "shipping", "ship"), ("p1", "returns", "pol"), ("p3", "returns", "pol")]
@@ -279,3 +279,27 @@ def test_shared_characters_bound_the_ratio(spark):
     df = spark.createDataFrame([(a, b) for a in texts for b in texts if a + b], "a string, b string")
     for a, b, bound in df.select("a", "b", P.shared_characters(F.col("a"), F.col("b"))).collect():
         assert bound >= difflib.SequenceMatcher(None, a, b).ratio() - 1e-9
+
+
+def test_robots_of_a_host_with_many_rules(spark):
+    rules = spark.range(100_000).selectExpr("'hot.example' as host", "concat('/d', id, '/') as path_prefix", "id % 2 = 0 as allow", "id as rule_order")
+    rules = rules.union(spark.createDataFrame([("hot.example", "/d8/", False, 200_000), ("hot.example", "/", False, 300_000), ("b.example", "/x", False, 2), ("b.example", "/x/y", True, 1), ("b.example", "", True, 9)], rules.schema))
+    rows = [(0, "https://hot.example/d8/a"), (1, "https://hot.example/d7/"), (2, "https://hot.example/e"), (3, "http://b.example/x/y"), (4, "http://b.example/x/z"), (5, "http://b.example"), (6, "http://c.example/x"), (7, None), (0, "https://hot.example/d8/a")]
+    pages_ = spark.createDataFrame([(k, u, "clash", {"a": 1}) for k, u in rows], "page_id int, url string, path string, more map<string,int>")
+    out = C.robots(pages_, rules)
+    assert out.columns == [*pages_.columns, "allowed"]
+    assert sorted((r["page_id"], r["allowed"]) for r in out.collect()) == [(0, True), (0, True), (1, False), (2, False), (3, True), (4, False), (5, True), (6, True), (7, True)]
+
+
+def test_registered_domains(spark):
+    suffixes = spark.createDataFrame([(x,) for x in ("com", "uk", "co.uk", "github.io", "io", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp")], "rule string")
+    want = {
+        "shop.example.com": "example.com", "a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "x.uk": "x.uk", "me.github.io": "me.github.io", "a.me.github.io": "me.github.io", "github.io": "github.io", "a.b.c.ck": "b.c.ck", "www.ck": "www.ck", "a.www.ck": "www.ck",
+        "x.city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "a.unknown": "a.unknown", "b.a.unknown": "a.unknown", "localhost": "localhost", "": "",
+    }
+    hosts = spark.createDataFrame([(h,) for h in [*want, "co.uk"]], "host string")
+    assert {r["host"]: r["domain"] for r in C.registered_domains(hosts, suffixes).collect()} == want
+    link = lambda u: [u]
+    p = spark.createDataFrame([("s", "r", 0, "https://me.github.io/", link("https://you.github.io/returns")), ("t", "r", 0, "https://www.a.co.uk/", link("https://help.a.co.uk/returns"))], "store_id string, run_id string, seq long, url string, links array<string>")
+    assert [r["store_id"] for r in C.off_domain_credit(p, ["return"], suffixes=suffixes).collect()] == ["t"]
+    assert {r["store_id"] for r in C.off_domain_credit(p, ["return"]).collect()} == {"s", "t"}  # by the pattern alone

@@ -28,19 +28,78 @@ def test_admission_stream_is_the_batch(spark, tmp_path):
 
 
 def test_findings_are_kept_current(spark, tmp_path):
+    """Any split into batches gives what one batch gives, and a batch reads and writes its own rows only."""
+    import random
+
+    rng = random.Random(5)
     schema = "store_id string, run_id string, seq long, check_id string, title string, severity string, confidence string, page_url string, evidence string, location string"
-    for k in range(2):
-        rows = [("1", "7", 10 * k + i, "broken_image", "t", "low", "confirmed", f"p{10 * k + i}", "e", None) for i in range(3)]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        S.keep_current(stream, str(tmp_path / "store"), str(tmp_path / "rollups"), str(tmp_path / "cp")).awaitTermination()
-        assert [r["n"] for r in spark.read.parquet(str(tmp_path / "rollups")).collect()] == [3 * (k + 1)]
-    # a run that no later batch touches stays as it is, and its files are not read again
-    other = spark.createDataFrame([("2", "7", 99, "x", "t", "low", "confirmed", "p", "e", None)], schema)
-    other.write.mode("append").parquet(str(tmp_path / "in"))
-    S.keep_current(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "rollups"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "rollups")).collect()) == [1, 6]
-    assert (tmp_path / "store/store_id=1/run_id=7").is_dir()
+    checks = [*list(N.STRATEGY)[:3], *list(N.SUSPENSION_CHECKS)[:1], *list(N.QUALITY_CHECKS)[:1], "other"]
+    rows = [
+        (rng.choice("ab"), "7", k, rng.choice(checks), f"t{k}", rng.choice(["critical", "high", "low"]), rng.choice(["confirmed", "cannot_verify"]), rng.choice([None, *"pqrs"]), "e", rng.choice([None, '<a href="https://x.example/1">', '<a href="https://y.example/2">', '<img src="i">']))
+        for k in range(240)
+    ]
+    rng.shuffle(rows)
+    paths = {x: str(tmp_path / x) for x in ("in", "store", "parts", "counts", "cp")}
+    for k in range(4):
+        spark.createDataFrame(rows[60 * k : 60 * (k + 1)], schema).coalesce(1).write.mode("append").parquet(paths["in"])
+        before = {f for f in tmp_path.glob("parts/**/*.parquet")}
+        S.keep_current(spark.readStream.schema(schema).parquet(paths["in"]), paths["store"], paths["parts"], paths["counts"], paths["cp"]).awaitTermination()
+        assert before <= {f for f in tmp_path.glob("parts/**/*.parquet")}
+        new = spark.read.parquet(paths["parts"]).filter(F.col("batch") == k)
+        assert new.agg(F.sum("n")).first()[0] <= 60
+    every = spark.createDataFrame(rows, schema)
+    plain = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = plain(N.rolled_up(every))
+    assert plain(S.current_rollups(spark, paths["store"], paths["parts"])) == want and any("n=1" not in x for x in want)
+    runs = spark.createDataFrame([("a", "7", False), ("b", "7", False), ("c", "7", True)], "store_id string, run_id string, failed boolean")
+    assert plain(S.current_scores(spark, paths["counts"], runs)) == plain(N.risk_score(runs, N.with_impact(every)))
+    other = {f: f.stat().st_mtime_ns for f in tmp_path.glob("parts/store_id=b/**/*.parquet")}
+    S.compact(spark, paths["parts"], runs.filter("store_id = 'a'"))
+    assert plain(S.current_rollups(spark, paths["store"], paths["parts"])) == want
+    assert {f.name for f in (tmp_path / "parts/store_id=a/run_id=7").iterdir()} == {"batch=-1"}
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.glob("parts/store_id=b/**/*.parquet")} == other
+
+
+def test_idle_keys_leave_no_state(spark, tmp_path):
+    """Five batches, of which the later ones move the watermark on; results are those of the whole table."""
+    when = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [[(k % 4, when(k), k) for k in range(24)], [(0, when(k), 100 + k) for k in range(30, 50, 2)], [(0, when(300), 200)], [(0, when(301), 201)], [(0, when(302), 202)]]
+    schema, found = "key long, ts string, event_id long", []
+    stream_schema = "key long, ts timestamp, event_id long"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for b in batches:
+            spark.createDataFrame(b, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            out = S.run_to_end(spark, S.admissions(spark.readStream.schema(stream_schema).parquet(str(tmp_path / "in")), 2, 10.0, "5 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
+            state = spark.read.format("statestore").option("stateVarName", "accepted").load(str(tmp_path / "cp"))
+            found.append(sorted({r["key"]["key"] for r in state.select("key").collect()}))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert found[0] == [0, 1, 2, 3] and found[-1] == [0]
+    every = spark.createDataFrame([r for b in batches for r in b], schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r["event_id"]: r["admitted"] for r in out.collect()} == {r["event_id"]: r["admitted"] for r in S.admissions_batch(every, 2, 10.0).collect()}
+
+
+def test_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "k string, v int")
+    T.write_buckets(old, path, ["k"], 16)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").glob("**/*.parquet")}
+    rows = lambda: {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    before, newest = files(), lambda o, n: o.withColumn("s", F.lit(0)).unionByName(n.withColumn("s", F.lit(1))).groupBy("k").agg(F.max_by("v", "s").alias("v"))
+    new = spark.createDataFrame([("k3", -3), ("new", 7)], old.schema)
+    T.merge_buckets(new, path, ["k"], newest, 16)
+    assert rows() == {f"k{i}": i for i in range(200)} | {"k3": -3, "new": 7}
+    kept = [f for f, t in files().items() if before.get(f) == t]
+    assert len({f.parent for f in before} - {f.parent for f in kept}) <= 2 and len(kept) >= 14
+    T.merge_buckets(new.limit(0), path, ["k"], newest, 16)
+    before, after = files(), spark.read.parquet(path).drop("bucket").filter("k <> 'k9'").withColumn("v", F.when(F.col("k") == "k8", 0).otherwise(F.col("v")))
+    after = spark.createDataFrame(after.collect(), old.schema)
+    T.replace_changed_buckets(after, path, ["k"], 16)
+    assert rows() == {f"k{i}": i for i in range(200) if i != 9} | {"k3": -3, "new": 7, "k8": 0}
+    assert len([f for f, t in files().items() if before.get(f) == t]) >= 14
+    T.replace_changed_buckets(after.filter("k = 'k1'"), path, ["k"], 16)
+    assert rows() == {"k1": 1}
 
 
 def test_due_list(spark, tmp_path):
