@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import constant_array, held_out, sha256
+from storegrain.llm.common import constant_array, discarded, held_out, landed, sha256
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A maximal run that is too short fails whole, so the least length can stand in the pattern.
@@ -21,14 +21,18 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: Tokens that the models judge: whole runs of 16 characters and more with a letter, as no ordinary identifier is a number.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-#: Ordinary identifiers that the models learn from.
-PLAIN = r"[A-Za-z][A-Za-z0-9_-]{7,}"
+#: Ordinary identifiers that the models learn from: the same in documents without a secret, from 8 characters on.
+PLAIN = TOKEN.replace("{16,}", "{8,}")
+#: Pairs that a character's row counts as at most, so that neither label's word is final for having more samples.
+EVIDENCE = 200
 #: Matches that are folded to one array at once.
 CHUNK = 256
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string,text:string>>"
 KINDS = ("assign", "access", "hex", "markov")
-#: Mean log-likelihood ratio a pair above which a token counts as random.
+#: Mean log-likelihood ratio a pair above which a token counts as random, where held-out samples don't tell.
 THRESHOLD = 0.5
+#: The quantiles of held-out random and ordinary samples that the threshold lies between, and how near to the former.
+QUANTILES, NEARNESS = (0.01, 0.999), 0.75
 
 
 def _spans(text: Column, pattern: str, kind: str, guard: Column) -> Column:
@@ -74,12 +78,14 @@ def _pairs(token: Column) -> Column:
 
 
 def train_markov(samples: DataFrame, *, alpha: float = 0.5) -> list[float]:
-    """Log-likelihood ratio of each character pair, from samples (token, label): 1 random string, 0 ordinary identifier.
+    """Log-likelihood ratio of each character pair, from samples (token, label[, k]): 1 random string, 0 ordinary identifier; k is how often.
 
-    First-order chains with add-alpha smoothing over 96 characters. The result has 128 * 128 numbers, whatever the
-    samples' count. Equal tokens are counted before their pairs are. Without samples of a label all ratios are 0.
+    First-order chains with add-alpha smoothing over 96 characters, a character's row counting as EVIDENCE pairs at most. A pair that
+    no sample has says nothing: its ratio is 0. The result has 128 * 128 numbers, whatever the samples' count. Equal tokens
+    are counted before their pairs are. Without samples of a label all ratios are 0.
     """
-    known = samples.filter("token is not null and label is not null").filter(F.char_length("token") > 1).groupBy("label", "token").agg(F.count(F.lit(1)).alias("k"))
+    k = F.col("k") if "k" in samples.columns else F.lit(1)
+    known = samples.filter("token is not null and label is not null").filter(F.char_length("token") > 1).groupBy("label", "token").agg(F.sum(k).alias("k"))
     counts = known.select("label", "k", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").agg(F.sum("k").alias("k")).collect()  # 2 * 128 * 128 rows at most
     n, rows = {0: {}, 1: {}}, {0: [0] * 128, 1: [0] * 128}
     for r in counts:
@@ -87,8 +93,13 @@ def train_markov(samples: DataFrame, *, alpha: float = 0.5) -> list[float]:
         rows[r["label"]][r["pair"] >> 7] += r["k"]
     if not n[0] or not n[1]:
         return [0.0] * (128 * 128)
-    p = lambda y, i: math.log((n[y].get(i, 0) + alpha) / (rows[y][i >> 7] + 96 * alpha))
-    return [p(1, i) - p(0, i) for i in range(128 * 128)]
+
+    def p(y: int, i: int) -> float:
+        row = rows[y][i >> 7]
+        weight = min(row, EVIDENCE)
+        return math.log((n[y].get(i, 0) * weight / max(1, row) + alpha) / (weight + 96 * alpha))
+
+    return [p(1, i) - p(0, i) if i in n[0] or i in n[1] else 0.0 for i in range(128 * 128)]
 
 
 def _value(span: Column) -> Column:
@@ -97,17 +108,18 @@ def _value(span: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
-    """(token, label) from all the documents; only pair counts of them are kept, so none has to be left out.
+    """(token, label, held_out, k) from all the documents: distinct tokens, whether of documents that are held out (crc32 of doc_id mod 3 is 1), and how often.
 
-    Random strings: what the base rules find (of an assignment its value). Ordinary identifiers: words, with digits and dashes,
-    of 8 characters and more in documents without any match.
+    Random strings: what the base rules find (of an assignment its value). Ordinary identifiers: tokens of the alphabet that is
+    judged, of 8 characters and more, in documents without any match.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select(text.alias("text"), base_spans(text).alias("spans"))
+    d = docs.select(text.alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), base_spans(text).alias("spans"))
     sample = lambda token, label: F.struct(token.alias("token"), F.lit(label).alias("label"))
     secret = F.transform("spans", lambda s: sample(_value(s), 1))
     plain = F.transform(F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)), lambda t: sample(t, 0))
-    return d.select(F.inline(F.when(F.size("spans") > 0, secret).otherwise(plain)))
+    each = d.select("held_out", F.inline(F.when(F.size("spans") > 0, secret).otherwise(plain)))
+    return each.groupBy("token", "label", "held_out").agg(F.count(F.lit(1)).alias("k"))
 
 
 def mean_ratio(token: Column, table: Column) -> Column:
@@ -116,16 +128,31 @@ def mean_ratio(token: Column, table: Column) -> Column:
     return F.when(F.char_length(token) > 1, F.aggregate(ps, F.lit(0.0), lambda a, p: a + F.get(table, p)) / F.size(ps))
 
 
-def held_out_accuracy(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """One row (tp, fn, fp, tn) of the models alone: trained on the documents that aren't held out, they judge the samples of the others.
+def held_out_scores(samples: DataFrame) -> DataFrame:
+    """(token, label, k, score) of distinct held-out samples by models of the others: random strings, and ordinary identifiers of the length that is judged."""
+    table = constant_array(train_markov(samples.filter("not held_out")), "double")
+    s = samples.filter("held_out").filter(F.char_length("token") >= F.when(F.col("label") == 1, 2).otherwise(16))
+    return s.groupBy("token", "label").agg(F.sum("k").alias("k")).select("token", "label", "k", mean_ratio(F.col("token"), table).alias("score"))
+
+
+def learned_threshold(samples: DataFrame) -> float:
+    """Between the low end of what held-out random strings score and the high end of ordinary ones, nearer to the former; THRESHOLD where either is missing or they overlap."""
+    low, high = (F.percentile_approx(F.when(F.col("label") == y, F.col("score")), q, 1_000_000) for y, q in zip((1, 0), QUANTILES, strict=True))
+    r = held_out_scores(samples).agg(low.alias("low"), high.alias("high")).first()
+    if r["low"] is None or r["high"] is None or r["low"] <= r["high"]:
+        return THRESHOLD
+    return NEARNESS * r["low"] + (1 - NEARNESS) * r["high"]
+
+
+def held_out_accuracy(docs: DataFrame, *, threshold: float | None = None) -> DataFrame:
+    """One row (tp, fn, fp, tn) of the models alone: trained on the documents that aren't held out, they judge the samples of the others, each as often as it is there.
 
-    Base values that the models call random are tp, ordinary identifiers of 16 characters and more that they do fp.
+    Base values that the models call random are tp, ordinary tokens of the judged form that they do fp.
     """
-    out = held_out(F.col("doc_id"))
-    table = constant_array(train_markov(labelled_samples(docs.filter(~out))), "double")
-    s = labelled_samples(docs.filter(out)).filter(F.char_length("token") >= F.when(F.col("label") == 1, 2).otherwise(16))
-    said = mean_ratio(F.col("token"), table) > threshold
-    n = lambda label, yes: F.count_if((F.col("label") == label) & (said == F.lit(yes)))
+    samples = landed(labelled_samples(docs), "secret-samples")
+    threshold = learned_threshold(samples) if threshold is None else threshold
+    s = held_out_scores(samples).withColumn("said", F.col("score") > threshold)
+    n = lambda label, yes: F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("said") == F.lit(yes)), F.col("k"))), F.lit(0))
     return s.agg(n(1, True).alias("tp"), n(1, False).alias("fn"), n(0, True).alias("fp"), n(0, False).alias("tn"))
 
 
@@ -163,7 +190,9 @@ def as_string(spans: Column) -> Column:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_secrets(docs, train_markov(labelled_samples(docs)))
+    samples = landed(labelled_samples(docs), "secret-samples")
+    found = find_secrets(docs, train_markov(samples), threshold=learned_threshold(samples))
+    discarded(samples)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     llrs = F.array_join(F.transform("spans", lambda s: F.format_number(s["llr"], 3)), " ")

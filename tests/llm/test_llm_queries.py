@@ -146,19 +146,32 @@ def test_secrets_as_by_plain_loops(spark, sf_dir):
     docs = [(i, t or "") for i, t, _ in documents(spark, sf_dir)]
     value = re.compile("[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$")
     base = {i: [(k.split(":")[0], int(k.split(":")[1]), int(k.split(":")[2])) for k in brute_secrets(t).split(",") if k] for i, t in docs}
-    n = np.zeros((2, 128, 128))
     own = lambda t, s: value.search(t[s[1] : s[2]])[1] if s[0] == "assign" else t[s[1] : s[2]]
-    for i, t in docs:
-        for label, token in [(1, own(t, s)) for s in base[i]] or [(0, x) for x in re.findall("[A-Za-z][A-Za-z0-9_-]{7,}", t)]:
+    plain = "(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{8,}"
+    samples = [(label, token, out_of_training(i)) for i, t in docs for label, token in [(1, own(t, s)) for s in base[i]] or [(0, x) for x in re.findall(plain, t)]]
+
+    def ratios(chosen):
+        n = np.zeros((2, 128, 128))
+        for label, token in chosen:
             for a, b in zip(token, token[1:], strict=False):
                 n[label, ord(a), ord(b)] += 1
-    p = np.log((n + 0.5) / (n.sum(2, keepdims=True) + 48))
-    mean = lambda x: float(np.mean([p[1, ord(a), ord(b)] - p[0, ord(a), ord(b)] for a, b in zip(x, x[1:], strict=False)]))
+        rows = n.sum(2, keepdims=True)
+        w = np.minimum(rows, secrets.EVIDENCE)
+        p = np.log((n * w / np.maximum(1, rows) + 0.5) / (w + 48))
+        return np.where(n.sum(0) > 0, p[1] - p[0], 0.0)
+
+    score = lambda r, x: float(np.mean([r[ord(a), ord(b)] for a, b in zip(x, x[1:], strict=False)]))
+    r = ratios([s[:2] for s in samples if not s[2]])
+    judged = [sorted(score(r, x) for x in {t for y, t, out in samples if out and y == label and len(t) >= least}) for label, least in ((1, 2), (0, 16))]
+    low, high = (xs[int(np.ceil(q * len(xs))) - 1] if xs else None for xs, q in zip(judged, secrets.QUANTILES, strict=True))
+    threshold = 0.75 * low + 0.25 * high if low is not None and high is not None and low > high else 0.5
+    r = ratios([s[:2] for s in samples])
+    mean = lambda x: score(r, x)
     got = {r["doc_id"]: r for r in Q.QUERIES["op10_secret_scans"](spark, sf_dir).collect()}
     for i, t in docs:
         found = [(s, mean(own(t, s))) for s in base[i]]
         for m in re.finditer("(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}", t):
-            if not any(s[1] < m.end() and m.start() < s[2] for s in base[i]) and mean(m[0]) > 0.5:
+            if not any(s[1] < m.end() and m.start() < s[2] for s in base[i]) and mean(m[0]) > threshold:
                 found.append((("markov", m.start(), m.end()), mean(m[0])))
         kinds = ["assign", "access", "hex", "markov"]
         found.sort(key=lambda x: (x[0][1], kinds.index(x[0][0])))
