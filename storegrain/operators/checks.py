@@ -241,13 +241,6 @@ def journeys(rows: DataFrame) -> DataFrame:
     return rows.select("product_url", F.explode(checks).alias("check_id"))
 
 
-def _tokens(text: Column, q: int) -> Column:
-    """The strings of q characters of a text as a multiset: a hash of each and of how many equal ones stand before it."""
-    n = F.char_length(text)
-    grams = F.array_sort(F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>")))
-    return F.transform(grams, lambda g, i: F.xxhash64(g, i.cast("long") - F.array_position(grams, g)))
-
-
 def _least_overlap(both: Column, q: int) -> Column:
     """Tokens of q characters that two texts of `both` characters in all share if they are SIMILAR.
 
@@ -272,11 +265,14 @@ def title_candidates(titles: DataFrame) -> DataFrame:
     n = F.char_length("norm")
     kinds = F.array_compact(F.array(F.when(n < BY_CHARACTERS, 1), F.when(n >= BY_TRIPLES, 3)))
     t = titles.select(*KEY, "block", "seq", n.alias("n"), "norm", F.explode(kinds).alias("q"))
-    t = t.withColumn("tokens", F.when(F.col("q") == 1, _tokens(F.col("norm"), 1)).otherwise(_tokens(F.col("norm"), 3))).drop("norm")
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substr("norm", i, F.col("q")))
     # the shortest partner that can be similar has SIMILAR / (2 - SIMILAR) of the length
     both = F.col("n") + F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9)
-    most = F.size("tokens") - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3)) + 1
-    each = t.select(*KEY, "block", "q", "seq", "n", F.greatest(F.lit(1), most).alias("most"), F.explode("tokens").alias("token"))
+    most = F.col("n") - F.col("q") + 2 - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3))
+    each = t.select(*KEY, "block", "q", "seq", "n", F.greatest(F.lit(1), most).alias("most"), F.explode(grams).alias("gram"))
+    # a string that a title has several times is as many tokens
+    times = each.groupBy(*KEY, "block", "q", "seq", "n", "most", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    each = times.select(*KEY, "block", "q", "seq", "n", "most", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("gram", i))).alias("token"))
     of_token = [*KEY, "block", "q", "token"]
     known = each.groupBy(*of_token).agg(F.count(F.lit(1)).alias("known")).filter("known > 1")  # a token of one title makes no pair, yet takes its place below
     ordered = each.join(known, of_token, "left").groupBy(*KEY, "block", "q", "seq", "n", "most").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("known", F.lit(1)).alias("known"), "token"))).alias("tokens"))  # a title's own
@@ -290,17 +286,14 @@ def near_titles(titles: DataFrame) -> DataFrame:
     """(key, url_a, url_b, ratio) of titles (key, seq, url, title) at least 0.92 alike but not equal, blocked on their first word.
 
     Titles that are equal come down to the first of them. A similarity join by rare tokens gives the pairs; those that share
-    too few tokens are dropped by built-in functions, and only the rest are compared in sequence.
+    too few characters are dropped by built-in functions, and only the rest are compared in sequence.
     """
     norm = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
     t = titles.withColumn("norm", norm).filter("norm <> ''").groupBy(*KEY, "norm").agg(F.min_by(F.struct("seq", "url"), "seq").alias("first"))
     t = landed(t.select(*KEY, "norm", F.col("first.seq").alias("seq"), F.col("first.url").alias("url"), F.split("norm", " ")[0].alias("block")), "titles")
     side = lambda x: t.select(*KEY, *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "url", "norm")])
     pairs = title_candidates(t).join(side("a"), [*KEY, "seq_a"]).join(side("b"), [*KEY, "seq_b"])
-    a, b = F.col("norm_a"), F.col("norm_b")
-    both = F.char_length(a) + F.char_length(b)
-    enough = lambda q: F.size(F.array_intersect(_tokens(a, q), _tokens(b, q))) >= _least_overlap(both, q)
-    pairs = pairs.filter(enough(1)).filter(enough(3))
+    pairs = pairs.filter(shared_characters(F.col("norm_a"), F.col("norm_b")) >= SIMILAR)
     return pairs.withColumn("ratio", ratio("norm_a", "norm_b")).filter(F.col("ratio") >= SIMILAR).select(*KEY, "url_a", "url_b", "ratio")
 
 
@@ -337,6 +330,20 @@ def soft_404(pages: DataFrame, baselines: DataFrame) -> DataFrame:
     return j.select(*KEY, "url", matched.alias("matched"), how.alias("how")).filter("matched is not null")
 
 
+def signals(facts: DataFrame) -> DataFrame:
+    """(fact, value, n_pages, n_stores, first_page) of facts (store_id, seq, fact, value): where each value stands."""
+    return facts.groupBy("fact", "value").agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("store_id").alias("n_stores"), F.min("seq").alias("first_page"))
+
+
+def inconsistent(facts: DataFrame, most: int = 20) -> DataFrame:
+    """(key, fact, n_values, found) of facts with more than one value in a run: all are counted, the first `most` named."""
+    of = [*KEY, "fact"]
+    f = facts.select(*of, "value").distinct()
+    n = f.groupBy(*of).agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
+    first = f.withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy("value"))).filter(F.col("k") <= most)
+    return n.join(first.groupBy(*of).agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("found")), of)
+
+
 def repeated_blocks(pages: DataFrame, least: float = 0.9) -> DataFrame:
     """(key, url, tag, copies) of link blocks of four and more links that stand on one page three times or more.
 

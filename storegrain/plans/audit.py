@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storegrain.functions import facts as X
+from storegrain.operators import checks as C
 from storegrain.operators import rules as R
 from storegrain.operators.classes import leaders
 from storegrain.plans import read
@@ -180,16 +181,12 @@ SYNC_SQL = "select n_nationkey as id, case when n_nationkey >= 8 then n_name els
 
 
 def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = contact_facts(spark, sf_dir)
-    return f.groupBy("fact", "value").agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("store_id").alias("n_stores"), F.min("seq").alias("first_page"))
+    return C.signals(contact_facts(spark, sf_dir))
 
 
 def identity_inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores with more than one value of a contact, counted whole; the first 20 are named."""
-    f = contact_facts(spark, sf_dir).select("store_id", "fact", "value").distinct()
-    n = f.groupBy("store_id", "fact").agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
-    first = f.withColumn("k", F.row_number().over(Window.partitionBy("store_id", "fact").orderBy("value"))).filter("k <= 20")
-    return n.join(first.groupBy("store_id", "fact").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("found")), ["store_id", "fact"])
+    return C.inconsistent(contact_facts(spark, sf_dir)).drop("run_id")
 
 
 def price_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

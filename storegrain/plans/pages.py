@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storegrain.functions import facts as X
 from storegrain.functions import urls as U
 from storegrain.operators import checks as C
+from storegrain.operators import history as H
 from storegrain.operators import findings as N
 from storegrain.plans import read
 from storegrain.sources import features as P
@@ -49,22 +50,27 @@ from q
 
 
 def facet_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_facets = F.concat_ws("&", F.concat("url", F.when(F.contains("url", F.lit("?")), "").otherwise("?x=1")), F.lit("filter_color=red"), F.lit("featured=1"), F.lit("keep=2"))
-    return pages(spark, sf_dir).filter("not contains(url, '#')").select("page_id", U.strip_facets(with_facets).alias("stripped"))
+    base, fragment = F.regexp_extract("url", "^[^#]*", 0), F.regexp_extract("url", "#.*$", 0)
+    query = F.concat_ws("&", F.concat(base, F.when(F.contains(base, F.lit("?")), "").otherwise("?x=1")), F.lit("filter_color=red"), F.lit("featured=1"), F.lit("keep=2"))
+    return pages(spark, sf_dir).select("page_id", U.strip_facets(F.concat(query, fragment)).alias("stripped"))
 
 
-FACET_SQL = "select page_id, url || (case when contains(url, '?') then '' else '?x=1' end) || '&keep=2' as stripped from pages where not contains(url, '#')"
+FACET_SQL = "select page_id, regexp_extract(url, '^[^#]*') || (case when contains(regexp_extract(url, '^[^#]*'), '?') then '' else '?x=1' end) || '&keep=2' || regexp_extract(url, '#.*$') as stripped from pages"
 
 
 def pagination_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog rollup: pages by host and first path part, with the shortest URL for each."""
-    key = F.concat(U.netloc(F.col("url")), F.lit("/"), F.split(U.path(F.col("url")), "/")[1])
-    return pages(spark, sf_dir).groupBy(key.alias("page_group")).agg(F.count(F.lit(1)).alias("variants"), F.count_if(F.contains("url", F.lit("?"))).alias("with_query"), F.min_by("url", F.struct(F.char_length("url"), "page_id")).alias("representative"))
+    """Catalog rollup: the pages as numbered pages of their first path part, with facets, by the key that leaves both out, and the shortest URL of each."""
+    first = F.concat(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0), F.lit("/"), F.split(U.path(F.col("url")), "/")[1])
+    facets = F.when(F.col("page_id") % 3 == 0, "?filter_size=xl&featured=1").when(F.col("page_id") % 3 == 1, "?Query_Type_color=or").otherwise("")
+    listed = F.concat(first, F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("/page/"), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, "/").otherwise(""))).otherwise(""), facets)
+    p = pages(spark, sf_dir).select("page_id", listed.alias("url"))
+    return p.groupBy(U.page_key(F.col("url")).alias("page_group")).agg(F.count(F.lit(1)).alias("variants"), F.count_if(F.contains("url", F.lit("?"))).alias("with_query"), F.min_by("url", F.struct(F.char_length("url"), "page_id")).alias("representative"))
 
 
 GROUPS_SQL = r"""
-select lower(regexp_extract(url, '://([^/?#]*)', 1)) || '/' || string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/')[2] as page_group, count(*) as variants,
-  count(*) filter (where contains(url, '?')) as with_query, arg_min(url, (length(url), page_id)) as representative from pages group by 1
+with p as (select page_id, regexp_extract(url, '^[^/]*//[^/?#]*') || '/' || string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/')[2] as page_group from pages),
+u as (select *, page_group || case when page_id % 5 > 0 then '/page/' || page_id || case when page_id % 2 = 0 then '/' else '' end else '' end || case page_id % 3 when 0 then '?filter_size=xl&featured=1' when 1 then '?Query_Type_color=or' else '' end as url from p)
+select page_group, count(*) as variants, count(*) filter (where contains(url, '?')) as with_query, arg_min(url, (length(url), page_id)) as representative from u group by 1
 """
 
 
@@ -139,24 +145,28 @@ with p as (
 select page_id, case when path in ('', '/') then 'homepage' {_cases('path', U.URL_RULES)} {_cases('said', U.TEXT_RULES)} else 'blog_other' end as page_type,
   case when regexp_matches(path, '{"|".join(x for n, ps in U.URL_RULES if n in U.OVERVIEW_TYPES for x in ps)}') then 0 {_cases('path', U.URL_RULES, ['product']).replace("'product'", "1")} else 2 end as tier from p
 """
-#: A path of every language and form, with its type and tier, put before the paths of the given pages.
+#: Words of paths of every language and form, put before the paths of the given pages.
 FORMS = [
-    ("cart", "cart", 2), ("panier", "cart", 2), ("checkout", "checkout", 2), ("kasse", "checkout", 2), ("my-account", "blog_other", 2), ("privacy-policy", "privacy_policy", 0), ("datenschutz", "privacy_policy", 0), ("aviso-de-privacidad", "privacy_policy", 0),
-    ("informativa-sulla-privacy", "privacy_policy", 0), ("shipping_policy", "shipping_policy", 0), ("livraison", "shipping_policy", 0), ("versandkosten", "shipping_policy", 0), ("envios", "shipping_policy", 0), ("entrega", "shipping_policy", 0), ("refunds", "returns_policy", 0),
-    ("widerruf", "returns_policy", 0), ("devolucion", "returns_policy", 0), ("rimborso", "returns_policy", 0), ("terms-of-use", "terms_of_service", 0), ("agb", "terms_of_service", 0), ("impressum", "terms_of_service", 0), ("mentions-legales", "terms_of_service", 0),
-    ("faq", "faq", 2), ("preguntas-frecuentes", "faq", 2), ("kontakt", "contact_about", 0), ("a-propos", "contact_about", 0), ("chi-siamo", "contact_about", 0), ("basket", "cart", 2), ("products/blue-mug", "product", 1), ("produkt/x", "product", 1), ("shop/x", "product", 1),
-    ("shop", "collection", 2), ("collections/all", "collection", 2), ("categoria-prodotto/x", "collection", 2), ("blog/x", "blog_other", 2), ("plain", "none", 2),
+    "cart", "panier", "checkout", "kasse", "my-account", "privacy-policy", "datenschutz", "aviso-de-privacidad", "informativa-sulla-privacy", "shipping_policy", "livraison", "versandkosten", "envios", "entrega", "refunds", "widerruf", "devolucion", "rimborso",
+    "terms-of-use", "agb", "impressum", "mentions-legales", "faq", "preguntas-frecuentes", "kontakt", "a-propos", "chi-siamo", "basket", "products/blue-mug", "produkt/x", "shop/x", "shop", "collections/all", "categoria-prodotto/x", "blog/x", "plain",
 ]
 
 
 def url_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by URL alone, with one of the forms as path of each page."""
-    path = F.concat(F.lit("/"), F.get(F.array(*[F.lit(f) for f, _, _ in FORMS]), (F.col("page_id") % len(FORMS)).cast("int")))
-    u = F.concat(F.regexp_extract("url", "^[^/]*//[^/?#]*", 0), path, F.regexp_extract("url", r"\?[^#]*", 0))
-    return pages(spark, sf_dir).select("page_id", F.coalesce(U.url_type(U.path(u)), F.lit("none")).alias("page_type"), U.crawl_tier(U.path(u)).alias("tier"))
-
-
-FORMS_SQL = f"select page_id, {[t for _, t, _ in FORMS]!r}[page_id % {len(FORMS)} + 1] as page_type, {[k for _, _, k in FORMS]!r}[page_id % {len(FORMS)} + 1] as tier from pages"
+    """The types and tiers of the pages by URL alone: of their own paths, of these behind a word of some form, and of that word."""
+    word = F.get(F.array(*map(F.lit, FORMS)), (F.col("page_id") % len(FORMS)).cast("int"))
+    own = U.path(F.col("url"))
+    p = pages(spark, sf_dir).select("page_id", F.explode(F.array(own, F.concat(F.lit("/"), word, own), F.concat(F.lit("/"), word))).alias("path"))
+    return p.select("page_id", "path", F.coalesce(U.url_type(F.col("path")), F.lit("none")).alias("page_type"), U.crawl_tier(F.col("path")).alias("tier"))
+
+
+FORMS_SQL = rf"""
+with p as (select page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as own from pages),
+q as (select page_id, unnest([own, '/' || {FORMS!r}[page_id % {len(FORMS)} + 1] || own, '/' || {FORMS!r}[page_id % {len(FORMS)} + 1]]) as path from p),
+l as (select *, lower(path) as low from q)
+select page_id, path, case {_cases('low', U.URL_RULES)} else 'none' end as page_type,
+  case when regexp_matches(low, '{"|".join(x.replace('(?!$)', '.') for n, ps in U.URL_RULES if n in U.OVERVIEW_TYPES for x in ps)}') then 0 {_cases('low', U.URL_RULES, ['product']).replace("'product'", "1")} else 2 end as tier from l
+"""
 
 
 def dominant_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +194,20 @@ select page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ',
 
 
 def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots: every third page edited, every seventh not in the old one."""
+    """Pages of even number as the stored snapshots of a site, those of the next odd one as its snapshots of today; title and language stand for text and structure. Every seventh is not stored."""
     p = pages(spark, sf_dir, "html")
-    old = p.filter("page_id % 7 <> 0").select("page_id", F.md5(F.col("html").cast("binary")).alias("old_hash"))
-    new = p.select("page_id", F.md5(F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).cast("binary")).alias("new_hash"))
-    j = new.join(old, "page_id", "left").filter(~F.col("new_hash").eqNullSafe(F.col("old_hash")))
-    return j.select("page_id", F.when(F.col("old_hash").isNull(), "new").otherwise("changed").alias("change"))
+    seen = lambda pattern: F.md5(F.regexp_extract("html", pattern, 1).cast("binary"))
+    s = p.select((F.col("page_id") - F.col("page_id") % 2).alias("page"), "page_id", seen(r"<title>\s*([A-Za-z]*)").alias("content_hash"), seen('<html lang="([a-z]+)"').alias("dom_hash"))
+    stored, today = s.filter("page_id % 2 = 0 and page % 7 <> 0").drop("page_id"), s.filter("page_id % 2 = 1").drop("page_id")
+    out = H.changed(today, stored, ["page"], ["content_hash", "dom_hash"])
+    return out.select(F.col("page").alias("page_id"), F.when(F.col("old_dom_hash").isNull(), "new").otherwise("changed").alias("change"))
 
 
-CHANGED_SQL = "select page_id, case when page_id % 7 = 0 then 'new' else 'changed' end as change from pages where page_id % 7 = 0 or page_id % 3 = 0"
+CHANGED_SQL = r"""
+with s as (select page_id, regexp_extract(html, '<title>\s*([A-Za-z]*)', 1) as title, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang from pages),
+j as (select n.page_id - 1 as page_id, o.page_id is null as fresh, n.title <> o.title or n.lang <> o.lang as differs from s n left join s o on o.page_id = n.page_id - 1 and o.page_id % 7 <> 0 where n.page_id % 2 = 1)
+select page_id, case when fresh then 'new' else 'changed' end as change from j where fresh or differs
+"""
 
 
 def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +236,8 @@ DUPLICATE_SQL = r"select lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) as
 
 
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents, cut to 80 characters, as titles of one run."""
-    t = documents(spark, sf_dir).select(F.lit("all").alias("store_id"), "run_id", "seq", "url", F.left(F.split("text", "\n")[0], F.lit(80)).alias("title")).filter("title is not null")
+    """First lines of documents as titles of one run."""
+    t = documents(spark, sf_dir).select(F.lit("all").alias("store_id"), "run_id", "seq", "url", F.split("text", "\n")[0].alias("title")).filter("title is not null")
     return C.near_titles(t).select("url_a", "url_b", F.round("ratio", 6).alias("ratio"))
 
 
@@ -315,8 +330,7 @@ where code is not null and (store_id, run_id) in (select (store_id, run_id) from
 
 
 def content_dedup_refcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.count(F.lit(1)).alias("refcount"), F.max("seq").alias("last_referenced"))
+    return H.blobs(documents(spark, sf_dir).select(F.col("text").alias("content"), F.col("seq").alias("at"))).select("hash", "refcount", F.col("last_referenced_at").alias("last_referenced"))
 
 
 def country_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

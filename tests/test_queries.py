@@ -31,7 +31,7 @@ def test_near_titles_are_those_of_brute_force(spark, sf_dir):
     docs = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"] is not None}
     first = {}  # of equal titles the first by number
     for url in sorted(docs, key=int):
-        first.setdefault(" ".join(docs[url].split("\n")[0][:80].split()).lower(), url)
+        first.setdefault(" ".join(docs[url].split("\n")[0].split()).lower(), url)
     titles, want = sorted((t, u) for t, u in first.items() if t), set()
     for i, (x, a) in enumerate(titles):
         for y, b in titles[i + 1 :]:
