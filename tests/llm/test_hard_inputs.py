@@ -68,3 +68,20 @@ def test_labels_given_twice(spark):
     assert got == [x for x in [(3, "good", 1), (3, "good too", 1), (5, "bad", 0)] if x[0] in known]
     many = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("good words "), F.when(F.col("id") < 5, F.col("id")).cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("label"))
     assert np.isfinite(quality.train(many, bound=50)["bias"])
+
+
+def test_very_long_texts_in_every_stage(spark, sf_dir):
+    """A text of 150,000 words in many lines, and one of a single line, next to short ones."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(9)
+    words = np.array(["the", "und", "maison", "house", "Weg", "chemin", "water", "wasser"])
+    long = "\n".join(" ".join([*rng.choice(words, 30), str(k)]) for k in range(5_000))
+    line = " ".join(f"{w} {k}" for k, w in enumerate(rng.choice(words, 150_000)))
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = [(10**6, long, "en", "s", len(long)), (10**6 + 1, long + " end", "en", "s", len(long)), (10**6 + 2, line, None, "s", len(line))]
+    docs = few.unionByName(spark.createDataFrame(more, few.schema))
+    for _, stage in P.STAGES:
+        docs = P.landed(stage(spark, docs, sf_dir), "stage")
+    got = {r["doc_id"]: r["n_tokens"] for r in docs.filter("doc_id >= 1000000").collect()}
+    assert got.keys() == {10**6, 10**6 + 2} and min(got.values()) > 150_000
