@@ -45,6 +45,12 @@ NAME_FIELD, EMAIL_FIELD, MESSAGE_FIELD = r"(?i)name|full[-_ ]?name|your[-_ ]?nam
 NEWSLETTER_HINT, CONTACT_HINT = r"(?i)newsletter|subscribe|signup|sign-up|sign_up", r"(?i)contact|enquiry|inquiry"
 ACCOUNT_HINT, REVIEW_HINT = r"(?i)login|register|log-in|sign-in|signin", r"(?i)commentform|comment-form|wp-comments-post\.php"
 NO_LEAD_KINDS = ["hidden", "submit", "button", "search", "checkbox", "radio", "file"]
+# Titles of findings about required pages, %s being the page's label, and of a crawl that failed.
+PAGE_TITLES = {
+    "soft": "%s page could not be confirmed - content looks like a generic/catch-all page", "unsure": "%s page could not be verified",
+    "language": "%s page could not be confirmed - site content language not recognized", "missing": "Missing required page: %s",
+}
+NO_CRAWL_TITLE = "Required-page presence could not be checked - this audit could not crawl the site"
 # Page types that an audit requires, with their labels.
 REQUIRED_PAGES = [("privacy_policy", "Privacy policy"), ("shipping_policy", "Shipping policy"), ("returns_policy", "Returns/refund policy"), ("terms_of_service", "Terms of service"), ("contact_about", "Contact info")]
 # Page types that tell who runs a store.
@@ -473,16 +479,16 @@ def required_pages(pages: DataFrame, soft: DataFrame, runs: DataFrame) -> DataFr
     ran = pages.groupBy(*KEY).agg(F.bool_or("reachable").alias("any"), F.min_by("url", "seq").alias("home"))
     lang = dominant_language(pages.filter("reachable"))
     r = runs.select(*KEY).join(ran, KEY, "left").join(lang, KEY, "left")
-    failed = r.filter("not coalesce(any, false)").select(*KEY, F.lit("crawl_incomplete").alias("check_id"), F.lit(None).cast("string").alias("page_type"), F.lit("Required-page presence could not be checked - this audit could not crawl the site").alias("title"), F.lit("high").alias("severity"), F.lit("cannot_verify").alias("confidence"), F.col("home").alias("page_url"))
+    failed = r.filter("not coalesce(any, false)").select(*KEY, F.lit("crawl_incomplete").alias("check_id"), F.lit(None).cast("string").alias("page_type"), F.lit(NO_CRAWL_TITLE).alias("title"), F.lit("high").alias("severity"), F.lit("cannot_verify").alias("confidence"), F.col("home").alias("page_url"))
     types = F.array(*[F.struct(F.lit(t).alias("page_type"), F.lit(label).alias("label")) for t, label in REQUIRED_PAGES])
     every = r.filter("any").select(*KEY, "lang", F.explode(types).alias("t")).select(*KEY, "lang", "t.*").join(of, [*KEY, "page_type"], "left").filter("not coalesce(genuine, false)")
     no_language = F.col("lang").isNotNull() & ~F.col("lang").isin(U.LANGUAGES)
     case = lambda a, b, c, d: F.when(F.col("soft_url").isNotNull(), a).when(F.col("unsure_url").isNotNull(), b).when(no_language, c).otherwise(d)
-    title = lambda rest: F.concat("label", F.lit(rest))
+    titles = [F.format_string(PAGE_TITLES[k], "label") for k in ("soft", "unsure", "language", "missing")]
     return failed.unionByName(
         every.select(
             *KEY, F.lit("required_page_present").alias("check_id"), "page_type",
-            case(title(" page could not be confirmed - content looks like a generic/catch-all page"), title(" page could not be verified"), title(" page could not be confirmed - site content language not recognized"), F.concat(F.lit("Missing required page: "), "label")).alias("title"),
+            case(*titles).alias("title"),
             case(F.lit("high"), F.lit("high"), F.lit("medium"), F.lit("critical")).alias("severity"), case(F.lit("cannot_verify"), F.lit("cannot_verify"), F.lit("cannot_verify"), F.lit("confirmed")).alias("confidence"), F.coalesce("soft_url", "unsure_url").alias("page_url"),
         )
     )

@@ -103,6 +103,9 @@ def with_impact(findings: DataFrame) -> DataFrame:
     return out.withColumn("ads_eligibility_impact", F.when(F.col("policy_area").isin(AREAS), "ads_and_listings").otherwise("unclear"))
 
 
+# The evidence of a rolled-up finding by what makes its findings alike, and how it says that examples are left out.
+EVIDENCE = {"domain": "Link(s) to %s found on %d page(s): %s", "href": "Link to %s found on %d page(s): %s", "check": "%s - %d instance(s) across %d page(s), including: %s"}
+MORE = ", and %d more"
 #: What findings of one group share.
 GROUP = [*KEY, "check_id", "how", "value"]
 
@@ -153,12 +156,12 @@ def rolled_from(parts: DataFrame, findings: DataFrame) -> DataFrame:
     firsts = parts.filter("example is not null").groupBy(*g, "example").agg(F.min("seq").alias("seq")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= EXAMPLES)
     firsts = firsts.groupBy(*g).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "example"))), lambda x: x["example"]), ", ").alias("shown"))
     r = big.join(firsts, g, "left")
-    more = F.when(F.col("n_examples") > EXAMPLES, F.format_string(", and %d more", F.col("n_examples") - EXAMPLES)).otherwise("")
+    more = F.when(F.col("n_examples") > EXAMPLES, F.format_string(MORE, F.col("n_examples") - EXAMPLES)).otherwise("")
     shown = F.concat(F.coalesce("shown", F.lit("")), more)
     evidence = (
-        F.when(F.col("how") == "domain", F.format_string("Link(s) to %s found on %d page(s): %s", "value", "n_pages", shown))
-        .when(F.col("how") == "href", F.format_string("Link to %s found on %d page(s): %s", "value", "with_page", shown))
-        .otherwise(F.format_string("%s - %d instance(s) across %d page(s), including: %s", "first.title", "n", "n_pages", shown))
+        F.when(F.col("how") == "domain", F.format_string(EVIDENCE["domain"], "value", "n_pages", shown))
+        .when(F.col("how") == "href", F.format_string(EVIDENCE["href"], "value", "with_page", shown))
+        .otherwise(F.format_string(EVIDENCE["check"], "first.title", "n", "n_pages", shown))
     )
     location = F.when(F.col("how") == "domain", F.format_string('a[href*="%s"]', "value")).when(F.col("how") == "href", F.format_string('a[href="%s"]', "value")).otherwise(SITE_WIDE)
     text = F.lit(None).cast("string")

@@ -226,24 +226,30 @@ ADVISORY = "This is not a Google Merchant Center policy violation and does not a
 STATUS = {"critical": "CRITICAL", "high": "AT_RISK", "medium": "ACTION_REQUIRED", "low": "ACTION_REQUIRED"}
 
 
+# Sentences about contradictions, pages that count as missing by reason, and facts without any value.
+OBSERVED, NOT_OBSERVED, UNKNOWN_SOURCE = '%s shows "%s" (%s, %s, confidence %.2f)', "No comparable evidence recorded.", "unknown source"
+MISSING_TEXT = {
+    "crawl_failed": "Could not confirm either way - crawl_totally_failed.", "soft_404": "A page was found but could not be confirmed as genuine, distinct content: %2$s.",
+    "blocked": "A likely %1$s page was found but could not be read: %2$s. This is not a confirmed absence - the page could not be verified, not shown to be missing.",
+    "absent": "No reachable %1$s page was found anywhere on the site.",
+}
+ALL_MISSING = "None of the following were found anywhere on the site: %s."
+
+
 def comparison_text(observations: Column) -> Column:
     """Both sides of a contradiction in words. observations: array of (label, value, source_url, method, confidence)."""
-    one = lambda o: F.format_string('%s shows "%s" (%s, %s, confidence %.2f)', F.coalesce(o["label"], o["method"], F.lit("unknown source")), o["value"], o["source_url"], o["method"], o["confidence"])
-    return F.when(F.coalesce(F.size(observations), F.lit(0)) > 0, F.array_join(F.transform(observations, one), "; ")).otherwise("No comparable evidence recorded.")
+    one = lambda o: F.format_string(OBSERVED, F.coalesce(o["label"], o["method"], F.lit(UNKNOWN_SOURCE)), o["value"], o["source_url"], o["method"], o["confidence"])
+    return F.when(F.coalesce(F.size(observations), F.lit(0)) > 0, F.array_join(F.transform(observations, one), "; ")).otherwise(NOT_OBSERVED)
 
 
 def missing_text(reason: Column, resource_type: Column, urls: Column) -> Column:
     """Why a required page counts as missing, in words, by the reason of missing_resource and the pages it is about."""
     kind, named = F.coalesce(resource_type, F.lit("required")), F.array_join(urls, ", ")
-    return (
-        F.when(reason == "crawl_failed", "Could not confirm either way - crawl_totally_failed.").when(reason == "soft_404", F.concat(F.lit("A page was found but could not be confirmed as genuine, distinct content: "), named, F.lit(".")))
-        .when(reason == "blocked", F.concat(F.lit("A likely "), kind, F.lit(" page was found but could not be read: "), named, F.lit(". This is not a confirmed absence - the page could not be verified, not shown to be missing.")))
-        .when(reason == "absent", F.concat(F.lit("No reachable "), kind, F.lit(" page was found anywhere on the site.")))
-    )
+    return F.coalesce(*[F.when(reason == r, F.format_string(text, kind, named)) for r, text in MISSING_TEXT.items()])
 
 
 def all_missing_text(fields: Column) -> Column:
-    return F.concat(F.lit("None of the following were found anywhere on the site: "), F.array_join(fields, ", "), F.lit("."))
+    return F.format_string(ALL_MISSING, F.array_join(fields, ", "))
 
 
 def build_findings(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
