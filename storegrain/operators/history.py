@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storegrain.sources.tables import merge_buckets
+
 
 def to_prune(runs: DataFrame, store: list[str], keep: int) -> DataFrame:
     """Runs beyond the newest `keep` of each store. runs: store, run_id, started_at."""
@@ -48,6 +50,11 @@ def upsert_snapshots(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame
     return both.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("fetched_at", "g")).alias("r")).select(*by, "r.*")
 
 
+def store_snapshots(new: DataFrame, path: str, by: list[str], buckets: int = 64) -> None:
+    """upsert_snapshots on the table at path (of write_buckets by the same key): only the folders of new keys are read and written."""
+    merge_buckets(new, path, by, lambda old, fresh: upsert_snapshots(old, fresh.select(*old.columns), by), buckets)
+
+
 def changed(new: DataFrame, stored: DataFrame, by: list[str], hashes: list[str], first_sight: bool = True) -> DataFrame:
     """Rows of new whose hashes differ from the stored ones; first_sight says whether a key not stored counts."""
     s = stored.select(*by, *[F.col(h).alias(f"old_{h}") for h in hashes], F.lit(True).alias("known"))

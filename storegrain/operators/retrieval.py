@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storegrain.sources.tables import merge_buckets
+
 LEAST_CHARS, CHUNK_CHARS, CACHE_DAYS = 40, 1200, 30
 #: Bytes of chunk vectors that are broadcast at most, and bits of the filter of quotes.
 MOST_BYTES, BITS = 64 << 20, 1 << 18
@@ -74,6 +76,11 @@ def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.unionByName(new).groupBy("cache_key").agg(F.max_by(F.struct("result_json", "created_at"), "created_at").alias("r")).select("cache_key", "r.*")
 
 
+def store_verdicts(new: DataFrame, path: str, buckets: int = 64) -> None:
+    """upserted on the table at path (of write_buckets by cache_key): only the folders of new keys are read and written."""
+    merge_buckets(new, path, ["cache_key"], lambda old, fresh: upserted(old, fresh.select(*old.columns)), buckets)
+
+
 def reuse(work: DataFrame, cache: DataFrame, now: Column, changes: DataFrame | None = None) -> DataFrame:
     """work (cache_key[, policy_id], ..) with result_json and hit: its newest entry by then, if that is CACHE_DAYS old at most, to the second,
     and newer than the last change of its policy by then.

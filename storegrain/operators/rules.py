@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from storegrain.functions.facts import TOLERANCE, VERBATIM, compare_text
 from storegrain.operators.classes import leaders
-from storegrain.sources.tables import landed
+from storegrain.sources.tables import landed, replace_changed_buckets
 
 KEY = ["store_id", "run_id"]
 #: Rules above this number are joined by a shuffle.
@@ -68,6 +68,12 @@ def sync_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("id", *[F.when(F.col("present"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in cols], F.coalesce("present", F.lit(False)).alias("active"))
 
 
+def store_rules(new: DataFrame, path: str, buckets: int = 64) -> None:
+    """sync_rules on the table at path (of write_buckets by id, with active): only folders of rules that are new, gone or changed are written."""
+    old = new.sparkSession.read.parquet(path).drop("bucket", "active")
+    replace_changed_buckets(sync_rules(old, new), path, ["id"], buckets)
+
+
 def cross_page(facts: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Contradictions of one fact between pages: (key, rule_id, result, confidence, observations, distinct_values).
 

@@ -170,3 +170,33 @@ def test_tables_out(spark, tmp_path):
     N.export_csv(spark.createDataFrame([("c", "a, b", None)], "check_id string, title string, page_url string"), str(tmp_path / "csv"))
     row = spark.read.csv(str(tmp_path / "csv"), header=True).first()
     assert row.asDict().keys() == set(N.EXPORT) and (row["check_id"], row["title"], row["page_url"]) == ("c", "a, b", None)
+
+
+def test_stored_rules_snapshots_and_verdicts(spark, tmp_path):
+    import datetime as dt
+
+    from storegrain.operators import history as H
+    from storegrain.operators import retrieval as V
+    from storegrain.operators import rules as R
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    at = lambda x: str(tmp_path / x)
+    times = lambda x: {f: f.stat().st_mtime_ns for f in (tmp_path / x).glob("**/*.parquet")}
+    kept = lambda x, before: len([f for f, t in times(x).items() if before.get(f) == t])
+    rules = spark.createDataFrame([(f"r{k}", f"t{k}") for k in range(40)], "id string, title string")
+    T.write_buckets(rules.withColumn("active", F.lit(True)), at("rules"), ["id"], 8)
+    before = times("rules")
+    R.store_rules(rules.filter("id <> 'r3'").withColumn("title", F.when(F.col("id") == "r5", "new").otherwise(F.col("title"))), at("rules"), 8)
+    got = {r["id"]: (r["title"], r["active"]) for r in spark.read.parquet(at("rules")).collect()}
+    assert got == {f"r{k}": (f"t{k}", True) for k in range(40)} | {"r3": ("t3", False), "r5": ("new", True)} and kept("rules", before) >= 6
+    pages = spark.createDataFrame([("s", f"u{k}", "h", day(2)) for k in range(40)], "store_id string, url string, content_hash string, fetched_at timestamp")
+    T.write_buckets(pages, at("pages"), ["store_id", "url"], 8)
+    before = times("pages")
+    H.store_snapshots(pages.filter("url = 'u7'").withColumns({"content_hash": F.lit("g"), "fetched_at": F.lit(day(3))}), at("pages"), ["store_id", "url"], 8)
+    assert {r["url"] for r in spark.read.parquet(at("pages")).filter("content_hash = 'g'").collect()} == {"u7"} and spark.read.parquet(at("pages")).count() == 40 and kept("pages", before) >= 7
+    cache = spark.createDataFrame([(f"k{k}", "1", day(2)) for k in range(40)], "cache_key string, result_json string, created_at timestamp")
+    T.write_buckets(cache, at("cache"), ["cache_key"], 8)
+    before = times("cache")
+    V.store_verdicts(cache.filter("cache_key = 'k1'").withColumns({"result_json": F.lit("2"), "created_at": F.lit(day(1))}), at("cache"), 8)  # an older one
+    V.store_verdicts(cache.filter("cache_key = 'k2'").withColumns({"result_json": F.lit("2"), "created_at": F.lit(day(9))}), at("cache"), 8)
+    assert {r["cache_key"] for r in spark.read.parquet(at("cache")).filter("result_json = '2'").collect()} == {"k2"} and kept("cache", before) >= 6
