@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storegrain.functions import urls as U
+from storegrain.operators import catalog_match as M
 from storegrain.operators import checks as C
+from storegrain.operators import findings as N
 from storegrain.operators import history as H
 from storegrain.operators import rules as R
 from storegrain.plans import read
@@ -146,7 +148,7 @@ def due_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
     c = read(spark, sf_dir, "customer").join(last, k == F.col("o_custkey"), "left")
     stores = c.select(
-        k.cast("string").alias("url"), picked(k, 3, {0: "interval", 1: "on_change"}, "both").alias("mode"), (30 + k % 300).cast("int").alias("interval_days"), (10 + k % 40).cast("int").alias("cheap_check_interval_days"),
+        k.cast("string").alias("url"), picked(k, 3, {0: "interval", 1: "on_change"}, "both").alias("mode"), (1 + k % 60).cast("int").alias("interval_days"), (1 + k % 20).cast("int").alias("cheap_check_interval_days"),
         F.col("last").cast("timestamp").alias("last_full_audit_at"), F.col("last").cast("timestamp").alias("last_cheap_check_at"), (k % 4 == 0).alias("on_policy_change"),
     )
     changed = read(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.lower("r_name").alias("policy_id"))
@@ -156,7 +158,7 @@ def due_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUE_SQL = """
 with l as (select o_custkey, max(o_orderdate)::date as last from orders group by 1),
-s as (select c_custkey as k, last, c_custkey % 3 <> 1 and (last is null or last + (30 + c_custkey % 300)::int <= date '1998-08-10') as full_, c_custkey % 3 <> 0 and (last is null or last + (10 + c_custkey % 40)::int <= date '1998-08-10') as cheap from customer left join l on o_custkey = c_custkey),
+s as (select c_custkey as k, last, c_custkey % 3 <> 1 and (last is null or last + (1 + c_custkey % 60)::int <= date '1998-08-10') as full_, c_custkey % 3 <> 0 and (last is null or last + (1 + c_custkey % 20)::int <= date '1998-08-10') as cheap from customer left join l on o_custkey = c_custkey),
 t as (select string_agg(lower(r_name), ', ' order by lower(r_name)) as trigger_ from region where r_regionkey < 2)
 select k::varchar as url, full_ as "full", cheap, case when k % 4 = 0 then trigger_ end as "trigger" from s, t where full_ or cheap
 """
@@ -213,9 +215,117 @@ s as (select store_id, critical, greatest(0, least(100, round_even(100 - off, 0)
 select store_id, score, case when critical or score < 50 then 'HIGH' when score < 80 then 'MEDIUM' else 'LOW' end as rating from s
 """
 
-_F = (fetch_failures, broken_links, platforms, image_checks, claim_tasks, returns_credit, first_image_pages, due_stores, stored_snapshots, stored_rules, current_scores)
+def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers as pages with one form of six kinds, of which some don't answer."""
+    k, field = F.col("c_custkey"), "struct<kind:string,hint:string,required:boolean,pattern:string>"
+    one = lambda kind, hint, required=False: F.struct(F.lit(kind).alias("kind"), F.lit(hint).alias("hint"), F.lit(required).alias("required"), F.lit(None).cast("string").alias("pattern"))
+    fields = picked(k, 6, {
+        0: F.array(one("email", "email"), one("textarea", "message"), one("hidden", "token")), 1: F.array(one("text", "your email")), 2: F.array(one("email", "email")), 3: F.array(one("text", "full name"), one("email", "e-mail")),
+        4: F.array(one("email", "email"), one("password", "pass"), one("textarea", "message")), 5: F.array(one("email", "email", True)),
+    }, F.array().cast(f"array<{field}>"))
+    action, hint = picked(k, 6, {3: "/send", 5: "https://x.example/s"}, ""), picked(k, 6, {1: "newsletter box", 2: "login", 3: "contact", 5: "sign-up"}, "")
+    url = F.concat(F.lit("https://s"), k, F.lit(".example/p"))
+    c = read(spark, sf_dir, "customer")
+    pages = c.select(F.lit("s").alias("store_id"), F.lit("r1").alias("run_id"), url.alias("url"), F.when(k % 6 == 0, "contact_about").otherwise("blog_other").alias("page_type"), F.array(F.struct(action.alias("action"), hint.alias("hint"), fields.alias("fields"))).alias("forms"))
+    probes = c.filter("c_custkey % 6 in (3, 5) and c_custkey % 4 < 3").select(url.alias("page_url"), action.alias("action"), F.when(k % 6 == 3, F.when(k % 4 == 1, 500).otherwise(200)).alias("status"), F.when(k % 6 == 5, "timeout").alias("error"))
+    return C.form_checks(pages, probes).select("url", "check_id", "detail")
+
+
+FORM_SQL = """
+with c as (select c_custkey as k, 'https://s' || c_custkey || '.example/p' as url from customer)
+select url, 'contact_form_missing_field' as check_id, 'name' as detail from c where k % 6 = 0
+union all select url, 'form_email_field_weak_validation', 'newsletter' from c where k % 6 = 1
+union all select url, 'contact_form_missing_field', 'message' from c where k % 6 = 3
+union all select url, 'form_action_unreachable', case k % 6 when 3 then 'contact' else 'newsletter' end from c where (k % 6 = 3 and k % 4 = 1) or (k % 6 = 5 and k % 4 < 3)
+"""
+
+
+def new_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events of some value as violations, of which those of a higher one were alerted before."""
+    e = read(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("rule"), "value")
+    return S.new_alerts(e.filter("value > 15"), e.filter("value > 40")).select("product_id", "rule")
+
+
+ALERT_SQL = "select distinct user_id as product_id, event_type as rule from events where user_id is not null and value > 15 and (user_id, event_type) not in (select (user_id, event_type) from events where user_id is not null and value > 40)"
+
+
+def shown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict of an image counts for every part that shows it: images are the parts' names, their lengths the verdicts."""
+    n = F.char_length("image_url")
+    images = read(spark, sf_dir, "part").select(F.lit("s").alias("store_id"), F.lit("r1").alias("run_id"), F.col("p_partkey").cast("string").alias("url"), F.col("p_name").alias("image_url"))
+    verdicts = images.select("image_url").distinct().filter(n % 5 != 0).select("image_url", (n % 3 != 0).alias("plausible_match"), (n % 2 == 0).alias("potentially_prohibited"))
+    return N.image_findings(images, verdicts).select("url", "check_id", "severity")
+
+
+SHOWN_SQL = """
+with p as (select p_partkey::varchar as url, length(p_name) as n from part)
+select url, 'llm_image_vision_check' as check_id, 'low' as severity from p where n % 5 = 0
+union all select url, 'llm_image_product_mismatch', 'medium' from p where n % 5 <> 0 and n % 3 = 0
+union all select url, 'llm_image_prohibited_content_flag', 'high' from p where n % 5 <> 0 and n % 2 = 0
+"""
+
+
+def feed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as feed products: what rules found, what a model's answers named, and where these are missing or broken."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(k.cast("string").alias("id"), "p_partkey")
+    violations = p.filter("p_partkey % 3 = 0").select("id", F.lit("gtin_present").alias("rule"), F.lit("warning").alias("severity"))
+    answers = p.filter("p_partkey % 5 <> 4").select("id", picked(k, 5, {0: '[{"rule": "claims", "severity": "critical"}, {"rule": "tone", "severity": "warning"}]', 1: "[]", 2: "no json"}, F.lit(None).cast("string")).alias("answer"))
+    return M.evaluated(p, violations, answers)
+
+
+REVIEW_SQL = """
+with p as (select p_partkey as k, p_partkey::varchar as id, p_partkey % 5 > 1 as manual_review from part),
+v as (
+  select k, 'gtin_present' as rule, 'warning' as severity, 'rule' as source from p where k % 3 = 0
+  union all select k, 'claims', 'critical', 'model' from p where k % 5 = 0 union all select k, 'tone', 'warning', 'model' from p where k % 5 = 0)
+select id, manual_review, rule, severity, source from p left join v using (k)
+"""
+
+
+def kept_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as pages, of which those stay with their bodies that the evaluations of order lines cite, by resource or in their text."""
+    key = [F.lit("s").alias("store_id"), F.lit("r1").alias("run_id")]
+    pages = read(spark, sf_dir, "orders").select(*key, F.concat(F.lit("https://a.example/"), "o_orderkey").alias("url"))
+    at = lambda c: F.concat(F.lit("https://a.example/"), c)
+    ev = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(*key, F.col("l_returnflag").alias("rule_id"), F.when(F.col("l_linenumber") == 1, at(F.col("l_orderkey"))).alias("resource_url"), F.lit(None).cast("array<string>").alias("observed"), F.concat(F.lit("see "), at(F.col("l_partkey")), F.lit("), twice.")).alias("text"))
+    return N.kept_bodies(pages, N.cited_pages(ev, pages)).select("url")
+
+
+KEPT_SQL = """
+with c as (select l_orderkey as k from lineitem where l_quantity > 45 and l_linenumber = 1 union select l_partkey from lineitem where l_quantity > 45)
+select 'https://a.example/' || o_orderkey as url from orders where o_orderkey in (select k from c)
+"""
+
+
+def api_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers as runs of three platforms: which should be given access to the platform's API, as no finding of theirs (orders) was verified by it."""
+    k = F.col("c_custkey")
+    runs = read(spark, sf_dir, "customer").select(k.cast("string").alias("store_id"), F.lit("r1").alias("run_id"), picked(k, 3, {0: "woocommerce", 1: "shopify"}, "unknown").alias("platform"))
+    f = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("store_id"), F.lit("r1").alias("run_id"), F.when(F.col("o_orderstatus") == "P", "api_verified").otherwise("page").alias("verification_method"))
+    return N.needs_api(runs, f).select("store_id", "recommended")
+
+
+ADVICE_SQL = "select c_custkey::varchar as store_id, c_custkey % 3 = 0 and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P') as recommended from customer"
+
+
+def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as pages with three blocks of links: equal ones, two of a kind, and such that differ in one of twenty links."""
+    k = F.col("p_partkey")
+    links = lambda tag, n: F.concat(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("/"), i.cast("string"))), F.array(F.concat(F.lit("/own/"), F.lit(tag))))
+    block = lambda tag, hrefs: F.struct(F.lit(tag).alias("tag"), hrefs.alias("hrefs"))
+    same, other = F.array(*map(F.lit, "abcde")), F.array(*map(F.lit, "vwxyz"))
+    blocks = picked(k, 3, {0: F.array(*[block("nav", same)] * 3), 1: F.array(block("nav", same), block("nav", same), block("nav", other))}, F.array(*[block("footer", links(t, 19)) for t in "pqr"]))
+    p = read(spark, sf_dir, "part").select(F.lit("s").alias("store_id"), F.lit("r1").alias("run_id"), k.cast("string").alias("url"), blocks.alias("blocks"))
+    return C.repeated_blocks(p).select("url", "tag", F.col("copies").cast("long").alias("copies"))
+
+
+BLOCK_SQL = "select p_partkey::varchar as url, case p_partkey % 3 when 0 then 'nav' else 'footer' end as tag, 3::bigint as copies from part where p_partkey % 3 <> 1"
+
+_F = (fetch_failures, broken_links, platforms, image_checks, claim_tasks, returns_credit, first_image_pages, due_stores, stored_snapshots, stored_rules, current_scores, form_checks, new_alerts, shown_images, feed_reviews, kept_bodies, api_advice, repeated_blocks)
 QUERIES = {f.__name__: f for f in _F}
 SQL = {
     "fetch_failures": "with" + FETCH_SQL + "select page_id, failure_category, reachable, cannot_verify from o", "broken_links": BROKEN_SQL, "platforms": PLATFORM_SQL, "image_checks": IMAGE_CHECK_SQL, "claim_tasks": CLAIM_SQL,
     "returns_credit": CREDIT_SQL, "first_image_pages": FIRST_IMAGE_SQL, "due_stores": DUE_SQL, "stored_snapshots": STORED_SQL, "stored_rules": RULES_SQL, "current_scores": SCORES_SQL,
+    "form_checks": FORM_SQL, "new_alerts": ALERT_SQL, "shown_images": SHOWN_SQL, "feed_reviews": REVIEW_SQL, "kept_bodies": KEPT_SQL, "api_advice": ADVICE_SQL, "repeated_blocks": BLOCK_SQL,
 }
