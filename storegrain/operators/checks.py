@@ -292,14 +292,19 @@ def near_titles(titles: DataFrame) -> DataFrame:
     """(key, url_a, url_b, ratio) of titles (key, seq, url, title) at least 0.92 alike but not equal, blocked on their first word.
 
     Titles that are equal come down to the first of them. A similarity join by rare tokens gives the pairs; those that share
-    too few characters are dropped by built-in functions, and only the rest are compared in sequence.
+    too little are dropped by built-in functions, and only the rest are compared in sequence.
     """
     norm = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
     t = titles.withColumn("norm", norm).filter("norm <> ''").groupBy(*KEY, "norm").agg(F.min_by(F.struct("seq", "url"), "seq").alias("first"))
     t = landed(t.select(*KEY, "norm", F.col("first.seq").alias("seq"), F.col("first.url").alias("url"), F.split("norm", " ")[0].alias("block")), "titles")
     side = lambda x: t.select(*KEY, *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "url", "norm")])
     pairs = title_candidates(t).join(side("a"), [*KEY, "seq_a"]).join(side("b"), [*KEY, "seq_b"])
-    pairs = pairs.filter(shared_characters(F.col("norm_a"), F.col("norm_b")) >= SIMILAR)
+    # a string of three that the other side lacks is no shared token
+    grams = lambda t: F.when(F.char_length(t) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    a, b = F.col("norm_a"), F.col("norm_b")
+    least = _least_overlap(F.char_length(a) + F.char_length(b), 3)
+    shared = lambda x, y: F.size(grams(x)) - F.size(F.array_except(grams(x), grams(y)))
+    pairs = pairs.filter((shared(a, b) >= least) & (shared(b, a) >= least)).filter(shared_characters(a, b) >= SIMILAR)
     return pairs.withColumn("ratio", ratio("norm_a", "norm_b")).filter(F.col("ratio") >= SIMILAR).select(*KEY, "url_a", "url_b", "ratio")
 
 
