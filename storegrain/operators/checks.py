@@ -259,6 +259,8 @@ def _least_overlap(both: Column, q: int) -> Column:
 
 #: Titles shorter than the first number are compared by characters, those from the second number on by strings of three; no similar pair has a side of each kind only.
 BY_CHARACTERS, BY_TRIPLES = 14, 12
+#: Tokens that several titles have, up to which they are broadcast.
+MOST_TOKENS = 1_000_000
 
 
 def title_candidates(titles: DataFrame) -> DataFrame:
@@ -270,22 +272,30 @@ def title_candidates(titles: DataFrame) -> DataFrame:
     """
     n = F.char_length("norm")
     kinds = F.array_compact(F.array(F.when(n < BY_CHARACTERS, 1), F.when(n >= BY_TRIPLES, 3)))
-    t = titles.select(*KEY, "block", "seq", n.alias("n"), "norm", F.explode(kinds).alias("q"))
+    # numbers in place of keys and blocks from here on; equal hashes of blocks only make more candidates
+    named = landed(titles.select(*KEY, "seq", "block", "norm", F.monotonically_increasing_id().alias("id")), "numbered-titles")
+    t = named.select("id", n.alias("n"), "norm", F.xxhash64(*KEY, "block").alias("block"), F.explode(kinds).alias("q")).repartition("id")
     grams = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substr("norm", i, F.col("q")))
     # the shortest partner that can be similar has SIMILAR / (2 - SIMILAR) of the length
     both = F.col("n") + F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9)
     most = F.col("n") - F.col("q") + 2 - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3))
-    each = t.select(*KEY, "block", "q", "seq", "n", F.greatest(F.lit(1), most).alias("most"), F.explode(grams).alias("gram"))
+    own = ["id", "block", "q", "n", "most"]
+    each = t.select("id", "block", "q", "n", F.greatest(F.lit(1), most).alias("most"), F.explode(grams).alias("gram")).select(*own, F.xxhash64("block", "q", "gram").alias("gram"))
     # a string that a title has several times is as many tokens
-    times = each.groupBy(*KEY, "block", "q", "seq", "n", "most", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    each = times.select(*KEY, "block", "q", "seq", "n", "most", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("gram", i))).alias("token"))
-    of_token = [*KEY, "block", "q", "token"]
-    known = each.groupBy(*of_token).agg(F.count(F.lit(1)).alias("known")).filter("known > 1")  # a token of one title makes no pair, yet takes its place below
-    ordered = each.join(known, of_token, "left").groupBy(*KEY, "block", "q", "seq", "n", "most").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("known", F.lit(1)).alias("known"), "token"))).alias("tokens"))  # a title's own
-    first = ordered.select(*KEY, "block", "q", "seq", "n", F.explode(F.slice("tokens", F.lit(1), F.col("most"))).alias("t")).filter("t.known > 1").select(*KEY, "block", "q", "seq", "n", F.col("t.token").alias("token"))
-    other = first.select(*of_token, F.col("seq").alias("seq_b"), F.col("n").alias("n_b"))
+    each = each.groupBy(*own, "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    each = each.select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("gram", i))).alias("token"))
+    known = landed(each.groupBy("token").agg(F.count(F.lit(1)).alias("known")).filter("known > 1"), "title-tokens")  # a token of one title makes no pair, yet takes its place below
+    known = F.broadcast(known) if known.count() <= MOST_TOKENS else known
+    ordered = each.join(known, "token", "left").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("known", F.lit(1)).alias("known"), "token"))).alias("tokens"))  # a title's own
+    first = landed(ordered.select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("most"))).alias("t")).filter("t.known > 1").select("id", "n", F.col("t.token").alias("token")), "rare-tokens")
+    other = first.select("token", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     fits = 2 * F.least("n", "n_b") >= SIMILAR * (F.col("n") + F.col("n_b"))
-    return first.join(other, of_token).filter((F.col("seq") < F.col("seq_b")) & fits).select(*KEY, F.col("seq").alias("seq_a"), "seq_b").distinct()
+    pairs = first.join(other, "token").filter((F.col("id") < F.col("id_b")) & fits).select("id", "id_b").distinct()
+    side = lambda c, seq: named.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in [*KEY, "block"]], F.col("seq").alias(seq))
+    pairs = pairs.withColumnRenamed("id", "id_a").join(side("id_a", "x"), "id_a").join(side("id_b", "y"), "id_b")
+    for k in (*KEY, "block"):
+        pairs = pairs.filter(F.col(f"{k}_id_a") == F.col(f"{k}_id_b"))
+    return pairs.select(*[F.col(f"{k}_id_a").alias(k) for k in KEY], F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
 
 
 def near_titles(titles: DataFrame) -> DataFrame:
