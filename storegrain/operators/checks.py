@@ -247,6 +247,16 @@ def journeys(rows: DataFrame) -> DataFrame:
     return rows.select("product_url", F.explode(checks).alias("check_id"))
 
 
+def _grams(text: Column, q: int) -> Column:
+    """Hashes of the strings of q (1 or 3) characters of a text, in one pass over its characters."""
+    c, n = F.split(text, ""), F.char_length(text)
+    if q == 1:
+        return F.transform(F.slice(c, F.lit(1), n), lambda x: F.xxhash64(x))
+    m = F.greatest(n - 2, F.lit(0))
+    each = F.arrays_zip(*[F.slice(c, F.lit(k), m).alias(name) for k, name in ((1, "x"), (2, "y"), (3, "z"))])
+    return F.transform(each, lambda g: F.xxhash64(g["x"], g["y"], g["z"]))
+
+
 def _least_overlap(both: Column, q: int) -> Column:
     """Tokens of q characters that two texts of `both` characters in all share if they are SIMILAR.
 
@@ -275,7 +285,7 @@ def title_candidates(titles: DataFrame) -> DataFrame:
     # numbers in place of keys and blocks from here on; equal hashes of blocks only make more candidates
     named = landed(titles.select(*KEY, "seq", "block", "norm", F.monotonically_increasing_id().alias("id")), "numbered-titles")
     t = named.select("id", n.alias("n"), "norm", F.xxhash64(*KEY, "block").alias("block"), F.explode(kinds).alias("q")).repartition("id")
-    grams = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substr("norm", i, F.col("q")))
+    grams = F.when(F.col("q") == 1, _grams(F.col("norm"), 1)).otherwise(_grams(F.col("norm"), 3))
     # the shortest partner that can be similar has SIMILAR / (2 - SIMILAR) of the length
     both = F.col("n") + F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9)
     most = F.col("n") - F.col("q") + 2 - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3))
@@ -310,7 +320,7 @@ def near_titles(titles: DataFrame) -> DataFrame:
     side = lambda x: t.select(*KEY, *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "url", "norm")])
     pairs = title_candidates(t).join(side("a"), [*KEY, "seq_a"]).join(side("b"), [*KEY, "seq_b"])
     # a string of three that the other side lacks is no shared token
-    grams = lambda t: F.when(F.char_length(t) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda t: _grams(t, 3)
     a, b = F.col("norm_a"), F.col("norm_b")
     least = _least_overlap(F.char_length(a) + F.char_length(b), 3)
     shared = lambda x, y: F.size(grams(x)) - F.size(F.array_except(grams(x), grams(y)))
