@@ -9,10 +9,11 @@ Equal stretches of `span` bytes are brought together in four steps.
    which answer whether other documents have them.
 3. Fragments of shared keys go, each distinct one once a unit, to blocks by key. The windows of a key with very many fragments go
    one by one, by their own hash, so no key makes a block large.
-4. A block sorts the suffixes of its distinct fragments. Their intervals are expanded breadth-first by backward extension: an
-   interval of common prefix l + 1 is one of prefix l with a byte before it, so boundaries are found by increasing value, and the
-   work stops at `span`. What is still together then are equal windows; the smallest doc_id of each is known, and each unit
-   is told which of its bytes are to go.
+4. A block sorts the suffixes of its distinct fragments, without stretches whose windows all have hashes of their own, as these
+   have no equals. Their intervals are expanded breadth-first by backward extension: an interval of common prefix l + 1 is one of
+   prefix l with a byte before it, so boundaries are found by increasing value, from the prefix that the sort has told apart on,
+   and the work stops at `span`. What is still together then are equal windows; the smallest doc_id of each is known, and each
+   unit is told which of its bytes are to go.
 
 Units, buckets and blocks are bounded by counts, whatever a document, key or group of copies holds.
 """
@@ -44,14 +45,13 @@ NONE = np.iinfo(np.int64).max
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def window_keys(b: np.ndarray, span: int) -> np.ndarray:
-    """The key of the window of span bytes that starts at each byte."""
-    gram, width = min(GRAM, span), span - min(GRAM, span) + 1
+def string_hashes(b: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the string of length bytes that starts at each byte."""
     h = (b.astype(np.uint64) + np.uint64(1)) * M1
     h ^= h >> np.uint64(29)
-    size, left, whole, done, by = 1, gram, None, 0, M2
+    size, left, whole, done, by = 1, length, None, 0, M2
     with np.errstate(over="ignore"):
-        while left:  # hashes of 1, 2, 4, ... bytes, joined as the binary form of gram says
+        while left:  # hashes of 1, 2, 4, ... bytes, joined as the binary form of length says
             if left & 1:
                 part = h[done:]
                 whole = part.copy() if whole is None else whole[: len(part)] * by + part[: len(whole)]
@@ -60,8 +60,13 @@ def window_keys(b: np.ndarray, span: int) -> np.ndarray:
             if left:
                 h = h[: len(h) - size] * by + h[size:]
                 by, size = by * M2 + np.uint64(2), 2 * size
-    n = len(b) - gram + 1
-    h = whole[:n]
+    return whole[: len(b) - length + 1]
+
+
+def window_keys(b: np.ndarray, span: int) -> np.ndarray:
+    """The key of the window of span bytes that starts at each byte."""
+    gram, width = min(GRAM, span), span - min(GRAM, span) + 1
+    h = string_hashes(b, gram)
     h = (h ^ (h >> np.uint64(32))) * M3
     h ^= h >> np.uint64(29)
     size = 1
@@ -71,6 +76,11 @@ def window_keys(b: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
+def in_pieces(f, b: np.ndarray, span: int) -> np.ndarray:
+    """What f has for each window of span bytes."""
+    return np.concatenate([np.zeros(0, np.uint64), *(f(b[i : i + PIECE + span - 1], span) for i in range(0, max(0, len(b) - span + 1), PIECE))])
+
+
 class Unit:
     """The texts of a unit that have windows, in the order of their rows, and their fragments."""
 
@@ -85,8 +95,7 @@ class Unit:
     def cut(self) -> None:
         """at, windows, key, doc: of each fragment. A fragment is a run of windows of one key and document, LONGEST at most."""
         b, span = np.frombuffer(self.data, np.uint8), self.span
-        parts = [window_keys(b[i : i + PIECE + span - 1], span) for i in range(0, max(0, len(b) - span + 1), PIECE)]
-        key = np.concatenate([np.zeros(0, np.uint64), *parts])
+        key = in_pieces(window_keys, b, span)
         starts = np.r_[0, self.ends[:-1]][: len(self.ends)]
         new = np.zeros(len(key) + 1, bool)
         new[1:-1] = key[1:] != key[:-1]
@@ -189,20 +198,25 @@ def sent_fragments(buckets: int, blocks: int, span: int):
     return run
 
 
-def sorted_suffixes(b: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` bytes at least: by 8 bytes first, then those still equal by twice as many in each round."""
-    n = len(b)
-    padded = np.r_[b, np.zeros(8, np.uint8)]
+def sorted_suffixes(b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, edge, known): suffixes in order of their first `depth` bytes at least: by 7 bytes first, then those still equal by twice as many in each round.
+
+    known is the greatest prefix up to depth of such a round, and edge says where its intervals start. The eighth byte of
+    the first key is the number of the others that there are, so the end of b is before a zero byte.
+    """
+    n, size = len(b), min(7, depth)
+    padded = np.r_[b, np.zeros(size, np.uint8)]
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(size):
         key = key << np.uint64(8) | padded[k : k + n]
+    key = key << np.uint64(8) | np.minimum(np.arange(n, 0, -1), size).astype(np.uint64)
     order = np.argsort(key)
     key = key[order]
     slot = np.arange(n)
     first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], slot, 0))  # the slot where a group of equals starts
     rank = np.empty(n + 1, np.int64)
     rank[order], rank[n] = first, -1
-    size = 8
+    edge, known = first == slot, size
     while size < depth:
         tied = np.flatnonzero(np.r_[first[1:] == first[:-1], False] | np.r_[False, first[1:] == first[:-1]])
         if not len(tied):
@@ -215,7 +229,9 @@ def sorted_suffixes(b: np.ndarray, depth: int) -> np.ndarray:
         first[tied] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], tied, 0))
         rank[some] = first[tied]
         size *= 2
-    return order
+        if size <= depth:
+            edge, known = first == slot, size
+    return order, edge, known
 
 
 def prefix_classes(b: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,15 +242,13 @@ def prefix_classes(b: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     looks only at neighbours that no level before has parted.
     """
     n = len(b)
-    order = sorted_suffixes(b, span)
+    order, edge, known = sorted_suffixes(b, span)
     place = np.empty(n + 1, np.int64)
     place[order], place[n] = np.arange(n), 0
     next_ = place[order + 1].astype(np.int32)
-    lead = b[order]
-    edge = np.r_[True, lead[1:] != lead[:-1]]
     together = np.flatnonzero(~edge)
     left, right = next_[together - 1], next_[together]
-    for _ in range(span - 1):
+    for _ in range(span - known):
         if not len(together):
             break
         interval = np.cumsum(edge, dtype=np.int32)
@@ -244,6 +258,34 @@ def prefix_classes(b: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return order, edge
 
 
+def least_of_equals(b: np.ndarray, at: np.ndarray, of: np.ndarray, span: int) -> np.ndarray:
+    """For the windows of span bytes at ascending places `at`: the least `of` among those with equal bytes.
+
+    Windows of a hash of their own have no equals. Only the stretches of the others are sorted, and their bytes decide.
+    """
+    least = of.copy()
+    h = in_pieces(string_hashes, b, span)[at]
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    again = np.zeros(len(at), bool)
+    again[order[np.r_[same, False] | np.r_[False, same]]] = True
+    again = np.flatnonzero(again)
+    if not len(again):
+        return least
+    start = np.r_[True, np.diff(at[again]) > 1]  # of a stretch
+    stretch = np.cumsum(start) - 1
+    size = np.bincount(stretch) + span - 1
+    b = b[np.repeat(at[again[start]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    place = np.arange(len(again)) + stretch * (span - 1)
+    order, edge = prefix_classes(b, span)
+    values = np.full(len(b), NONE)
+    values[place] = of[again]
+    values[order] = np.minimum.reduceat(values[order], np.flatnonzero(edge))[np.cumsum(edge) - 1]
+    least[again] = values[place]
+    return least
+
+
 def removed_bytes(span: int):
     """Of a block: (unit, marks) for each unit, marks being (text, from, to) of the bytes that an earlier document has."""
 
@@ -266,23 +308,21 @@ def removed_bytes(span: int):
         np.minimum.at(least, fragment, doc_ids)
         b = np.frombuffer(b"".join(numbers), np.uint8)
         del numbers
-        owner = np.repeat(np.arange(len(size)), size)
-        is_window = np.arange(len(b)) - starts[owner] < windows[owner]
-        order, edge = prefix_classes(b, span)
-        by_class = np.minimum.reduceat(np.where(is_window, least[owner], NONE)[order], np.flatnonzero(edge))
-        first = np.empty(len(b), np.int64)
-        first[order] = by_class[np.cumsum(edge) - 1]
+        cuts = np.cumsum(windows) - windows
+        first = least_of_equals(b, np.repeat(starts - cuts, windows) + np.arange(windows.sum()), np.repeat(least, windows), span)
         # of each fragment the least and greatest of the documents that its windows have first
-        shown = first[is_window]
-        cuts = np.cumsum(np.r_[0, windows[:-1]])
-        lo, hi = np.minimum.reduceat(shown, cuts), np.maximum.reduceat(shown, cuts)
+        lo, hi = np.minimum.reduceat(first, cuts), np.maximum.reduceat(first, cuts)
         text, at = places >> 32, places & 0xFFFFFFFF
         whole = hi[fragment] < doc_ids
         parts = [np.stack([unit[whole], text[whole], at[whole], (at + size[fragment])[whole]])]
-        for k in np.flatnonzero(~whole & (lo[fragment] < doc_ids)).tolist():
-            f = fragment[k]
-            gone = np.flatnonzero(np.diff(np.r_[0, first[starts[f] : starts[f] + windows[f]] < doc_ids[k], 0]))
-            parts.append(np.stack([np.full(len(gone) // 2, unit[k]), np.full(len(gone) // 2, text[k]), at[k] + gone[::2], at[k] + gone[1::2] + span - 1]))
+        part = np.flatnonzero(~whole & (lo[fragment] < doc_ids))
+        for some in np.array_split(part, 1 + (int(windows[fragment[part]].sum()) >> 20)):
+            n = windows[fragment[some]]
+            of, k = np.repeat(some, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            gone = first[cuts[fragment[of]] + k] < doc_ids[of]
+            on = gone[1:] & gone[:-1] & (k[1:] > 0)
+            s, e = np.flatnonzero(gone & ~np.r_[False, on]), np.flatnonzero(gone & ~np.r_[on, False])
+            parts.append(np.stack([unit[of[s]], text[of[s]], at[of[s]] + k[s], at[of[e]] + k[e] + span]))
         marks = np.concatenate(parts, axis=1)
         marks = marks[:, np.argsort(marks[0], kind="stable")]
         names = block.column("unit").to_pylist()

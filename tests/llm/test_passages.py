@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,43 @@ def test_intervals_part_where_prefixes_do():
         for t, c in zip(texts, classes.tolist(), strict=True):
             assert len(t) < 9 or named.setdefault(c, t) == t
         assert len({t for t in texts if len(t) == 9}) == len(named)
+
+
+@pytest.mark.parametrize("span", [1, 3, 8, 9, 16, 20, 50])
+@pytest.mark.parametrize("collide", [False, True])
+def test_least_of_equal_windows(monkeypatch, span, collide):
+    if collide:  # equal hashes of unequal windows change nothing
+        monkeypatch.setattr(passages, "string_hashes", lambda b, length: np.zeros(len(b) - length + 1, np.uint64))
+    rng = np.random.default_rng(span)
+    for letters in (1, 2, 5, 200):
+        b = rng.integers(0, letters, 900).astype(np.uint8)
+        b[700:800] = b[100:200]
+        at = np.flatnonzero(rng.random(900 - span + 1) < 0.6)
+        of = rng.integers(-5, 50, len(at))
+        least = {}
+        for i, d in zip(at.tolist(), of.tolist(), strict=True):
+            w = b[i : i + span].tobytes()
+            least[w] = min(least.get(w, d), d)
+        assert passages.least_of_equals(b, at, of, span).tolist() == [least[b[i : i + span].tobytes()] for i in at.tolist()]
+
+
+def test_only_stretches_with_equals_are_sorted(monkeypatch):
+    """Fragments that share a key and no window cost no sort."""
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    gram, copied = word(16), word(60)
+    fragments = [word(34) + gram + word(34) for _ in range(2000)] + [copied, word(5) + copied]
+    places = np.array([range(2002), [k << 32 for k in range(2002)]], np.int64)
+    packed = {"sizes": np.array([len(f) for f in fragments], np.uint32), "data": b"".join(fragments), "of": np.arange(2002, dtype=np.uint32), "places": places}
+    block = pa.table({"block": [0], "unit": [4]} | {k: pa.array([v if k == "data" else v.tobytes()], pa.binary()) for k, v in packed.items()})
+    seen, classes = [], passages.prefix_classes
+    monkeypatch.setattr(passages, "prefix_classes", lambda b, span: seen.append(len(b)) or classes(b, span))
+    got = passages.removed_bytes(50)(block).to_pylist()
+    assert [(r["unit"], np.frombuffer(r["marks"], np.uint32).tolist()) for r in got] == [(4, [2001, 5, 65])]
+    assert seen == [120]
+
+
+def test_zero_bytes(spark):
+    docs = [(1, "\0" * 60), (2, "\0" * 70), (3, "a" + "\0" * 55), (4, "\0" * 49 + "b"), (5, "\0" * 49)]
+    got = passages.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select(*COLUMNS).collect())) == digests(brute(docs))
