@@ -37,6 +37,8 @@ SPAN = 50
 GRAM = 16
 #: Bytes of text in a unit, keys in a bucket and bytes of fragments in a block, about.
 UNIT_BYTES, BUCKET_KEYS, BLOCK_BYTES = 4 << 20, 1_000_000, 4 << 20
+#: Rows of one text that may be dealt to one task, at least.
+COPIES = 1000
 #: Fragments of a key beyond which its windows are dealt one by one, and windows of a fragment at most.
 HOT, LONGEST = 30_000, 512
 #: Bytes whose keys are computed at once.
@@ -362,6 +364,18 @@ def kept_bytes(span: int, texts_too: bool):
     return run
 
 
+def later_copies(hashed: DataFrame, most: int) -> DataFrame:
+    """(unit, copy): the rows of hashed (h1, h2, unit, row, doc_id) whose text a smaller doc_id has. Texts of over `most` rows go to all tasks, so that their rows aren't dealt to one."""
+    by = ["h1", "h2"]
+    firsts = landed(hashed.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("first") < F.col("last")), "passage-firsts")
+    often = F.broadcast(firsts.filter(F.col("n") > most))
+    seldom = hashed.join(often, by, "left_anti").join(firsts.filter(F.col("n") <= most), by)
+    copies = seldom.unionByName(hashed.join(often, by)).filter(F.col("doc_id") > F.col("first"))
+    copies = landed(copies.select("unit", F.col("row").alias("copy")), "passage-copies")
+    discarded(firsts)
+    return copies
+
+
 def drop_repeats(docs: DataFrame, *, span: int = SPAN, texts: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts=True also kept (bytes) and spans (start, end in bytes).
 
@@ -381,9 +395,8 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, texts: bool = False) -> D
         units = spark.table(name)
         # of equal texts those of the smallest doc_id
         hashes = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
-        hashed = units.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= span)).select("unit", "row", "doc_id", *hashes)
-        firsts = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
-        copies = landed(hashed.join(firsts, ["h1", "h2"]).filter(F.col("doc_id") > F.col("first")).select("unit", F.col("row").alias("copy")), "passage-copies")
+        hashed = landed(units.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= span)).select("unit", "row", "doc_id", *hashes), "passage-hashes")
+        copies = later_copies(hashed, max(COPIES, hashed.count() // parts))
         no = lambda c, kind: F.lit(None).cast(kind).alias(c)
         grouped = lambda notes, f, schema: units.groupBy("unit").cogroup(notes.groupBy("unit")).applyInArrow(f, schema)
         sent = grouped(copies, sent_keys(n_buckets, span), "bucket long, unit long, keys binary, n binary")
@@ -395,7 +408,7 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, texts: bool = False) -> D
         notes = copies.select("unit", "copy", no("marks", "binary")).unionByName(marks.select("unit", no("copy", "long"), "marks"))
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, end: long>>" * texts
         out = landed(grouped(notes, kept_bytes(span, texts), schema), "passages")
-        discarded(copies, states, marks)
+        discarded(hashed, copies, states, marks)
         return out
     finally:
         spark.sql(f"drop table if exists {name}")

@@ -135,3 +135,21 @@ def test_zero_bytes(spark):
     docs = [(1, "\0" * 60), (2, "\0" * 70), (3, "a" + "\0" * 55), (4, "\0" * 49 + "b"), (5, "\0" * 49)]
     got = passages.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.select(*COLUMNS).collect())) == digests(brute(docs))
+
+
+def test_copies_of_one_text_are_not_dealt_to_one_task(spark):
+    rows = [(1 if k < 400 else k // 2, 5, k % 3, k, k // 4) for k in range(600)]
+    hashed = spark.createDataFrame(rows, "h1 long, h2 long, unit long, row long, doc_id long").repartition(8)
+    first = {}
+    for h, _, _, _, d in rows:
+        first[h] = min(first.get(h, d), d)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (1, 100, 1000):
+            got = passages.later_copies(hashed, most)
+            assert sorted(map(tuple, got.collect())) == sorted((u, r) for h, _, u, r, d in rows if d > first[h])
+            files = got.filter("copy < 400").groupBy(F.input_file_name().alias("f")).count().collect()
+            assert (max(r["count"] for r in files) < 100) == (most < 400)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
