@@ -202,9 +202,9 @@ def current_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         picked(k, 6, {0: "cannot_verify"}, "confirmed").alias("confidence"), F.col("event_type").alias("page_url"), F.lit("e").alias("evidence"), F.lit(None).cast("string").alias("location"), picked(k, 3, {0: "suspension_risk", 1: "listing_disapproval"}, "quality_improvement").alias("impact_tier"),
     )
     paths = [T.shared_path(spark, tag) for tag in ("findings", "parts", "counts", "checkpoint")]
-    S.keep_current(f, *paths).awaitTermination()
+    S.keep_current(f, *paths, buckets=16).awaitTermination()
     runs = read(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("store_id"), F.lit("r1").alias("run_id")).distinct().withColumn("failed", F.lit(False))
-    return S.current_scores(spark, paths[2], runs).select("store_id", "score", "rating")
+    return S.current_scores(spark, paths[2], runs, buckets=16).select("store_id", "score", "rating")
 
 
 SCORES_SQL = """

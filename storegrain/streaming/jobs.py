@@ -7,7 +7,7 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -142,58 +142,82 @@ def write_due(triggers: DataFrame, stores: DataFrame, path: str, checkpoint: str
     return triggers.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_current(findings: DataFrame, store: str, parts: str, counts: str, checkpoint: str):
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+
+
+#: Rows of a micro-batch for each file of a bucket, at most about.
+FILE_ROWS = 1_000_000
+
+
+def keep_current(findings: DataFrame, store: str, parts: str, counts: str, checkpoint: str, buckets: int | None = None):
     """Keeps findings and the partial aggregates of their rollups and scores: each micro-batch appends its own and reads no other.
 
     What a batch adds is a row for each group, page and example, and one for each kind and severity of a run, so no
     more is read or written than the batch has. `current_rollups` and `current_scores` add the parts up, `compact` makes one part
-    of many. The tables are partitioned by run and batch; a batch that is run again after a failure writes its own files anew.
+    of many. The tables are partitioned by run and batch, or, with `buckets`, by that many hashes of the run and batch: a batch of many
+    runs then writes a few files a bucket, not one or more a run. A batch that is run again after a failure writes its own files anew.
     Impact columns that the scores need are added by with_impact where findings lack them.
     """
+    folders = ["bucket", "batch"] if buckets else [*KEY, "batch"]
 
     def each(batch: DataFrame, k: int) -> None:
-        def out(df: DataFrame, path: str) -> None:
-            df.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY, "batch").parquet(path)
+        def out(df: DataFrame, path: str, share: list[str]) -> None:
+            df = df.withColumn("batch", F.lit(k).cast("long"))
+            if buckets:
+                df = df.withColumn("bucket", _bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64(*share), F.lit(files)))
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            out(batch, store)
-            out(N.finding_parts(batch), parts)
-            out(N.score_counts(batch if "impact_tier" in batch.columns else N.with_impact(batch)), counts)
+            files = 1 + batch.count() // (FILE_ROWS * buckets) if buckets else 1
+            out(batch, store, ["seq"])
+            out(N.finding_parts(batch), parts, ["value", "page_url", "example"])
+            out(N.score_counts(batch if "impact_tier" in batch.columns else N.with_impact(batch)), counts, ["kind", "severity"])
         finally:
             batch.unpersist()
 
     return findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _kept(spark: SparkSession, path: str, runs: DataFrame | None) -> DataFrame:
-    """A table of keep_current without batches; of the given runs, if any, whose folders alone are read."""
+def _kept(spark: SparkSession, path: str, runs: DataFrame | None, buckets: int | None) -> DataFrame:
+    """A table of keep_current, of as many buckets, without batches; of the given runs, if any, whose folders alone are read."""
     t = spark.read.parquet(path).drop("batch")
     t = t.withColumns({c: F.col(c).cast("string") for c in KEY})  # names of folders are read as what they look like
-    return t if runs is None else t.join(small(runs.select(*KEY).distinct()), KEY, "left_semi")
+    if runs is not None:
+        wanted = runs.select(*KEY).distinct()
+        t = t.join(small(wanted.withColumn("bucket", _bucket(buckets)) if buckets else wanted), [*KEY, "bucket"] if buckets else KEY, "left_semi")
+    return t.drop("bucket")
 
 
-def current_rollups(spark: SparkSession, store: str, parts: str, runs: DataFrame | None = None) -> DataFrame:
+def current_rollups(spark: SparkSession, store: str, parts: str, runs: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """rolled_up of all findings so far, from their parts."""
-    return N.rolled_from(N.merged_parts(_kept(spark, parts, runs)), _kept(spark, store, runs))
+    return N.rolled_from(N.merged_parts(_kept(spark, parts, runs, buckets)), _kept(spark, store, runs, buckets))
 
 
-def current_scores(spark: SparkSession, counts: str, runs: DataFrame) -> DataFrame:
+def current_scores(spark: SparkSession, counts: str, runs: DataFrame, buckets: int | None = None) -> DataFrame:
     """risk_score of all findings so far of the given runs (key, failed)."""
-    return N.score_of(runs, _kept(spark, counts, runs))
+    return N.score_of(runs, _kept(spark, counts, runs, buckets))
+
 
+def compact(spark: SparkSession, parts: str, runs: DataFrame, buckets: int | None = None) -> None:
+    """Makes one batch of the parts of finished runs: the merged ones are written as batch -1, then the folders they came from are dropped.
 
-def compact(spark: SparkSession, parts: str, runs: DataFrame) -> None:
-    """Makes one batch of the parts of finished runs: the merged ones are written as batch -1, then the folders they came from are dropped."""
+    With buckets, the whole buckets that the runs are in become one batch.
+    """
+    key = ["bucket"] if buckets else KEY
+    wanted = (runs.select(_bucket(buckets).alias("bucket")) if buckets else runs.select(*KEY)).distinct()
     old = spark.read.parquet(parts)
-    old = old.withColumns({c: F.col(c).cast("string") for c in KEY}).join(small(runs.select(*KEY).distinct()), KEY, "left_semi")
+    old = old.withColumns({c: F.col(c).cast("string") for c in KEY}).join(small(wanted), key, "left_semi")
     folders = sorted({f.rpartition("/")[0] for f in old.inputFiles()} if old.limit(1).count() else ())
-    touched = {tuple(r) for r in old.select(*KEY).distinct().collect()}  # the runs given
+    touched = {tuple(map(str, r)) for r in old.select(*key).distinct().collect()}  # the runs given, or buckets
     merged = landed(N.merged_parts(old).withColumn("batch", F.lit(-1).cast("long")), "compacted")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY, "batch").parquet(parts)
+    if buckets:
+        merged = merged.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key, "batch").parquet(parts)
     for f in folders:
         names = dict(x.split("=", 1) for x in f.split("/") if "=" in x)
-        if tuple(unquote(names[c]) for c in KEY) in touched and names["batch"] != "-1":
+        if tuple(unquote(names[c]) for c in key) in touched and names["batch"] != "-1":
             p = spark._jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -60,6 +60,30 @@ def test_findings_are_kept_current(spark, tmp_path):
     assert {f: f.stat().st_mtime_ns for f in tmp_path.glob("parts/store_id=b/**/*.parquet")} == other
 
 
+def test_runs_share_the_folders_of_their_buckets(spark, tmp_path):
+    """Sixty runs in two batches and four buckets: few files, the same rollups and scores, also of two runs alone and after one is compacted."""
+    schema = "store_id string, run_id string, seq long, check_id string, title string, severity string, confidence string, page_url string, evidence string, location string"
+    rows = [(f"{k % 60:03d}", "7", k, ["external_domain_link", "broken_image", "other"][k // 60 % 3], f"t{k}", ["critical", "high", "low"][k // 180 % 3], "confirmed", f"p{k % 7}", "e", f'<a href="https://x.example/{k % 2}">') for k in range(1200)]
+    paths = {x: str(tmp_path / x) for x in ("in", "store", "parts", "counts", "cp")}
+    for k in range(2):
+        spark.createDataFrame(rows[600 * k : 600 * (k + 1)], schema).write.mode("append").parquet(paths["in"])
+        S.keep_current(spark.readStream.schema(schema).parquet(paths["in"]), paths["store"], paths["parts"], paths["counts"], paths["cp"], buckets=4).awaitTermination()
+    for x in ("store", "parts", "counts"):
+        assert len(list(tmp_path.glob(f"{x}/**/*.parquet"))) == 8
+    every = spark.createDataFrame(rows, schema)
+    plain = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    runs = every.select("store_id", "run_id").distinct().withColumn("failed", F.lit(False))
+    two, of_two = runs.filter("store_id in ('003', '004')"), every.filter("store_id in ('003', '004')")
+    assert plain(S.current_scores(spark, paths["counts"], runs, buckets=4)) == plain(N.risk_score(runs, N.with_impact(every)))
+    assert plain(S.current_scores(spark, paths["counts"], two, buckets=4)) == plain(N.risk_score(two, N.with_impact(of_two)))
+    want = plain(N.rolled_up(every))
+    assert plain(S.current_rollups(spark, paths["store"], paths["parts"], buckets=4)) == want and any("n=1" not in x for x in want)
+    S.compact(spark, paths["parts"], runs.filter("store_id = '003'"), buckets=4)
+    assert len(list(tmp_path.glob("parts/**/*.parquet"))) == 7 and len(list(tmp_path.glob("parts/bucket=*/batch=-1"))) == 1
+    assert plain(S.current_rollups(spark, paths["store"], paths["parts"], buckets=4)) == want
+    assert plain(S.current_rollups(spark, paths["store"], paths["parts"], two, buckets=4)) == plain(N.rolled_up(of_two))
+
+
 def test_idle_keys_leave_no_state(spark, tmp_path):
     """Five batches, of which the later ones move the watermark on; results are those of the whole table."""
     when = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
