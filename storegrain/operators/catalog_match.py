@@ -25,12 +25,15 @@ REQUIRED = ["title", "description", "availability", "condition"]
 
 
 def by_path(pages: DataFrame, products: DataFrame) -> DataFrame:
-    """Pages (key, seq, url, ..) with the product (permalink, ..) of equal path; of several pages the first."""
+    """Pages (key, seq, url, ..) with the product (permalink, ..) of equal path; of several pages the first.
+
+    Neither side is broadcast: both grow with the catalog, and what Spark expects of parsed or grouped pages is far below their size.
+    """
     key = ["store_id", "run_id"]
     clean = lambda u: F.regexp_replace(U.path(u), "/+$", "")
     p = pages.withColumn("path", clean(F.col("url")))
     first = p.groupBy(*key, "path").agg(F.min_by(F.struct(*pages.columns), "seq").alias("page"))
-    return products.withColumn("path", clean(F.col("permalink"))).join(first, [*key, "path"], "left").drop("path")
+    return products.withColumn("path", clean(F.col("permalink"))).join(first.hint("merge"), [*key, "path"], "left").drop("path")
 
 
 def by_handle(pages: DataFrame, products: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def by_handle(pages: DataFrame, products: DataFrame) -> DataFrame:
     key = ["store_id", "run_id"]
     p = pages.withColumn("handle", F.element_at(F.split(F.regexp_replace(U.path(F.col("url")), "/+$", ""), "/"), -1))
     first = p.groupBy(*key, "handle").agg(F.min_by(F.struct(*pages.columns), "seq").alias("page"))
-    return products.join(first, [*key, "handle"], "left")
+    return products.join(first.hint("merge"), [*key, "handle"], "left")
 
 
 def shown(pages: DataFrame, *, theme: bool) -> DataFrame:

@@ -303,3 +303,14 @@ def test_registered_domains(spark):
     p = spark.createDataFrame([("s", "r", 0, "https://me.github.io/", link("https://you.github.io/returns")), ("t", "r", 0, "https://www.a.co.uk/", link("https://help.a.co.uk/returns"))], "store_id string, run_id string, seq long, url string, links array<string>")
     assert [r["store_id"] for r in C.off_domain_credit(p, ["return"], suffixes=suffixes).collect()] == ["t"]
     assert {r["store_id"] for r in C.off_domain_credit(p, ["return"]).collect()} == {"s", "t"}  # by the pattern alone
+
+
+def test_shown_pages_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Spark expects little of grouped pages, so a broadcast of them would come to the driver at any size; and pages are dealt by their number and parsed once."""
+    from storegrain.plans import products
+
+    monkeypatch.setattr(products, "TASK_PAGES", 50)
+    made = products._part_pages(spark, sf_dir)
+    assert made.rdd.getNumPartitions() == 1 + made.count() // 50 > 2
+    plan = products.rendered_mismatches(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan and "MapInPandas" not in plan
