@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import math
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,85 +250,135 @@ def journeys(rows: DataFrame) -> DataFrame:
     return rows.select("product_url", F.explode(checks).alias("check_id"))
 
 
-def _grams(text: Column, q: int) -> Column:
-    """Hashes of the strings of q (1 or 3) characters of a text, in one pass over its characters."""
-    c, n = F.split(text, ""), F.char_length(text)
-    if q == 1:
-        return F.transform(F.slice(c, F.lit(1), n), lambda x: F.xxhash64(x))
-    m = F.greatest(n - 2, F.lit(0))
-    each = F.arrays_zip(*[F.slice(c, F.lit(k), m).alias(name) for k, name in ((1, "x"), (2, "y"), (3, "z"))])
-    return F.transform(each, lambda g: F.xxhash64(g["x"], g["y"], g["z"]))
+#: Titles and characters of a part of a group of titles at most, and classes by which characters are counted.
+PART_TITLES, PART_CHARACTERS, CLASSES = 256, 50_000, 96
+CELL = ["g", "k", "up", "i", "j"]
 
 
-def _least_overlap(both: Column, q: int) -> Column:
-    """Tokens of q characters that two texts of `both` characters in all share if they are SIMILAR.
+def _cells(titles: DataFrame) -> DataFrame:
+    """titles (key, seq, url, norm, block) dealt to the cells (CELL, side) in which they meet all titles of their block that are not too short or long.
 
-    m matched characters lie in blocks that a character matched on neither side parts, of which there are both - 2 * m at
-    most; so both - 2 * m + 1 blocks have m - (q - 1) * (both - 2 * m + 1) tokens or more, which grows with m.
+    Titles of one block fall into classes k by the logarithm of their length, so wide that SIMILAR ones are of one class or of two next
+    to each other. A class is cut into parts, and each two parts of it, or of it and the next one (up), make a cell.
     """
-    m = both * (SIMILAR / 2)
-    return F.ceil(m - (q - 1) * (both - 2 * m + 1) - 1e-9).cast("int")
+    width = math.log((2 - SIMILAR) / SIMILAR) * 1.001
+    t = titles.select(*KEY, "seq", "url", "norm", F.xxhash64(*KEY, "block").alias("g"), F.floor(F.log(F.char_length("norm")) / width).cast("int").alias("k"))
+    most = F.greatest(F.lit(1), F.least(F.lit(PART_TITLES), F.floor(F.lit(PART_CHARACTERS) / F.exp((F.col("k") + 1) * width))))
+    n = t.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    n = n.groupBy("g").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "parts"))).alias("parts")).filter("n > 1")  # a class for each length
+    parts = lambda k: F.coalesce(F.try_element_at("parts", k), F.lit(0))
+    k, i = F.col("k"), F.col("i")
+    t = t.join(n, "g").withColumn("i", F.pmod(F.xxhash64("norm"), parts(k)).cast("int"))
+    each = lambda n, cell: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), cell)
+    cell = lambda *values: F.struct(*[x.cast("int").alias(c) for x, c in zip(values, [*CELL[1:], "side"], strict=True)])
+    same = each(parts(k), lambda j: cell(k, F.lit(0), F.least(i, j), F.greatest(i, j), i > j))
+    longer, shorter = each(parts(k + 1), lambda j: cell(k, F.lit(1), i, j, F.lit(0))), each(parts(k - 1), lambda j: cell(k - 1, F.lit(1), j, i, F.lit(1)))
+    return t.select(*KEY, "seq", "url", "norm", "g", F.explode(F.concat(same, longer, shorter)).alias("cell")).select("g", "cell.*", *KEY, "seq", "url", "norm")
+
+
+def places(text: str) -> dict[str, list[int]]:
+    """Where each character stands in the second text of a comparison, as difflib counts them: without frequent ones in long texts."""
+    at = {}
+    for j, c in enumerate(text):
+        at.setdefault(c, []).append(j)
+    return at if len(text) < 200 else {c: js for c, js in at.items() if len(js) <= len(text) // 100 + 1}
+
+
+def similarity(a: str, b: str, at: dict[str, list[int]], least: float = SIMILAR) -> float:
+    """difflib's ratio of a and b, whose places are at; 0 as soon as it can't reach least. Only characters that have places are gone through."""
+    seeds, both = [i for i, c in enumerate(a) if c in at], len(a) + len(b)
+    todo, total, may = [(0, len(a), 0, len(b))], 0, min(len(a), len(b))
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, n, runs, before = alo, blo, 0, {}, -2
+        for p in seeds[bisect_left(seeds, alo) : bisect_left(seeds, ahi)]:
+            runs, old = {}, runs if p == before + 1 else {}
+            before, js = p, at[a[p]]
+            for q in js[bisect_left(js, blo) : bisect_left(js, bhi)]:
+                m = runs[q] = old.get(q - 1, 0) + 1
+                if m > n:
+                    i, j, n = p - m + 1, q - m + 1, m
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+            n += 1
+        total += n
+        may -= min(ahi - alo, bhi - blo) - n
+        for left in [(alo, i, blo, j), (i + n, ahi, j + n, bhi)] if n else []:
+            if left[0] < left[1] and left[2] < left[3]:
+                todo.append(left)
+                may += min(left[1] - left[0], left[3] - left[2])
+        if 2.0 * may / both < least:
+            return 0.0
+    return 2.0 * total / both
+
+
+def _met(cell: tuple, rows: list[tuple], judged: bool) -> list[tuple]:
+    """(key, seq_a, seq_b, url_a, url_b, ratio) of the titles (side, key, seq, url, norm) of a cell that share enough characters, judged: that are SIMILAR."""
+    side, norms, blocks = np.array([r[0] for r in rows]), [r[-1] for r in rows], {}
+    block = np.array([blocks.setdefault((*r[1:3], r[-1].split(" ", 1)[0]) if judged else r[1:3], len(blocks)) for r in rows])
+    size = np.array([len(t) for t in norms])
+    counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % CLASSES, minlength=CLASSES) for t in norms]).astype(np.int32)
+    if cell[2] == 0 and cell[3] == cell[4]:
+        x, y = np.triu_indices(len(rows), 1)
+    else:
+        x, y = (v.ravel() for v in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1)))
+    ok = (block[x] == block[y]) & (2.0 * np.minimum(size[x], size[y]) / (size[x] + size[y]) >= SIMILAR)
+    x, y = x[ok], y[ok]
+    ok = np.zeros(len(x), bool)
+    for at in range(0, len(x), 8192):
+        u, v = x[at : at + 8192], y[at : at + 8192]
+        ok[at : at + 8192] = 2.0 * np.minimum(counts[u], counts[v]).sum(1) / (size[u] + size[v]) >= SIMILAR
+    known, out = {}, []
+    for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        u, v = (u, v) if rows[u][3] < rows[v][3] else (v, u)
+        r = SIMILAR
+        if judged:
+            if v not in known:
+                known[v] = places(norms[v])
+            r = similarity(norms[u], norms[v], known[v])
+        if r >= SIMILAR:
+            out.append((*rows[u][1:3], rows[u][3], rows[v][3], rows[u][4], rows[v][4], r))
+    return out
 
 
-#: Titles shorter than the first number are compared by characters, those from the second number on by strings of three; no similar pair has a side of each kind only.
-BY_CHARACTERS, BY_TRIPLES = 14, 12
-#: Tokens that several titles have, up to which they are broadcast.
-MOST_TOKENS = 1_000_000
+def _title_pairs(titles: DataFrame, judged: bool) -> DataFrame:
+    kinds, names = titles.schema, [*KEY, "seq_a", "seq_b", "url_a", "url_b", "ratio"]
 
+    def run(batches):
+        cell, rows = None, []
+        for b in batches:
+            found = []
+            for r in b.itertuples(index=False, name=None):
+                if r[:5] != cell:
+                    found += _met(cell, rows, judged) if len(rows) > 1 else []
+                    cell, rows = r[:5], []
+                rows.append(r[5:])
+            yield pd.DataFrame(found, columns=names)
+        yield pd.DataFrame(_met(cell, rows, judged) if len(rows) > 1 else [], columns=names)
 
-def title_candidates(titles: DataFrame) -> DataFrame:
-    """(key, seq_a, seq_b) of titles (key, seq, norm, block) of one block that may be SIMILAR: they share a token among their rarest ones.
+    cells, spark = _cells(titles), titles.sparkSession
+    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a cell has much to compare and few bytes
+    of = lambda c: kinds[c].dataType.simpleString()
+    schema = f"store_id {of('store_id')}, run_id {of('run_id')}, seq_a {of('seq')}, seq_b {of('seq')}, url_a {of('url')}, url_b {of('url')}, ratio double"
+    return cells.repartition(n, *CELL).sortWithinPartitions(*CELL, "side").mapInPandas(run, schema)
 
-    Tokens are put in order of the titles of their block that have them, rarest first. Similar titles share so
-    many tokens that the first few of both, as many as there are besides, hold one of them. What a frequent first word brings
-    into every title of its block is last in this order, and so makes no pairs.
-    """
-    n = F.char_length("norm")
-    kinds = F.array_compact(F.array(F.when(n < BY_CHARACTERS, 1), F.when(n >= BY_TRIPLES, 3)))
-    # numbers in place of keys and blocks from here on; equal hashes of blocks only make more candidates
-    named = landed(titles.select(*KEY, "seq", "block", "norm", F.monotonically_increasing_id().alias("id")), "numbered-titles")
-    t = named.select("id", n.alias("n"), "norm", F.xxhash64(*KEY, "block").alias("block"), F.explode(kinds).alias("q")).repartition("id")
-    grams = F.when(F.col("q") == 1, _grams(F.col("norm"), 1)).otherwise(_grams(F.col("norm"), 3))
-    # the shortest partner that can be similar has SIMILAR / (2 - SIMILAR) of the length
-    both = F.col("n") + F.ceil(F.col("n") * (SIMILAR / (2 - SIMILAR)) - 1e-9)
-    most = F.col("n") - F.col("q") + 2 - F.when(F.col("q") == 1, _least_overlap(both, 1)).otherwise(_least_overlap(both, 3))
-    own = ["id", "block", "q", "n", "most"]
-    each = t.select("id", "block", "q", "n", F.greatest(F.lit(1), most).alias("most"), F.explode(grams).alias("gram")).select(*own, F.xxhash64("block", "q", "gram").alias("gram"))
-    # a string that a title has several times is as many tokens
-    each = each.groupBy(*own, "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    each = each.select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("gram", i))).alias("token"))
-    known = landed(each.groupBy("token").agg(F.count(F.lit(1)).alias("known")).filter("known > 1"), "title-tokens")  # a token of one title makes no pair, yet takes its place below
-    known = F.broadcast(known) if known.count() <= MOST_TOKENS else known
-    ordered = each.join(known, "token", "left").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("known", F.lit(1)).alias("known"), "token"))).alias("tokens"))  # a title's own
-    first = landed(ordered.select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("most"))).alias("t")).filter("t.known > 1").select("id", "n", F.col("t.token").alias("token")), "rare-tokens")
-    other = first.select("token", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    fits = 2 * F.least("n", "n_b") >= SIMILAR * (F.col("n") + F.col("n_b"))
-    pairs = first.join(other, "token").filter((F.col("id") < F.col("id_b")) & fits).select("id", "id_b").distinct()
-    side = lambda c, seq: named.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in [*KEY, "block"]], F.col("seq").alias(seq))
-    pairs = pairs.withColumnRenamed("id", "id_a").join(side("id_a", "x"), "id_a").join(side("id_b", "y"), "id_b")
-    for k in (*KEY, "block"):
-        pairs = pairs.filter(F.col(f"{k}_id_a") == F.col(f"{k}_id_b"))
-    return pairs.select(*[F.col(f"{k}_id_a").alias(k) for k in KEY], F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
+
+def title_candidates(titles: DataFrame) -> DataFrame:
+    """(key, seq_a, seq_b) of titles (key, seq, norm, block) of one block that may be SIMILAR, by their lengths and the characters that they share."""
+    return _title_pairs(titles.withColumn("url", F.lit("")), judged=False).select(*KEY, "seq_a", "seq_b")
 
 
 def near_titles(titles: DataFrame) -> DataFrame:
     """(key, url_a, url_b, ratio) of titles (key, seq, url, title) at least 0.92 alike but not equal, blocked on their first word.
 
-    Titles that are equal come down to the first of them. A similarity join by rare tokens gives the pairs; those that share
-    too little are dropped by built-in functions, and only the rest are compared in sequence.
+    Titles that are equal come down to the first of them. All titles of a block and of about one length meet in cells of bounded size;
+    counts of characters drop most pairs, and the rest are compared in sequence.
     """
     norm = F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))
     t = titles.withColumn("norm", norm).filter("norm <> ''").groupBy(*KEY, "norm").agg(F.min_by(F.struct("seq", "url"), "seq").alias("first"))
     t = landed(t.select(*KEY, "norm", F.col("first.seq").alias("seq"), F.col("first.url").alias("url"), F.split("norm", " ")[0].alias("block")), "titles")
-    side = lambda x: t.select(*KEY, *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "url", "norm")])
-    pairs = title_candidates(t).join(side("a"), [*KEY, "seq_a"]).join(side("b"), [*KEY, "seq_b"])
-    # a string of three that the other side lacks is no shared token
-    grams = lambda t: _grams(t, 3)
-    a, b = F.col("norm_a"), F.col("norm_b")
-    least = _least_overlap(F.char_length(a) + F.char_length(b), 3)
-    shared = lambda x, y: F.size(grams(x)) - F.size(F.array_except(grams(x), grams(y)))
-    pairs = pairs.filter((shared(a, b) >= least) & (shared(b, a) >= least)).filter(shared_characters(a, b) >= SIMILAR)
-    return pairs.withColumn("ratio", ratio("norm_a", "norm_b")).filter(F.col("ratio") >= SIMILAR).select(*KEY, "url_a", "url_b", "ratio")
+    return _title_pairs(t, judged=True).select(*KEY, "url_a", "url_b", "ratio")
 
 
 def same_titles(titles: DataFrame) -> DataFrame:

@@ -272,6 +272,37 @@ def test_titles_with_a_hot_first_word(spark):
     assert C.title_candidates(t).count() < len(rows) ** 2 / 2 / 20  # of all pairs of the block
 
 
+def test_titles_meet_in_small_cells(spark, monkeypatch):
+    """Parts of four titles or fewer, long titles, runs apart: the pairs and ratios of difflib, and a few rows a title, not one for each of its characters."""
+    import difflib
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(C, "PART_TITLES", 4)
+    monkeypatch.setattr(C, "PART_CHARACTERS", 2000)
+    rows = []
+    for k in range(60):
+        t = list(rng.choice(rows)[2]) if rows and k % 3 else list(rng.choice(["new", "old", "\u00e9t\u00e9"]) + " " + "".join(rng.choice("aeiou tnrs\u00e9\u00fc\U0001f600") for _ in range(rng.choice([5, 20, 150, 190, 210, 900]))))
+        for _ in range(rng.randint(0, 1 + len(t) // 12)):
+            at = rng.randrange(4, len(t))
+            t[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ab", "e"])
+        rows.append((rng.choice("st"), k, "".join(t)))
+    df = spark.createDataFrame([(s, "r", k, f"u{k}", t) for s, k, t in rows], "store_id string, run_id string, seq long, url string, title string")
+    first, want = {}, {}
+    for s, k, t in rows:
+        first.setdefault((s, " ".join(t.split()).lower()), k)
+    for (s, x), i in first.items():
+        for (z, y), j in first.items():
+            r = difflib.SequenceMatcher(None, x, y).ratio()
+            assert C.similarity(x, y, C.places(y)) == (r if r >= 0.92 else 0) or r < 0.92
+            if s == z and i < j and x.split()[0] == y.split()[0] and r >= 0.92:
+                want[s, f"u{i}", f"u{j}"] = r
+    assert {(r["store_id"], r["url_a"], r["url_b"]): r["ratio"] for r in C.near_titles(df).collect()} == want and len(want) > 20
+    monkeypatch.undo()
+    t = df.selectExpr("store_id", "run_id", "seq", "url", "title as norm", "'b' as block")
+    assert C._cells(t).count() <= 9 * len(rows) < sum(len(r[2]) for r in rows)
+
+
 def test_shared_characters_bound_the_ratio(spark):
     import difflib
 
